@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, pii, quality
+from isohyet.llm import bpe, chat, langid, minhash, mixing, pii, quality
 
 #: Production parameters.
 ALPHA, DELTA = 0.01, 0.05
@@ -52,10 +52,26 @@ FROM esc GROUP BY conv_id
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = langid.identify(docs, langid.sample(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(read(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -70,7 +86,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op5_bpe": op5_bpe, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
