@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from isohyet.shipping import map_arrow
+
 #: Words remembered by one Python worker; when there are more, it starts anew.
 REMEMBERED = 400_000
 
@@ -208,7 +210,7 @@ def _runs(docs: DataFrame, vocabulary: str, make, fields: list[tuple[str, pa.Dat
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return map_arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:

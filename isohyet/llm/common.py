@@ -203,3 +203,24 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 def long_bytes(parts: list[np.ndarray]) -> pa.Array:
     """A binary column of the arrays' bytes."""
     return pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first `keys` columns (numbers
+    without nulls); the rows must come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1), b.num_rows]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[:, at])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, to - at))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

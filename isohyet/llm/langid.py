@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import pieces, text_bytes
+from isohyet.shipping import map_arrow
 
 UNDETERMINED = "und"
 #: A text is parsed in pieces of so many bytes side by side; no phrase goes on over
@@ -171,4 +172,4 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

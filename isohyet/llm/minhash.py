@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import components, mix, pieces, shingles, small, table, text_bytes, word_hashes, words
+from isohyet.shipping import map_arrow
 
 WORDS = 5
 BANDS, ROWS = 20, 5  # a pair at 0.85 is missed with probability (1 - 0.85 ** 5) ** 20 = 8e-6, at 0.8 3.5e-4
@@ -77,7 +78,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<bigint>")
+    return map_arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<bigint>")
 
 
 def _linked(a: int, b: int, both: int, percent: int) -> bool:
@@ -115,7 +116,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.schema.field(0).type), pa.array([x[1] for x in out], b.schema.field(3).type)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return own.unionByName(other).repartition("a", "lot").sortWithinPartitions("a", "lot", "side").mapInArrow(run, f"a {kind}, b {kind}")
+    return map_arrow(own.unionByName(other).repartition("a", "lot").sortWithinPartitions("a", "lot", "side"), run, f"a {kind}, b {kind}")
 
 
 def confirm_tiles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +177,7 @@ def confirm_tiles(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
             yield batch(list(links()), schema)
 
     kind = members.schema["rep"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return map_arrow(rows, run, f"a {kind}, b {kind}")
 
 
 def _bucket():

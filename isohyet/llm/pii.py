@@ -10,6 +10,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from isohyet.shipping import map_arrow
+
 #: Kinds of spans, in the order they are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "login")
 #: Cues of account numbers and of secrets, lower case.
@@ -130,7 +132,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
+    return map_arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -150,4 +152,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 arrays[i] = pa.array([o if t is None else len(t) for o, t in zip(b.column(i).to_pylist(), texts, strict=True)], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-    return docs.mapInArrow(run, schema).select(columns)
+    return map_arrow(docs, run, schema).select(columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, langid, minhash, mixing, pii, quality
+from isohyet.llm import bpe, chat, langid, minhash, mixing, pii, pq, quality
 
 #: Production parameters.
 ALPHA, DELTA = 0.01, 0.05
@@ -64,6 +64,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -86,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_bpe": op5_bpe, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
