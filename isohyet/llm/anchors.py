@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, word_hashes, words
+from isohyet.llm.common import BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, with_texts, word_hashes, words
 from isohyet.shipping import map_arrow
 
 #: Words of a window, and of a block. A window holds a whole block of its document
@@ -50,6 +50,7 @@ def _groups_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, start, np.diff(np.append(start, len(s)))
 
 
+PROBES = "part int, chunk long, key binary, low binary, blocks binary, sure binary, ids array<bigint>, firsts array<int>"
 _PROBES = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("low", pa.binary()), ("blocks", pa.binary()), ("sure", pa.binary()), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
 
 
@@ -57,49 +58,12 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def anchor_hits(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, hits): the words of a document at which a run of `block` words starts
-    that is a reference block (from word 0, block, 2 * block, ... of its document)
-    in one place and found by the rolling probe in another; hits are 32-bit numbers
-    in a binary. Documents with fewer words than a window have none.
-
-    Every rolling probe and every block goes, by its hash, to one part. What a chunk
-    can settle by itself, it does: of blocks found again in it, one goes on."""
-    parts = parts_of(docs)
-
-    def probe(batches):
-        task = TaskContext.get().partitionId()
-        for nth, b in enumerate(pieces(batches, most=CHUNK)):
-            chunk = (task << 32) | nth
-            data, offsets = text_bytes(b.column(1))
-            starts, ends, owner = words(data, offsets)
-            size = np.bincount(owner, minlength=b.num_rows)
-            first = np.cumsum(size) - size
-            if len(owner) < block:
-                continue
-            g = shingles(word_hashes(data, starts, ends), block)
-            pos = np.flatnonzero((owner[: len(g)] == owner[block - 1 :]) & (size[owner[: len(g)]] >= window))
-            h = g[pos]
-            aligned = (pos - first[owner[pos]]) % block == 0
-            order, start, count = _groups_of(h)
-            has = np.logical_or.reduceat(aligned[order], start) if len(start) else np.zeros(0, bool)
-            sure = np.repeat((count > 1) & has, count)  # in the order
-            send = ~sure
-            send[start] = True  # one of each for the others
-            mark = np.where(sure, True, aligned[order])
-            kept, keys = order[send], mark[send]
-            back = np.argsort(kept, kind="stable")
-            kept, keys = kept[back], keys[back]
-            key = (h[kept].astype(np.uint32) & np.uint32(0xFFFFFFFE)) | keys.astype(np.uint32)
-            by, there, spans = _by_part(_part(h[kept], parts))
-            rows = []
-            for p, (a, z) in zip(there.tolist(), spans, strict=True):
-                at = pos[kept[by[a:z]]]
-                blocks = np.bincount(at >> 16, minlength=1).astype(np.uint32)
-                rows.append((p, chunk, key[by[a:z]].tobytes(), at.astype(np.uint16).tobytes(), blocks.tobytes(), None, None, None))
-            found = np.sort(pos[order[sure]]).astype(np.uint32)
-            rows.append((chunk % parts, chunk, None, None, None, found.tobytes(), b.column(0).to_pylist(), first.astype(np.int32)))
-            yield _rows(_PROBES, rows)
+def settle_hits(probes: DataFrame, parts: int, wide: bool = False) -> DataFrame:
+    """(doc_id, hits) from what chunks have sent: a place is a hit if its number (32
+    bits, or 64 if wide, the lowest set for a block) came at least twice, once as a
+    block, or if the chunk was sure. Places are counted from their document's first."""
+    kind = np.uint64 if wide else np.uint32
+    one = kind(1)
 
     def match(batches):
         chunks, keys, at = [], [], []
@@ -112,7 +76,7 @@ def anchor_hits(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Da
                     continue
                 n = np.frombuffer(blocks, np.uint32)
                 chunks.append(chunk)
-                keys.append(np.frombuffer(key, np.uint32))
+                keys.append(np.frombuffer(key, kind))
                 at.append(np.frombuffer(low, np.uint16).astype(np.uint32) + (np.repeat(np.arange(len(n), dtype=np.uint32), n) << np.uint32(16)))
             yield _rows(schema, rows)
         if not keys:
@@ -120,13 +84,13 @@ def anchor_hits(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Da
         s = np.sort(np.concatenate(keys))
         start = np.flatnonzero(np.concatenate([[True], (s[1:] ^ s[:-1]) > 1]))
         last = np.append(start[1:], len(s)) - 1
-        live = s[start[(last > start) & ((s[last] & 1) == 1)]] >> np.uint32(1)  # twice or more, once as a block
+        live = s[start[(last > start) & ((s[last] & one) == 1)]] >> one  # twice or more, once as a block
         if not len(live):
             return
         for k in range(0, len(chunks), 256):
             rows = []
             for chunk, key, where in zip(chunks[k : k + 256], keys[k : k + 256], at[k : k + 256], strict=True):
-                key = key >> np.uint32(1)
+                key = key >> one
                 i = np.minimum(np.searchsorted(live, key), len(live) - 1)
                 hit = where[live[i] == key]
                 if len(hit):
@@ -144,13 +108,66 @@ def anchor_hits(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Da
             out = [(h - firsts[d]).astype(np.uint32).tobytes() for d, h in zip(there, np.split(hits, at[1:]), strict=True)] if len(hits) else []
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(there)), pa.array(out, pa.binary())], schema=schema)
 
-    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = map_arrow(kept, probe, "part int, chunk long, key binary, low binary, blocks binary, sure binary, ids array<bigint>, firsts array<int>")
     found = map_arrow(probes.repartitionById(parts, "part"), match, "chunk long, hits binary, ids array<bigint>, firsts array<int>")
     found = map_arrow(found.repartition(parts, "chunk").sortWithinPartitions("chunk"), gather, "doc_id long, hits binary")
     return table(found, "hits").dropDuplicates(["doc_id"])
 
 
+def sent(h: np.ndarray, pos: np.ndarray, block: np.ndarray, chunk: int, parts: int, ids: list, first: np.ndarray, wide: bool = False) -> pa.RecordBatch:
+    """The rows of a chunk for settle_hits: of each place its 64-bit hash, where it is
+    in the chunk, and whether it is a block. What comes twice in the chunk, once as a
+    block, is sure; one of it goes on for the others."""
+    order, start, count = _groups_of(h)
+    has = np.logical_or.reduceat(block[order], start) if len(start) else np.zeros(0, bool)
+    sure = np.repeat((count > 1) & has, count)  # in the order
+    send = ~sure
+    send[start] = True
+    mark = np.where(sure, True, block[order])
+    kept, marks = order[send], mark[send]
+    back = np.argsort(kept, kind="stable")
+    kept, marks = kept[back], marks[back]
+    key = (h[kept] & np.uint64(0xFFFFFFFFFFFFFFFE)) | marks.astype(np.uint64)
+    key = key if wide else key.astype(np.uint32)
+    by, there, spans = _by_part(_part(h[kept], parts))
+    rows = []
+    for p, (a, z) in zip(there.tolist(), spans, strict=True):
+        at = pos[kept[by[a:z]]]
+        blocks = np.bincount(at >> 16, minlength=1).astype(np.uint32)
+        rows.append((p, chunk, key[by[a:z]].tobytes(), at.astype(np.uint16).tobytes(), blocks.tobytes(), None, None, None))
+    rows.append((chunk % parts, chunk, None, None, None, np.sort(pos[order[sure]]).astype(np.uint32).tobytes(), ids, first.astype(np.int32)))
+    return _rows(_PROBES, rows)
+
+
+def anchor_hits(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(doc_id, hits): the words of a document at which a run of `block` words starts
+    that is a reference block (from word 0, block, 2 * block, ... of its document)
+    in one place and found by the rolling probe in another; hits are 32-bit numbers
+    in a binary. Documents with fewer words than a window have none.
+
+    Every rolling probe and every block goes, by its hash, to one part. What a chunk
+    can settle by itself, it does: of blocks found again in it, one goes on."""
+    parts = parts_of(docs)
+
+    def probe(batches):
+        task = TaskContext.get().partitionId()
+        for nth, b in enumerate(pieces(batches, most=CHUNK)):
+            chunk = (task << 32) | nth
+            data, offsets = text_bytes(b.column(1))
+            starts, ends, owner = words(data, offsets)
+            size = np.bincount(owner, minlength=b.num_rows)
+            first = np.cumsum(size) - size
+            if len(owner) < block:
+                continue
+            g = shingles(word_hashes(data, starts, ends), block)
+            pos = np.flatnonzero((owner[: len(g)] == owner[block - 1 :]) & (size[owner[: len(g)]] >= window))
+            h = g[pos]
+            aligned = (pos - first[owner[pos]]) % block == 0
+            yield sent(h, pos, aligned, chunk, parts, b.column(0).to_pylist(), first)
+
+    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return settle_hits(map_arrow(kept, probe, PROBES), parts)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, starts): the windows whose words also start earlier (in a document with
     a smaller doc_id, or in the same one), as 32-bit numbers in a binary.
@@ -160,11 +177,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
     are settled there, so a passage that many documents share is one entry a chunk."""
     parts = parts_of(docs)
     hits = table(anchor_hits(docs, window, block), "hit-documents")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = hits.select("doc_id").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
-        texts = texts.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi")
-    joined = texts.join(hits.hint("shuffle_merge"), "doc_id")
+    joined = with_texts(docs, hits)
 
     def extend(batches):
         schema = pa.schema([("part", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
@@ -228,8 +241,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
             there, at = np.unique(d, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([x.tobytes() for x in np.split(s, at[1:])] if len(s) else [], pa.binary())], schema=schema)
 
-    sent = map_arrow(joined.select("doc_id", "text", "hits"), extend, "part int, hash binary, doc binary, start binary")
-    told = map_arrow(sent.repartitionById(parts, "part"), settle, "part int, doc binary, start binary")
+    found = map_arrow(joined.select("doc_id", "text", "hits"), extend, "part int, hash binary, doc binary, start binary")
+    told = map_arrow(found.repartitionById(parts, "part"), settle, "part int, doc binary, start binary")
     return table(map_arrow(told.repartition(parts, "part").sortWithinPartitions("part"), gather, "doc_id long, starts binary"), "windows")
 
 

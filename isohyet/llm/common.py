@@ -224,3 +224,13 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             last = now
     if held:
         yield pa.Table.from_batches(held)
+
+
+def with_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of info (a table by doc_id) for the documents in
+    info. While the ids are few enough to be broadcast, only their texts are shuffled."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = info.select("doc_id")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    return rows.join(info.hint("shuffle_merge"), "doc_id")

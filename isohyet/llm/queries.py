@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality
+from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality, suffix
 
 #: Production parameters.
 ALPHA, DELTA = 0.01, 0.05
@@ -72,6 +72,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeated_bytes(read(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.drop_repeats(read(spark, sf_dir, "documents"), window=20, digest=True)
 
@@ -94,7 +98,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_bpe": op5_bpe, "op6_suffix_array": op6_suffix_array, "op7_substring": op7_substring, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
