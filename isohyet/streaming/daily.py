@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def daily_range(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     """station_id, obs_date, tmin, tmax, n of (station_id, ts, value), a day at a time;
     rows later than the delay are dropped and a day comes out when it is over by it."""
-    w = F.window(F.col("ts").cast("timestamp"), "1 day")
     x = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    out = x.groupBy("station_id", w.alias("w")).agg(F.min("value").alias("tmin"), F.max("value").alias("tmax"), F.count(F.lit(1)).alias("n"))
+    out = x.groupBy("station_id", F.window("ts", "1 day").alias("w")).agg(F.min("value").alias("tmin"), F.max("value").alias("tmax"), F.count(F.lit(1)).alias("n"))
     return out.select("station_id", F.to_date("w.start").alias("obs_date"), "tmin", "tmax", "n")
 
 
