@@ -68,6 +68,44 @@ def upper_air_components(a: np.ndarray, explain: float = 0.99) -> np.ndarray:
     return scores[:, : int(np.searchsorted(np.cumsum(var) / var.sum(), explain)) + 1]
 
 
+def upper_air_matrix(points: DataFrame, cells: DataFrame, values: DataFrame, k: int = 4) -> DataFrame:
+    """station_id, obs_date, x: the values (cell_id, obs_date, var, value) of the k
+    nearest cells of a station, by rank and var, in an array."""
+    from isohyet.sources.text import nearest_cells
+
+    near = nearest_cells(points.select(F.col("station_id").alias("point_id"), "lon", "lat"), cells, k)
+    rows = near.join(values, "cell_id").groupBy(F.col("point_id").alias("station_id"), "obs_date").agg(F.array_sort(F.collect_list(F.struct("rank", "var", "value"))).alias("x"))
+    return rows.select("station_id", "obs_date", F.transform("x", lambda v: v["value"]).alias("x"))
+
+
+def upper_air_scores(matrix: DataFrame, explain: float = 0.99) -> DataFrame:
+    """station_id, obs_date, pcs: a station's first components of its complete days."""
+    ship(matrix.sparkSession)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        size = g["x"].map(len).max()
+        g = g[g["x"].map(lambda v: len(v) == size and not any(x is None or x != x for x in v))].sort_values("obs_date")
+        scores = upper_air_components(np.array(g["x"].tolist(), float), explain) if len(g) > 2 else np.zeros((len(g), 0))
+        return g[["station_id", "obs_date"]].assign(pcs=scores.tolist())
+
+    kind = matrix.schema["station_id"].dataType.simpleString()
+    return matrix.groupBy("station_id").applyInPandas(run, f"station_id {kind}, obs_date date, pcs array<double>")
+
+
+def add_components(rows: DataFrame, scores: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """rows with the components after the neighbours, max_columns - 1 in all; where a
+    group would have a day without any value, its last column is the first component."""
+    x = rows.join(scores, ["station_id", "obs_date"], "left")
+    room = F.slice(F.concat("nghs", F.coalesce("pcs", F.array().cast("array<double>"))), 1, max_columns - 1)
+    x = x.withColumn("_x", room)
+    bare = F.max((~F.exists("_x", lambda v: v.isNotNull())).cast("int")).over(Window.partitionBy("station_id", "month"))
+    size = F.max(F.size("_x")).over(Window.partitionBy("station_id", "month"))
+    x = x.withColumns({"_bare": bare, "_size": size})
+    padded = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.get("_x", i))
+    with_first = F.concat(F.slice(padded, F.lit(1), F.col("_size") - 1), F.array(F.get("pcs", F.lit(0))))
+    return x.withColumn("nghs", F.when((F.col("_bare") == 1) & F.col("pcs").isNotNull(), with_first).otherwise(padded)).drop("pcs", "_x", "_bare", "_size")
+
+
 def _matrix(g: pd.DataFrame, least: int) -> np.ndarray:
     m = np.array([[np.nan if v is None else v for v in r] for r in g["nghs"]], float)
     return np.column_stack([g["value"].to_numpy(float), m[:, cover(m, least)]])

@@ -104,7 +104,7 @@ def interpolate_normals(points: DataFrame, stations: DataFrame, norms: DataFrame
     """point_id, month, norm, variance: variogram, kriging weights and sums by month."""
     near = nearest(points, stations, k, **how)
     v = fit_variograms(points, near, stations, norms)
-    by_month = v.select(F.struct("point_id", "month").alias("pm"), "*").select(F.concat_ws("|", "point_id", "month").alias("_pm"), "point_id", "month", "nug", "psill", "rng")
+    by_month = v.select(F.concat_ws("|", "point_id", "month").alias("_pm"), "point_id", "month", "nug", "psill", "rng")
     pts = points.join(by_month.select("point_id", "_pm"), "point_id").drop("point_id").withColumnRenamed("_pm", "point_id")
     nr = near.join(by_month.select("point_id", "_pm"), "point_id").drop("point_id").withColumnRenamed("_pm", "point_id")
     lam = drift_weights(pts, nr, stations, by_month.select(F.col("_pm").alias("point_id"), "nug", "psill", "rng"))
@@ -133,6 +133,32 @@ def fix_crossed(daily: DataFrame, tail: int = 15, literal: bool = True) -> DataF
     return daily.groupBy("point_id").applyInPandas(run, f"point_id {daily.schema['point_id'].dataType.simpleString()}, obs_date date, tmin double, tmax double")
 
 
+def interpolate_range(points: DataFrame, stations: DataFrame, daily: DataFrame, norms: DataFrame, k_norm: int, k_anom: int, normal_years: tuple[int, int] = (1981, 2010), **how) -> tuple[DataFrame, DataFrame]:
+    """Daily minima and maxima of points, and their normals. daily: station_id, obs_date,
+    tmin, tmax; norms: station_id, month, tmin, tmax.
+
+    Per element the normals by kriging and the days by weighted regression; crossed
+    days are mended, and the normals of points that had any are the means over years
+    of the monthly means of their mended days. A point outside the mask (column mask,
+    if there is one) is an error."""
+    if "mask" in points.columns:
+        points = points.withColumn("lon", F.when(F.col("mask"), F.col("lon")).otherwise(F.raise_error(F.lit("a point lies outside the mask")).cast("double")))
+    day, normal = None, None
+    for e in ("tmin", "tmax"):
+        n = norms.select("station_id", "month", F.col(e).alias("norm"))
+        pn = interpolate_normals(points, stations, n, k_norm, **how).select("point_id", "month", "norm", "variance")
+        d = interpolate_daily(points, stations, daily.select("station_id", "obs_date", F.col(e).alias("value")), n, pn.select("point_id", "month", "norm"), k_anom, **how).withColumnRenamed("value", e)
+        pn = pn.select("point_id", "month", F.col("norm").alias(f"{e}_norm"), F.sqrt(F.greatest("variance", F.lit(0.0))).alias(f"{e}_se"))
+        day = d if day is None else day.join(d, ["point_id", "obs_date"])
+        normal = pn if normal is None else normal.join(pn, ["point_id", "month"])
+    mended = fix_crossed(day)
+    crossed = day.where("tmin >= tmax").select("point_id").distinct().withColumn("_c", F.lit(True))
+    monthly = mended.join(crossed, "point_id").where(F.year("obs_date").between(*normal_years)).groupBy("point_id", F.year("obs_date").alias("year"), F.month("obs_date").alias("month")).agg(F.avg("tmin").alias("a"), F.avg("tmax").alias("b"))
+    again = monthly.groupBy("point_id", "month").agg(F.avg("a").alias("_a"), F.avg("b").alias("_b"))
+    normal = normal.join(again, ["point_id", "month"], "left").select("point_id", "month", F.coalesce("_a", "tmin_norm").alias("tmin_norm"), "tmin_se", F.coalesce("_b", "tmax_norm").alias("tmax_norm"), "tmax_se")
+    return mended, normal
+
+
 def leave_one_out(stations: DataFrame, values: DataFrame, k: int, predictors: tuple[str, ...] = ("lon", "lat", "elev"), **how) -> DataFrame:
     """station_id, keys of values, obs, pred: each station from its neighbours only, by
     weighted regression. values: station_id, month (or obs_date), value."""

@@ -341,3 +341,34 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r.obs_date.day: (r.tmin, r.tmax) for r in spark.sql("select * from rolled").collect()}
     assert got and all(v == (float(d), float(d * 23)) for d, v in got.items())
+
+
+def test_upper_air(spark):
+    r = np.random.default_rng(8)
+    cells = spark.createDataFrame([(i, float(i % 3), 40.0 + i // 3) for i in range(9)], "cell_id int, lon double, lat double")
+    base = r.standard_normal(40)
+    values = spark.createDataFrame([(c, START + dt.timedelta(i), v, float(base[i] * (c + 1) + 0.01 * r.standard_normal())) for c in range(9) for i in range(40) for v in ("air", "hgt")], "cell_id int, obs_date date, var string, value double")
+    pts = spark.createDataFrame([(1, 1.0, 41.0)], "station_id int, lon double, lat double")
+    m = infill.upper_air_matrix(pts, cells, values)
+    assert m.count() == 40 and len(m.first().x) == 8
+    scores = infill.upper_air_scores(m)
+    got = scores.toPandas().sort_values("obs_date")
+    assert (got.pcs.map(len) == 1).all() and abs(np.corrcoef(got.pcs.map(lambda p: p[0]), base)[0, 1]) > 0.99
+    rows = spark.createDataFrame([(1, 1, START + dt.timedelta(i), 1.0, [None if i == 3 else 1.0, None]) for i in range(40)], "station_id int, month int, obs_date date, value double, nghs array<double>")
+    out = infill.add_components(rows, scores).collect()
+    assert all(len(x.nghs) == 3 and x.nghs[-1] is not None for x in out)
+
+
+def test_interpolate_range(spark):
+    r = np.random.default_rng(9)
+    s = spark.createDataFrame([(i, float(x), float(y), float(e)) for i, (x, y, e) in enumerate(r.uniform(0, 3, (40, 3)))], "station_id int, lon double, lat double, elev double")
+    m = spark.createDataFrame([(1,), (2,)], "month int")
+    norms = s.crossJoin(m).select("station_id", "month", (10 - F.col("elev")).alias("tmin"), (20 - F.col("elev")).alias("tmax"))
+    d = spark.createDataFrame([(START + dt.timedelta(i),) for i in range(59)], "obs_date date")
+    daily = s.crossJoin(d).select("station_id", "obs_date", (10 - F.col("elev") + F.when(F.dayofyear("obs_date") == 20, 12.0).otherwise(1.0)).alias("tmin"), (20 - F.col("elev")).alias("tmax"))
+    pts = spark.createDataFrame([(1, 1.5, 1.5, 1.0)], "point_id int, lon double, lat double, elev double")
+    day, normal = interp.interpolate_range(pts, s, daily, norms, 20, 20, (2001, 2001), search_km=3000.0)
+    got = {x.obs_date.timetuple().tm_yday: x for x in day.collect()}
+    assert len(got) == 59 and got[1].tmin == pytest.approx(10, abs=0.01) and got[20].tmin < got[20].tmax
+    n = {x.month: x for x in normal.collect()}
+    assert n[2].tmin_norm == pytest.approx(10, abs=0.01) and n[2].tmax_norm == pytest.approx(19, abs=0.01)
