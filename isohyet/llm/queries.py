@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality, suffix
+from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality, sql, suffix
 
 #: Production parameters.
 ALPHA, DELTA = 0.01, 0.05
@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_embeddings": sql.OP4, "op7_substring": sql.OP7, "op8_minhash": sql.OP8, "op10_quality": sql.op10(ALPHA, DELTA)}
