@@ -180,11 +180,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH)
             codes = np.frombuffer(b"".join(t.column("codes").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1)
             limit = ((radius + t.column("error").to_numpy()[:cut]) ** 2 + 1e-4).astype(np.float32)
             m, q = vec[:cut], vec[cut:]
-            tables = [((p[:, None, :] - b[None]) ** 2).sum(2).astype(np.float32) for p, b in zip(ix.parts(q - ix.centres[here]), ix.books, strict=True)]
-            distance = np.zeros((len(q), cut), np.float32)
+            # a table's row holds one code's distances to all queries: a member takes whole rows
+            tables = [((b * b).sum(1)[:, None] - 2 * b @ p.T + (p * p).sum(1)).astype(np.float32) for p, b in zip(ix.parts(q - ix.centres[here]), ix.books, strict=True)]
+            distance = np.zeros((cut, len(q)), np.float32)
             for j, lookup in enumerate(tables):
-                distance += lookup[:, codes[:, j]]
-            a, b = np.nonzero(distance <= limit)
+                distance += lookup[codes[:, j]]
+            b, a = np.nonzero(distance <= limit[:, None])
             apart = id_[cut:][a] != id_[b]
             a, b = a[apart], b[apart]
             good = np.concatenate([(q[a[k : k + 65536]] * m[b[k : k + 65536]]).sum(1) >= cosine for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
