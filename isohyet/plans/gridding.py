@@ -76,7 +76,7 @@ def param_weighted_avg(spark, d):
 def gwr_weights(spark, d):
     """Invariants: the weights add up to 1 and give back the point's predictors."""
     s, p = stations(spark, d), _points(spark, d)
-    z = interp.gwr_weights(p, nearest(p, s, 30, 4000.0), s)
+    z = interp.gwr_weights(p, nearest(p, s, 30, 4000.0, strict=False), s)
     return z.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("z"), 6).alias("total"), F.round(F.sum(F.col("z") * F.col("lon")), 4).alias("lon"), F.round(F.sum(F.col("z") * F.col("elev")), 3).alias("elev"))
 
 
@@ -84,7 +84,7 @@ def gwr_weights(spark, d):
 def ked_weights(spark, d):
     s, p = stations(spark, d), _points(spark, d)
     v = p.select("point_id", F.lit(0.3).alias("nug"), F.lit(1.7).alias("psill"), F.lit(250.0).alias("rng"))
-    lam = interp.drift_weights(p, nearest(p, s, 30, 4000.0), s, v)
+    lam = interp.drift_weights(p, nearest(p, s, 30, 4000.0, strict=False), s, v)
     return lam.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("lam"), 6).alias("total"), F.round(F.sum(F.col("lam") * F.col("lat")), 4).alias("lat"))
 
 
@@ -106,14 +106,14 @@ def _norms(spark, d):
 @query("interp_normals")
 def interp_normals(spark, d):
     s, n = _norms(spark, d)
-    out = interp.interpolate_normals(_points(spark, d).where("point_id % 200 = 1"), s, n.where("month in (1, 7)"), 35, search_km=4000.0)
+    out = interp.interpolate_normals(_points(spark, d).where("point_id % 200 = 1"), s, n.where("month in (1, 7)"), 35, search_km=4000.0, strict=False)
     return out.select("point_id", "month", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"))
 
 
 @query("loo_normals")
 def loo_normals(spark, d):
     s, n = _norms(spark, d)
-    loo = interp.leave_one_out(s, n.where("month = 1").withColumnRenamed("norm", "value"), 30, search_km=6000.0)
+    loo = interp.leave_one_out(s, n.where("month = 1").withColumnRenamed("norm", "value"), 30, search_km=6000.0, strict=False)
     return interp.validation(loo.unionByName(loo)).select("station_id", F.round("mae", 5).alias("mae"), F.round("bias", 5).alias("bias"))
 
 
