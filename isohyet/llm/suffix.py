@@ -64,7 +64,8 @@ def anchors(h: Hashes, offsets: np.ndarray, length: int, k: int) -> tuple[np.nda
     s = np.arange(room.sum()) + np.repeat(offsets[:-1][has] - (np.cumsum(room) - room), room)
     a = (np.minimum(behind[s], ahead[s + w - 1]) & mask).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    return a[first], s[first], s[np.append(first[1:], len(a)) - 1], runs[a[first]]
+    # the least hashes are small numbers: mixed again, they are dealt evenly
+    return a[first], s[first], s[np.append(first[1:], len(a)) - 1], mix(runs[a[first]])
 
 
 def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
