@@ -275,7 +275,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, dige
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     ids = repeats.select("doc_id")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if ids.count() <= BROADCAST_ROWS:
         # only the texts that change meet their windows
         same = rows.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("binary"))
         other = rows.join(F.broadcast(ids), "doc_id", "left_semi").join(repeats.hint("shuffle_merge"), "doc_id")

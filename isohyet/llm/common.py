@@ -4,6 +4,7 @@ connected components and vectorised words, shingles and Arrow helpers."""
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,14 +47,18 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def release() -> None:
-    """Delete the tables written so far; results that still read them are lost."""
+    """Delete the tables written so far and the folder made where none was set;
+    results that still read them are lost."""
     while _written:
         spark, path = _written.pop()
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session has ended
-            return
+            break
+    for folder in _own.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+    _own.clear()
 
 
 atexit.register(release)
@@ -62,7 +67,7 @@ atexit.register(release)
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is:
     Spark then joins it by a shuffle. df should be cheap to count (a table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -231,6 +236,6 @@ def with_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
     info. While the ids are few enough to be broadcast, only their texts are shuffled."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = info.select("doc_id")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if ids.count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
     return rows.join(info.hint("shuffle_merge"), "doc_id")
