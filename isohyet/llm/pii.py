@@ -73,7 +73,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             run = at
             if at >= end["ip"] and (m := _IP.match(text, at)):
                 end["ip"] = m.end()
-                if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups()):
+                if all(len(g) <= 3 and int(g or 0) <= 255 for g in (x.lstrip("0") for x in m.groups())):
                     found["ip"].append(m.span())
             if at >= end["card"] and (m := _CARD.match(text, at)):
                 end["card"] = m.end()

@@ -145,12 +145,17 @@ def base(t):
 
 def test_pii_base_rules():
     r = np.random.default_rng(4)
-    texts = ["a@b@c.d x.y@z..w q@r.s@t.u", "1.2.3.4.5.6.7.8 0001.2.3.4 300.1.1.1 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (555) 123-4567 ++49 30 1234567-"]
+    texts = ["a@b@c.d x.y@z..w q@r.s@t.u", "1.2.3.4.5.6.7.8 0001.2.3.4 300.1.1.1 1.2.3", "0" * 4000 + "7.0.00.255 " + "8" * 50 + ".1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (555) 123-4567 ++49 30 1234567-"]
     texts += ["".join(r.choice(list("ab@.1234567890+- ()é"), 120)) for _ in range(3000)]
     for t in texts:
         assert [s for s in pii.find(t) if s[0] in ("email", "ip", "card", "phone")] == base(t), t
 
 
+def test_pii_very_long_digits():
+    zeros = "0" * 9000  # longer than int() reads
+    assert pii.find(f"{zeros}.1.2.3") == [("ip", 0, 9006)] and pii.find(f"{zeros}9999.1.2.3") == []
+
+
 def test_pii_added_and_redacted(spark):
     texts = [*ODD, "IBAN: DE89370400440532013000 and mail x.y@z.org", 'token = "24be64439e3e49cf46b2d7c90f3602a3"', "ftp://me:secret@host/x"]
     docs = docs_of(spark, texts)
