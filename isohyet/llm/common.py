@@ -76,13 +76,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds of: every node takes the least label among its neighbours' labels and
     its own, then the label of its label. Each round is two equi-joins and a sum
     by key, so no node's links ever meet in one task; links inside one component
-    are dropped as soon as both ends agree. No row for nodes without links."""
+    are dropped as soon as both ends agree. Every round leaves fewer labels, and rounds
+    go on until no link is left. No row for nodes without links."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = table(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     parent = None
-    for _ in range(64):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         # every node hooks to its least neighbour (or stays), then paths are halved
         both = e.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("up")))
         step = both.groupBy("node").agg(F.min("up").alias("up")).select("node", F.least("node", "up").alias("up"))
