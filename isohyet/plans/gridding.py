@@ -40,9 +40,19 @@ def raster_bilinear(spark, d):
     return grid.bilinear(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, fallback=False).withColumn("value", F.round("value", 6))
 
 
-@query("raster_forced")
+_FORCED = f"""WITH {STN}, {_CELL}, p AS (SELECT station_id, lon, lat, (lon+125)/0.5-0.5 AS x, (50-lat)/0.5-0.5 AS y, CAST(floor((50-lat)/0.5) AS INT) AS r0, CAST(floor((lon+125)/0.5) AS INT) AS c0 FROM stn),
+q AS (SELECT station_id, CAST(floor(x) AS INT) AS c, CAST(floor(y) AS INT) AS r, x-floor(x) AS fx, y-floor(y) AS fy FROM p),
+f AS (SELECT q.*, i, j, (CASE WHEN i=1 THEN fy ELSE 1-fy END)*(CASE WHEN j=1 THEN fx ELSE 1-fx END) AS w FROM q, (VALUES (0),(1)) a(i), (VALUES (0),(1)) b(j)),
+bl AS (SELECT station_id, CASE WHEN count(value)=4 THEN sum(w*value) END AS v FROM f LEFT JOIN cell ON cell.row=r+i AND cell.col=c+j GROUP BY 1),
+nr AS (SELECT p.*, coalesce(v, value) AS v FROM p JOIN bl USING (station_id) LEFT JOIN cell ON cell.row=r0 AND cell.col=c0),
+rg AS (SELECT nr.*, value, row, col, greatest(abs(row-r0), abs(col-c0)) AS ring, 50-(row+0.5)*0.5 AS clat, -125+(col+0.5)*0.5 AS clon FROM nr, cell WHERE v IS NULL AND value IS NOT NULL),
+fn AS (SELECT station_id, value FROM rg WHERE ring<=80 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ring, power(sin(radians(clat-lat)/2),2)+cos(radians(lat))*cos(radians(clat))*power(sin(radians(clon-lon)/2),2), row, col)=1)
+SELECT station_id AS point_id, round(coalesce(v, fn.value),6) AS value FROM nr LEFT JOIN fn USING (station_id)"""
+
+
+@query("raster_forced", _FORCED)
 def raster_forced(spark, d):
-    return grid.add_raster(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, force=True, rings=80)
+    return grid.add_raster(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, force=True, rings=80).withColumn("value", F.round("value", 6))
 
 
 @query("monthly_mosaic", "SELECT CAST(l_suppkey%50 AS INT) AS row, CAST(l_linenumber AS INT) AS col, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, round(avg(l_quantity-25),2) AS tmin, round(avg(l_quantity),2) AS tmax FROM lineitem GROUP BY 1,2,3,4")
@@ -137,7 +147,7 @@ def pca_variance(spark, d):
     return interp.principal_components(v).agg(F.count(F.lit(1)).cast("int").alias("components"), F.round(F.sum("share"), 6).alias("total"))
 
 
-@query("expand_grid")
+@query("expand_grid", f"WITH {_CELL}, b AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM cell WHERE mask), o AS (SELECT row-(r0-CAST(floor((64-(r1-r0+1))/2.0) AS INT)) AS row, col-(c0-CAST(floor((144-(c1-c0+1))/2.0) AS INT)) AS col, value FROM cell, b WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1) SELECT CAST(i//144 AS INT) AS row, CAST(i%144 AS INT) AS col, value FROM range(64*144) t(i) LEFT JOIN o ON o.row=i//144 AND o.col=i%144")
 def expand_grid(spark, d):
     return grid.expand(_cells(spark, d), 64, 144)
 

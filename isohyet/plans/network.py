@@ -10,6 +10,7 @@ from isohyet.operators import stations as st
 from isohyet.operators.calendar import densify
 from isohyet.plans.analog import DENSE, NAT, OBS, STN, national, observations, read, stations
 from isohyet.plans.registry import query
+from isohyet.plans.series import WIN, norm_sql
 
 _KM = "2*6371.009*asin(least(1.0, sqrt(power(sin((radians({b}.lat)-radians({a}.lat))/2),2)+cos(radians({a}.lat))*cos(radians({b}.lat))*power(sin((radians({b}.lon)-radians({a}.lon))/2),2))))".format(a="a", b="b")
 RADIUS = 500.0
@@ -82,13 +83,50 @@ def _smooth(spark, d):
     return qa_temp.prepare(x.select("station_id", "obs_date", F.when(~gone, base + noise + odd).alias("tmin"), F.when(~gone, base + 8 + noise).alias("tmax")))
 
 
-@query("qa_spatial_regress")
+_NPAIRS = f"npairs AS (SELECT * FROM (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS dist_km FROM ns a, ns b WHERE a.station_id<>b.station_id) WHERE dist_km <= 300)"
+#: the stations and series of _nat_stations and _smooth
+_SMOOTH = f"""{NAT}, {DENSE}, ns AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, CAST(-100+n_nationkey%5 AS DOUBLE) AS lon, CAST(40+n_nationkey//5 AS DOUBLE) AS lat FROM nation), {_NPAIRS},
+dk AS (SELECT station_id, obs_date, date_diff('day', DATE '1995-01-01', obs_date) AS k FROM dense WHERE obs_date < DATE '1996-06-01'),
+dc AS (SELECT *, CAST(15 AS DOUBLE)*sin(CAST(k AS DOUBLE)/58)+CAST((k*7919)%13 AS DOUBLE)/4+CAST(station_id%5 AS DOUBLE) AS base, CAST((k*31+station_id*17)%7 AS DOUBLE)/5 AS noise FROM dk),
+sm AS (SELECT station_id, obs_date, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+noise+CASE WHEN (k*13+station_id*101)%997=0 THEN 25.0 ELSE 0.0 END END AS tmin, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+8+noise END AS tmax FROM dc),
+lv AS (SELECT station_id, obs_date, 'tmin' AS elem, tmin AS v FROM sm WHERE tmin IS NOT NULL UNION ALL SELECT station_id, obs_date, 'tmax', tmax FROM sm WHERE tmax IS NOT NULL),
+np3 AS (SELECT station_id, ngh_id, dist_km FROM (SELECT *, count(*) OVER (PARTITION BY station_id) AS c FROM npairs) WHERE c>=3)"""
+_SPATIAL_FLAGS = "SELECT station_id, obs_date, CASE WHEN bool_or(elem='tmin') THEN 'S' ELSE '' END AS flag_tmin, CASE WHEN bool_or(elem='tmax') THEN 'S' ELSE '' END AS flag_tmax FROM bad GROUP BY 1,2"
+_REGRESS = f"""WITH {_SMOOTH},
+mo AS (SELECT DISTINCT CAST(date_trunc('month', obs_date) AS DATE) AS m FROM lv),
+win AS (SELECT * FROM (SELECT lv.*, m, CAST(date_trunc('month', obs_date) AS DATE)=m AS own, count(*) OVER (PARTITION BY station_id, elem, m) AS c FROM lv JOIN mo ON obs_date BETWEEN m-15 AND last_day(m)+15) WHERE c>=40),
+pr AS (SELECT w.station_id, w.elem, w.m, ngh_id, w.v, n.v AS nv, avg(w.v) OVER (PARTITION BY w.station_id, w.elem, w.m, ngh_id) AS mv FROM win w JOIN np3 p ON p.station_id=w.station_id JOIN lv n ON n.station_id=p.ngh_id AND n.elem=w.elem AND n.obs_date=w.obs_date),
+md AS (SELECT station_id, elem, m, ngh_id, regr_slope(v,nv) AS slope, regr_intercept(v,nv) AS icpt, 1-sum(abs(nv-v))/nullif(sum(abs(nv-mv)+abs(v-mv)),0) AS d1 FROM pr GROUP BY 1,2,3,4 HAVING count(*)>=40 AND min(v)<max(v) AND min(nv)<max(nv)),
+m3 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY station_id, elem, m) AS c FROM md) WHERE c>=3),
+cd AS (SELECT w.station_id, w.elem, w.m, w.obs_date, w.own, w.v, q.ngh_id, slope, icpt, d1, n.v AS nv, row_number() OVER (PARTITION BY w.station_id, w.elem, w.m, w.obs_date, q.ngh_id ORDER BY abs(n.v-w.v), n.obs_date) AS r FROM win w JOIN m3 q ON q.station_id=w.station_id AND q.elem=w.elem AND q.m=w.m JOIN lv n ON n.station_id=q.ngh_id AND n.elem=w.elem AND n.obs_date BETWEEN w.obs_date-1 AND w.obs_date+1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY station_id, elem, m, obs_date ORDER BY d1 DESC, ngh_id) AS rank FROM cd WHERE r=1),
+es AS (SELECT station_id, elem, m, obs_date, own, v, sum((icpt+slope*nv)*d1)/nullif(sum(d1),0) AS est FROM rk WHERE rank<=7 GROUP BY 1,2,3,4,5,6 HAVING count(*)>=3),
+zs AS (SELECT *, abs(v-est) AS resid, corr(v,est) OVER g AS r, avg(abs(v-est)) OVER g AS mr, stddev_pop(abs(v-est)) OVER g AS sr FROM es WINDOW g AS (PARTITION BY station_id, elem, m)),
+bad AS (SELECT * FROM zs WHERE own AND r>=0.8 AND resid>=8 AND abs((resid-mr)/nullif(sr,0))>=4)
+{_SPATIAL_FLAGS}"""
+_OF_DAY = "{a}.station_id=sm.station_id AND {a}.leap=(dayofyear(make_date(year(obs_date),12,31))=366) AND {a}.yday=dayofyear(obs_date)"
+_CORROB = f"""WITH {_SMOOTH}, {WIN}, {norm_sql('tmin', 10, 'sm')}, {norm_sql('tmax', 10, 'sm')},
+an AS (SELECT sm.station_id, obs_date, 'tmin' AS elem, abs(tmin-a.mean) AS anom FROM sm LEFT JOIN tminn a ON {_OF_DAY.format(a='a')} WHERE tmin IS NOT NULL UNION ALL SELECT sm.station_id, obs_date, 'tmax', abs(tmax-b.mean) FROM sm LEFT JOIN tmaxn b ON {_OF_DAY.format(a='b')} WHERE tmax IS NOT NULL),
+nr AS (SELECT p.station_id, elem, obs_date AS d, anom AS na, row_number() OVER (PARTITION BY p.station_id, elem, obs_date ORDER BY anom IS NULL, dist_km, ngh_id) AS rank, count(*) OVER (PARTITION BY p.station_id, elem, obs_date) AS n FROM np3 p JOIN an ON an.station_id=p.ngh_id),
+ow AS (SELECT an.* FROM an, (SELECT min(obs_date) AS lo, max(obs_date) AS hi FROM sm) WHERE anom IS NOT NULL AND obs_date>lo AND obs_date<hi),
+bad AS (SELECT o.station_id, o.obs_date, o.elem FROM ow o JOIN nr ON nr.station_id=o.station_id AND nr.elem=o.elem AND d BETWEEN o.obs_date-1 AND o.obs_date+1 WHERE n>=3 GROUP BY 1,2,3 HAVING count(DISTINCT d)=3 AND coalesce(bool_and(CASE WHEN rank<=7 THEN abs(na-anom)>=10 END), true))
+{_SPATIAL_FLAGS}"""
+_CANDIDATES = f"""WITH {_SMOOTH}, dv AS (SELECT station_id, obs_date, month(obs_date) AS month, v AS value FROM lv WHERE elem='tmin'),
+dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
+cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
+pr AS (SELECT a.station_id, a.month, p.ngh_id, p.dist_km, a.value, b.value AS nv, avg(a.value) OVER (PARTITION BY a.station_id, a.month, p.ngh_id) AS mv FROM dv a JOIN npairs p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date),
+sc AS (SELECT station_id, month, ngh_id, dist_km, count(*) AS n, 1-sum(abs(nv-value))/nullif(sum(abs(nv-mv)+abs(value-mv)),0) AS d1 FROM pr GROUP BY 1,2,3,4),
+ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AND n>=round(2.0/3*t.n_own) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month)
+SELECT station_id, CAST(month AS INT) AS month, ngh_id, round(dist_km,6) AS dist_km, n, round(d1,6) AS d1, ok FROM ok WHERE ok OR (r=1 AND d1>=0.7)"""
+
+
+@query("qa_spatial_regress", _REGRESS)
 def qa_spatial_regress(spark, d):
     out = spatial.spatial_regression(_smooth(spark, d), _nat_stations(spark, d), radius=300.0)
     return out.where("flag_tmin <> '' or flag_tmax <> ''").select("station_id", "obs_date", "flag_tmin", "flag_tmax")
 
 
-@query("qa_spatial_corrob")
+@query("qa_spatial_corrob", _CORROB)
 def qa_spatial_corrob(spark, d):
     out = spatial.spatial_corroboration(_smooth(spark, d), _nat_stations(spark, d), radius=300.0, min_values=10)
     return out.where("flag_tmin <> '' or flag_tmax <> ''").select("station_id", "obs_date", "flag_tmin", "flag_tmax")
@@ -196,10 +234,10 @@ def _infill_rows(spark, d):
     return x, pairs
 
 
-@query("infill_candidates")
+@query("infill_candidates", _CANDIDATES)
 def infill_candidates(spark, d):
     x, pairs = _infill_rows(spark, d)
-    return infill.candidates(x, pairs).withColumn("d1", F.round("d1", 6))
+    return infill.candidates(x, pairs).withColumns({"dist_km": F.round("dist_km", 6), "d1": F.round("d1", 6)})
 
 
 @query("em_mvn")

@@ -205,25 +205,25 @@ def qa_mega(spark, d):
     return _flags(qa_temp.mega_inconsistency(qa_temp.prepare(dense(spark, d)).withColumn("tmax", F.col("tmax") - 30)))
 
 
-def _norm_sql(e: str) -> str:
+def norm_sql(e: str, least: int = 40, source: str = "dense") -> str:
     return (
-        f"{e}v AS (SELECT station_id, leap, yday, {e} AS x FROM dense JOIN win ON win.md=month(obs_date)*100+day(obs_date) WHERE {e} IS NOT NULL), "
-        f"{e}c AS (SELECT station_id, leap, yday, count(*) AS n, median(x) AS m FROM {e}v GROUP BY 1,2,3 HAVING count(*) >= 40), "
+        f"{e}v AS (SELECT station_id, leap, yday, {e} AS x FROM {source} JOIN win ON win.md=month(obs_date)*100+day(obs_date) WHERE {e} IS NOT NULL), "
+        f"{e}c AS (SELECT station_id, leap, yday, count(*) AS n, median(x) AS m FROM {e}v GROUP BY 1,2,3 HAVING count(*) >= {least}), "
         f"{e}a AS (SELECT v.station_id, v.leap, v.yday, median(abs(x-m)) AS mad FROM {e}v v JOIN {e}c USING (station_id, leap, yday) GROUP BY 1,2,3), "
         f"{e}u AS (SELECT v.*, m, mad, n, CASE WHEN mad=0 THEN NULL ELSE least(1.0,abs((x-m)/(7.5*mad))) END AS u FROM {e}v v JOIN {e}c USING (station_id, leap, yday) JOIN {e}a USING (station_id, leap, yday)), "
         f"{e}n AS (SELECT station_id, leap, yday, CASE WHEN min(mad)=0 THEN avg(x) ELSE min(m)+sum((x-m)*power(1-u*u,2))/sum(power(1-u*u,2)) END AS mean, CASE WHEN min(mad)=0 THEN stddev_samp(x) ELSE sqrt(count(*)*sum(power(x-m,2)*power(1-u*u,4)))/abs(sum((1-u*u)*(1-5*u*u))) END AS sd FROM {e}u GROUP BY 1,2,3)"
     )
 
 
-_WIN = "win AS (SELECT leap, CAST(dayofyear(base) AS INT) AS yday, month(o)*100+day(o) AS md FROM (SELECT leap, base, CASE WHEN base + CAST(k AS INT) < y0 THEN base + CAST(k AS INT) + n WHEN base + CAST(k AS INT) > y1 THEN base + CAST(k AS INT) - n ELSE base + CAST(k AS INT) END AS o FROM (SELECT leap, CAST(unnest(generate_series(CAST(y0 AS TIMESTAMP), CAST(y1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS base, y0, y1, n FROM (VALUES (false, DATE '2003-01-01', DATE '2003-12-31', 365), (true, DATE '2004-01-01', DATE '2004-12-31', 366)) t(leap,y0,y1,n)) CROSS JOIN (SELECT unnest(generate_series(-7,7)) AS k)))"
+WIN = "win AS (SELECT leap, CAST(dayofyear(base) AS INT) AS yday, month(o)*100+day(o) AS md FROM (SELECT leap, base, CASE WHEN base + CAST(k AS INT) < y0 THEN base + CAST(k AS INT) + n WHEN base + CAST(k AS INT) > y1 THEN base + CAST(k AS INT) - n ELSE base + CAST(k AS INT) END AS o FROM (SELECT leap, CAST(unnest(generate_series(CAST(y0 AS TIMESTAMP), CAST(y1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS base, y0, y1, n FROM (VALUES (false, DATE '2003-01-01', DATE '2003-12-31', 365), (true, DATE '2004-01-01', DATE '2004-12-31', 366)) t(leap,y0,y1,n)) CROSS JOIN (SELECT unnest(generate_series(-7,7)) AS k)))"
 
 
-@query("qa_clim_outlier", _flag_sql(f"{_WIN}, {_norm_sql('tmin')}, {_norm_sql('tmax')}, k AS (SELECT d.station_id, d.obs_date, abs((d.tmin-a.mean)/nullif(a.sd,0)) >= 1.7 AS m0, abs((d.tmax-b.mean)/nullif(b.sd,0)) >= 1.7 AS m1 FROM dense d LEFT JOIN tminn a ON a.station_id=d.station_id AND a.leap=(dayofyear(make_date(year(d.obs_date),12,31))=366) AND a.yday=dayofyear(d.obs_date) LEFT JOIN tmaxn b ON b.station_id=d.station_id AND b.leap=(dayofyear(make_date(year(d.obs_date),12,31))=366) AND b.yday=dayofyear(d.obs_date))", "O"))
+@query("qa_clim_outlier", _flag_sql(f"{WIN}, {norm_sql('tmin')}, {norm_sql('tmax')}, k AS (SELECT d.station_id, d.obs_date, abs((d.tmin-a.mean)/nullif(a.sd,0)) >= 1.7 AS m0, abs((d.tmax-b.mean)/nullif(b.sd,0)) >= 1.7 AS m1 FROM dense d LEFT JOIN tminn a ON a.station_id=d.station_id AND a.leap=(dayofyear(make_date(year(d.obs_date),12,31))=366) AND a.yday=dayofyear(d.obs_date) LEFT JOIN tmaxn b ON b.station_id=d.station_id AND b.leap=(dayofyear(make_date(year(d.obs_date),12,31))=366) AND b.yday=dayofyear(d.obs_date))", "O"))
 def qa_clim_outlier(spark, d):
     return _flags(qa_temp.climate_outlier(qa_temp.prepare(dense(spark, d)), 1.7, 7, 40))
 
 
-@query("month_day_windows", f"WITH {_WIN} SELECT leap, yday, CAST(md AS INT) AS md FROM win")
+@query("month_day_windows", f"WITH {WIN} SELECT leap, yday, CAST(md AS INT) AS md FROM win")
 def month_day_windows(spark, d):
     return window_table(spark)
 
