@@ -115,16 +115,19 @@ def _norms(spark, d):
 
 @query("interp_normals")
 def interp_normals(spark, d):
+    """At one point a nation, in all months."""
     s, n = _norms(spark, d)
-    out = interp.interpolate_normals(_points(spark, d).where("point_id % 200 = 1"), s, n.where("month in (1, 7)"), 35, search_km=4000.0, strict=False)
+    k = F.col("n_nationkey")
+    at = read(spark, d, "nation").select(k.alias("point_id"), (F.lit(-118.0) + k * 2).alias("lon"), (F.lit(30.0) + k * 7 % 18).alias("lat"), (k * 40.0).alias("elev"))
+    out = interp.interpolate_normals(at, s, n, 35, search_km=4000.0, strict=False)
     return out.select("point_id", "month", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"))
 
 
 @query("loo_normals")
 def loo_normals(spark, d):
     s, n = _norms(spark, d)
-    loo = interp.leave_one_out(s, n.where("month = 1").withColumnRenamed("norm", "value"), 30, search_km=6000.0, strict=False)
-    return interp.validation(loo.unionByName(loo)).select("station_id", F.round("mae", 5).alias("mae"), F.round("bias", 5).alias("bias"))
+    loo = interp.leave_one_out(s, n.withColumnRenamed("norm", "value"), 30, search_km=6000.0, strict=False)
+    return interp.validation(loo).select("station_id", F.round("mae", 5).alias("mae"), F.round("bias", 5).alias("bias"))
 
 
 @query("crossed_fix_window", "WITH x AS (SELECT l_suppkey AS point_id, CAST(l_shipdate AS DATE) AS obs_date, min(l_quantity) AS tmin, max(l_quantity)+CASE WHEN l_suppkey%9=0 AND day(CAST(l_shipdate AS DATE))=1 THEN -60 ELSE 5 END AS tmax FROM lineitem GROUP BY 1,2,l_suppkey), y AS (SELECT *, avg(CASE WHEN tmin<tmax THEN tmax-tmin END) OVER (PARTITION BY point_id ORDER BY obs_date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS s FROM x) SELECT point_id, obs_date, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2-s/2 ELSE tmin END,6) AS tmin, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2+s/2 ELSE tmax END,6) AS tmax FROM y")

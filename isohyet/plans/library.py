@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isohyet.plans import gridding, network, registry, series  # noqa: F401
+from isohyet.plans import gridding, network, rain, records, registry, series  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

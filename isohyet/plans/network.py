@@ -28,13 +28,13 @@ def annulus_join(spark, d):
 
 
 _KNN = f"k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, station_id) AS rank FROM (SELECT a.c_custkey AS point_id, b.station_id, {_KM.replace('a.lat', 'a.lat').replace('a.lon', 'a.lon')} AS km FROM pt a, stn b)), knn AS (SELECT k.*, x.km AS bw FROM k JOIN k x ON x.point_id=k.point_id AND x.rank=11 WHERE k.rank <= 10)"
-_PT = "pt AS (SELECT c_custkey, CAST(-120 AS DOUBLE)+CAST((c_custkey*29)%500 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lon, CAST(28 AS DOUBLE)+CAST((c_custkey*53)%200 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lat, c_acctbal AS elev FROM customer WHERE c_custkey % 20 = 1)"
+_PT = "pt AS (SELECT c_custkey, CAST(-120 AS DOUBLE)+CAST((c_custkey*29)%500 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lon, CAST(28 AS DOUBLE)+CAST((c_custkey*53)%200 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lat, c_acctbal AS elev FROM customer)"
 
 
 def _points(spark, d):
-    """A twentieth of the customers stand for the points to interpolate to."""
+    """The customers stand for the points to interpolate to."""
     k = F.col("c_custkey")
-    return read(spark, d, "customer").where(k % 20 == 1).select(k.alias("point_id"), (F.lit(-120.0) + (k * 29 % 500).cast("double") * F.lit(0.1)).alias("lon"), (F.lit(28.0) + (k * 53 % 200).cast("double") * F.lit(0.1)).alias("lat"), F.col("c_acctbal").alias("elev"))
+    return read(spark, d, "customer").select(k.alias("point_id"), (F.lit(-120.0) + (k * 29 % 500).cast("double") * F.lit(0.1)).alias("lon"), (F.lit(28.0) + (k * 53 % 200).cast("double") * F.lit(0.1)).alias("lat"), F.col("c_acctbal").alias("elev"))
 
 
 @query("knn_bisquare", f"WITH {STN}, {_PT}, {_KNN} SELECT point_id, station_id, CAST(rank AS INT) AS rank, round(km,6) AS dist_km, round(power(1-power(km/bw,2),2),6) AS wgt FROM knn")
@@ -183,10 +183,10 @@ def cascade_match(spark, d):
     return st.cascade_match(a, b)
 
 
-@query("union_anti_semi", "WITH a AS (SELECT s_suppkey AS station_id FROM supplier WHERE s_suppkey%2=0), b AS (SELECT s_suppkey AS station_id FROM supplier WHERE s_suppkey%3=0) SELECT station_id, station_id IN (SELECT station_id FROM a) AND station_id IN (SELECT station_id FROM b) AS in_both, station_id NOT IN (SELECT station_id FROM b) AS only_a FROM (SELECT station_id FROM a UNION SELECT station_id FROM b)")
+@query("union_anti_semi", "WITH a AS (SELECT s_suppkey AS station_id FROM supplier WHERE s_acctbal < 6000), b AS (SELECT s_suppkey AS station_id FROM supplier WHERE s_acctbal > 2000) SELECT station_id, station_id IN (SELECT station_id FROM a) AND station_id IN (SELECT station_id FROM b) AS in_both, station_id NOT IN (SELECT station_id FROM b) AS only_a FROM (SELECT station_id FROM a UNION SELECT station_id FROM b)")
 def union_anti_semi(spark, d):
-    s = stations(spark, d).select("station_id")
-    a, b = s.where("station_id % 2 = 0"), s.where("station_id % 3 = 0")
+    s = stations(spark, d)
+    a, b = s.where("elev < 6000").select("station_id"), s.where("elev > 2000").select("station_id")
     both = st.within(a, b).withColumn("in_both", F.lit(True))
     only = st.without(a, b).withColumn("only_a", F.lit(True))
     return st.union_distinct([a, b]).join(both, "station_id", "left").join(only, "station_id", "left").select("station_id", F.coalesce("in_both", F.lit(False)).alias("in_both"), F.coalesce("only_a", F.lit(False)).alias("only_a"))
@@ -249,13 +249,13 @@ def em_mvn(spark, d):
 @query("ppca_infill")
 def ppca_infill(spark, d):
     x, pairs = _infill_rows(spark, d)
-    return infill.infill_stations(x.where("month(obs_date) in (1, 7)"), pairs).select("station_id", "obs_date", "infilled", "mae", "r2")
+    return infill.infill_stations(x, pairs).select("station_id", "obs_date", "infilled", "mae", "r2")
 
 
-@query("station_flags", f"WITH {STN} SELECT station_id, station_id%7=0 AS bad FROM stn")
+@query("station_flags", f"WITH {STN} SELECT station_id, elev < 0 AS bad FROM stn")
 def station_flags(spark, d):
     s = stations(spark, d)
-    return st.set_bad(s, s.where("station_id % 7 = 0").select("station_id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("station_id")))).select("station_id", "bad")
+    return st.set_bad(s, s.where("elev < 0").select("station_id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("station_id")))).select("station_id", "bad")
 
 
 @query("std_error_ci", "SELECT p_partkey, round(sqrt(greatest(p_retailprice-1200,0)),6) AS se, round(p_size-sqrt(greatest(p_retailprice-1200,0))*1.959964,6) AS low, round(p_size+sqrt(greatest(p_retailprice-1200,0))*1.959964,6) AS high FROM part")

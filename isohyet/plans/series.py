@@ -253,10 +253,10 @@ def qa_flag_merge(spark, d):
     return qa_temp.merge_flags(flags((F.col("tmin") > 15, "X"), (F.col("tmax") > 20, "G")), flags((F.col("tmin") > 22, "S"), (F.col("tmax") < -10, "S")))
 
 
-_PRCP = "rain AS (SELECT station_id, obs_date, greatest(tmin,0)+0.0 AS prcp FROM dense WHERE tmin IS NOT NULL)"
+_PRCP = "rain AS (SELECT station_id, obs_date, power(greatest(tmin,0),2)+0.0 AS prcp FROM dense WHERE tmin IS NOT NULL)"
 
 
-@query("prcp_gap", f"WITH {NAT}, {DENSE}, {_PRCP}, j AS (SELECT station_id, prcp, prcp - lag(prcp) OVER (PARTITION BY station_id ORDER BY prcp) AS j FROM rain WHERE prcp > 0), g AS (SELECT station_id, min(prcp) AS g FROM j WHERE j >= 2 GROUP BY 1) SELECT r.station_id, obs_date, prcp FROM rain r JOIN g USING (station_id) WHERE prcp >= g")
+@query("prcp_gap", f"WITH {NAT}, {DENSE}, {_PRCP}, j AS (SELECT station_id, prcp, prcp - lag(prcp) OVER (PARTITION BY station_id ORDER BY prcp) AS j FROM rain WHERE prcp > 0), g AS (SELECT station_id, min(prcp) AS g FROM j WHERE j >= 46 GROUP BY 1) SELECT r.station_id, obs_date, prcp FROM rain r JOIN g USING (station_id) WHERE prcp >= g")
 def prcp_gap(spark, d):
-    rain = dense(spark, d).where("tmin is not null").select("station_id", "obs_date", F.greatest(F.col("tmin"), F.lit(0.0)).alias("prcp"))
-    return qa_prcp.gap(qa_prcp.prepare(rain), 2.0).where("qflag = 'G'").select("station_id", "obs_date", F.col("raw").alias("prcp"))
+    rain = dense(spark, d).where("tmin is not null").select("station_id", "obs_date", F.pow(F.greatest(F.col("tmin"), F.lit(0.0)), 2).alias("prcp"))
+    return qa_prcp.gap(qa_prcp.prepare(rain), 46.0).where("qflag = 'G'").select("station_id", "obs_date", F.col("raw").alias("prcp"))
