@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,30 +77,37 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 2000) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), whole))
 
 
+def levels(cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> list[dict[str, float]]:
+    """Cutoffs of all rules together, from the most lenient level to the strictest: as
+    many levels as the longest list, the shorter ones spread over them."""
+    n = max(len(c) for c in cutoffs.values())
+    return [{r: float(c[i * len(c) // n]) for r, c in cutoffs.items()} for i in range(n)]
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, stratum: str = "lang") -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected): per stratum and rule the
-    strictest cutoff for which the labelled holdout shows that at most
-    alpha / number of rules of the good texts are rejected, so at most alpha by all
-    rules together, with probability 1 - delta over all strata and rules at once.
-
-    Exact binomial test of "the false rejection rate is above the limit" at level
-    delta / (strata * rules); the cutoffs of one rule are tested in their fixed
-    order, from lenient to strict, until the first one fails, which needs no
-    further correction. Counts are over all labelled rows (quality = 1) that pass
-    the base rules. Strata with too few labels, or null, get no cutoff: nothing
-    is rejected there. A doc_id labelled several times counts once, as good only if
-    no label says otherwise."""
-    rules = list(cutoffs)
+    """(stratum, rule, cutoff, n_good, n_rejected): per stratum the strictest level for
+    which the labelled holdout shows that at most alpha of the good texts are rejected
+    by any of the rules, with probability 1 - delta over all strata at once.
+
+    Exact binomial test of "the false rejection rate is above alpha" at level
+    delta / strata (Bonferroni); the levels of a stratum are tested in their fixed
+    order, from lenient to strict, until the first one fails, which needs no further
+    correction. Counts are over all labelled rows (quality = 1) that pass the base
+    rules. Strata with too few labels, or null, get no cutoff: nothing is rejected
+    there. A doc_id labelled several times counts once, as good only if no label says
+    otherwise."""
+    steps = levels(cutoffs)
     said = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = measured.where(~base_failed()).join(said.where("quality = 1"), "doc_id", "left_semi").where(F.col(stratum).isNotNull())
-    counts = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(cutoffs[r])]
-    per = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}").alias("n_rejected")) for r in rules for i, c in enumerate(cutoffs[r])])
+    beyond = lambda step: reduce(Column.__or__, [F.col(r) > c for r, c in step.items()])
+    per = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *[F.sum(beyond(x).cast("long")).alias(f"k{i}") for i, x in enumerate(steps)])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("n_rejected"), F.create_map(*[F.lit(y) for kv in x.items() for y in kv]).alias("cutoffs")) for i, x in enumerate(steps)])
     per = table(per.select("stratum", "n_good", F.explode(rows).alias("x")).select("stratum", "n_good", "x.*"), "holdout")
     strata = per.agg(F.count_distinct("stratum")).first()[0] or 1
-    tested = per.withColumn("passed", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha / len(rules)) <= F.lit(delta / (strata * len(rules))))
-    first_failed = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("passed"), F.col("i"))).alias("stop"))
-    return tested.join(first_failed, ["stratum", "rule"]).where("stop is null or i < stop").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.max("n_good").alias("n_good"), F.max_by("n_rejected", "i").alias("n_rejected"))
+    tested = per.withColumn("passed", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha) <= F.lit(delta / strata))
+    first_failed = tested.groupBy("stratum").agg(F.min(F.when(~F.col("passed"), F.col("i"))).alias("stop"))
+    last = tested.join(first_failed, "stratum").where("stop is null or i < stop").groupBy("stratum").agg(F.max_by(F.struct("cutoffs", "n_good", "n_rejected"), "i").alias("x"))
+    return last.select("stratum", F.explode("x.cutoffs").alias("rule", "cutoff"), "x.n_good", "x.n_rejected")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isohyet.llm.quality import CUTOFFS
+from isohyet.llm.quality import CUTOFFS, levels
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: node, component: the smallest node reachable over links(a, b), both ways listed.
@@ -42,9 +42,9 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN comp ON comp.node = t.doc_id
 
 def op10(alpha: float, delta: float) -> str:
     rules = list(CUTOFFS)
-    grid = ", ".join(f"('{r}', {i}, CAST({c} AS DOUBLE))" for r in rules for i, c in enumerate(CUTOFFS[r]))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in rules) + " END"
-    limit = f"CAST({alpha} AS DOUBLE) / {len(rules)}"
+    grid = ", ".join(f"({i}, {', '.join(f'CAST({c} AS DOUBLE)' for c in x.values())})" for i, x in enumerate(levels()))
+    broken = ", ".join(f"CASE WHEN g.{r} > c.{r} THEN '{r}' END" for r in rules)
+    limit = f"CAST({alpha} AS DOUBLE)"
     marks = "!?;:\"()[]{}=~^_@/\\"
     return rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
@@ -56,10 +56,10 @@ f AS (SELECT t.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(li
   length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(translate(t, '{marks}', '')) AS n_marks, coalesce(rep.n, 0) AS n_repeat_words FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id),
 g AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS symbol_share, coalesce((len(l) - len(list_distinct(l))) / nullif(CAST(len(l) AS DOUBLE), 0), 0) AS dup_line_share, coalesce(n_repeat_words / nullif(CAST(n_words AS DOUBLE), 0), 0) AS repeat_share, coalesce(n_upper / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS upper_share, coalesce(n_marks / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS mark_share FROM f),
 good AS (SELECT g.* FROM g JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL),
-c AS (SELECT * FROM (VALUES {grid}) x(rule, i, cutoff)),
-k AS (SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM good, c GROUP BY 1, 2, 3, 4),
-p AS (SELECT *, CASE WHEN k >= n * ({limit}) THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({limit}) + (n - j) * ln(1 - {limit})))) END <= CAST({delta} AS DOUBLE) / ({len(rules)} * (SELECT count(DISTINCT lang) FROM good)) AS ok FROM k),
-lim AS (SELECT lang AS stratum, p.rule, min(cutoff) AS cutoff FROM p JOIN (SELECT lang AS l2, rule AS r2, min(i) FILTER (NOT ok) AS stop FROM p GROUP BY 1, 2) s ON s.l2 = p.lang AND s.r2 = p.rule WHERE stop IS NULL OR i < stop GROUP BY 1, 2),
-rej AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({rules!r}, rule)) AS rejected_by FROM g JOIN lim ON lang = stratum WHERE {value} > cutoff GROUP BY 1)
-SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM g LEFT JOIN rej ON rej.doc_id = g.doc_id
+c AS (SELECT * FROM (VALUES {grid}) x(i, {', '.join(rules)})),
+k AS (SELECT lang, i, count(*) AS n, count(*) FILTER (list_count([{broken}]) > 0) AS k FROM good g, c GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN k >= n * {limit} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({limit}) + (n - j) * ln(1 - {limit})))) END <= CAST({delta} AS DOUBLE) / (SELECT count(DISTINCT lang) FROM good) AS ok FROM k),
+lim AS (SELECT p.lang AS stratum, max(i) AS i FROM p JOIN (SELECT lang AS l2, min(i) FILTER (NOT ok) AS stop FROM p GROUP BY 1) s ON s.l2 = p.lang WHERE stop IS NULL OR i < stop GROUP BY 1),
+r AS (SELECT g.*, array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') AS rejected_by FROM g LEFT JOIN lim ON g.lang = stratum LEFT JOIN c ON c.i = lim.i)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM r
 """

@@ -209,6 +209,35 @@ def test_quality_thresholds(spark):
     assert kept.columns == docs.columns and kept.count() == 2000
 
 
+def test_quality_levels_hold_all_rules_together(spark):
+    from math import comb
+
+    rng, n, alpha, delta = np.random.default_rng(3), 1500, 0.05, 0.05
+    values = {"x": rng.random(n) ** 6, "y": rng.random(n) ** 9}
+    cutoffs = {"x": (0.99, 0.95, 0.9, 0.8, 0.6), "y": (0.95, 0.7)}
+    steps = quality.levels(cutoffs)
+    assert [s["y"] for s in steps] == [0.95, 0.95, 0.95, 0.7, 0.7]
+    strata = ["a" if i < 1000 else "b" for i in range(n)]
+    rows = [(i, strata[i], 30, 0, float(values["x"][i]), float(values["y"][i])) for i in range(n)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, x double, y double")
+    labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(5, 1)], "doc_id long, quality int")
+    want = set()
+    for lang in "ab":
+        at = np.array([s == lang for s in strata])
+        chosen = None
+        for step in steps:
+            k = int((at & ((values["x"] > step["x"]) | (values["y"] > step["y"]))).sum())
+            m = int(at.sum())
+            if k >= m * alpha or sum(comb(m, i) * alpha**i * (1 - alpha) ** (m - i) for i in range(k + 1)) > delta / 2:
+                break
+            chosen = step, k
+        if chosen:
+            want |= {(lang, r, c, int(at.sum()), chosen[1]) for r, c in chosen[0].items()}
+    assert want
+    got = quality.thresholds(measured, labels, alpha, delta, cutoffs).collect()
+    assert {(r.stratum, r.rule, r.cutoff, r.n_good, r.n_rejected) for r in got} == want
+
+
 # -- near-duplicates ----------------------------------------------------------
 
 
