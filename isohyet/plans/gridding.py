@@ -115,11 +115,9 @@ def _norms(spark, d):
 
 @query("interp_normals")
 def interp_normals(spark, d):
-    """At one point a nation, in all months."""
+    """At all points, in all months."""
     s, n = _norms(spark, d)
-    k = F.col("n_nationkey")
-    at = read(spark, d, "nation").select(k.alias("point_id"), (F.lit(-118.0) + k * 2).alias("lon"), (F.lit(30.0) + k * 7 % 18).alias("lat"), (k * 40.0).alias("elev"))
-    out = interp.interpolate_normals(at, s, n, 35, search_km=4000.0, strict=False)
+    out = interp.interpolate_normals(_points(spark, d), s, n, 35, search_km=4000.0, strict=False)
     return out.select("point_id", "month", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"))
 
 

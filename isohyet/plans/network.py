@@ -78,7 +78,7 @@ def _smooth(spark, d):
     base = F.lit(15.0) * F.sin(day.cast("double") / 58.0) + (day * 7919 % 13).cast("double") / 4 + (F.col("station_id") % 5).cast("double")
     noise = ((day * 31 + F.col("station_id") * 17) % 7).cast("double") / 5
     odd = F.when((day * 13 + F.col("station_id") * 101) % 997 == 0, 25.0).otherwise(0.0)
-    x = densify(national(spark, d)).where("obs_date < date'1996-06-01'")
+    x = densify(national(spark, d))
     gone = (day * 5 + F.col("station_id") * 3) % 11 == 0
     return qa_temp.prepare(x.select("station_id", "obs_date", F.when(~gone, base + noise + odd).alias("tmin"), F.when(~gone, base + 8 + noise).alias("tmax")))
 
