@@ -37,8 +37,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and the digest of the text decoded from the ids."""
-    return bpe.encode(docs, vocabulary()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    """doc_id, ids, n_tokens, the digest of the text decoded from the ids, and
+    mix_rank, by which the rows are ordered: files read again come in any order, so
+    the mix is worked out again, which doc_id and source alone decide."""
+    mixed = mixing.in_order(mixing.mix(docs.select("doc_id", "source", "text")))
+    return bpe.encode(mixed, vocabulary(), ("mix_rank",)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "mix_rank")
 
 
 STAGES = [("quality rules", quality_stage), ("near-duplicates", near_duplicate_stage), ("personal data", pii_stage), ("mixing", mixing_stage), ("tokens", tokens_stage)]

@@ -196,7 +196,7 @@ def _codec(text: str) -> Codec:
     return Codec(text)
 
 
-def _runs(docs: DataFrame, vocabulary: str, make, fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+def _runs(docs: DataFrame, vocabulary: str, make, fields: list[tuple[str, pa.DataType]], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
     with open(vocabulary, encoding="utf-8") as f:  # some MB, whatever the documents
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -207,24 +207,25 @@ def _runs(docs: DataFrame, vocabulary: str, make, fields: list[tuple[str, pa.Dat
                 b = batch.slice(at, 500)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 columns = make(codec, texts)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)), *b.columns[2:]], ["doc_id", *(n for n, _ in fields), *carried])
 
-    kept = docs.select("doc_id", "text")
-    return map_arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {schema}")
+    kept = docs.select("doc_id", "text", *carried)
+    return map_arrow(kept, run, ", ".join([f"doc_id {kept.schema['doc_id'].dataType.simpleString()}", schema, *(f"{c} {kept.schema[c].dataType.simpleString()}" for c in carried)]))
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids (array<int>) and text, which is decoded from the ids, for every
     row of docs. vocabulary: path of a byte-level BPE file of the tokenizers
     library, read by the driver. Null or empty text: no ids and an empty text.
-    Strings of special tokens in a text become their ids. Rows are independent:
-    no shuffle; a worker remembers a bounded number of words."""
+    Strings of special tokens in a text become their ids. Rows are independent and
+    keep their order: no shuffle; a worker remembers a bounded number of words.
+    The columns carried come with their rows."""
 
     def make(codec, texts):
         ids = codec.encode(texts)
         return [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [codec.decode(i).decode() for i in ids]
 
-    return _runs(docs, vocabulary, make, [("ids", pa.list_(pa.int32())), ("text", pa.string())], "ids array<int>, text string")
+    return _runs(docs, vocabulary, make, [("ids", pa.list_(pa.int32())), ("text", pa.string())], "ids array<int>, text string", carried)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
