@@ -4,6 +4,7 @@ lookups, exact cosines."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,20 +118,29 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH)
     tables of the query's subspaces; no vector is passed over unless its approximate
     distance less its own coding error is beyond the radius; the rest is checked by
     the exact cosine. A pair counts for both if either finds the other. Lists are cut
-    in tiles of about TILE x TILE.
+    in tiles of about TILE x TILE. All this is done for each length of vectors by
+    itself (lengths are few): vectors of different lengths do not link.
 
-    Vectors without a direction (null, zero, null or non-finite components), without
-    vec_id, or not of the most frequent length link with nothing. A row whose vec_id
+    Vectors without a direction (null, empty, zero, null or non-finite components) or
+    without vec_id link with nothing. A row whose vec_id
     comes again is one of its class's copies. Empty input: an empty result."""
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding")
-    usable = rows.where("vec_id is not null and embedding is not null").withColumn("size", F.size("embedding"))
-    most = usable.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = most[0][0] if most else 0
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).withColumn("kept", F.lit(True))
-    if not size:
-        return alone
-    keyed = usable.where(F.col("size") == size).select("vec_id", F.xxhash64("embedding").alias("k1"), F.hash("embedding", F.lit(7)).alias("k2"), "embedding")
+    usable = rows.where("vec_id is not null and embedding is not null").withColumn("size", F.size("embedding")).where("size > 0")
+    # a vector alone of its length has nothing to link with
+    sizes = sorted(r[0] for r in usable.groupBy("size").count().where("count > 1").select("size").collect())
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).withColumn("kept", F.lit(True))
+    info = reduce(DataFrame.unionByName, [_linked(usable.where(F.col("size") == size), size, cosine, reach).withColumn("size", F.lit(size)) for size in sizes])
+    keys = rows.select("vec_id", F.size("embedding").alias("size"), F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("k1"), F.hash("embedding", F.lit(7)).alias("k2"))
+    out = keys.join(info, ["size", "k1", "k2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFrame:
+    """k1, k2 (hashes of the embedding), n links and component of the classes of
+    vectors of one length."""
+    spark = usable.sparkSession
+    keyed = usable.select("vec_id", F.xxhash64("embedding").alias("k1"), F.hash("embedding", F.lit(7)).alias("k2"), "embedding")
     classes = table(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     n = classes.count()
     step = max(1, -(-n // min(SAMPLE_ROWS, SAMPLE_NUMBERS // size)))
@@ -141,7 +151,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH)
     index = spark.sparkContext.broadcast(Index.fit(x[ok], int(np.clip(np.sqrt(n), 1, 16_384))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     within = reach * radius / np.sqrt(size)
-    ids = rows.schema["vec_id"].dataType.simpleString()
+    ids = usable.schema["vec_id"].dataType.simpleString()
 
     def code(batches):
         ix: Index = index.value
@@ -210,7 +220,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH)
     linked = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("a <> b").select("a", "b"))
     info = coded.select(F.col("id").alias("rep")).join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
-    info = table(classes.join(info, "rep").select("k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n"), "component"), "info")
-    keys = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & (F.size("embedding") == size), F.xxhash64("embedding")).alias("k1"), F.hash("embedding", F.lit(7)).alias("k2"))
-    out = keys.join(info, ["k1", "k2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return table(classes.join(info, "rep").select("k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n"), "component"), "info")
