@@ -12,9 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from isohyet.llm.common import pieces, word_hashes
 from isohyet.shipping import map_arrow
 
-#: Words remembered by one Python worker; when there are more, it starts anew.
+#: New words after which a Python worker forgets those not met since as many before.
 REMEMBERED = 400_000
 
 
@@ -26,6 +27,77 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Kinds of code points: letters, numbers, white space, others.
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: Bytes from which on a word is worked on by itself.
+LONG = 200
+#: A rank beyond all ranks.
+NEVER = np.int64(1 << 40)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def word_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of byte-level vocabularies begin in the code points of several
+    texts: '(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+
+    A word begins where the kind changes. Of white space before a word the last one
+    stands by itself, or, if it is a blank, goes with the word. An apostrophe that
+    begins a word takes the letters of a short form, and a word begins after them."""
+    kind = _kinds()[points]
+    text = np.zeros(len(points) + 1, bool)
+    text[offsets] = True
+    begin = text[:-1].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == SPACE) & begin[1:] & ~text[1:-1])
+    begin[last] = True
+    begin[last[points[last] == 32] + 1] = False
+    mark = np.flatnonzero((points == 39) & begin)
+    pad = np.concatenate([points, np.zeros(3, points.dtype)])
+    inside = lambda k: np.logical_and.reduce([~text[np.minimum(mark + j, len(points))] for j in range(1, k + 1)])
+    is_ = lambda k, letters: np.isin(pad[mark + k], [ord(c) for c in letters])
+    short = is_(1, "sdmt") & inside(1)
+    long = (is_(1, "l") & is_(2, "l") | is_(1, "vr") & is_(2, "e")) & inside(2)
+    begin[mark[short | long] + 1] = False
+    after = np.concatenate([mark[short] + 2, mark[long] + 3])
+    begin[after[after < len(points)]] = True
+    return np.flatnonzero(begin)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each different word, and which of them each word is. Words follow each
+    other without a gap. Hashes propose, the bytes decide."""
+    _, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[back]
+    same = (size == size[like]).all() and (data[starts[0] : ends[-1]] == data[np.repeat(starts[like] - starts, size) + np.arange(starts[0], ends[-1])]).all()
+    if not same:
+        seen: dict[bytes, int] = {}
+        raw = data.tobytes()
+        back = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        _, first = np.unique(back, return_index=True)
+    return first, back
+
+
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of places that follow each other (pairs of one token in a run) every second."""
+    first = np.append(True, np.diff(at) > 1)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - start) % 2 == 0]
+
+
+def _in_order(found: list[np.ndarray], owners: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.concatenate(owners)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=words)
+
+
 class Codec:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
@@ -59,20 +131,35 @@ class Codec:
         keys, orders = np.array(keys, np.int64), np.array(orders, np.int64)
         by = np.argsort(keys, kind="stable")
         self.keys, self.key_order, self.size = keys[by], orders[by], size
-        self.longest = max(map(len, self.id_of), default=1)
+        self.byte_ids = np.array([self.id_of[bytes([c])] for c in range(256)], np.int64)
+        made = {rank: i for rank, i in self.merge.values()}
+        self.made = np.array([made.get(r, -1) for r in range(len(pairs))], np.int64)
         self.piece_len = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)])[:-1]
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
-        self.split = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        # the words' bytes as a tree: edges node * 256 + byte, sorted, the nodes they lead to, and what ends there
+        nodes: dict[bytes, int] = {b"": 0}
+        edges = []
+        for w in sorted(self.id_of):
+            for n in range(1, len(w) + 1):
+                if w[:n] not in nodes:
+                    nodes[w[:n]] = len(nodes)
+                    edges.append((nodes[w[: n - 1]] * 256 + w[n - 1], nodes[w[:n]]))
+        edges = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        self.edges, self.to = edges[:, 0].copy(), edges[:, 1].copy()
+        self.ends_here = np.full(len(nodes), -1, np.int64)
+        for w, i in self.id_of.items():
+            self.ends_here[nodes[w]] = i
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.verified = self.merged = 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """When the pair (a, b) would be merged; beyond all ranks if never."""
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_order[at], np.int64(1 << 40))
+        return np.where(self.keys[at] == key, self.key_order[at], NEVER)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of each adjacent pair of tokens, whether BPE over their joined bytes gives
@@ -82,11 +169,11 @@ class Codec:
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
         a, b = a.copy(), b.copy()
-        until = np.full(len(a), np.int64(1 << 40))  # the merge that ended this moment
+        until = np.full(len(a), NEVER)  # the merge that ended this moment
         strict = np.zeros(len(a), bool)  # a merge of the same rank further left comes first
         while len(live):
             rank = self._rank(a, b)
-            bad = (rank < until) | (strict & (rank == until) & (rank < (1 << 40)))
+            bad = (rank < until) | (strict & (rank == until) & (rank < NEVER))
             ok[live[bad]] = False
             oa, ob = self.order[a], self.order[b]
             go = ~bad & ((oa >= 0) | (ob >= 0))
@@ -99,90 +186,176 @@ class Codec:
             a, b = np.where(later_a, self.right[a], a), np.where(later_a, b, self.left[b])
         return ok
 
-    def exact(self, word: bytes) -> list[int]:
-        """Merging by rank, leftmost first."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min(((self.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge), default=None)
-            if best is None:
-                break
-            pair = ids[best[1]], ids[best[1] + 1]
-            new, out, i = self.merge[pair][1], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def exact_long(self, word: bytes) -> list[int]:
-        """exact() for long words, with numpy: all places of the least rank at once."""
-        ids = np.array([self.id_of[bytes([c])] for c in range(256)], np.int64)[np.frombuffer(word, np.uint8)]
+    def exact(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merging by rank, leftmost first, of many words side by side: a round
+        merges each word's pairs of least rank. The tokens of all words, one word
+        after the other, and how many each has."""
+        found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        last = np.append(owner[1:] != owner[:-1], True)
+        rank = np.where(last, NEVER, self._rank(ids, np.append(ids[1:], 0)))
+        while len(ids):
+            start = np.flatnonzero(np.append(True, last[:-1]))
+            size = np.diff(np.append(start, len(ids)))
+            least = np.minimum.reduceat(rank, start)
+            over = least >= NEVER
+            if over.any():
+                gone = np.repeat(over, size)
+                found.append(ids[gone])
+                owners.append(owner[gone])
+                ids, owner, last, rank = ids[~gone], owner[~gone], last[~gone], rank[~gone]
+                least, size = least[~over], size[~over]
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            if not len(at):
+                continue
+            at = _every_other(at)
+            ids[at] = self.made[rank[at]]
+            last[at] |= last[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, last, rank = ids[keep], owner[keep], last[keep], rank[keep]
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            rank[near] = np.where(last[near], NEVER, self._rank(ids[near], ids[np.minimum(near + 1, len(ids) - 1)]))
+        return _in_order(found, owners, len(words))
+
+    def exact_long(self, word: bytes) -> np.ndarray:
+        """exact() for one long word: all places of the least rank at once."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
         while len(ids) > 1:
             rank = self._rank(ids[:-1], ids[1:])
             least = rank.min()
-            if least >= 1 << 40:
+            if least >= NEVER:
                 break
-            at = np.flatnonzero(rank == least)
-            if ids[at[0]] == ids[at[0] + 1]:  # of runs of one token, every other place
-                first = np.concatenate([[True], np.diff(at) > 1])
-                start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - start) % 2 == 0]
-            new = self.merge[int(ids[at[0]]), int(ids[at[0] + 1])][1]
-            ids[at] = new
+            at = _every_other(np.flatnonzero(rank == least))
+            ids[at] = self.made[least]
             ids = np.delete(ids, at + 1)
-        return ids.tolist()
-
-    def _propose(self, word: bytes) -> list[int]:
-        out, at, n, get = [], 0, len(word), self.id_of.get
-        while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
-                i = get(word[at:to])
-                if i is not None:
-                    out.append(i)
-                    break
-            at = to
-        return out
+        return ids
 
-    def learn(self, new: list[str]) -> None:
+    def _longest(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token that begins at each place and ends by its end."""
+        best = np.full(len(at), -1, np.int64)
+        live, node, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+        while len(live):
+            key = node * 256 + data[at[live] + depth]
+            i = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            ok = self.edges[i] == key
+            live, node, depth = live[ok], self.to[i[ok]], depth + 1
+            ends = self.ends_here[node]
+            best[live[ends >= 0]] = ends[ends >= 0]
+            more = at[live] + depth < end[live]
+            live, node = live[more], node[more]
+        return best
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The greedy longest-match tokens of each word, all words side by side, and
+        how many each has."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(sizes)
+        at, live = end - sizes, np.flatnonzero(sizes < LONG)
+        found, owners = [], []
+        while len(live):
+            t = self._longest(data, at[live], end[live])
+            found.append(t)
+            owners.append(live)
+            at[live] += self.piece_len[t]
+            live = live[at[live] < end[live]]
+        for w in np.flatnonzero(sizes >= LONG).tolist():
+            places = np.arange(at[w], end[w])
+            t = self._longest(data, places, np.full(len(places), end[w]))
+            step, chain, i = self.piece_len[t].tolist(), [], 0
+            while i < len(step):
+                chain.append(i)
+                i += step[i]
+            found.append(t[chain])
+            owners.append(np.full(len(chain), w))
+        return _in_order(found, owners, len(words))
+
+    def learn(self, new: list[bytes]) -> None:
         """Encode words not met so far and remember their ids' bytes."""
-        raws = [w.encode("utf-8", "surrogatepass") for w in new]
-        tokens = [self._propose(w) for w in raws]
-        sizes = np.array([len(t) for t in tokens])
-        flat = np.concatenate([np.array(t, np.int64) for t in tokens])
+        flat, sizes = self.propose(new)
         ends = np.cumsum(sizes)
         inner = np.ones(len(flat), bool)
         inner[ends - 1] = False  # no pair from one word to the next
         at = np.flatnonzero(inner)
-        bad = at[~self.compatible(flat[at], flat[at + 1])]
-        fails = np.unique(np.searchsorted(ends, bad, "right"))
-        for i in fails:
-            tokens[i] = self.exact(raws[i]) if len(raws[i]) < 200 else self.exact_long(raws[i])
+        ok = np.ones(len(new), bool)
+        ok[np.searchsorted(ends, at[~self.compatible(flat[at], flat[at + 1])], "right")] = False
+        fails = [w for w, good in zip(new, ok.tolist(), strict=True) if not good]
+        short, long = [w for w in fails if len(w) < LONG], [w for w in fails if len(w) >= LONG]
         self.verified += len(new) - len(fails)
         self.merged += len(fails)
-        for w, t in zip(new, tokens, strict=True):
-            self.known[w] = np.array(t, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
+        self._remember([w for w, good in zip(new, ok.tolist(), strict=True) if good], flat[np.repeat(ok, sizes)], sizes[ok])
+        if short:
+            self._remember(short, *self.exact(short))
+        for w in long:
+            self.known[w] = self.exact_long(w).astype("<u4").tobytes()
+
+    def _remember(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        ids, ends = flat.astype("<u4").tobytes(), np.cumsum(sizes) * 4
+        self.known.update((w, ids[a:b]) for w, a, b in zip(words, (ends - 4 * sizes).tolist(), ends.tolist(), strict=True))
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids' bytes of different words. What is remembered are the words of the
+        last two rounds of REMEMBERED new ones."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
-        for t in texts:
-            parts = self.special.split(t) if self.special else [t]
-            cut.append([(p, None) if i % 2 else (None, self.split(p)) for i, p in enumerate(parts) if p])
-        new = {w for c in cut for p, ws in c if ws for w in ws}.difference(self.known)
+            self.older, self.known = self.known, {}
+        new = []
+        for w in words:
+            if w not in self.known:
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                else:
+                    new.append(w)
         if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(np.uint32(self.added[p]).tobytes() if p is not None else b"".join(map(get, ws)) for p, ws in c) for c in cut]
+            self.learn(new)
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts, owner = [], []
+        marks: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(texts):
+            cut = self.special.split(t) if self.special else [t]
+            for j, p in enumerate(cut):
+                if j % 2:
+                    marks.setdefault(i, []).append((len(parts), self.added[p]))
+                elif p:
+                    parts.append(p)
+                    owner.append(i)
+        joined = "".join(parts)
+        raw = joined.encode()
+        if raw:
+            data = np.frombuffer(raw, np.uint8)
+            at = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])  # where code points begin
+            offsets = np.cumsum([0, *map(len, parts)])
+            first = word_starts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), offsets)
+            s, e = at[first], np.append(at[first[1:]], len(data))
+            of, back = distinct(data, s, e)
+            ids = self._ids_of([raw[a:b] for a, b in zip(s[of].tolist(), e[of].tolist(), strict=True)])
+            n = np.array([len(x) // 4 for x in ids])
+            flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
+            size = n[back]
+            ends = np.cumsum(size)
+            flat = flat[np.repeat(start[back] - (ends - size), size) + np.arange(ends[-1])]
+            to = np.append(0, ends)[np.append(np.searchsorted(first, offsets[:-1]), len(first))]
+        else:
+            flat, to = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = [flat[to[a] : to[b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i, own in marks.items():
+            x, last = [], bounds[i]
+            for k, m in own:
+                x += [flat[to[last] : to[k]], np.array([m], "<u4")]
+                last = k
+            out[i] = np.concatenate([*x, flat[to[last] : to[bounds[i + 1]]]])
+        return out
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text of the ids, special tokens included."""
-        i = np.frombuffer(ids, "<u4").astype(np.int64)
+        i = ids.astype(np.int64)
         size = self.piece_len[i]
         ends = np.cumsum(size)
         if not len(i) or not ends[-1]:
@@ -202,9 +375,8 @@ def _runs(docs: DataFrame, vocabulary: str, make, fields: list[tuple[str, pa.Dat
 
     def run(batches):
         codec = _codec(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+        for b in pieces(batches):
+            if b.num_rows:
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 columns = make(codec, texts)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)), *b.columns[2:]], ["doc_id", *(n for n, _ in fields), *carried])
@@ -223,7 +395,7 @@ def encode(docs: DataFrame, vocabulary: str, carried: tuple[str, ...] = ()) -> D
 
     def make(codec, texts):
         ids = codec.encode(texts)
-        return [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [codec.decode(i).decode() for i in ids]
+        return [i.astype(np.int32) for i in ids], [codec.decode(i).decode() for i in ids]
 
     return _runs(docs, vocabulary, make, [("ids", pa.list_(pa.int32())), ("text", pa.string())], "ids array<int>, text string", carried)
 
@@ -234,6 +406,6 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def make(codec, texts):
         ids = codec.encode(texts)
-        return [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
+        return [len(i) for i in ids], [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], [hashlib.sha256(codec.decode(i)).hexdigest() for i in ids]
 
     return _runs(docs, vocabulary, make, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from isohyet.llm import bpe, chat, langid, minhash, mixing, pii, quality
@@ -126,12 +127,40 @@ def test_bpe_pairs():
     words = [w for w in c.id_of if 2 <= len(w) <= 6]
     pick = [words[i] for i in r.integers(0, len(words), 3000)]
     a, b = np.array([c.id_of[w] for w in pick[::2]]), np.array([c.id_of[w] for w in pick[1::2]])
-    want = [c.exact(x + y) == [c.id_of[x], c.id_of[y]] for x, y in zip(pick[::2], pick[1::2])]
+    flat, sizes = c.exact([x + y for x, y in zip(pick[::2], pick[1::2])])
+    merged = np.split(flat, np.cumsum(sizes)[:-1])
+    want = [t.tolist() == [c.id_of[x], c.id_of[y]] for t, x, y in zip(merged, pick[::2], pick[1::2])]
     assert c.compatible(a, b).tolist() == want
     c.encode(["the quick brown fox " + "xyzzyq"])
     assert c.verified > 0
 
 
+def test_bpe_words_are_the_pattern():
+    split = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("  \n\t\x1c\x85\x27\x27sdmtlevrAé٣1!.　 "), int(r.integers(1, 30)))) for _ in range(20_000)]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    starts = bpe.word_starts(points, np.cumsum([0, *map(len, texts)]))
+    want = np.cumsum([0, *(len(w) for t in texts for w in split(t))])[:-1]
+    assert starts.tolist() == want.tolist()
+
+
+def test_bpe_long_words_and_hash_collisions(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    r = np.random.default_rng(9)
+    texts = ["".join(r.choice(list("aeinst"), 20_000)), "x" * 5001, "", *("".join(r.choice(list("aeinst "), 500)) for _ in range(60))]
+    c = bpe.Codec(open(vocabulary(), encoding="utf-8").read())
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in c.encode(texts)] == want
+    narrow = bpe.word_hashes
+    monkeypatch.setattr(bpe, "word_hashes", lambda *a: narrow(*a) & np.uint64(255))
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    for _ in range(3):
+        assert [x.tolist() for x in c.encode(texts)] == want
+
+
 # -- personal data ------------------------------------------------------------
 
 
