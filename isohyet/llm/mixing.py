@@ -9,85 +9,166 @@ from pyspark.sql import functions as F
 
 from isohyet.llm.common import table
 
-#: Rows of a source are numbered in so many ranges of their hash, each by itself.
-RANGES = 4096
-#: Sources that a mix may have: the schedule of one period is kept in one row.
-MOST_SOURCES = 10_000
+#: Digits of a hash by which a source's rows are numbered in ranges, each by itself.
+HEX_DIGITS = 3
+#: Slots of a window, the unit in which the schedule is worked out.
+SLOTS = 256
+#: Blocks of one source that are listed from one row.
+LISTED = 4096
+#: Bits of a weight that is given as a fraction.
+BITS = 40
+
+_JOB = "struct<deadline:bigint,less:bigint,src:string,job:bigint,release:bigint>"
 
 
 def _source(docs: DataFrame) -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def schedule(sizes: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, period: int = 1000) -> DataFrame:
-    """(src, share, hyper, job, slot, release, deadline): one period of the mix.
-
-    sizes: (src, n). Target weight of a source: weights[src] (0 or missing: as for
-    the least weight given), else n to the power of temperature. Weights become
-    whole shares of about `period` slots by largest remainder, at least 1 each;
-    hyper is their sum. Job j of a source with weight w = share / hyper has the
-    release floor((j - 1) / w) and the deadline ceil(j / w); in every slot the
-    released job with the earliest deadline runs (ties: the larger share, then the
-    name). The weights add up to 1, so every slot has a job and all deadlines are
-    met: at any time a source is less than one block away from its weight. The
-    schedule repeats after a period, so later blocks need no more work."""
-    if weights:
-        least = min(w for w in weights.values() if w > 0)
-        given = F.coalesce(*[F.when(F.col("src") == k, F.lit(float(w))) for k, w in weights.items() if w > 0], F.lit(float(least)))
-    else:
-        given = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    one = sizes.select("src", given.alias("w")).groupBy().agg(F.array_sort(F.collect_list(F.struct("src", "w"))).alias("s"))
-    fold = lambda a, f: F.aggregate(a, F.lit(0.0), lambda x, y: x + f(y))
-    one = one.where(F.size("s") > 0).withColumn("total", fold("s", lambda x: x["w"]))
-    exact = lambda x: x["w"] / F.col("total") * period
-    one = one.withColumn("short", F.array_sort(F.transform("s", lambda x, i: F.struct((F.floor(exact(x)) - exact(x)).alias("r"), i.alias("i")))))
-    one = one.withColumn("extra", F.transform(F.slice("short", F.lit(1), (F.lit(period) - F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.floor(exact(x)))).cast("int")), lambda x: x["i"]))
-    one = one.select("s", F.transform("s", lambda x, i: F.greatest(F.lit(1).cast("long"), F.floor(exact(x)) + F.array_contains("extra", i).cast("long"))).alias("a"))
-    one = one.withColumn("h", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y))
-    # edf: the next job of each source, and what ran so far
-    release = lambda j, a: F.floor((j - 1) * F.col("h") / a)
-    deadline = lambda j, a: F.ceil(j * F.col("h") / a)
-    ready = lambda jobs, t: F.array_min(F.transform(jobs, lambda j, i: F.when(release(j, F.get("a", i)) <= t, F.struct(deadline(j, F.get("a", i)).alias("d"), (-F.get("a", i)).alias("a"), i.alias("i"), j.alias("j")))))
-    run = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("h") - 1),
-        F.struct(F.transform("a", lambda _: F.lit(1).cast("long")).alias("jobs"), F.expr("cast(array() as array<struct<d:bigint,a:bigint,i:int,j:bigint>>)").alias("ran")),
-        lambda acc, t: F.transform(F.array(F.struct(acc["jobs"].alias("jobs"), acc["ran"].alias("ran"), ready(acc["jobs"], t).alias("x"))), lambda z: F.struct(F.transform(z["jobs"], lambda j, i: F.when(i == z["x"]["i"], j + 1).otherwise(j)).alias("jobs"), F.concat(z["ran"], F.array(z["x"])).alias("ran")))[0],
-    )
-    rows = one.select("s", "a", "h", F.posexplode(run["ran"]).alias("slot", "x"))
-    return rows.select(F.get("s", F.col("x.i"))["src"].alias("src"), F.get("a", F.col("x.i")).alias("share"), F.col("h").alias("hyper"), F.col("x.j").alias("job"), F.col("slot").cast("long").alias("slot"), release(F.col("x.j"), F.get("a", F.col("x.i"))).alias("release"), F.col("x.d").alias("deadline"))
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, period: int = 1000, block: int = 16) -> DataFrame:
+def weighted(sizes: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
+    """sizes (src, n) with w, the target weight as a whole number of which only the
+    ratios count: whole weights as they are given, fractions in steps of 2 ** -BITS
+    of the largest; a source with none, or 0, has the least one given. Without
+    weights the floor of n ** temperature * 2 ** 20."""
+    if not weights:
+        return sizes.withColumn("w", F.greatest(F.lit(1).cast("long"), F.floor(F.pow(F.col("n").cast("double"), F.lit(temperature)) * (1 << 20))))
+    given = {k: w for k, w in weights.items() if w > 0}
+    if not all(float(w).is_integer() for w in given.values()):
+        top = max(given.values())
+        given = {k: max(1, round(w / top * (1 << BITS))) for k, w in given.items()}
+    known = sizes.sparkSession.createDataFrame([(k, int(w)) for k, w in given.items()], "src string, w long")
+    return sizes.join(F.broadcast(known), "src", "left").withColumn("w", F.coalesce("w", F.lit(int(min(given.values()))).cast("long")))
+
+
+def _times(total: int) -> tuple[Column, Column]:
+    """Release and deadline of job j of a source with weight w out of total."""
+    d = lambda c: c.cast("decimal(38,0)")
+    w, j = d(F.col("w")), d(F.col("job"))
+    whole = F.lit(total).cast("decimal(38,0)")
+    less = d(F.col("w") - 1)
+    return F.call_function("div", (j - 1).cast("decimal(19,0)") * whole, w), F.call_function("div", (j.cast("decimal(19,0)") * whole + less).cast("decimal(38,0)"), w)
+
+
+def _run(windows: DataFrame, slots: int) -> DataFrame:
+    """k, ran (job and slot) and left (jobs, sorted) of windows (k, jobs). A job runs
+    in the first slot from its release on that no job with an earlier deadline has
+    taken: what earliest deadline first gives. Of the jobs released by the start no
+    more can run than there are slots; the others are passed on as they are."""
+    at = F.col("k") * slots
+    start = F.struct(F.sequence(F.lit(0), F.lit(slots - 1)).alias("free"), F.expr("cast(array() as array<int>)").alias("at"))
+
+    def place(acc, x):
+        first = F.get(F.filter(acc["free"], lambda f: f >= (x["release"] - at).cast("int")), F.lit(0))
+        return F.struct(F.when(first.isNull(), acc["free"]).otherwise(F.array_remove(acc["free"], first)).alias("free"), F.concat(acc["at"], F.array(F.coalesce(first, F.lit(-1)))).alias("at"))
+
+    early = F.array_sort(F.filter("jobs", lambda x: x["release"] <= at))
+    split = windows.select("k", early.alias("early"), F.filter("jobs", lambda x: x["release"] > at).alias("late"))
+    split = split.select("k", F.array_sort(F.concat(F.slice("early", 1, slots), "late")).alias("jobs"), F.slice("early", slots + 1, 2**31 - 1).alias("rest"))
+    # zipped before it is looked through, so that the fold is done once
+    done = split.select("k", "rest", F.arrays_zip("jobs", F.aggregate("jobs", start, place, lambda a: a["at"]).alias("at")).alias("b"))
+    ran = F.transform(F.filter("b", lambda b: b["at"] >= 0), lambda b: F.struct(b["jobs"].alias("x"), (at + b["at"]).alias("slot")))
+    return done.select("k", ran.alias("ran"), F.array_sort(F.concat("rest", F.transform(F.filter("b", lambda b: b["at"] < 0), lambda b: b["jobs"]))).alias("left"))
+
+
+def _waiting(fresh: DataFrame, slots: int) -> DataFrame:
+    """k, waiting: how many released jobs have not run when window k starts, whatever
+    their order, as a slot is idle only when none waits. The most jobs less slots since
+    any slot before; one row a window goes through the running sums."""
+    at = fresh.select("k", F.explode("new").alias("x")).groupBy("k", (F.col("x.release") - F.col("k") * slots).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("at")) - F.col("n")
+    per = at.withColumn("low", F.when(F.col("at") > 0, before - F.col("at"))).groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+    last = fresh.agg(F.max("k")).first()[0]
+    every = fresh.sparkSession.range(last + 2).withColumnRenamed("id", "k").join(per, "k", "left")
+    gain = F.coalesce("n", F.lit(0)) - slots
+    every = every.withColumn("gain", gain).withColumn("high", F.col("gain") - F.least(F.col("gain"), F.col("low")))
+    past = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("sum", F.coalesce(F.sum("gain").over(past), F.lit(0)))
+    peak = F.max(F.col("high") - F.col("sum") - F.col("gain")).over(past)
+    return every.select("k", (F.col("sum") + F.greatest(F.lit(0), F.coalesce(peak, F.lit(0)))).alias("waiting"))
+
+
+def schedule(sizes: DataFrame, block: int = 16, slots: int = SLOTS) -> DataFrame:
+    """(src, job, release, deadline, slot): when each block of each source runs.
+
+    sizes: (src, n, w), n rows in blocks of `block`. With the weights' sum W, job j has
+    the release floor((j - 1) * W / w) and the deadline ceil(j * W / w), in exact
+    integers; in every slot the released job with the earliest deadline runs (ties: the
+    larger weight, then the name). The weights' shares add up to 1, so all deadlines are
+    met: at any slot a source that has not run out is less than one block away from its
+    weight.
+
+    The slots are cut in windows, each worked out by itself from the jobs that are still
+    left at its start. How many these are follows from the releases alone (_waiting);
+    which, is guessed first: of the jobs whose time spans the start, those with the
+    latest deadlines. Then windows whose guess is not what the window before leaves are
+    worked out again from that, until none differs. This is exactly the schedule from
+    the first slot on, and needs a round or two."""
+    sizes = table(sizes.where("n > 0").withColumn("last", F.ceil(F.col("n") / block)), "weights")
+    total = sizes.agg(F.sum(F.col("w").cast("decimal(38,0)"))).first()[0]
+    spark = sizes.sparkSession
+    if total is None:
+        return spark.createDataFrame([], "src string, job long, release long, deadline long, slot long")
+    release, deadline = _times(int(total))
+    one = F.struct("deadline", (-F.col("w")).alias("less"), "src", "job", "release").alias("x")
+    lists = sizes.select("src", "w", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / LISTED))).alias("c"))
+    jobs = lists.repartition("src", "c").select("src", "w", F.explode(F.sequence(F.col("c") * LISTED + 1, F.least("last", (F.col("c") + 1) * LISTED))).alias("job")).withColumns({"release": release, "deadline": deadline})
+    fresh = table(jobs.select(F.floor(F.col("release") / slots).alias("k"), one).groupBy("k").agg(F.collect_list("x").alias("new")), "jobs")
+    # the jobs whose time spans the start of window k
+    ends = sizes.withColumn("job", F.col("last")).withColumn("k1", F.floor((deadline - 1) / slots))
+    over = ends.select("src", "w", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k1"))).alias("k")).where("k > 0")
+    whole = F.lit(total).cast("decimal(38,0)")
+    share = (F.col("w").cast("decimal(38,0)") * (F.col("k") * slots).cast("decimal(19,0)")).cast("decimal(38,0)")
+    over = over.withColumn("job", F.call_function("div", share, whole) + 1).where((share % whole != 0) & (F.col("job") <= F.col("last"))).withColumns({"release": release, "deadline": deadline})
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("deadline"), "w", F.desc("src")))
+    over = over.withColumn("nth", nth).join(_waiting(fresh, slots), "k").where("nth <= waiting")
+    held = table(over.groupBy("k").agg(F.array_sort(F.collect_list(one)).alias("held")), "held")
+    none = F.expr(f"cast(array() as array<{_JOB}>)")
+    merge = lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))
+    windows = fresh.join(held, "k", "full")
+    done = table(_run(windows.select("k", merge(F.col("held"), F.col("new")).alias("jobs")), slots), "windows")
+    while True:
+        handed = done.where(F.size("left") > 0).select((F.col("k") + 1).alias("k"), F.col("left").alias("given"))
+        check = handed.join(held, "k", "full").where(~F.coalesce("given", none).eqNullSafe(F.coalesce("held", none)))
+        wrong = table(check.select("k", F.coalesce("given", none).alias("given")), "wrong")
+        if wrong.isEmpty():
+            break
+        again = _run(wrong.join(fresh, "k", "left").select("k", merge(F.col("given"), F.col("new")).alias("jobs")), slots)
+        keys = wrong.select("k", F.lit(True).alias("_w"))
+        held = table(held.join(keys, "k", "left_anti").unionByName(wrong.select("k", F.col("given").alias("held"))), "held")
+        done = table(done.join(keys, "k", "left_anti").unionByName(again), "windows")
+    return done.select(F.explode("ran").alias("r")).select("r.x.src", "r.x.job", "r.x.release", "r.x.deadline", "r.slot")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block: int = 16) -> DataFrame:
     """docs with the columns mix_block, mix_release, mix_deadline, mix_slot (all in
     blocks) and mix_rank, by which the mix is read; no row is dropped or repeated.
 
     A source's rows are dealt in blocks of `block` in the order of a hash of doc_id
-    (ties: doc_id; repeated rows follow each other in no fixed order). Up to the
-    slot at which the first source runs out, any number of whole blocks from the
-    start holds each source to within one block of its weight; then the others go
-    on, in the same relation to each other. Null source counts as ''. At most
-    MOST_SOURCES sources. Rows of a source, however many, are numbered in RANGES
-    ranges of the hash and shifted by the counts of the ranges below."""
+    (ties: doc_id; repeated rows follow each other in no fixed order). Up to the slot
+    at which the first source runs out, any number of whole blocks from the start holds
+    each source to less than one block from its weight; then the others go on at their
+    own times. Null source counts as ''. Sources may be any number; rows of one,
+    however many, are numbered in ranges of the hash and shifted by the counts of the
+    ranges below. Empty docs: an empty result."""
     kept = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank")]
-    h = F.xxhash64(F.col("doc_id").cast("string"))
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _source(docs).alias("src"), h.alias("h"), F.col("doc_id").alias("id"))
-    rows = rows.withColumn("k", F.shiftrightunsigned("h", 64 - RANGES.bit_length() + 1).cast("int"))
-    counts = table(rows.groupBy("src", "k").agg(F.count(F.lit(1)).alias("n")), "counts")
-    sizes = table(counts.groupBy("src").agg(F.sum("n").alias("n")), "sizes")
-    if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    plan = table(schedule(sizes, weights, temperature, period), "schedule")  # period rows, or one a source
-    per = counts.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("c"))
-    below = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<k:int,below:bigint>>)").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["k"].alias("k"), a["at"].alias("below")))).alias("out")))
-    starts = table(per.select("src", F.explode(below["out"]).alias("x")).select("src", "x.k", "x.below"), "starts")
-    shift = F.shiftrightunsigned("h", 0)  # signed order within a range is the order of the hash
-    nth = F.row_number().over(Window.partitionBy("src", "k").orderBy(shift, "id")) - 1
-    rows = rows.withColumn("nth", nth).join(starts, ["src", "k"]).withColumn("nth", F.col("nth") + F.col("below"))
-    shares = F.broadcast(plan.groupBy("src").agg(F.first("share").alias("share"), F.first("hyper").alias("hyper")))
-    rows = rows.join(shares, "src").withColumn("b", F.floor(F.col("nth") / block)).withColumn("round", F.floor(F.col("b") / F.col("share"))).withColumn("job", F.col("b") % F.col("share") + 1)
-    rows = rows.join(F.broadcast(plan.drop("share", "hyper")), ["src", "job"])
-    base = F.col("round") * F.col("hyper")
-    return rows.select("row.*", F.col("b").alias("mix_block"), (base + F.col("release")).alias("mix_release"), (base + F.col("deadline")).alias("mix_deadline"), (base + F.col("slot")).alias("mix_slot"), ((base + F.col("slot")) * block + F.col("nth") % block).alias("mix_rank"))
+    rows = rows.withColumn("range", F.substring("h", 1, HEX_DIGITS))
+    counts = table(rows.groupBy("src", "range").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sizes = weighted(counts.groupBy("src").agg(F.sum("n").alias("n")), weights, temperature)
+    plan = table(schedule(sizes, block).withColumn("slots", F.struct("slot", "release", "deadline")), "schedule")
+    # of each range the first row's number and the slots of its blocks; a source has at most 16 ** HEX_DIGITS ranges
+    per = counts.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("range", "n"))).alias("c"))
+    below = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<range:string,below:bigint,n:bigint>>)").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["range"].alias("range"), a["at"].alias("below"), x["n"].alias("n")))).alias("out")))
+    starts = table(per.select("src", F.explode(below["out"]).alias("x")).select("src", "x.range", "x.below", "x.n"), "starts")
+    block_of = lambda c: F.floor(c / block)
+    wanted = starts.select("src", "range", F.explode(F.sequence(block_of(F.col("below")), block_of(F.col("below") + F.col("n") - 1))).alias("b")).withColumn("job", F.col("b") + 1)
+    slots = wanted.join(plan, ["src", "job"]).groupBy("src", "range").agg(F.array_sort(F.collect_list(F.struct("b", "slots"))).alias("blocks"))
+    starts = table(starts.drop("n").join(slots, ["src", "range"]), "ranges")
+    nth = F.row_number().over(Window.partitionBy("src", "range").orderBy("h", "id")) - 1
+    rows = rows.withColumn("nth", nth).join(starts, ["src", "range"]).withColumn("nth", F.col("nth") + F.col("below")).withColumn("b", block_of(F.col("nth")))
+    rows = rows.withColumn("s", F.get("blocks", (F.col("b") - block_of(F.col("below"))).cast("int"))["slots"])
+    return rows.select("row.*", F.col("b").alias("mix_block"), F.col("s.release").alias("mix_release"), F.col("s.deadline").alias("mix_deadline"), F.col("s.slot").alias("mix_slot"), (F.col("s.slot") * block + F.col("nth") % block).alias("mix_rank"))
 
 
 def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:

@@ -102,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_embeddings": sql.OP4, "op7_substring": sql.OP7, "op8_minhash": sql.OP8, "op10_quality": sql.op10(ALPHA, DELTA)}
+    return {"op1_chat_formatting": OP1_SQL, "op3_mixing": sql.OP3, "op4_embeddings": sql.OP4, "op7_substring": sql.OP7, "op8_minhash": sql.OP8, "op10_quality": sql.op10(ALPHA, DELTA)}

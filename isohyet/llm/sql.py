@@ -8,6 +8,20 @@ _SPACE = r"[\x20\x09-\x0D]+"
 #: node, component: the smallest node reachable over links(a, b), both ways listed.
 _REACH = "reach AS (SELECT a AS node, least(a, min(b)) AS c FROM links GROUP BY a UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.node WHERE r.c < l.b), comp AS (SELECT node, min(c) AS component FROM reach GROUP BY node)"
 
+#: The schedule slot by slot: next holds each source's next job, x the one that runs.
+OP3 = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS nth FROM documents),
+z AS (SELECT src, CAST(ceil(count(*) / 16.0) AS BIGINT) AS b, CAST(greatest(1, floor(pow(CAST(count(*) AS DOUBLE), 0.5) * 1048576)) AS HUGEINT) AS w FROM d GROUP BY 1),
+a AS (SELECT list(src ORDER BY src) AS src, list(b ORDER BY src) AS b, list(w ORDER BY src) AS w, sum(w) AS total, count(*) AS n FROM z),
+s AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(range(n), lambda i: CAST(1 AS BIGINT)) AS next, NULL::STRUCT(deadline BIGINT, less HUGEINT, src VARCHAR, i BIGINT, job BIGINT, release BIGINT) AS x, CAST(list_sum(b) AS BIGINT) AS todo FROM a
+  UNION ALL
+  SELECT t, list_transform(range(1, n + 1), lambda i: next[i] + CASE WHEN i = x.i THEN 1 ELSE 0 END), x, todo - CASE WHEN x IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT s.t + 1 AS t, next, todo, n, list_min(list_filter(list_transform(range(1, n + 1), lambda i: CASE WHEN next[i] <= a.b[i] AND (next[i] - 1) * total // a.w[i] <= s.t + 1 THEN {deadline: CAST((next[i] * total + a.w[i] - 1) // a.w[i] AS BIGINT), less: -a.w[i], src: a.src[i], i: i, job: next[i], release: CAST((next[i] - 1) * total // a.w[i] AS BIGINT)} END), lambda y: y IS NOT NULL)) AS x FROM s, a WHERE todo > 0))
+SELECT doc_id, source, CAST(x.job - 1 AS BIGINT) AS mix_block, x.release AS mix_release, x.deadline AS mix_deadline, t AS mix_slot, t * 16 + nth % 16 AS mix_rank
+FROM d JOIN s ON x.src = d.src AND x.job = nth // 16 + 1
+"""
+
 OP4 = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

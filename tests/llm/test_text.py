@@ -1,6 +1,7 @@
 """Text operators against brute force, with nulls, empty texts, ties and extra columns."""
 
 import hashlib
+import heapq
 import re
 from collections import Counter
 
@@ -80,21 +81,65 @@ def test_parse_matches_brute_force():
 # -- mixing -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
-def test_mix_deviation(spark, weights):
+def earliest_deadlines(sizes, weights, block):
+    """(source, job): (release, deadline, slot), one slot after the other."""
+    total, jobs = sum(weights.values()), []
+    for s, n in sizes.items():
+        jobs += [((j - 1) * total // weights[s], -(-j * total // weights[s]), -weights[s], s, j) for j in range(1, -(-n // block) + 1)]
+    jobs.sort()
+    ready, out, t, i = [], {}, 0, 0
+    while ready or i < len(jobs):
+        while i < len(jobs) and jobs[i][0] <= t:
+            heapq.heappush(ready, (*jobs[i][1:], jobs[i][0]))
+            i += 1
+        if ready:
+            d, _, s, j, r = heapq.heappop(ready)
+            out[s, j] = (r, d, t)
+        t += 1
+    return out
+
+
+MANY = {f"s{i:04d}": 9 + (i * 7919) % 40 for i in range(3000)}
+
+
+@pytest.mark.parametrize(
+    "sizes, weights",
+    [
+        ({"a": 400, "b": 300, "c": 100}, None),
+        ({"a": 4000, "b": 8000}, {"a": 1, "b": 2}),
+        ({"a": 900, "b": 500, "c": 333}, {"a": 0.5, "b": 0.3, "c": 0.2}),
+        ({"big": 25_000} | {f"s{i}": 40 for i in range(500)}, {"big": 500} | {f"s{i}": 1 for i in range(500)}),
+        (MANY, None),
+    ],
+)
+def test_schedule_is_earliest_deadline_first(spark, sizes, weights):
+    block = 4
+    n = spark.createDataFrame(list(sizes.items()), "src string, n long")
+    w = mixing.weighted(n, weights)
+    exact = {r.src: r.w for r in w.collect()}
+    got = {(r.src, r.job): (r.release, r.deadline, r.slot) for r in mixing.schedule(w, block, 64).collect()}
+    assert got == earliest_deadlines(sizes, exact, block)
+    total, slots = sum(exact.values()), sorted((slot, s) for (s, _), (_, _, slot) in got.items())
+    ends = {}
+    for slot, s in slots:
+        ends[s] = slot
+    seen = Counter()
+    for t, (slot, s) in enumerate(slots[: min(ends.values())], 1):  # until the first source runs out
+        assert slot == t - 1
+        seen[s] += 1
+        for x in exact if len(exact) < 10 or t % 97 == 0 else (s,):
+            assert abs(seen[x] * total - t * exact[x]) < total  # less than one block
+
+
+def test_mix_deals_blocks(spark):
     sources = {i: "a" if i < 400 else "b" if i < 700 else "c" for i in range(800)}
     docs = docs_of(spark, ["t"] * 800, sources=sources)
-    rows = sorted(mixing.mix(docs, weights, block=4, period=100).collect(), key=lambda r: r.mix_rank)
+    rows = sorted(mixing.mix(docs, {"a": 0.5, "b": 0.3, "c": 0.2}, block=4).collect(), key=lambda r: r.mix_rank)
     assert sorted(r.doc_id for r in rows) == list(range(800)) and len({r.mix_rank for r in rows}) == 800
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
-    slots = {r.mix_slot: r.source for r in rows}
-    n = Counter(sources.values())
-    w = weights or {s: n[s] ** 0.5 / sum(x**0.5 for x in n.values()) for s in n}
-    last = min(max(t for t, s in slots.items() if s == x) for x in w)
-    seen = Counter()
-    for t in range(last + 1):
-        seen[slots[t]] += 1
-        assert all(abs(seen[s] - (t + 1) * w[s]) < 1.05 + (t + 1) * 0.01 for s in w)  # 0.01: shares are of 100 slots
+    w = mixing.weighted(spark.createDataFrame([("a", 400), ("b", 300), ("c", 100)], "src string, n long"), {"a": 0.5, "b": 0.3, "c": 0.2})
+    want = earliest_deadlines(Counter(sources.values()), {r.src: r.w for r in w.collect()}, 4)
+    assert all(want[r.source, r.mix_block + 1] == (r.mix_release, r.mix_deadline, r.mix_slot) for r in rows)
+    assert Counter((r.source, r.mix_block) for r in rows) == Counter((s, j - 1) for s, j in want for _ in range(4))
 
 
 def test_mix_odd_rows(spark):
