@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +12,6 @@ from isohyet.shipping import map_arrow
 
 WORDS = 5
 BANDS, ROWS = 20, 5  # a pair at 0.85 is missed with probability (1 - 0.85 ** 5) ** 20 = 8e-6, at 0.8 3.5e-4
-UNIVERSE_BITS = 20
 #: Documents of one side of a tile of pairs.
 TILE = 128
 
@@ -22,12 +19,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(1)
-def _circulant(k: int) -> np.ndarray:
-    """Row i holds the second permutation at i, i + 1, ... i + k - 1 (it is circular):
-    all k coordinates of an element that the first permutation sends to i."""
-    order = np.random.default_rng(97).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: k - 1]]), k)
+def _second(x: np.ndarray) -> np.ndarray:
+    """The second permutation, of all 32-bit numbers; works in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def text_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -50,9 +49,11 @@ def text_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray, k: int) -> np.ndarray:
-    """The k circulant coordinates of a set that is not empty."""
-    rows, first = _circulant(k), (mix(s + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
-    return np.min([rows[first[i : i + 2048]].min(0) for i in range(0, len(first), 2048)], 0)
+    """The k circulant coordinates of a set that is not empty: the first permutation
+    puts the elements on a circle of 2 ** 32 places; coordinate i is the least of the
+    second one, shifted by i places."""
+    place, shift = (mix(s + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32), np.arange(k, dtype=np.uint32)
+    return np.min([_second(place[i : i + 1024, None] + shift).min(0) for i in range(0, len(place), 1024)], 0)
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -120,10 +121,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm_tiles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between members (bucket, rep, label) of one bucket with different labels:
-    every such pair is tested. A bucket is cut in blocks of TILE; a task takes a pair
-    of blocks and returns no more links than join what it found apart."""
-    ranked = members.withColumn("nb", F.ceil(F.count(F.lit(1)).over(_bucket()) / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    """Links between members (bucket, rep, label, n) of one bucket with different labels:
+    every such pair is tested. A bucket of n is cut in blocks of TILE; a task takes a
+    pair of blocks and returns no more links than join what it found apart."""
+    ranked = members.withColumn("nb", F.ceil(F.col("n") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     mates = F.sequence(F.lit(0), F.col("nb") - 1)
     rows = ranked.select("bucket", "rep", "label", "block", F.explode(mates).alias("mate")).select("bucket", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), (F.col("block") > F.col("mate")).cast("int").alias("side"), "rep", "label")
     rows = rows.join(texts, F.col("rep") == F.col("id")).drop("id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "rep")
@@ -180,12 +181,6 @@ def confirm_tiles(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return map_arrow(rows, run, f"a {kind}, b {kind}")
 
 
-def _bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket")
-
-
 def _ends(by: Column | str) -> list[Column]:
     return [F.min(by).alias("lo"), F.max(by).alias("hi")]
 
@@ -226,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
         if rest.isEmpty():
             break
         if last:
-            more = confirm_tiles(rest.select("bucket", "rep", "label"), texts, percent)
+            more = confirm_tiles(rest.select("bucket", "rep", "label", "n"), texts, percent)
         else:
             top = table(rest.where("rep = hi").select("bucket", F.col("label").alias("top")), "top")
             more = confirm(table(rest.where("rep <> hi").join(top, "bucket").where("label <> top").select(F.col("hi").alias("a"), F.col("rep").alias("b")).distinct(), "pairs"), texts, percent)

@@ -25,7 +25,8 @@ TILE = 1024
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([((c * c).sum(1) - 2 * x[i : i + 8192] @ c.T).argmin(1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    step = max(1, (4 << 20) // len(c))  # distances of 32 MB at once
+    return np.concatenate([((c * c).sum(1) - 2 * x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -83,8 +84,12 @@ def units(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
             ok[i] = True
     ok &= np.isfinite(out).all(1) & (np.abs(out).max(1, initial=0) > 0)
     out[~ok] = 1
-    out /= np.abs(out).max(1, keepdims=True)  # no over- or underflow in the squares
-    return out / np.sqrt((out * out).sum(1, keepdims=True)), ok
+    return _unit(out), ok
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # no over- or underflow in the squares
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +157,8 @@ def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFr
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     within = reach * radius / np.sqrt(size)
     ids = usable.schema["vec_id"].dataType.simpleString()
+    # vectors are sent as they come, and made units again where they arrive
+    stored = np.float32 if usable.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def code(batches):
         ix: Index = index.value
@@ -160,12 +167,13 @@ def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFr
                 b = whole.slice(at, 2048)
                 x, ok = units(b.column(2), size)
                 take, x = np.flatnonzero(ok), x[ok]
+                raw = b.column(2).take(pa.array(take)).flatten().to_numpy(zero_copy_only=False).astype(stored).reshape(-1, size)
                 home, near = ix.probes(x, within)
                 codes, error = ix.encode(x - ix.centres[home])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "copies", "vec", "home", "codes", "error", "probes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "copies", "vec", "home", "codes", "error", "probes"])
 
     first = keyed.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"])
-    coded = table(map_arrow(first.select("vec_id", "copies", F.col("embedding").cast("array<double>").alias("embedding")).repartition(64, "vec_id"), code, f"id {ids}, copies long, vec binary, home int, codes binary, error double, probes array<int>"), "coded")
+    coded = table(map_arrow(first.select("vec_id", "copies", "embedding").repartition(64, "vec_id"), code, f"id {ids}, copies long, vec binary, home int, codes binary, error double, probes array<int>"), "coded")
     # one row a list, as many as centres
     here = coded.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("m"))
     asked = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("q"))
@@ -185,7 +193,7 @@ def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFr
             cut = int((side == 0).sum())
             id_ = t.column("id").to_numpy()
             copies, home = t.column("copies").to_numpy(), t.column("home").to_numpy()
-            vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(-1, size)
+            vec = _unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), stored).reshape(-1, size).astype(np.float64))
             here = int(t.column("list")[0].as_py())
             codes = np.frombuffer(b"".join(t.column("codes").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1)
             limit = ((radius + t.column("error").to_numpy()[:cut]) ** 2 + 1e-4).astype(np.float32)

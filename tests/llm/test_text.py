@@ -64,18 +64,41 @@ def test_language_held_out(spark):
     assert langid.identify(docs.limit(0), samples).count() == 0
 
 
-def test_parse_matches_brute_force():
-    train, text = b"abracadabra abra", b"abra cad zabra bra"
-    m = langid.Models({"x": train})
-    at = phrases = 0
+def phrases(train, text):
+    at = n = 0
     while at < len(text):
-        n = 0
-        while at + n < len(text) and text[at : at + n + 1] in train:
-            n += 1
-        at += max(n, 1)
-        phrases += 1
-    got = m.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    assert got[0, 0] == phrases
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in train:
+            size += 1
+        at += max(size, 1)
+        n += 1
+    return n
+
+
+def test_parse_matches_brute_force():
+    r = np.random.default_rng(4)
+    trains = {"x": b"abracadabra abra", "y": bytes(r.choice(list(b"abcd "), 300).tolist()), "z": b"ab" * 40}
+    texts = [b"abra cad zabra bra", b"", b"q", bytes(r.choice(list(b"abcdr "), 10_000).tolist()), b"ab" * 3000, b"abc" * 200, b"a" * 256, b"a" * 257, bytes(r.choice(list(b"abx"), 511).tolist()), bytes(r.choice(list(b"abx"), 513).tolist())]
+    m = langid.Models(trains)
+    got = m.phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert got.tolist() == [[phrases(trains[n], t) for n in m.names] for t in texts]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    letters = [chr(c) for c in range(97, 123)]
+    words = {f"l{i:02d}": ["".join(r.choice(letters, 6)) for _ in range(8)] for i in range(70)}
+    texts, langs = [], {}
+    for i in range(280):
+        langs[i] = f"l{i % 70:02d}"
+        texts.append(" ".join(r.choice(words[langs[i]], 20)))
+    docs = docs_of(spark, texts, langs)
+    samples = langid.sample(docs.where("doc_id < 210").union(docs.where("doc_id < 70")))
+    assert len(samples) == 70
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, samples).collect()}
+    assert all(got[i] == langs[i] for i in range(210, 280))
+    monkeypatch.setattr(langid, "GROUP", 200)
+    assert {x.doc_id: x.lang_pred for x in langid.identify(docs, samples).collect()} == got
 
 
 # -- mixing -------------------------------------------------------------------
@@ -367,7 +390,7 @@ def test_near_duplicates_odd_rows(spark):
 def test_tiles_find_all_links(spark):
     texts = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(1, 61)), " ".join(f"x{i}" for i in range(60))]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    members = spark.createDataFrame([(9, i, i) for i in range(3)], "bucket long, rep long, label long")
+    members = spark.createDataFrame([(9, i, i, 3) for i in range(3)], "bucket long, rep long, label long, n long")
     assert [tuple(sorted((x.a, x.b))) for x in minhash.confirm_tiles(members, frame, 85).collect()] == [(0, 1)]
 
 
