@@ -7,7 +7,7 @@ works with numpy on arrays; Spark deals the rows by their part."""
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, with_texts, word_hashes, words
+from isohyet.llm.common import _OTHER, _VALUE, BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, with_texts, word_hashes, words
 from isohyet.shipping import map_arrow
 
 #: Words of a window, and of a block. A window holds a whole block of its document
@@ -26,9 +26,21 @@ WINDOW, BLOCK = 20, 10
 CHUNK = 8 << 20
 
 
+#: Bytes of text a part of the hashes is made for, and the most shuffle partitions
+#: that the parts are dealt to; a task takes one part after the other.
+PART, PARTITIONS = 16 << 20, 4096
+
+
 def parts_of(df: DataFrame) -> int:
-    """Into how many parts hashes are dealt: Spark's shuffle partitions, 64 at least."""
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Into how many parts hashes are dealt: by the bytes of all texts, 64 at least."""
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(64, -(-size // PART))
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows by their part, each part in one piece of one partition."""
+    n = min(parts, PARTITIONS)
+    return rows.repartitionById(n, (F.col("part") % n).cast("int")).sortWithinPartitions("part")
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -50,8 +62,23 @@ def _groups_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, start, np.diff(np.append(start, len(s)))
 
 
-PROBES = "part int, chunk long, key binary, low binary, blocks binary, sure binary, ids array<bigint>, firsts array<int>"
-_PROBES = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("low", pa.binary()), ("blocks", pa.binary()), ("sure", pa.binary()), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
+def _runs(h: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_groups_of 128-bit values, whose halves are h and other."""
+    order, start, count = _groups_of(h)
+    if other is None or not len(h):
+        return order, start, count
+    a, b = h[order], other[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # one half is equal, the other is not
+        order = np.lexsort((other, h))
+        a, b = h[order], other[order]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        count = np.diff(np.append(start, len(a)))
+    return order, start, count
+
+
+PROBES = "part int, chunk long, key binary, other binary, low binary, blocks binary, sure binary, ids array<bigint>, firsts array<int>"
+_PROBES = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()), ("other", pa.binary()), ("low", pa.binary()), ("blocks", pa.binary()), ("sure", pa.binary()), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -59,43 +86,45 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def settle_hits(probes: DataFrame, parts: int, wide: bool = False) -> DataFrame:
-    """(doc_id, hits) from what chunks have sent: a place is a hit if its number (32
-    bits, or 64 if wide, the lowest set for a block) came at least twice, once as a
-    block, or if the chunk was sure. Places are counted from their document's first."""
+    """(doc_id, hits) from what chunks have sent: a place is a hit if its number came
+    at least twice, or if the chunk was sure. Numbers have 32 bits, the lowest set for a
+    block, which one of the two must be; or, if wide, 128 bits, and all are alike.
+    Places are counted from their document's first."""
     kind = np.uint64 if wide else np.uint32
     one = kind(1)
 
     def match(batches):
-        chunks, keys, at = [], [], []
         schema = pa.schema([("chunk", pa.int64()), ("hits", pa.binary()), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
-        for b in batches:
-            rows = []
-            for chunk, key, low, blocks, sure, ids, firsts in zip(*(b.column(i).to_pylist() for i in range(1, 8)), strict=True):
+        for g in groups(batches, 1):
+            chunks, keys, others, at, rows = [], [], [], [], []
+            for chunk, key, other, low, blocks, sure, ids, firsts in zip(*(g.column(i).to_pylist() for i in range(1, 9)), strict=True):
                 if key is None:
                     rows.append((chunk, sure, ids, firsts))
                     continue
                 n = np.frombuffer(blocks, np.uint32)
                 chunks.append(chunk)
                 keys.append(np.frombuffer(key, kind))
+                others.append(np.frombuffer(other or b"", np.uint64))
                 at.append(np.frombuffer(low, np.uint16).astype(np.uint32) + (np.repeat(np.arange(len(n), dtype=np.uint32), n) << np.uint32(16)))
             yield _rows(schema, rows)
-        if not keys:
-            return
-        s = np.sort(np.concatenate(keys))
-        start = np.flatnonzero(np.concatenate([[True], (s[1:] ^ s[:-1]) > 1]))
-        last = np.append(start[1:], len(s)) - 1
-        live = s[start[(last > start) & ((s[last] & one) == 1)]] >> one  # twice or more, once as a block
-        if not len(live):
-            return
-        for k in range(0, len(chunks), 256):
-            rows = []
-            for chunk, key, where in zip(chunks[k : k + 256], keys[k : k + 256], at[k : k + 256], strict=True):
-                key = key >> one
-                i = np.minimum(np.searchsorted(live, key), len(live) - 1)
-                hit = where[live[i] == key]
-                if len(hit):
-                    rows.append((chunk, hit.tobytes(), None, None))
-            yield _rows(schema, rows)
+            if not keys:
+                continue
+            if wide:
+                order, start, count = _runs(np.concatenate(keys), np.concatenate(others))
+                hits = np.zeros(len(order), bool)
+                hits[order[np.repeat(count > 1, count)]] = True
+                hits = np.split(hits, np.cumsum([len(k) for k in keys])[:-1])
+            else:
+                s = np.sort(np.concatenate(keys))
+                start = np.flatnonzero(np.concatenate([[True], (s[1:] ^ s[:-1]) > 1]))
+                last = np.append(start[1:], len(s)) - 1
+                live = s[start[(last > start) & ((s[last] & one) == 1)]] >> one  # twice or more, once as a block
+                if not len(live):
+                    continue
+                hits = (live[np.minimum(np.searchsorted(live, key >> one), len(live) - 1)] == key >> one for key in keys)
+            found = ((chunk, where[hit].tobytes(), None, None) for chunk, where, hit in zip(chunks, at, hits, strict=True) if hit.any())
+            while rows := list(islice(found, 256)):
+                yield _rows(schema, rows)
 
     def gather(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("hits", pa.binary())])
@@ -108,16 +137,17 @@ def settle_hits(probes: DataFrame, parts: int, wide: bool = False) -> DataFrame:
             out = [(h - firsts[d]).astype(np.uint32).tobytes() for d, h in zip(there, np.split(hits, at[1:]), strict=True)] if len(hits) else []
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(there)), pa.array(out, pa.binary())], schema=schema)
 
-    found = map_arrow(probes.repartitionById(parts, "part"), match, "chunk long, hits binary, ids array<bigint>, firsts array<int>")
-    found = map_arrow(found.repartition(parts, "chunk").sortWithinPartitions("chunk"), gather, "doc_id long, hits binary")
+    found = map_arrow(dealt(probes, parts), match, "chunk long, hits binary, ids array<bigint>, firsts array<int>")
+    found = map_arrow(found.repartition(min(parts, PARTITIONS), "chunk").sortWithinPartitions("chunk"), gather, "doc_id long, hits binary")
     return table(found, "hits").dropDuplicates(["doc_id"])
 
 
-def sent(h: np.ndarray, pos: np.ndarray, block: np.ndarray, chunk: int, parts: int, ids: list, first: np.ndarray, wide: bool = False) -> pa.RecordBatch:
-    """The rows of a chunk for settle_hits: of each place its 64-bit hash, where it is
-    in the chunk, and whether it is a block. What comes twice in the chunk, once as a
-    block, is sure; one of it goes on for the others."""
-    order, start, count = _groups_of(h)
+def sent(h: np.ndarray, pos: np.ndarray, block: np.ndarray, chunk: int, parts: int, ids: list, first: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+    """The rows of a chunk for settle_hits: of each place its 64-bit hash (with other,
+    the second half of a 128-bit one), where it is in the chunk, and whether it is a
+    block. What comes twice in the chunk, once as a block, is sure; one of it goes on
+    for the others."""
+    order, start, count = _runs(h, other)
     has = np.logical_or.reduceat(block[order], start) if len(start) else np.zeros(0, bool)
     sure = np.repeat((count > 1) & has, count)  # in the order
     send = ~sure
@@ -126,15 +156,14 @@ def sent(h: np.ndarray, pos: np.ndarray, block: np.ndarray, chunk: int, parts: i
     kept, marks = order[send], mark[send]
     back = np.argsort(kept, kind="stable")
     kept, marks = kept[back], marks[back]
-    key = (h[kept] & np.uint64(0xFFFFFFFFFFFFFFFE)) | marks.astype(np.uint64)
-    key = key if wide else key.astype(np.uint32)
+    key = h[kept] if other is not None else ((h[kept] & np.uint64(0xFFFFFFFFFFFFFFFE)) | marks.astype(np.uint64)).astype(np.uint32)
     by, there, spans = _by_part(_part(h[kept], parts))
     rows = []
     for p, (a, z) in zip(there.tolist(), spans, strict=True):
         at = pos[kept[by[a:z]]]
         blocks = np.bincount(at >> 16, minlength=1).astype(np.uint32)
-        rows.append((p, chunk, key[by[a:z]].tobytes(), at.astype(np.uint16).tobytes(), blocks.tobytes(), None, None, None))
-    rows.append((chunk % parts, chunk, None, None, None, np.sort(pos[order[sure]]).astype(np.uint32).tobytes(), ids, first.astype(np.int32)))
+        rows.append((p, chunk, key[by[a:z]].tobytes(), other[kept[by[a:z]]].tobytes() if other is not None else None, at.astype(np.uint16).tobytes(), blocks.tobytes(), None, None, None))
+    rows.append((chunk % parts, chunk, None, None, None, None, np.sort(pos[order[sure]]).astype(np.uint32).tobytes(), ids, first.astype(np.int32)))
     return _rows(_PROBES, rows)
 
 
@@ -180,7 +209,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
     joined = with_texts(docs, hits)
 
     def extend(batches):
-        schema = pa.schema([("part", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("hash", pa.binary()), ("other", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
         task = TaskContext.get().partitionId()
         for nth, b in enumerate(pieces(batches, most=CHUNK)):
             b = b.take(pa.compute.sort_indices(b.column(0)))
@@ -195,18 +224,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
             np.add.at(step, np.maximum(at - (window - block), doc_first), 1)
             np.add.at(step, at + 1, -1)
             near = np.cumsum(step[: len(owner)]) > 0
-            g = shingles(word_hashes(data, starts, ends), window)
+            g, g2 = (shingles(word_hashes(data, starts, ends, v), window) for v in (_VALUE, _OTHER))
             pos = np.flatnonzero(near[: len(g)] & (owner[: len(g)] == owner[window - 1 :]))
-            h, ids = g[pos], b.column(0).to_numpy()
+            h, other, ids = g[pos], g2[pos], b.column(0).to_numpy()
             doc, start = ids[owner[pos]], (pos - first[owner[pos]]).astype(np.uint32)
-            order, run, count = _groups_of(h)  # documents are in order, so the first of a run is the earliest
+            order, run, count = _runs(h, other)  # documents are in order, so the first of a run is the earliest
             lead = order[run]
             head = np.repeat(lead, count)
             later = (doc[order] > doc[head]) | (start[order] > start[head])
             rest = order[later]
             by, there, spans = _by_part(_part(h[lead], parts))
-            rows = [(p, h[lead[by[a:z]]].tobytes(), doc[lead[by[a:z]]].tobytes(), start[lead[by[a:z]]].tobytes()) for p, (a, z) in zip(there.tolist(), spans, strict=True)]
-            rows.append(((task + nth) % parts, None, doc[rest].tobytes(), start[rest].tobytes()))
+            rows = [(p, h[lead[by[a:z]]].tobytes(), other[lead[by[a:z]]].tobytes(), doc[lead[by[a:z]]].tobytes(), start[lead[by[a:z]]].tobytes()) for p, (a, z) in zip(there.tolist(), spans, strict=True)]
+            rows.append(((task + nth) % parts, None, None, doc[rest].tobytes(), start[rest].tobytes()))
             yield _rows(schema, rows)
 
     out = pa.schema([("part", pa.int32()), ("doc", pa.binary()), ("start", pa.binary())])
@@ -216,21 +245,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
         return _rows(out, [(p, doc[by[a:z]].tobytes(), start[by[a:z]].tobytes()) for p, (a, z) in zip(there.tolist(), spans, strict=True)])
 
     def settle(batches):
-        held = []
-        for b in batches:
-            for h, d, s in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for g in groups(batches, 1):
+            held = []
+            for h, o, d, s in zip(*(g.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 if h is None:
                     yield deal(np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32))
                 else:
-                    held.append((h, d, s))
-        if held:
-            h, d, s = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.int64, np.uint32), strict=True))
-            order = np.lexsort((s, d, h))
-            h, d, s = h[order], d[order], s[order]
-            run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            head = np.repeat(run, np.diff(np.append(run, len(h))))
-            later = (d > d[head]) | (s > s[head])
-            yield deal(d[later], s[later])
+                    held.append((h, o, d, s))
+            if held:
+                h, o, d, s = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.uint64, np.int64, np.uint32), strict=True))
+                order = np.lexsort((s, d, o, h))
+                h, o, d, s = h[order], o[order], d[order], s[order]
+                run = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
+                head = np.repeat(run, np.diff(np.append(run, len(h))))
+                later = (d > d[head]) | (s > s[head])
+                yield deal(d[later], s[later])
 
     def gather(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
@@ -241,9 +270,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
             there, at = np.unique(d, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([x.tobytes() for x in np.split(s, at[1:])] if len(s) else [], pa.binary())], schema=schema)
 
-    found = map_arrow(joined.select("doc_id", "text", "hits"), extend, "part int, hash binary, doc binary, start binary")
-    told = map_arrow(found.repartitionById(parts, "part"), settle, "part int, doc binary, start binary")
-    return table(map_arrow(told.repartition(parts, "part").sortWithinPartitions("part"), gather, "doc_id long, starts binary"), "windows")
+    found = map_arrow(joined.select("doc_id", "text", "hits"), extend, "part int, hash binary, other binary, doc binary, start binary")
+    told = map_arrow(dealt(found, parts), settle, "part int, doc binary, start binary")
+    return table(map_arrow(dealt(told, parts), gather, "doc_id long, starts binary"), "windows")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, digest: bool = False) -> DataFrame:
@@ -251,7 +280,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, dige
     every row of docs: each word covered by a repeated window goes, the others are
     joined by one space.
 
-    Words are [^\\x20\\x09-\\x0D]+, unchanged; windows are compared by 64-bit hashes.
+    Words are [^\\x20\\x09-\\x0D]+, unchanged; windows are compared by 128-bit hashes.
     Null or empty text: no words. Rows of one doc_id should have one text; they are
     the same place, so none is a repeat of the other. A null doc_id is neither
     compared nor changed. Other columns are ignored."""

@@ -107,6 +107,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 _rng = np.random.default_rng(20240917)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: The values of a second hash beside the first, where both together decide.
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
@@ -177,7 +179,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
     """A 64-bit hash of each word's bytes; works through blocks of a megabyte."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
@@ -186,7 +188,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         hi = int(ends[to - 1])
         power, inverse = _powers(max(_BLOCK, hi - lo) + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_VALUE[data[lo:hi]] * power[: hi - lo], out=total[1:])
+        np.cumsum(values[data[lo:hi]] * power[: hi - lo], out=total[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         at = to

@@ -158,9 +158,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     sizes = weighted(counts.groupBy("src").agg(F.sum("n").alias("n")), weights, temperature)
     plan = table(schedule(sizes, block).withColumn("slots", F.struct("slot", "release", "deadline")), "schedule")
     # of each range the first row's number and the slots of its blocks; a source has at most 16 ** HEX_DIGITS ranges
-    per = counts.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("range", "n"))).alias("c"))
-    below = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<range:string,below:bigint,n:bigint>>)").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["range"].alias("range"), a["at"].alias("below"), x["n"].alias("n")))).alias("out")))
-    starts = table(per.select("src", F.explode(below["out"]).alias("x")).select("src", "x.range", "x.below", "x.n"), "starts")
+    before = F.sum("n").over(Window.partitionBy("src").orderBy("range")) - F.col("n")
+    starts = table(counts.withColumn("below", before), "starts")
     block_of = lambda c: F.floor(c / block)
     wanted = starts.select("src", "range", F.explode(F.sequence(block_of(F.col("below")), block_of(F.col("below") + F.col("n") - 1))).alias("b")).withColumn("job", F.col("b") + 1)
     slots = wanted.join(plan, ["src", "job"]).groupBy("src", "range").agg(F.array_sort(F.collect_list(F.struct("b", "slots"))).alias("blocks"))

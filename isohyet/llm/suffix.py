@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.anchors import PROBES, _by_part, _part, _rows, parts_of, sent, settle_hits
-from isohyet.llm.common import _VALUE, _powers, groups, mix, pieces, small, table, text_bytes, with_texts
+from isohyet.llm.anchors import PARTITIONS, PROBES, _by_part, _part, _rows, dealt, parts_of, sent, settle_hits
+from isohyet.llm.common import _OTHER, _VALUE, _powers, groups, mix, pieces, small, table, text_bytes, with_texts
 from isohyet.shipping import map_arrow
 
 LENGTH, BLOCK = 400, 32
@@ -36,10 +36,10 @@ _META = np.dtype([("a", "<u4"), ("lo", "<u4"), ("hi", "<u4"), ("key", "<u8"), ("
 class Hashes:
     """64-bit hashes of any substrings of some bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = _VALUE):
         power, self.inverse = _powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * power[: len(data)], out=self.total[1:])
+        np.cumsum(values[data] * power[: len(data)], out=self.total[1:])
 
     def of(self, at: np.ndarray, length) -> np.ndarray:
         return mix((self.total[at + length] - self.total[at]) * self.inverse[at] + np.asarray(length, np.uint64))
@@ -222,19 +222,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     told = pa.schema([("chunk", pa.int64()), ("full", pa.binary()), ("open", pa.binary()), ("ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
 
     def merge(batches):
-        chunks, shards = [], []
-        for b in batches:
-            rows = []
-            for chunk, symbols, meta, sure, ids, firsts in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
+        for g in groups(batches, 1):
+            chunks, shards, rows = [], [], []
+            for chunk, symbols, meta, sure, ids, firsts in zip(*(g.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 if symbols is None:
                     rows.append((chunk, sure, b"", ids, firsts))
                 else:
                     chunks.append(chunk)
                     shards.append((np.frombuffer(symbols, np.uint64), np.frombuffer(meta, _META)))
             yield _rows(told, rows)
-        if shards:
-            found = repeated_parts(shards, inner, outer)
-            yield _rows(told, [(c, full.tobytes(), open_.tobytes(), None, None) for c, (full, open_) in zip(chunks, found, strict=True) if len(full) or len(open_)])
+            if shards:
+                found = repeated_parts(shards, inner, outer)
+                yield _rows(told, [(c, full.tobytes(), open_.tobytes(), None, None) for c, (full, open_) in zip(chunks, found, strict=True) if len(full) or len(open_)])
 
     def gather(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("ranges", pa.binary()), ("open", pa.binary())])
@@ -253,8 +252,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
             yield pa.RecordBatch.from_arrays([pa.array(ids[docs_], pa.int64()), *(pa.array([o.get(d, b"") for d in docs_], pa.binary()) for o in out)], schema=schema)
 
     found = map_arrow(with_texts(docs, hits).select("doc_id", "text", "hits"), strings, "part int, chunk long, symbols binary, meta binary, sure binary, ids array<bigint>, firsts array<int>")
-    found = map_arrow(found.repartitionById(parts, "part"), merge, "chunk long, full binary, open binary, ids array<bigint>, firsts array<int>")
-    ranges = map_arrow(found.repartition(parts, "chunk").sortWithinPartitions("chunk"), gather, "doc_id long, ranges binary, open binary")
+    found = map_arrow(dealt(found, parts), merge, "chunk long, full binary, open binary, ids array<bigint>, firsts array<int>")
+    ranges = map_arrow(found.repartition(min(parts, PARTITIONS), "chunk").sortWithinPartitions("chunk"), gather, "doc_id long, ranges binary, open binary")
     ranges = table(table(ranges, "ranges").dropDuplicates(["doc_id"]), "range-documents")
 
     def ends(batches):
@@ -265,7 +264,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
             p = np.concatenate(p) + np.repeat(offsets[:-1], [len(x) for x in p])[:, None]
             n = p[:, 1] - p[:, 0] + 1
             s = np.unique(np.repeat(p[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-            yield sent(Hashes(data).of(s, length), s, np.ones(len(s), bool), (task << 32) | nth, parts, b.column(0).to_pylist(), offsets[:-1], wide=True)
+            yield sent(Hashes(data).of(s, length), s, np.ones(len(s), bool), (task << 32) | nth, parts, b.column(0).to_pylist(), offsets[:-1], Hashes(data, _OTHER).of(s, length))
 
     open_ = table(ranges.where(F.length("open") > 0).select("doc_id", "open"), "open")
     starts = settle_hits(map_arrow(with_texts(docs, open_).select("doc_id", "text", "open"), ends, PROBES), parts, wide=True)
@@ -280,13 +279,17 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR,
     Equal texts are one class: of two or more documents all bytes go (if there are as
     many as length), and one stands for them in the search. Null or empty text: no
     bytes. Rows of one doc_id should have one text and are one place. A null doc_id is
-    neither compared nor changed. Strings are compared by 64-bit hashes. Other columns
+    neither compared nor changed. Strings are compared by 128-bit hashes, or block by
+    block by 64-bit ones where they share an anchor, which has 64 bits too. Other columns
     are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("n"))
     many = table(known.groupBy("m", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top"), "copied")
     copies = table(known.join(many.select("m", "n", "rep"), ["m", "n"]).select("doc_id", "rep").distinct(), "copies")
     others = docs.join(small(copies.where("doc_id <> rep").select("doc_id")), "doc_id", "left_anti")
+    again = table(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():  # rows of one doc_id are one place
+        others = others.join(small(again), "doc_id", "left_anti").select("doc_id", "text").unionByName(others.join(small(again), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
     found = repeated_starts(others, length, k)
     found = found.join(copies.select("doc_id", F.lit(True).alias("all")), "doc_id", "full").select("doc_id", F.coalesce("all", F.lit(False)).alias("all"), "ranges", "starts")
     found = table(found, "found")

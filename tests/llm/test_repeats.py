@@ -74,6 +74,43 @@ def test_repeats_of_nothing(spark):
     assert suffix.drop_repeated_bytes(odd).count() == 4
 
 
+def test_rows_of_one_document_are_one_place(spark):
+    text = " ".join(f"v{i}" for i in range(200))
+    odd = spark.createDataFrame([(2, text, "", ""), (2, text, "", ""), (3, "other " + text[100:700] + " tail", "", "")], DOCS)
+    got = suffix.drop_repeated_bytes(odd).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(2, 600), (2, 600), (3, 600)]
+    alone = suffix.drop_repeated_bytes(odd.where("doc_id = 2")).collect()
+    assert [r.n_removed for r in alone] == [0, 0]
+
+
+def test_both_halves_of_a_hash_decide():
+    r = np.random.default_rng(11)
+    h, other = r.integers(0, 8, 500).astype(np.uint64), r.integers(0, 8, 500).astype(np.uint64)
+    order, start, count = anchors._runs(h, other)
+    runs = [sorted(order[a : a + n].tolist()) for a, n in zip(start, count)]
+    want = {}
+    for i, x in enumerate(zip(h.tolist(), other.tolist())):
+        want.setdefault(x, []).append(i)
+    assert sorted(runs) == sorted(want.values())
+    assert anchors._runs(h, None)[2].tolist() == np.bincount(h.astype(int)).tolist()
+
+
+def test_long_texts_and_many_parts(spark, monkeypatch):
+    """A text longer than the pieces that are worked on at once, and a hot passage."""
+    r = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    hot = word(80)
+    texts = [word(230_000), *(f"{word(30)} {hot} {word(30)}" for _ in range(100)), hot]
+    texts.append(texts[0][1_000_000:1_003_000])
+    monkeypatch.setattr(anchors, "PART", 1 << 15)  # some seventy parts
+    got = {x.doc_id: x for x in suffix.drop_repeated_bytes(docs_of(spark, texts)).collect()}
+    assert got[0].n_removed == 3000 and got[102].n_removed == 3000
+    assert all(len(hot) <= got[i].n_removed <= len(hot) + 14 for i in range(1, 101)) and got[101].n_removed == len(hot)
+    words_ = {x.doc_id: x.n_removed for x in anchors.drop_repeats(docs_of(spark, texts)).collect()}
+    assert words_[0] == 0 and words_[1] == 0 and all(words_[i] == 80 for i in range(2, 102))
+    assert words_[102] >= len(texts[102].split()) - 2
+
+
 def test_merge_is_the_order_of_all_suffixes():
     """The merged intervals are those of sorting all suffixes at once."""
     r = np.random.default_rng(6)
