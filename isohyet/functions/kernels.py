@@ -42,7 +42,7 @@ def em_normal(x: np.ndarray, rounds: int = 500, tol: float = 1e-7) -> tuple[np.n
     return centre + scale * mu, cov * np.outer(scale, scale)
 
 
-def ppca(y: np.ndarray, k: int, tol: float = 1e-5, rounds: int = 1000, seed: int = 4324) -> tuple[np.ndarray, np.ndarray]:
+def ppca(y: np.ndarray, k: int, tol: float = 1e-5, rounds: int = 1000, seed: int = 29) -> tuple[np.ndarray, np.ndarray]:
     """Probabilistic PCA with missing values of standardised columns: the fitted
     matrix, and the cumulative share of the observed variance by component."""
     n, p = y.shape
@@ -139,32 +139,49 @@ def distances(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
 
 
 def _standardised(f: np.ndarray, f0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m, s = f.mean(0), f.std(0)
+    """Of one neighbourhood (n x p and p) or many of them (with one axis before)."""
+    m, s = f.mean(-2, keepdims=True), f.std(-2, keepdims=True)
     s = np.where(s > 0, s, 1)
-    return np.column_stack([np.ones(len(f)), (f - m) / s]), np.concatenate([[1.0], (f0 - m) / s])
+    return np.concatenate([np.ones((*f.shape[:-1], 1)), (f - m) / s], -1), np.concatenate([np.ones((*f0.shape[:-1], 1)), (f0 - m[..., 0, :]) / s[..., 0, :]], -1)
 
 
-def drift_weights(f: np.ndarray, f0: np.ndarray, h: np.ndarray, h0: np.ndarray, nug: float, psill: float, rng: float) -> tuple[np.ndarray, float]:
-    """Weights and variance of kriging with external drift and an exponential
-    variogram; range 0: pure nugget, so least squares."""
+def drift_weights(f: np.ndarray, f0: np.ndarray, h: np.ndarray, h0: np.ndarray, nug: np.ndarray, psill: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and variances of kriging with external drift and an exponential
+    variogram for many points; range 0: pure nugget, so least squares. Systems that
+    have no one solution get the least one."""
     x, x0 = _standardised(f, f0)
-    n, p = x.shape
-    c = psill * np.exp(-h / rng) + nug * np.eye(n) if rng > 0 else (nug + psill) * np.eye(n)
-    c0 = psill * np.exp(-h0 / rng) if rng > 0 else np.zeros(n)
-    top = np.block([[c, x], [x.T, np.zeros((p, p))]])
-    solved = np.linalg.lstsq(top, np.concatenate([c0, x0]), rcond=None)[0]
-    w = solved[:n]
-    return w, float(nug + psill - w @ c0 - solved[n:] @ x0)
-
-
-def gwr_weights(f: np.ndarray, f0: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, str]:
-    """The row z with z @ y the weighted regression's value at f0, for any y."""
+    (b, n), p = h0.shape, x.shape[-1]
+    nug, psill, rng = (v[:, None] for v in (nug, psill, rng))
+    has, far = rng > 0, np.where(rng > 0, rng, 1.0)
+    c0 = np.where(has, psill * np.exp(-h0 / far), 0.0)
+    c = np.where(has[:, :, None], psill[:, :, None] * np.exp(-h / far[:, :, None]), 0.0) + np.where(has, nug, nug + psill)[:, :, None] * np.eye(n)
+    top = np.zeros((b, n + p, n + p))
+    top[:, :n, :n], top[:, :n, n:], top[:, n:, :n] = c, x, x.transpose(0, 2, 1)
+    right = np.concatenate([c0, x0], 1)
+    try:
+        solved = np.linalg.solve(top, right[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        solved = np.full((b, n + p), np.nan)
+    off = np.abs((top @ solved[:, :, None])[:, :, 0] - right).max(1) if n + p else np.zeros(b)
+    for i in np.flatnonzero(~(off <= 1e-8 * np.maximum(1, np.abs(right).max(1)))):
+        solved[i] = np.linalg.lstsq(top[i], right[i], rcond=None)[0]
+    w = solved[:, :n]
+    return w, (nug + psill)[:, 0] - (w * c0).sum(1) - (solved[:, n:] * x0).sum(1)
+
+
+def gwr_weights(f: np.ndarray, f0: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For many points the rows z with z @ y the weighted regression's value at f0, for
+    any y, and whether the rank was too low, when the least solution is taken."""
     x, x0 = _standardised(f, f0)
-    a = x.T * w
+    a = x.transpose(0, 2, 1) * w[:, None, :]
     m = a @ x
-    if np.linalg.matrix_rank(m) < m.shape[0]:
-        return np.linalg.lstsq(m, x0, rcond=None)[0] @ a, "rank_deficient"
-    return np.linalg.solve(m, x0) @ a, "ok"
+    deficient = np.linalg.matrix_rank(m) < m.shape[-1]
+    left = np.zeros_like(x0)
+    if (~deficient).any():
+        left[~deficient] = np.linalg.solve(m[~deficient], x0[~deficient][:, :, None])[:, :, 0]
+    for i in np.flatnonzero(deficient):
+        left[i] = np.linalg.lstsq(m[i], x0[i], rcond=None)[0]
+    return (left[:, None, :] @ a)[:, 0, :], deficient
 
 
 def fit_variogram(f: np.ndarray, y: np.ndarray, lon: np.ndarray, lat: np.ndarray, width: float = 5.0) -> tuple[float, float, float]:

@@ -61,25 +61,50 @@ def bilinear(points: DataFrame, cells: DataFrame, g: Grid, fallback: bool = True
     return out.join(near, "point_id").select("point_id", F.coalesce("value", "_near").alias("value"))
 
 
-def nearest_with_data(points: DataFrame, cells: DataFrame, g: Grid, rings: int = 10) -> DataFrame:
+def nearest_with_data(points: DataFrame, cells: DataFrame, g: Grid, start: int = 4) -> DataFrame:
     """point_id, value: of the first ring of cells around the point's that has any
-    data, the cell whose centre is nearest. Rings up to so many cells."""
+    data, the cell whose centre is nearest. Null only if no cell has data.
+
+    Cells and points meet in blocks of cells, a point in the nine around it, which hold
+    all its rings up to a block's side; points that have found nothing that near are
+    searched again with blocks of four times the side, until none is left."""
+    data = cells.where("value is not null").select("row", "col", "value")
+    ends = data.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
     p = points.select("point_id", "lon", "lat", g.row(F.col("lat")).alias("_r"), g.col(F.col("lon")).alias("_c"))
-    step = F.sequence(F.lit(-rings), F.lit(rings))
-    p = p.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).withColumns({"row": F.col("_r") + F.col("i"), "col": F.col("_c") + F.col("j"), "ring": F.greatest(F.abs("i"), F.abs("j"))})
-    found = p.join(cells.where("value is not null"), ["row", "col"])
+    if ends[0] is None:
+        return p.select("point_id", F.lit(None).cast(cells.schema["value"].dataType).alias("value"))
+    # points without a place find nothing; the others' farthest ring bounds the sides
+    place = p.where("_r is not null and _c is not null")
+    reach = place.agg(F.max(F.greatest(F.abs(F.col("_r") - ends[0]), F.abs(F.col("_r") - ends[1]), F.abs(F.col("_c") - ends[2]), F.abs(F.col("_c") - ends[3])))).first()[0] or 0
     dist = haversine(F.col("lon"), F.col("lat"), g.lon(F.col("col")), g.lat(F.col("row")))
-    return found.groupBy("point_id").agg(F.min(F.struct("ring", dist.alias("d"), "row", "col", "value")).alias("x")).select("point_id", F.col("x.value").alias("value"))
-
-
-def add_raster(points: DataFrame, cells: DataFrame, g: Grid, method: str = "bilinear", force: bool = False, rings: int = 10) -> DataFrame:
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    out, left, side = None, place, start
+    while True:
+        block = lambda c: F.floor(F.col(c) / side)
+        near = left.withColumn("_k", around).withColumns({"_br": block("_r") + F.col("_k.i"), "_bc": block("_c") + F.col("_k.j")})
+        met = near.join(data.withColumns({"_br": block("row"), "_bc": block("col")}), ["_br", "_bc"])
+        ring = F.greatest(F.abs(F.col("row") - F.col("_r")), F.abs(F.col("col") - F.col("_c")))
+        best = met.where(ring <= side).groupBy("point_id").agg(F.min(F.struct(ring.alias("ring"), dist.alias("d"), "row", "col", "value")).alias("x")).select("point_id", F.col("x.value").alias("value"))
+        if side >= reach:
+            out = best if out is None else out.unionByName(best)
+            break
+        best = best.persist()
+        out = best if out is None else out.unionByName(best)
+        left = left.join(best.select("point_id"), "point_id", "left_anti")
+        if left.isEmpty():
+            break
+        side *= 4
+    return p.select("point_id").join(out, "point_id", "left")
+
+
+def add_raster(points: DataFrame, cells: DataFrame, g: Grid, method: str = "bilinear", force: bool = False) -> DataFrame:
     """point_id, value by the method (bilinear or nearest); force fills what is left
     from the nearest cell with data."""
     out = bilinear(points, cells, g) if method == "bilinear" else lookup(points, cells, g).select("point_id", "value")
     if not force:
         return out
     left = points.join(out.where("value is null").select("point_id"), "point_id", "left_semi")
-    return out.join(nearest_with_data(left, cells, g, rings).withColumnRenamed("value", "_v"), "point_id", "left").select("point_id", F.coalesce("value", "_v").alias("value"))
+    return out.join(nearest_with_data(left, cells, g).withColumnRenamed("value", "_v"), "point_id", "left").select("point_id", F.coalesce("value", "_v").alias("value"))
 
 
 def tile_of(row: str = "row", col: str = "col", size: int = 250) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import kernels
+from isohyet.operators.spatial import WHOLE_KM, station_pairs
 from isohyet.shipping import ship
 
 #: Columns of a target's matrix, the target's own included.
@@ -180,6 +181,75 @@ def infill_stations(daily: DataFrame, pairs: DataFrame, least: int = 3) -> DataF
     return infill(rows, monthly_statistics(rows, least), least)
 
 
+def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, start: float = 75.0, step: float = 37.5, share: float = 2 / 3, min_d1: float = 0.7, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Neighbours from a radius that grows until every day has enough of them.
+
+    First what candidates() gives with ring, the number of steps by which the radius
+    must be wider than start to take a neighbour in; of those not ok only the best one
+    of the first radius counts. Then station_id, month, ring, status: the least ring
+    with `least` neighbours observed on every day of the period in that calendar month;
+    status covered, or uncovered where all stations do not suffice (ring is then null
+    and all count). daily: station_id, obs_date, value, of all days, value null where
+    missing. targets: the stations (station_id) this is asked for, else all.
+
+    Of each day the ring of the least-th nearest value is what it needs, so one join
+    finds the ring of a group at once; groups that need more than the radius searched
+    are searched again within four times as much, until it is the whole globe."""
+    seen = daily.where("value is not null").select(F.col("station_id").alias("ngh_id"), "obs_date")
+    days = daily.select("station_id", "obs_date", F.month("obs_date").alias("month"))
+    days = days if targets is None else days.join(targets.select("station_id"), "station_id", "left_semi")
+    open_ = days.select("station_id", "month").distinct()
+    ring = F.greatest(F.lit(0), F.ceil((F.col("dist_km") - start) / step)).cast("int")
+    key = ["station_id", "month"]
+    first, chosen, status, radius = None, None, None, start
+    while True:
+        last = radius >= WHOLE_KM
+        pairs = station_pairs(stations, min(radius, WHOLE_KM)).join(open_.select("station_id").distinct(), "station_id", "left_semi")
+        found = candidates(daily, pairs, share, min_d1).withColumn("ring", ring).join(open_, key, "left_semi")
+        # a best one that is not ok counts if it is the best of the first radius
+        first = found.where("not ok").persist() if first is None else first
+        found = found.where("ok").unionByName(first.join(open_, key, "left_semi")).persist()
+        have = found.select(*key, "ngh_id", "ring").join(seen, "ngh_id").where(F.month("obs_date") == F.col("month"))
+        need = have.groupBy(*key, "obs_date").agg(F.get(F.array_sort(F.collect_list("ring")), F.lit(least - 1)).alias("need"))
+        need = days.join(open_, key, "left_semi").join(need, [*key, "obs_date"], "left").groupBy(*key).agg(F.when(F.count("need") == F.count(F.lit(1)), F.max("need")).alias("ring")).persist()
+        done = need if last else need.where("ring is not null")
+        out = found.join(done.select(*key, F.col("ring").alias("_r")), key).where("_r is null or ring <= _r").drop("_r")
+        chosen = out if chosen is None else chosen.unionByName(out)
+        of = done.select(*key, "ring", F.when(F.col("ring").isNull(), "uncovered").otherwise("covered").alias("status"))
+        status = of if status is None else status.unionByName(of)
+        open_ = need.where("ring is null").select(*key)
+        if last or open_.isEmpty():
+            return chosen, status
+        radius *= 4
+
+
+def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, targets: DataFrame | None = None, **how) -> DataFrame:
+    """infill_stations with neighbours from a growing radius, for every station and
+    month of daily. Those without any neighbour or fit keep their days as they are, with
+    the reason; status says whether every day had `least` neighbours."""
+    chosen, status = grown_candidates(daily, stations, least, targets=targets, **how)
+    rows = matrices(daily, chosen)
+    done = infill(rows, monthly_statistics(rows, least), least)
+    d = daily.select("station_id", "obs_date", F.month("obs_date").alias("month"), "value")
+    d = d if targets is None else d.join(targets.select("station_id"), "station_id", "left_semi")
+    rest = d.join(done.select("station_id", "month").distinct(), ["station_id", "month"], "left_anti")
+    none = {"fitted": F.lit(None).cast("double"), "infilled": F.col("value"), **{c: F.lit(None).cast("double") for c in ("mae", "bias", "r2")}, "reasons": F.array(F.lit("no neighbours"))}
+    return done.unionByName(rest.select("station_id", "month", "obs_date", "value", *[c.alias(n) for n, c in none.items()])).join(status.select("station_id", "month", "status"), ["station_id", "month"], "left")
+
+
+def second_pass(infilled: DataFrame, daily: DataFrame, stations: DataFrame, suspect: DataFrame, least: int = 7, **how) -> DataFrame:
+    """infilled with the series of the suspect stations (station_id) done again from
+    more neighbours a day. The others' observations stay neighbours."""
+    again = suspect.select("station_id").distinct()
+    new = infill_network(daily, stations, least, targets=again, **how)
+    return infilled.join(again, "station_id", "left_anti").unionByName(new)
+
+
+def suspects(infilled: DataFrame) -> DataFrame:
+    """Stations with a month whose fit was not good."""
+    return infilled.where(F.size("reasons") > 0).select("station_id").distinct()
+
+
 def cross_validate(daily: DataFrame, split: DataFrame, pairs: DataFrame) -> DataFrame:
     """mae, bias and r2 per station on the days that split (station_id, obs_date,
     value, train) holds back."""

@@ -1,19 +1,22 @@
 """Interpolation of normals and daily values to points.
 
-Kernels run once per point (or station) and month and give weights of the
+Kernels work on many points (or stations and months) at once and give weights of the
 neighbours; the values, which are the large side, are joined and summed by Spark."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import kernels
 from isohyet.functions.stats import errors, weighted_mean
 from isohyet.operators.spatial import nearest
-from isohyet.shipping import ship
+from isohyet.shipping import map_arrow, ship
 
 PREDICTORS_NORM = ("lon", "lat", "elev", "lst")
 PREDICTORS_ANOM = ("lon", "lat", "elev", "tdi", "lst")
@@ -27,42 +30,81 @@ def point_parameter(near: DataFrame, station_month: DataFrame, column: str, whol
 
 
 def _neighbourhoods(points: DataFrame, near: DataFrame, stations: DataFrame, predictors: tuple[str, ...]) -> DataFrame:
-    """One row a point, its neighbours in an array: at most k, so bounded."""
+    """One row a point and neighbour, with both sides' predictors."""
     s = stations.select("station_id", *[F.col(p).cast("double").alias(f"s_{p}") for p in dict.fromkeys((*predictors, "lon", "lat"))])
     p = points.select("point_id", *[F.col(c).cast("double").alias(f"p_{c}") for c in dict.fromkeys((*predictors, "lon", "lat"))])
     return near.join(s, "station_id").join(p, "point_id")
 
 
+def _lots(size: np.ndarray, most: int = 2 << 20):
+    """Points with equally many neighbours, in lots with a bounded number of pairs."""
+    for m in np.unique(size):
+        i, step = np.flatnonzero(size == m), max(1, most // int(m * m))
+        yield from (i[k : k + step] for k in range(0, len(i), step))
+
+
+def _solve(rows: DataFrame, ngh: list[str], point: list[str], kernel: Callable, out: str) -> DataFrame:
+    """point_id, station_id and the columns out, from kernel on many points at once.
+
+    A point's neighbours (at most k) are put in one row; of each Arrow batch the points
+    with equally many go to kernel as arrays: its arguments are of shape (points,
+    neighbours) for ngh, (points,) for point; its results are of the first shape."""
+    each, once = list(dict.fromkeys(ngh)), list(dict.fromkeys(point))
+    packed = rows.groupBy("point_id").agg(F.collect_list(F.struct("station_id", *each)).alias("n"), *[F.first(c).alias(c) for c in once])
+    names = [c.split()[0] for c in out.split(", ")]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("point_id", "station_id"))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            flat, start = lists.flatten(), lists.offsets.to_numpy()
+            start = start - start[0]
+            size = np.diff(start)
+            values = {c: flat.field(1 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(each)}
+            own = {c: b.column(2 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(once)}
+            for i in _lots(size):
+                m = size[i[0]]
+                at = start[i][:, None] + np.arange(m)
+                found = kernel(*(values[c][at] for c in ngh), *(own[c][i] for c in point))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(i, m))), flat.field(0).take(pa.array(at.ravel())), *(pa.array(x.ravel()) for x in found)], ["point_id", "station_id", *names])
+
+    return map_arrow(packed, run, f"{kinds}, {out}")
+
+
+def _regression(predictors: tuple[str, ...]) -> tuple[list[str], list[str], Callable]:
+    """Columns of neighbours and points and the kernel of weighted regression."""
+    p = len(predictors)
+
+    def kernel(w, *x):
+        z, deficient = kernels.gwr_weights(np.stack(x[:p], 2), np.stack(x[p:], 1), w)
+        return z, np.repeat(np.where(deficient, "rank_deficient", "ok")[:, None], w.shape[1], 1)
+
+    return ["wgt", *(f"s_{c}" for c in predictors)], [f"p_{c}" for c in predictors], kernel
+
+
 def gwr_weights(points: DataFrame, near: DataFrame, stations: DataFrame, predictors: tuple[str, ...] = ("lon", "lat", "elev")) -> DataFrame:
     """point_id, station_id, z, status: the weights of geographically weighted
     regression; any series of the stations at the point is the sum of z * value."""
-    ship(points.sparkSession)
-    rows = _neighbourhoods(points, near, stations, predictors)
-    kinds = f"point_id {points.schema['point_id'].dataType.simpleString()}, station_id {stations.schema['station_id'].dataType.simpleString()}"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        f, f0 = g[[f"s_{p}" for p in predictors]].to_numpy(float), g[[f"p_{p}" for p in predictors]].iloc[0].to_numpy(float)
-        z, status = kernels.gwr_weights(f, f0, g["wgt"].to_numpy(float))
-        return g[["point_id", "station_id"]].assign(z=z, status=status)
-
-    return rows.groupBy("point_id").applyInPandas(run, f"{kinds}, z double, status string")
+    return _solve(_neighbourhoods(points, near, stations, predictors), *_regression(predictors), "z double, status string")
 
 
 def drift_weights(points: DataFrame, near: DataFrame, stations: DataFrame, variogram: DataFrame, predictors: tuple[str, ...] = ("lon", "lat", "elev")) -> DataFrame:
-    """point_id, station_id, lam, variance: kriging with external drift. variogram:
-    point_id, nug, psill, rng (range 0: pure nugget). The mean is the sum of lam * norm."""
-    ship(points.sparkSession)
-    rows = _neighbourhoods(points, near, stations, predictors).join(variogram, "point_id")
-    kinds = f"point_id {points.schema['point_id'].dataType.simpleString()}, station_id {stations.schema['station_id'].dataType.simpleString()}"
+    """point_id, station_id, lam, variance: kriging with external drift (ordinary
+    kriging without predictors). variogram: point_id, nug, psill, rng (range 0: pure
+    nugget). The mean is the sum of lam * norm."""
+    p = len(predictors)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        lon, lat = g["s_lon"].to_numpy(float), g["s_lat"].to_numpy(float)
-        f, f0 = g[[f"s_{p}" for p in predictors]].to_numpy(float), g[[f"p_{p}" for p in predictors]].iloc[0].to_numpy(float)
-        h0 = kernels.km(lon, lat, float(g["p_lon"].iloc[0]), float(g["p_lat"].iloc[0]))
-        lam, var = kernels.drift_weights(f, f0, kernels.distances(lon, lat), h0, *(float(g[c].iloc[0]) for c in ("nug", "psill", "rng")))
-        return g[["point_id", "station_id"]].assign(lam=lam, variance=var)
+    def kernel(lon, lat, *x):
+        f, (lon0, lat0, nug, psill, rng), f0 = x[:p], x[p : p + 5], x[p + 5 :]
+        f = np.stack(f, 2) if p else np.zeros((*lon.shape, 0))
+        f0 = np.stack(f0, 1) if p else np.zeros((len(lon), 0))
+        h = kernels.km(lon[:, :, None], lat[:, :, None], lon[:, None, :], lat[:, None, :])
+        lam, var = kernels.drift_weights(f, f0, h, kernels.km(lon, lat, lon0[:, None], lat0[:, None]), nug, psill, rng)
+        return lam, np.repeat(var[:, None], lam.shape[1], 1)
 
-    return rows.groupBy("point_id").applyInPandas(run, f"{kinds}, lam double, variance double")
+    v = variogram.select("point_id", *[F.col(c).cast("double").alias(c) for c in ("nug", "psill", "rng")])
+    rows = _neighbourhoods(points, near, stations, predictors).join(v, "point_id")
+    return _solve(rows, ["s_lon", "s_lat", *(f"s_{c}" for c in predictors)], ["p_lon", "p_lat", "nug", "psill", "rng", *(f"p_{c}" for c in predictors)], kernel, "lam double, variance double")
 
 
 def variogram_bins(residuals: DataFrame, pairs: DataFrame, width: float = 5.0) -> DataFrame:
@@ -170,11 +212,45 @@ def leave_one_out(stations: DataFrame, values: DataFrame, k: int, predictors: tu
     return values.withColumnRenamed("value", "obs").join(pred, ["station_id", *keys])
 
 
-def bandwidth_errors(stations: DataFrame, values: DataFrame, ks: list[int], **how) -> DataFrame:
-    """climdiv, month, n_nghs, station_id, mae, status for each number of neighbours."""
+def leave_one_out_normals(stations: DataFrame, norms: DataFrame, k: int, **how) -> DataFrame:
+    """station_id, month, obs, pred: each station's norm (station_id, month, norm) by
+    kriging from its neighbours only."""
+    pts = stations.withColumn("point_id", F.col("station_id"))
+    pred = interpolate_normals(pts, stations, norms, k, drop_zero=True, **how).select(F.col("point_id").alias("station_id"), "month", F.col("norm").alias("pred"))
+    return norms.where("norm is not null").select("station_id", "month", F.col("norm").alias("obs")).join(pred, ["station_id", "month"])
+
+
+def normal_errors(stations: DataFrame, station_month: DataFrame, k: int = 100, **how) -> DataFrame:
+    """station_id, month, err: predicted less observed monthly norm of each station, and
+    annual (month 13, means of both columns), by weighted regression on lst, elev, lon
+    and lat of its neighbours only. station_month: station_id, month, norm, lst. Its
+    outliers are stations.z_outliers."""
+    m = station_month.select("station_id", "month", "norm", "lst")
+    m = m.unionByName(m.groupBy("station_id").agg(F.lit(13).alias("month"), F.avg("norm").alias("norm"), F.avg("lst").alias("lst"))).where("norm is not null and lst is not null")
+    predictors = ("lst", "elev", "lon", "lat")
+    near = nearest(stations.withColumn("point_id", F.col("station_id")), stations, k, drop_zero=True, **how).select("point_id", "station_id", "wgt")
+    place = ("elev", "lon", "lat")
+    side = lambda x, key: m.join(stations.select("station_id", *place), "station_id").select(F.col("station_id").alias(key), "month", F.col("norm").alias(f"{x}_norm"), *[F.col(c).cast("double").alias(f"{x}_{c}") for c in predictors])
+    rows = near.join(side("s", "station_id"), "station_id").join(side("p", "point_id"), ["point_id", "month"])
+    both = rows.withColumn("point_id", F.struct("point_id", "month", F.col("p_norm").alias("norm")))
+    ngh, point, kernel = _regression(predictors)
+
+    def value(w, norm, *x):
+        z, _ = kernel(w, *x)
+        return (z * norm,)
+
+    parts = _solve(both, [ngh[0], "s_norm", *ngh[1:]], point, value, "part double")
+    return parts.groupBy("point_id").agg(F.sum("part").alias("pred")).select(F.col("point_id.point_id").alias("station_id"), "point_id.month", (F.col("pred") - F.col("point_id.norm")).alias("err"))
+
+
+def bandwidth_errors(stations: DataFrame, values: DataFrame, ks: list[int], method: str = "regression", **how) -> DataFrame:
+    """climdiv, month, n_nghs, station_id, mae, status for each number of neighbours:
+    leaving stations out, by weighted regression, or with method kriging the monthly
+    values as norms. values: station_id, month, value."""
     out = None
     for k in ks:  # a fixed list of a dozen bandwidths
-        e = leave_one_out(stations, values, k, **how).groupBy("station_id", "month").agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("mae"))
+        loo = leave_one_out(stations, values, k, **how) if method == "regression" else leave_one_out_normals(stations, values.withColumnRenamed("value", "norm"), k, **how)
+        e = loo.groupBy("station_id", "month").agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("mae"))
         e = e.join(stations.select("station_id", "climdiv"), "station_id").select("climdiv", "month", F.lit(k).alias("n_nghs"), "station_id", "mae", F.when(F.col("mae").isNull(), "failed").otherwise("ok").alias("status"))
         out = e if out is None else out.unionByName(e)
     return out
@@ -186,16 +262,27 @@ def validation(loo: DataFrame) -> DataFrame:
 
 def principal_components(vectors: DataFrame, value: str = "value") -> DataFrame:
     """component, variance, share of tall data (array<double> rows): sums and products
-    by Spark, the small eigenproblem of the covariance on the driver."""
-    size = vectors.select(F.size(value)).first()[0]
-    x = vectors.select(F.monotonically_increasing_id().alias("_i"), F.posexplode(value).alias("j", "v"))
-    # co-moments as one array per partition: size * size numbers, whatever the rows
-    pair = F.flatten(F.transform(value, lambda a: F.transform(value, lambda b: a * b)))
-    sums = vectors.select(F.posexplode(pair).alias("p", "v")).groupBy("p").agg(F.sum("v").alias("s")).orderBy("p").collect()
-    means = x.groupBy("j").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("j").collect()
-    n = means[0]["n"]
-    m = np.array([r["s"] for r in means]) / n
-    cov = (np.array([r["s"] for r in sums]).reshape(size, size) - n * np.outer(m, m)) / (n - 1)
+    of each partition by numpy, then by Spark; the small eigenproblem of the
+    correlations on the driver. Rows without an array are left out."""
+    x = vectors.select(F.col(value).alias("v")).where("v is not null")
+    head = x.select(F.size("v")).first()
+    if head is None:
+        return vectors.sparkSession.createDataFrame([], "component int, variance double, share double")
+    size = head[0]
+
+    def run(batches):
+        total = np.zeros((size + 1, size + 1))
+        for b in batches:
+            if b.num_rows:
+                a = np.column_stack([np.ones(b.num_rows), b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)])
+                total += a.T @ a
+        if total[0, 0]:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
+
+    sums = map_arrow(x, run, "s array<double>").select(F.posexplode("s").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")).orderBy("p")
+    total = np.array([r["v"] for r in sums.select("v").collect()]).reshape(size + 1, size + 1)  # (size + 1) ** 2 numbers
+    n, m = total[0, 0], total[0, 1:] / total[0, 0]
+    cov = (total[1:, 1:] - n * np.outer(m, m)) / (n - 1)
     sd = np.sqrt(np.diag(cov))
     var = np.linalg.eigvalsh(cov / np.outer(sd, sd))[::-1]
     return vectors.sparkSession.createDataFrame([(i + 1, float(v), float(v / var.sum())) for i, v in enumerate(var)], "component int, variance double, share double")

@@ -43,30 +43,72 @@ def station_pairs(stations: DataFrame, radius: float) -> DataFrame:
     return pairs.where("point_id <> station_id").select(F.col("point_id").alias("station_id"), F.col("station_id").alias("ngh_id"), "dist_km")
 
 
-def annulus_pairs(stations: DataFrame, start: float = 75.0, step: float = 37.5, limit: float = 1500.0) -> DataFrame:
+def annulus_pairs(stations: DataFrame, start: float = 75.0, step: float = 37.5) -> DataFrame:
     """The pairs within each station's own radius: start, then wider by step until at
-    least one neighbour is in it; ring says how often it was widened."""
-    pairs = station_pairs(stations, limit)
-    ring = F.greatest(F.lit(0), F.ceil((F.min("dist_km").over(Window.partitionBy("station_id")) - start) / step))
-    return pairs.withColumn("ring", ring.cast("int")).where(F.col("dist_km") <= start + F.col("ring") * step)
-
-
-def nearest(points: DataFrame, stations: DataFrame, k: int, search_km: float = 2000.0, point_id: str = "point_id", drop_zero: bool = False, strict: bool = True) -> DataFrame:
+    least one neighbour is in it, however far; ring says how often it was widened."""
+    own = stations.select(F.col("station_id").alias("point_id"), "lon", "lat")
+    first = nearest(own, stations, 1, strict=False, others=True)
+    ring = F.greatest(F.lit(0), F.ceil((F.col("dist_km") - start) / step)).cast("int")
+    rings = first.select("point_id", ring.alias("ring")).persist()
+    # stations whose radius is about the same are joined together, each doubling by itself
+    size = F.ceil(F.log2((start + F.col("ring") * step) / start)).cast("int")
+    out = None
+    for (n,) in sorted(rings.select(size).distinct().collect()):
+        some = own.join(rings.where(size == n), "point_id")
+        pairs = radius_pairs(some, stations, start * 2.0**n).where("point_id <> station_id").join(rings, "point_id")
+        pairs = pairs.where(F.col("dist_km") <= start + F.col("ring") * step).select(F.col("point_id").alias("station_id"), F.col("station_id").alias("ngh_id"), "dist_km", "ring")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out if out is not None else station_pairs(stations, start).withColumn("ring", F.lit(0))
+
+
+#: Beyond half the way around the globe there is nothing.
+WHOLE_KM = 20_040.0
+
+
+def _start_km(stations: DataFrame, k: int) -> float:
+    """A radius within which about 2 (k + 1) stations lie where they are evenly spread."""
+    b = stations.agg(F.count("lon").alias("n"), *[f(c).alias(f"{i}{c}") for c in ("lon", "lat") for i, f in enumerate((F.min, F.max))]).first()
+    if not b["n"]:
+        return WHOLE_KM
+    high = math.cos(math.radians((b["0lat"] + b["1lat"]) / 2))
+    area = max(1.0, (b["1lon"] - b["0lon"]) * high * KM_PER_DEGREE) * max(1.0, (b["1lat"] - b["0lat"]) * KM_PER_DEGREE)
+    return min(WHOLE_KM, math.sqrt(2 * (k + 1) * area / (math.pi * b["n"])))
+
+
+def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | None = None, point_id: str = "point_id", drop_zero: bool = False, strict: bool = True, others: bool = False) -> DataFrame:
     """(point_id, station_id, dist_km, rank, bandwidth, wgt): the k nearest stations,
     ties by id. The bandwidth is the distance of the next one beyond them, the weight
-    bisquare. strict: points with fewer than k + 1 stations in reach raise an error;
-    else they keep what there is, weighted by the farthest distance.
-
-    Stations are searched within search_km; Spark keeps k + 1 a point before the
-    shuffle (a group limit below the window)."""
-    pairs = radius_pairs(points, stations, search_km, point_id=point_id)
-    pairs = pairs.where("dist_km > 0") if drop_zero else pairs
+    bisquare. strict: with fewer than k + 1 stations in all an error is raised; else
+    points keep what there is, weighted by the farthest distance. others: a point is
+    a station by itself, which is not its own neighbour.
+
+    Stations are searched within a radius that holds some more than k + 1 of them on
+    average; the points that found fewer are searched again within twice the radius,
+    until none is left: the k + 1 nearest are exact once they are in the radius. What a
+    round found is kept, as the next one asks for the rest."""
+    radius = min(WHOLE_KM, start_km or _start_km(stations, k))
     w = Window.partitionBy("point_id").orderBy("dist_km", "station_id")
-    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    found, left = None, points
+    while True:
+        pairs = radius_pairs(left, stations, radius, point_id=point_id)
+        pairs = pairs.where("dist_km > 0") if drop_zero else pairs
+        pairs = pairs.where("point_id <> station_id") if others else pairs
+        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+        if radius >= WHOLE_KM:
+            found = top if found is None else found.unionByName(top)
+            break
+        top = top.persist()
+        enough = top.where(F.col("rank") == k + 1).select("point_id")
+        done = top.join(enough, "point_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        left = left.join(enough.withColumnRenamed("point_id", point_id), point_id, "left_anti")
+        if left.isEmpty():
+            break
+        radius = min(WHOLE_KM, 2 * radius)
     whole = Window.partitionBy("point_id")
     beyond = F.max(F.when(F.col("rank") == k + 1, F.col("dist_km"))).over(whole)
     bw = F.coalesce(beyond, F.raise_error(F.lit(f"fewer than {k + 1} stations in reach")).cast("double") if strict else F.max("dist_km").over(whole))
-    top = top.withColumn("bandwidth", bw).where(F.col("rank") <= k)
+    top = found.withColumn("bandwidth", bw).where(F.col("rank") <= k)
     return top.withColumn("wgt", F.when(F.col("bandwidth") > 0, bisquare(F.col("dist_km"), F.col("bandwidth"))).otherwise(1.0))
 
 

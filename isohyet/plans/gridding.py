@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.scalars import pack, unpack
 from isohyet.operators import grid, interp
+from isohyet.operators import stations as st
 from isohyet.operators.spatial import nearest
 from isohyet.plans.analog import STN, read, stations
-from isohyet.plans.network import _KNN, _PT, _points
+from isohyet.plans.network import _KM, _KNN, _PT, _knn, _points
 from isohyet.plans.registry import query
 
 G = grid.Grid(-125.0, 50.0, 0.5, 60, 140)
@@ -46,13 +47,13 @@ f AS (SELECT q.*, i, j, (CASE WHEN i=1 THEN fy ELSE 1-fy END)*(CASE WHEN j=1 THE
 bl AS (SELECT station_id, CASE WHEN count(value)=4 THEN sum(w*value) END AS v FROM f LEFT JOIN cell ON cell.row=r+i AND cell.col=c+j GROUP BY 1),
 nr AS (SELECT p.*, coalesce(v, value) AS v FROM p JOIN bl USING (station_id) LEFT JOIN cell ON cell.row=r0 AND cell.col=c0),
 rg AS (SELECT nr.*, value, row, col, greatest(abs(row-r0), abs(col-c0)) AS ring, 50-(row+0.5)*0.5 AS clat, -125+(col+0.5)*0.5 AS clon FROM nr, cell WHERE v IS NULL AND value IS NOT NULL),
-fn AS (SELECT station_id, value FROM rg WHERE ring<=80 QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ring, power(sin(radians(clat-lat)/2),2)+cos(radians(lat))*cos(radians(clat))*power(sin(radians(clon-lon)/2),2), row, col)=1)
+fn AS (SELECT station_id, value FROM rg QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ring, power(sin(radians(clat-lat)/2),2)+cos(radians(lat))*cos(radians(clat))*power(sin(radians(clon-lon)/2),2), row, col)=1)
 SELECT station_id AS point_id, round(coalesce(v, fn.value),6) AS value FROM nr LEFT JOIN fn USING (station_id)"""
 
 
 @query("raster_forced", _FORCED)
 def raster_forced(spark, d):
-    return grid.add_raster(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, force=True, rings=80).withColumn("value", F.round("value", 6))
+    return grid.add_raster(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, force=True).withColumn("value", F.round("value", 6))
 
 
 @query("monthly_mosaic", "SELECT CAST(l_suppkey%50 AS INT) AS row, CAST(l_linenumber AS INT) AS col, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, round(avg(l_quantity-25),2) AS tmin, round(avg(l_quantity),2) AS tmax FROM lineitem GROUP BY 1,2,3,4")
@@ -79,23 +80,48 @@ def time_reductions(spark, d):
 def param_weighted_avg(spark, d):
     s = stations(spark, d)
     sm = s.select("station_id", F.lit(1).alias("month"), (F.col("station_id") % 50 + 35).alias("optim"))
-    return interp.point_parameter(nearest(_points(spark, d), s, 10, 4000.0), sm, "optim").select("point_id", "optim")
+    return interp.point_parameter(nearest(_points(spark, d), s, 10), sm, "optim").select("point_id", "optim")
 
 
-@query("gwr_weights", f"WITH {_PT} SELECT c_custkey AS point_id, CAST(1.0 AS DOUBLE) AS total, round(lon,4) AS lon, round(elev,3) AS elev FROM pt")
+#: Weighted moments of 30 neighbours give the plane through their elevations at the point.
+_GWR = f"""WITH {STN}, {_PT}, {_knn(30)},
+n AS (SELECT k.point_id, s.lon - p.lon AS x, s.lat - p.lat AS y, s.elev AS v, power(1-power(km/bw,2),2) AS w FROM knn k JOIN stn s USING (station_id) JOIN pt p ON p.c_custkey = k.point_id),
+m AS (SELECT point_id, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, sum(w*v)/sum(w) AS mv FROM n GROUP BY 1),
+c AS (SELECT point_id, mx, my, mv, sum(w*(x-mx)*(x-mx)) AS xx, sum(w*(y-my)*(y-my)) AS yy, sum(w*(x-mx)*(y-my)) AS xy, sum(w*(x-mx)*(v-mv)) AS xv, sum(w*(y-my)*(v-mv)) AS yv FROM n JOIN m USING (point_id) GROUP BY 1,2,3,4)
+SELECT point_id, CAST(1.0 AS DOUBLE) AS total, round(mv - mx*(xv*yy-yv*xy)/(xx*yy-xy*xy) - my*(yv*xx-xv*xy)/(xx*yy-xy*xy), 4) AS value FROM c"""
+
+
+@query("gwr_weights", _GWR)
 def gwr_weights(spark, d):
-    """Invariants: the weights add up to 1 and give back the point's predictors."""
+    """The weights' sum, and the regression's value of the stations' elevations."""
     s, p = stations(spark, d), _points(spark, d)
-    z = interp.gwr_weights(p, nearest(p, s, 30, 4000.0, strict=False), s)
-    return z.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("z"), 6).alias("total"), F.round(F.sum(F.col("z") * F.col("lon")), 4).alias("lon"), F.round(F.sum(F.col("z") * F.col("elev")), 3).alias("elev"))
+    z = interp.gwr_weights(p, nearest(p, s, 30, strict=False), s, ("lon", "lat"))
+    return z.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("z"), 6).alias("total"), F.round(F.sum(F.col("z") * F.col("elev")), 4).alias("value"))
 
 
-@query("ked_weights", f"WITH {_PT} SELECT c_custkey AS point_id, CAST(1.0 AS DOUBLE) AS total, round(lat,4) AS lat FROM pt")
+@query("ked_weights")
 def ked_weights(spark, d):
+    """With drift by 30 neighbours; a test solves the same systems one by one."""
     s, p = stations(spark, d), _points(spark, d)
     v = p.select("point_id", F.lit(0.3).alias("nug"), F.lit(1.7).alias("psill"), F.lit(250.0).alias("rng"))
-    lam = interp.drift_weights(p, nearest(p, s, 30, 4000.0, strict=False), s, v)
-    return lam.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("lam"), 6).alias("total"), F.round(F.sum(F.col("lam") * F.col("lat")), 4).alias("lat"))
+    lam = interp.drift_weights(p, nearest(p, s, 30, strict=False), s, v)
+    return lam.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum("lam"), 6).alias("total"), F.round(F.sum(F.col("lam") * F.col("lat")), 4).alias("lat"), F.round(F.sum(F.col("lam") * F.sin(F.col("elev"))), 4).alias("value"), F.round(F.max("variance"), 4).alias("variance"))
+
+
+#: Two neighbours without drift: the system has a closed form.
+_OK = f"""WITH {STN}, {_PT}, {_knn(2)},
+n AS (SELECT point_id, max(CASE WHEN rank=1 THEN station_id END) AS a, max(CASE WHEN rank=2 THEN station_id END) AS b, max(CASE WHEN rank=1 THEN km END) AS ha, max(CASE WHEN rank=2 THEN km END) AS hb FROM knn GROUP BY 1),
+c AS (SELECT point_id, u.elev AS va, v.elev AS vb, 1.7*exp(-ha/250) AS ca, 1.7*exp(-hb/250) AS cb, 1.7*exp(-{_KM.replace('a.', 'u.').replace('b.', 'v.')}/250) AS cab FROM n JOIN stn u ON u.station_id=a JOIN stn v ON v.station_id=b),
+l AS (SELECT *, CAST(0.5 AS DOUBLE)+(ca-cb)/(2*(2.0-cab)) AS la FROM c)
+SELECT point_id, round(la*va+(1-la)*vb, 4) AS value, round(2.0 - la*ca - (1-la)*cb - (ca - la*2.0 - (1-la)*cab), 6) AS variance FROM l"""
+
+
+@query("ordinary_kriging", _OK)
+def ordinary_kriging(spark, d):
+    s, p = stations(spark, d), _points(spark, d)
+    v = p.select("point_id", F.lit(0.3).alias("nug"), F.lit(1.7).alias("psill"), F.lit(250.0).alias("rng"))
+    lam = interp.drift_weights(p, nearest(p, s, 2), s, v, ())
+    return lam.join(s, "station_id").groupBy("point_id").agg(F.round(F.sum(F.col("lam") * F.col("elev")), 4).alias("value"), F.round(F.max("variance"), 6).alias("variance"))
 
 
 @query("variogram_bins", f"WITH {STN}, p AS (SELECT a.elev AS ra, b.elev AS rb, 2*6371.009*asin(least(1.0,sqrt(power(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin((radians(b.lon)-radians(a.lon))/2),2)))) AS km FROM stn a, stn b WHERE a.station_id<b.station_id) SELECT CAST(floor(km/25) AS INT) AS bin, count(*) AS n, round(avg(km),4) AS h, round(sum(power(ra-rb,2))/(2*count(*)),2) AS gamma FROM p WHERE km<=500 AND km>0 GROUP BY 1")
@@ -117,17 +143,26 @@ def _norms(spark, d):
 def interp_normals(spark, d):
     """At all points, in all months."""
     s, n = _norms(spark, d)
-    out = interp.interpolate_normals(_points(spark, d), s, n, 35, search_km=4000.0, strict=False)
+    out = interp.interpolate_normals(_points(spark, d), s, n, 35, strict=False)
     return out.select("point_id", "month", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"))
 
 
 @query("loo_normals")
 def loo_normals(spark, d):
     s, n = _norms(spark, d)
-    loo = interp.leave_one_out(s, n.withColumnRenamed("norm", "value"), 30, search_km=6000.0, strict=False)
+    loo = interp.leave_one_out(s, n.withColumnRenamed("norm", "value"), 30, strict=False)
     return interp.validation(loo).select("station_id", F.round("mae", 5).alias("mae"), F.round("bias", 5).alias("bias"))
 
 
+@query("norm_outliers")
+def norm_outliers(spark, d):
+    """Stations whose norms the regression on their neighbours misses by far."""
+    s, n = _norms(spark, d)
+    odd = F.when(F.col("station_id") % 97 == 5, 40.0).otherwise(0.0)
+    m = n.join(s.select("station_id", "lat", "elev"), "station_id").select("station_id", "month", (F.col("norm") + odd).alias("norm"), (F.lit(20.0) - F.col("lat") / 3 + F.col("month") * F.cos("elev")).alias("lst"))
+    return st.z_outliers(interp.normal_errors(s, m, 40, strict=False), 3.0)
+
+
 @query("crossed_fix_window", "WITH x AS (SELECT l_suppkey AS point_id, CAST(l_shipdate AS DATE) AS obs_date, min(l_quantity) AS tmin, max(l_quantity)+CASE WHEN l_suppkey%9=0 AND day(CAST(l_shipdate AS DATE))=1 THEN -60 ELSE 5 END AS tmax FROM lineitem GROUP BY 1,2,l_suppkey), y AS (SELECT *, avg(CASE WHEN tmin<tmax THEN tmax-tmin END) OVER (PARTITION BY point_id ORDER BY obs_date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS s FROM x) SELECT point_id, obs_date, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2-s/2 ELSE tmin END,6) AS tmin, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2+s/2 ELSE tmax END,6) AS tmax FROM y")
 def crossed_fix_window(spark, d):
     x = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("point_id"), F.col("l_shipdate").cast("date").alias("obs_date")).agg(F.min("l_quantity").alias("tmin"), F.max("l_quantity").alias("q"))
@@ -141,11 +176,12 @@ def crossed_fix_literal(spark, d):
     return interp.fix_crossed(x)
 
 
-@query("pca_variance", "SELECT CAST(64 AS INT) AS components, CAST(1.0 AS DOUBLE) AS total")
+@query("pca_variance", "WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT a.i, b.i AS j, corr(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)) AS r FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2) SELECT CAST(count(*) FILTER (i = j) AS INT) AS components, round(sum(r) FILTER (i = j), 6) AS total, round(sum(r * r), 4) AS squares FROM c")
 def pca_variance(spark, d):
-    """Invariant: the shares of all components add up to 1."""
+    """The components' variances add up to the correlations' trace, their squares to the
+    squares of all correlations."""
     v = read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("value"))
-    return interp.principal_components(v).agg(F.count(F.lit(1)).cast("int").alias("components"), F.round(F.sum("share"), 6).alias("total"))
+    return interp.principal_components(v).agg(F.count(F.lit(1)).cast("int").alias("components"), F.round(F.sum("variance"), 6).alias("total"), F.round(F.sum(F.col("variance") * F.col("variance")), 4).alias("squares"))
 
 
 @query("expand_grid", f"WITH {_CELL}, b AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM cell WHERE mask), o AS (SELECT row-(r0-CAST(floor((64-(r1-r0+1))/2.0) AS INT)) AS row, col-(c0-CAST(floor((144-(c1-c0+1))/2.0) AS INT)) AS col, value FROM cell, b WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1) SELECT CAST(i//144 AS INT) AS row, CAST(i%144 AS INT) AS col, value FROM range(64*144) t(i) LEFT JOIN o ON o.row=i//144 AND o.col=i%144")

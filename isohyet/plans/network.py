@@ -22,12 +22,17 @@ def spatial_radius_join(spark, d):
     return spatial.station_pairs(stations(spark, d), RADIUS).withColumn("dist_km", F.round("dist_km", 6))
 
 
-@query("annulus_join", f"WITH {STN}, p AS (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS km FROM stn a, stn b WHERE a.station_id<>b.station_id), m AS (SELECT *, greatest(0, ceil((min(km) OVER (PARTITION BY station_id)-75)/37.5)) AS ring FROM p WHERE km <= 1500) SELECT station_id, ngh_id, CAST(ring AS INT) AS ring FROM m WHERE km <= 75+ring*37.5")
+@query("annulus_join", f"WITH {STN}, p AS (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS km FROM stn a, stn b WHERE a.station_id<>b.station_id), m AS (SELECT *, greatest(0, ceil((min(km) OVER (PARTITION BY station_id)-75)/37.5)) AS ring FROM p) SELECT station_id, ngh_id, CAST(ring AS INT) AS ring FROM m WHERE km <= 75+ring*37.5")
 def annulus_join(spark, d):
     return spatial.annulus_pairs(stations(spark, d)).select("station_id", "ngh_id", "ring")
 
 
-_KNN = f"k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, station_id) AS rank FROM (SELECT a.c_custkey AS point_id, b.station_id, {_KM.replace('a.lat', 'a.lat').replace('a.lon', 'a.lon')} AS km FROM pt a, stn b)), knn AS (SELECT k.*, x.km AS bw FROM k JOIN k x ON x.point_id=k.point_id AND x.rank=11 WHERE k.rank <= 10)"
+def _knn(k: int) -> str:
+    """knn: the k nearest stations of every point and the distance of the next."""
+    return f"k AS MATERIALIZED (SELECT a.c_custkey AS point_id, b.station_id, {_KM} AS km FROM pt a, stn b QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY km, station_id) <= {k + 1}), kr AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, station_id) AS rank, max(km) OVER (PARTITION BY point_id) AS bw FROM k), knn AS (SELECT * FROM kr WHERE rank <= {k})"
+
+
+_KNN = _knn(10)
 _PT = "pt AS (SELECT c_custkey, CAST(-120 AS DOUBLE)+CAST((c_custkey*29)%500 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lon, CAST(28 AS DOUBLE)+CAST((c_custkey*53)%200 AS DOUBLE)*CAST(0.1 AS DOUBLE) AS lat, c_acctbal AS elev FROM customer)"
 
 
@@ -39,16 +44,19 @@ def _points(spark, d):
 
 @query("knn_bisquare", f"WITH {STN}, {_PT}, {_KNN} SELECT point_id, station_id, CAST(rank AS INT) AS rank, round(km,6) AS dist_km, round(power(1-power(km/bw,2),2),6) AS wgt FROM knn")
 def knn_bisquare(spark, d):
-    return spatial.nearest(_points(spark, d), stations(spark, d), 10, 4000.0).select("point_id", "station_id", "rank", F.round("dist_km", 6).alias("dist_km"), F.round("wgt", 6).alias("wgt"))
+    return spatial.nearest(_points(spark, d), stations(spark, d), 10).select("point_id", "station_id", "rank", F.round("dist_km", 6).alias("dist_km"), F.round("wgt", 6).alias("wgt"))
 
 
 _NPAIR = "both2 AS (SELECT a.station_id, b.station_id AS ngh_id, a.tmin AS o, b.tmin AS p FROM nat a JOIN nat b ON a.obs_date=b.obs_date AND a.station_id<b.station_id)"
 
 
 def _both(spark, d):
+    """Days of both stations of each pair; the pairs come first (here all there are)."""
     n = national(spark, d).select("station_id", "obs_date", "tmin")
+    ids = _nat_stations(spark, d)
+    pairs = spatial.station_pairs(ids, spatial.WHOLE_KM).where("station_id < ngh_id").select("station_id", "ngh_id")
     m = n.select(F.col("station_id").alias("ngh_id"), "obs_date", F.col("tmin").alias("pred"))
-    return n.withColumnRenamed("tmin", "obs").join(m, "obs_date").where("station_id < ngh_id")
+    return n.withColumnRenamed("tmin", "obs").join(pairs, "station_id").join(m, ["ngh_id", "obs_date"])
 
 
 @query("ioa_d1_pairs", f"WITH {NAT}, {_NPAIR}, m AS (SELECT *, avg(o) OVER (PARTITION BY station_id, ngh_id) AS m FROM both2) SELECT station_id, ngh_id, round(1-sum(abs(p-o))/nullif(sum(abs(p-m)+abs(o-m)),0),6) AS d1, count(*) AS n FROM m GROUP BY 1,2")
@@ -86,7 +94,7 @@ def _smooth(spark, d):
 _NPAIRS = f"npairs AS (SELECT * FROM (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS dist_km FROM ns a, ns b WHERE a.station_id<>b.station_id) WHERE dist_km <= 300)"
 #: the stations and series of _nat_stations and _smooth
 _SMOOTH = f"""{NAT}, {DENSE}, ns AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, CAST(-100+n_nationkey%5 AS DOUBLE) AS lon, CAST(40+n_nationkey//5 AS DOUBLE) AS lat FROM nation), {_NPAIRS},
-dk AS (SELECT station_id, obs_date, date_diff('day', DATE '1995-01-01', obs_date) AS k FROM dense WHERE obs_date < DATE '1996-06-01'),
+dk AS (SELECT station_id, obs_date, date_diff('day', DATE '1995-01-01', obs_date) AS k FROM dense),
 dc AS (SELECT *, CAST(15 AS DOUBLE)*sin(CAST(k AS DOUBLE)/58)+CAST((k*7919)%13 AS DOUBLE)/4+CAST(station_id%5 AS DOUBLE) AS base, CAST((k*31+station_id*17)%7 AS DOUBLE)/5 AS noise FROM dk),
 sm AS (SELECT station_id, obs_date, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+noise+CASE WHEN (k*13+station_id*101)%997=0 THEN 25.0 ELSE 0.0 END END AS tmin, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+8+noise END AS tmax FROM dc),
 lv AS (SELECT station_id, obs_date, 'tmin' AS elem, tmin AS v FROM sm WHERE tmin IS NOT NULL UNION ALL SELECT station_id, obs_date, 'tmax', tmax FROM sm WHERE tmax IS NOT NULL),
@@ -98,7 +106,7 @@ win AS (SELECT * FROM (SELECT lv.*, m, CAST(date_trunc('month', obs_date) AS DAT
 pr AS (SELECT w.station_id, w.elem, w.m, ngh_id, w.v, n.v AS nv, avg(w.v) OVER (PARTITION BY w.station_id, w.elem, w.m, ngh_id) AS mv FROM win w JOIN np3 p ON p.station_id=w.station_id JOIN lv n ON n.station_id=p.ngh_id AND n.elem=w.elem AND n.obs_date=w.obs_date),
 md AS (SELECT station_id, elem, m, ngh_id, regr_slope(v,nv) AS slope, regr_intercept(v,nv) AS icpt, 1-sum(abs(nv-v))/nullif(sum(abs(nv-mv)+abs(v-mv)),0) AS d1 FROM pr GROUP BY 1,2,3,4 HAVING count(*)>=40 AND min(v)<max(v) AND min(nv)<max(nv)),
 m3 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY station_id, elem, m) AS c FROM md) WHERE c>=3),
-cd AS (SELECT w.station_id, w.elem, w.m, w.obs_date, w.own, w.v, q.ngh_id, slope, icpt, d1, n.v AS nv, row_number() OVER (PARTITION BY w.station_id, w.elem, w.m, w.obs_date, q.ngh_id ORDER BY abs(n.v-w.v), n.obs_date) AS r FROM win w JOIN m3 q ON q.station_id=w.station_id AND q.elem=w.elem AND q.m=w.m JOIN lv n ON n.station_id=q.ngh_id AND n.elem=w.elem AND n.obs_date BETWEEN w.obs_date-1 AND w.obs_date+1),
+cd AS (SELECT w.station_id, w.elem, w.m, w.obs_date, w.own, w.v, q.ngh_id, slope, icpt, d1, n.v AS nv, row_number() OVER (PARTITION BY w.station_id, w.elem, w.m, w.obs_date, q.ngh_id ORDER BY abs(n.v-w.v), n.od) AS r FROM win w JOIN m3 q ON q.station_id=w.station_id AND q.elem=w.elem AND q.m=w.m JOIN (SELECT station_id, elem, v, obs_date AS od, obs_date+k AS obs_date FROM lv, (VALUES (-1),(0),(1)) t(k)) n ON n.station_id=q.ngh_id AND n.elem=w.elem AND n.obs_date=w.obs_date),
 rk AS (SELECT *, row_number() OVER (PARTITION BY station_id, elem, m, obs_date ORDER BY d1 DESC, ngh_id) AS rank FROM cd WHERE r=1),
 es AS (SELECT station_id, elem, m, obs_date, own, v, sum((icpt+slope*nv)*d1)/nullif(sum(d1),0) AS est FROM rk WHERE rank<=7 GROUP BY 1,2,3,4,5,6 HAVING count(*)>=3),
 zs AS (SELECT *, abs(v-est) AS resid, corr(v,est) OVER g AS r, avg(abs(v-est)) OVER g AS mr, stddev_pop(abs(v-est)) OVER g AS sr FROM es WINDOW g AS (PARTITION BY station_id, elem, m)),
@@ -109,7 +117,7 @@ _CORROB = f"""WITH {_SMOOTH}, {WIN}, {norm_sql('tmin', 10, 'sm')}, {norm_sql('tm
 an AS (SELECT sm.station_id, obs_date, 'tmin' AS elem, abs(tmin-a.mean) AS anom FROM sm LEFT JOIN tminn a ON {_OF_DAY.format(a='a')} WHERE tmin IS NOT NULL UNION ALL SELECT sm.station_id, obs_date, 'tmax', abs(tmax-b.mean) FROM sm LEFT JOIN tmaxn b ON {_OF_DAY.format(a='b')} WHERE tmax IS NOT NULL),
 nr AS (SELECT p.station_id, elem, obs_date AS d, anom AS na, row_number() OVER (PARTITION BY p.station_id, elem, obs_date ORDER BY anom IS NULL, dist_km, ngh_id) AS rank, count(*) OVER (PARTITION BY p.station_id, elem, obs_date) AS n FROM np3 p JOIN an ON an.station_id=p.ngh_id),
 ow AS (SELECT an.* FROM an, (SELECT min(obs_date) AS lo, max(obs_date) AS hi FROM sm) WHERE anom IS NOT NULL AND obs_date>lo AND obs_date<hi),
-bad AS (SELECT o.station_id, o.obs_date, o.elem FROM ow o JOIN nr ON nr.station_id=o.station_id AND nr.elem=o.elem AND d BETWEEN o.obs_date-1 AND o.obs_date+1 WHERE n>=3 GROUP BY 1,2,3 HAVING count(DISTINCT d)=3 AND coalesce(bool_and(CASE WHEN rank<=7 THEN abs(na-anom)>=10 END), true))
+bad AS (SELECT o.station_id, o.obs_date, o.elem FROM ow o JOIN (SELECT nr.*, d+k AS day FROM nr, (VALUES (-1),(0),(1)) t(k)) nr ON nr.station_id=o.station_id AND nr.elem=o.elem AND day=o.obs_date WHERE n>=3 GROUP BY 1,2,3 HAVING count(DISTINCT d)=3 AND coalesce(bool_and(CASE WHEN rank<=7 THEN abs(na-anom)>=10 END), true))
 {_SPATIAL_FLAGS}"""
 _CANDIDATES = f"""WITH {_SMOOTH}, dv AS (SELECT station_id, obs_date, month(obs_date) AS month, v AS value FROM lv WHERE elem='tmin'),
 dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
@@ -222,9 +230,13 @@ def location_failures(spark, d):
     return st.location_failures(s, dem, 2000.0).select("station_id", F.round("elevation_dif", 6).alias("elevation_dif"))
 
 
-@query("utc_offset", f"WITH {STN} SELECT station_id, CAST(round_even(lon/15,0) AS SMALLINT) AS utc_offset FROM stn")
+_ZONES = [(-125.0, -114.0, 24.0, 50.0, -8), (-114.0, -102.0, 24.0, 37.0, -7), (-102.0, -87.0, 30.0, 50.0, -6)]
+
+
+@query("utc_offset", f"WITH {STN} SELECT station_id, CAST(CASE {' '.join(f'WHEN lon>={a} AND lon<{b} AND lat>={c} AND lat<{d} THEN {h}' for a, b, c, d, h in _ZONES)} ELSE round_even(lon/15,0) END AS SMALLINT) AS utc_offset FROM stn")
 def utc_offset(spark, d):
-    zones = spark.createDataFrame([], "lon0 double, lon1 double, lat0 double, lat1 double, hours int")
+    """By zone where one covers the station, else by longitude."""
+    zones = spark.createDataFrame(_ZONES, "lon0 double, lon1 double, lat0 double, lat1 double, hours int")
     return st.utc_offset(stations(spark, d), zones).select("station_id", "utc_offset")
 
 
@@ -240,6 +252,26 @@ def infill_candidates(spark, d):
     return infill.candidates(x, pairs).withColumns({"dist_km": F.round("dist_km", 6), "d1": F.round("d1", 6)})
 
 
+_GROWN = f"""WITH {_SMOOTH}, dv AS (SELECT station_id, obs_date, month(obs_date) AS month, v AS value FROM lv WHERE elem='tmin'),
+dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
+cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
+ap AS (SELECT station_id, ngh_id, CAST(greatest(0, ceil((km-75)/37.5)) AS INT) AS ring FROM (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS km FROM ns a, ns b WHERE a.station_id<>b.station_id)),
+pr AS (SELECT a.station_id, a.month, p.ngh_id, p.ring, count(*) AS n FROM dv a JOIN ap p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date GROUP BY 1,2,3,4),
+ok AS (SELECT pr.station_id, pr.month, pr.ngh_id, pr.ring FROM pr JOIN cn t ON t.station_id=pr.station_id AND t.month=pr.month JOIN cn g ON g.station_id=pr.ngh_id AND g.month=pr.month JOIN dy ON dy.month=pr.month WHERE g.n_own>=round(2.0/3*n_days) AND n>=round(2.0/3*t.n_own)),
+nd AS (SELECT ok.station_id, ok.month, b.obs_date, list_sort(list(ring))[3] AS need FROM ok JOIN dv b ON b.station_id=ok.ngh_id AND b.month=ok.month GROUP BY 1,2,3),
+gr AS (SELECT s.station_id, month(s.obs_date) AS month, CASE WHEN count(need)=count(*) THEN max(need) END AS ring FROM sm s LEFT JOIN nd ON nd.station_id=s.station_id AND nd.obs_date=s.obs_date GROUP BY 1,2)
+SELECT gr.station_id, CAST(gr.month AS INT) AS month, gr.ring, CASE WHEN gr.ring IS NULL THEN 'uncovered' ELSE 'covered' END AS status, count(*) AS n_nghs FROM gr JOIN ok ON ok.station_id=gr.station_id AND ok.month=gr.month AND (gr.ring IS NULL OR ok.ring<=gr.ring) GROUP BY 1,2,3,4"""
+
+
+@query("infill_growth", _GROWN)
+def infill_growth(spark, d):
+    """How far the radius grows; no station of these has another within the first one."""
+    x = _smooth(spark, d).select("station_id", "obs_date", F.col("tmin").alias("value"))
+    chosen, status = infill.grown_candidates(x, _nat_stations(spark, d))
+    n = chosen.groupBy("station_id", "month").agg(F.count(F.lit(1)).alias("n_nghs"))
+    return status.join(n, ["station_id", "month"]).select("station_id", "month", "ring", "status", "n_nghs")
+
+
 @query("em_mvn")
 def em_mvn(spark, d):
     x, pairs = _infill_rows(spark, d)

@@ -170,6 +170,12 @@ def write_station_list(stations: DataFrame, path: str) -> None:
     stations.select(F.format_string("%11s %8.4f %9.4f", station_code(F.col("station_id")), "lat", "lon").alias("value")).sort("value").write.mode("overwrite").text(path)
 
 
+def write_location_failures(failures: DataFrame, path: str) -> None:
+    """CSV with a header for checking by hand; commas in names become blanks."""
+    columns = ("station_id", "station_name", "longitude", "latitude", "elevation", "elevation_dem", "elevation_dif", "longitude_qa", "latitude_qa", "elevation_qa")
+    failures.withColumn("station_name", F.replace("station_name", F.lit(","), F.lit(" "))).select(*columns).sort("station_id").write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_monthly(monthly: DataFrame, path: str) -> None:
     """A line a station and year: hundredths in 12 columns of 9, -9999 missing."""
     code = station_code(F.col("station_id"))

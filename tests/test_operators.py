@@ -202,11 +202,98 @@ def test_scalars(spark):
 
 def test_gwr_is_exact_on_planes():
     r = np.random.default_rng(2)
-    f, f0, w = r.standard_normal((30, 4)), r.standard_normal(4), r.uniform(0.1, 1, 30)
-    z, status = kernels.gwr_weights(f, f0, w)
-    y = 3 + f @ np.array([1.0, -2, 0.5, 4])
-    assert status == "ok" and z.sum() == pytest.approx(1) and z @ y == pytest.approx(3 + f0 @ np.array([1.0, -2, 0.5, 4]))
-    assert kernels.gwr_weights(np.ones((5, 2)), np.ones(2), np.ones(5))[1] == "rank_deficient"
+    f, f0, w = r.standard_normal((5, 30, 4)), r.standard_normal((5, 4)), r.uniform(0.1, 1, (5, 30))
+    z, deficient = kernels.gwr_weights(f, f0, w)
+    y, y0 = 3 + f @ np.array([1.0, -2, 0.5, 4]), 3 + f0 @ np.array([1.0, -2, 0.5, 4])
+    assert not deficient.any() and z.sum(1) == pytest.approx(np.ones(5)) and (z * y).sum(1) == pytest.approx(y0)
+    assert kernels.gwr_weights(np.ones((1, 5, 2)), np.ones((1, 2)), np.ones((1, 5)))[1].tolist() == [True]
+
+
+def test_gwr_solves_the_normal_equations():
+    r = np.random.default_rng(12)
+    f, f0, w, y = r.standard_normal((4, 25, 3)), r.standard_normal((4, 3)), r.uniform(0.01, 1, (4, 25)), r.standard_normal((4, 25))
+    z, _ = kernels.gwr_weights(f, f0, w)
+    for i in range(4):
+        x = np.column_stack([np.ones(25), f[i]])
+        b = np.linalg.lstsq(x * np.sqrt(w[i])[:, None], y[i] * np.sqrt(w[i]), rcond=None)[0]
+        assert z[i] @ y[i] == pytest.approx(np.concatenate([[1], f0[i]]) @ b)
+
+
+def test_kriging_solves_each_system(spark):
+    r = np.random.default_rng(13)
+    n = 24
+    st = [(i, float(r.uniform(-110, -104)), float(r.uniform(38, 44)), float(r.uniform(0, 3000))) for i in range(n)]
+    stations_ = spark.createDataFrame(st, "station_id long, lon double, lat double, elev double")
+    pts = [(i, float(r.uniform(-109, -105)), float(r.uniform(39, 43)), float(r.uniform(0, 3000)), 0.3 + i / 10, 1.5, 0.0 if i == 3 else 150.0) for i in range(6)]
+    points = spark.createDataFrame(pts, "point_id long, lon double, lat double, elev double, nug double, psill double, rng double")
+    near = spatial.nearest(points, stations_, 8)
+    got = {}
+    for x in interp.drift_weights(points.select("point_id", "lon", "lat", "elev"), near, stations_, points.select("point_id", "nug", "psill", "rng")).collect():
+        got.setdefault(x.point_id, {})[x.station_id] = (x.lam, x.variance)
+    xy = np.array(st)[:, 1:]
+    for i, lon, lat, elev, nug, psill, rng in pts:
+        ids = sorted(range(n), key=lambda k: (kernels.km(lon, lat, *xy[k, :2]), k))[:8]
+        assert sorted(got[i]) == sorted(ids)
+        cov = (lambda h: psill * np.exp(-h / rng)) if rng else (lambda h: 0 * h)
+        sill = nug + psill
+        a, b = np.zeros((12, 12)), np.zeros(12)
+        for u, p in enumerate(ids):
+            for v, q in enumerate(ids):
+                a[u, v] = sill if u == v else cov(kernels.km(*xy[p, :2], *xy[q, :2]))
+            a[u, 8:] = a[8:, u] = [1, *(xy[p] / [100, 10, 1000])]
+            b[u] = cov(kernels.km(lon, lat, *xy[p, :2]))
+        b[8:] = [1, lon / 100, lat / 10, elev / 1000]
+        x = np.linalg.solve(a, b)
+        assert [got[i][p][0] for p in ids] == pytest.approx(x[:8], abs=1e-8)
+        assert got[i][ids[0]][1] == pytest.approx(sill - x @ b, abs=1e-8)
+
+
+def test_nearest_is_exact_whatever_the_start(spark):
+    r = np.random.default_rng(14)
+    st = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(r.uniform(-180, 180, 60), r.uniform(-88, 88, 60)))] + [(60 + i, 10.0 + i / 100, 50.0) for i in range(60)]
+    pts = [(0, 10.0, 50.0), (1, 179.9, -60.0), (2, -179.9, 10.0), (3, 0.0, 89.0), (4, -100.0, 0.0)]
+    stations_, points = spark.createDataFrame(st, "station_id long, lon double, lat double"), spark.createDataFrame(pts, "point_id long, lon double, lat double")
+    for start in (None, 30_000.0):
+        got = {(x.point_id, x["rank"]): x.station_id for x in spatial.nearest(points, stations_, 7, start).collect()}
+        for p, lon, lat in pts:
+            want = sorted(st, key=lambda s: (round(float(kernels.km(lon, lat, s[1], s[2])), 9), s[0]))[:7]
+            assert [got[p, k] for k in range(1, 8)] == [s[0] for s in want]
+
+
+def test_growth_takes_what_every_day_needs(spark):
+    """Three neighbours a day: the third nearest one misses some days, and nobody else
+    is near, so the radius grows to the fourth; a far station is left uncovered."""
+    days_ = [dt.date(2001, 1, 1) + dt.timedelta(i) for i in range(31)]
+    place = {0: 0.0, 1: 0.2, 2: 0.4, 3: 0.6, 4: 2.0, 5: 2.1}  # degrees on the equator
+    stations_ = spark.createDataFrame([(s, x, 0.0) for s, x in place.items()] + [(6, 0.0, 80.0)], "station_id long, lon double, lat double")
+    r = np.random.default_rng(15)
+    base = r.normal(0, 5, 31)
+    rows = [(s, d, None if s == 3 and i in (4, 5) else float(base[i] + s)) for s in place for i, d in enumerate(days_)]
+    rows += [(6, d, float(i)) for i, d in enumerate(days_)]
+    daily = spark.createDataFrame(rows, "station_id long, obs_date date, value double")
+    chosen, status = infill.grown_candidates(daily, stations_)
+    got = {x.station_id: (x.ring, x.status) for x in status.collect()}
+    of = {}
+    for x in chosen.collect():
+        of.setdefault(x.station_id, set()).add(x.ngh_id)
+    km = lambda s, t: abs(place[s] - place[t]) * 111.195
+    ring = lambda s, t: max(0, int(np.ceil((km(s, t) - 75) / 37.5)))
+    assert got[0] == (ring(0, 4), "covered") and of[0] == {1, 2, 3, 4}
+    assert got[3] == (0, "covered") and of[3] == {0, 1, 2}
+    assert got[5][1] == "covered" and got[5][0] == ring(5, 2)
+    assert got[6][1] == "covered"  # the whole globe has enough
+    few = stations_.where("station_id in (0, 1, 2)")
+    _, status = infill.grown_candidates(daily.where("station_id in (0, 1, 2)"), few)
+    assert {(x.ring, x.status) for x in status.collect()} == {(None, "uncovered")}
+
+
+def test_nearest_with_data_finds_far_cells(spark):
+    g = grid.Grid(0.0, 0.0, 1.0, 500, 500)
+    cells = spark.createDataFrame([(3, 3, 1.0), (400, 410, 2.0), (401, 410, 3.0), (90, 90, None)], "row int, col int, value double")
+    points = spark.createDataFrame([(1, 3.5, -3.5), (2, 90.5, -90.5), (3, 410.5, -402.5), (4, -800.0, 900.0), (5, None, None)], "point_id long, lon double, lat double")
+    got = {x.point_id: x.value for x in grid.nearest_with_data(points, cells, g).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 3.0, 4: 1.0, 5: None}
+    assert {x.value for x in grid.nearest_with_data(points, cells.where("value is null"), g).collect()} == {None}
 
 
 def test_kriging_and_variogram():
@@ -214,9 +301,10 @@ def test_kriging_and_variogram():
     lon, lat = r.uniform(-110, -108, 60), r.uniform(40, 42, 60)
     h = kernels.distances(lon, lat)
     f = np.column_stack([lon, lat])
-    lam, var = kernels.drift_weights(f, f[7], h, h[7], 0.0, 2.0, 80.0)
-    assert lam[7] == pytest.approx(1, abs=1e-6) and var == pytest.approx(0, abs=1e-6)
-    lam, _ = kernels.drift_weights(f, f.mean(0), h, h.mean(0), 0.4, 0.0, 0.0)
+    one = lambda *x: [np.array([v], float) for v in x]
+    lam, var = kernels.drift_weights(*one(f, f[7], h, h[7], 0.0, 2.0, 80.0))
+    assert lam[0, 7] == pytest.approx(1, abs=1e-6) and var[0] == pytest.approx(0, abs=1e-6)
+    lam = kernels.drift_weights(*one(f, f.mean(0), h, h.mean(0), 0.4, 0.0, 0.0))[0][0]
     assert lam.sum() == pytest.approx(1) and lam @ f[:, 0] == pytest.approx(lon.mean())
     c = np.linalg.cholesky(2.0 * np.exp(-h / 60) + 1e-6 * np.eye(60))
     fits = [kernels.fit_variogram(f, c @ r.standard_normal(60), lon, lat) for _ in range(10)]

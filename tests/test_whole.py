@@ -3,22 +3,10 @@
 import os
 
 import duckdb
-import pytest
-from test_queries import SF, SQL, duck, rows
+from test_queries import SF
 
 from isohyet.plans import library
 
-#: The stored SQL stops at this day; here it is compared without the cut.
-CUT = " WHERE obs_date < DATE '1996-06-01'"
-
-
-@pytest.mark.parametrize("name", ["qa_spatial_regress", "qa_spatial_corrob", "infill_candidates"])
-def test_all_days(spark, name):
-    got, want = library.queries()[name](spark, SF).toPandas(), duck(name).sql(SQL[name].replace(CUT, "")).df()
-    columns = sorted(want.columns)
-    assert len(want) and rows(got, columns) == rows(want, columns)
-
-
 def test_infill_all_days(spark):
     days = duckdb.sql(f"select date_diff('day', min(l_shipdate)::date, max(l_shipdate)::date) + 1 from '{SF}/lineitem.parquet'").fetchone()[0]
     got = library.queries()["ppca_infill"](spark, SF).groupBy("station_id").count().collect()
