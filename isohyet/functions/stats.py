@@ -20,6 +20,11 @@ def errors(obs: str = "obs", pred: str = "pred") -> list[Column]:
     return [F.avg(F.abs(p - o)).alias("mae"), F.avg(p - o).alias("bias"), F.pow(F.corr(p, o), 2).alias("r2")]
 
 
+def mean_and_deviation(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """n, mean and population standard deviation per group over rows with a value."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
 def biweight(df: DataFrame, keys: list[str], value: str = "value", c: float = 7.5) -> DataFrame:
     """Biweight mean and standard deviation per group (n, bi_mean, bi_std); where the
     median absolute deviation is 0 the plain mean and sample deviation."""

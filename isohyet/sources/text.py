@@ -195,12 +195,13 @@ def write_observations(obs: DataFrame, path: str) -> None:
     obs.repartition("station_id").sortWithinPartitions("station_id", "obs_date").write.mode("overwrite").parquet(path)
 
 
-def read_observations(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, ids: DataFrame | None = None, elem: str | None = None, unflagged: bool = True) -> DataFrame:
-    """Observations of a period and of some stations; flagged ones are null unless
-    asked for. Bounds and columns reach the scan."""
+def read_observations(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, ids: DataFrame | None = None, elem: str | None = None, unflagged: bool = True, months: tuple[int, ...] | None = None) -> DataFrame:
+    """Observations of a period, of some stations and calendar months; flagged ones are
+    null unless asked for. Bounds and columns reach the scan."""
     x = spark.read.parquet(path)
     x = x if first is None else x.where(F.col("obs_date") >= F.lit(first).cast("date"))
     x = x if last is None else x.where(F.col("obs_date") <= F.lit(last).cast("date"))
+    x = x if months is None else x.where(F.month("obs_date").isin(*months))
     x = x if ids is None else x.join(ids.select("station_id"), "station_id", "left_semi")
     elems = [elem] if elem else [c for c in ("tmin", "tmax", "prcp") if c in x.columns]
     value = lambda e: (F.when(F.coalesce(f"qflag_{e}", F.lit("")) == "", F.col(e)) if unflagged and f"qflag_{e}" in x.columns else F.col(e)).alias(e)
