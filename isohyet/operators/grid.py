@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions.scalars import haversine, pack
+from isohyet.tables import table
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,7 @@ def nearest_with_data(points: DataFrame, cells: DataFrame, g: Grid, start: int =
         if side >= reach:
             out = best if out is None else out.unionByName(best)
             break
-        best = best.persist()
+        best = table(best, "cells")
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select("point_id"), "point_id", "left_anti")
         if left.isEmpty():

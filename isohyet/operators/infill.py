@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import kernels
 from isohyet.operators.spatial import WHOLE_KM, station_pairs
 from isohyet.shipping import ship
+from isohyet.tables import table
 
 #: Columns of a target's matrix, the target's own included.
 MAX_COLUMNS = 31
@@ -207,11 +208,15 @@ def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, star
         pairs = station_pairs(stations, min(radius, WHOLE_KM)).join(open_.select("station_id").distinct(), "station_id", "left_semi")
         found = candidates(daily, pairs, share, min_d1).withColumn("ring", ring).join(open_, key, "left_semi")
         # a best one that is not ok counts if it is the best of the first radius
-        first = found.where("not ok").persist() if first is None else first
-        found = found.where("ok").unionByName(first.join(open_, key, "left_semi")).persist()
+        if first is None:
+            found = first = table(found, "candidates")
+            first = first.where("not ok")
+        else:
+            found = table(found.where("ok").unionByName(first.join(open_, key, "left_semi")), "candidates")
         have = found.select(*key, "ngh_id", "ring").join(seen, "ngh_id").where(F.month("obs_date") == F.col("month"))
         need = have.groupBy(*key, "obs_date").agg(F.get(F.array_sort(F.collect_list("ring")), F.lit(least - 1)).alias("need"))
-        need = days.join(open_, key, "left_semi").join(need, [*key, "obs_date"], "left").groupBy(*key).agg(F.when(F.count("need") == F.count(F.lit(1)), F.max("need")).alias("ring")).persist()
+        need = days.join(open_, key, "left_semi").join(need, [*key, "obs_date"], "left").groupBy(*key).agg(F.when(F.count("need") == F.count(F.lit(1)), F.max("need")).alias("ring"))
+        need = table(need, "rings")
         done = need if last else need.where("ring is not null")
         out = found.join(done.select(*key, F.col("ring").alias("_r")), key).where("_r is null or ring <= _r").drop("_r")
         chosen = out if chosen is None else chosen.unionByName(out)

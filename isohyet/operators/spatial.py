@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.scalars import bisquare, haversine
 from isohyet.operators.qa_temp import ELEMS, _with_norms, seasonal_norms, update
+from isohyet.tables import table
 
 KM_PER_DEGREE = 111.195
 
@@ -49,7 +50,7 @@ def annulus_pairs(stations: DataFrame, start: float = 75.0, step: float = 37.5)
     own = stations.select(F.col("station_id").alias("point_id"), "lon", "lat")
     first = nearest(own, stations, 1, strict=False, others=True)
     ring = F.greatest(F.lit(0), F.ceil((F.col("dist_km") - start) / step)).cast("int")
-    rings = first.select("point_id", ring.alias("ring")).persist()
+    rings = table(first.select("point_id", ring.alias("ring")), "rings")
     # stations whose radius is about the same are joined together, each doubling by itself
     size = F.ceil(F.log2((start + F.col("ring") * step) / start)).cast("int")
     out = None
@@ -85,7 +86,7 @@ def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | No
     Stations are searched within a radius that holds some more than k + 1 of them on
     average; the points that found fewer are searched again within twice the radius,
     until none is left: the k + 1 nearest are exact once they are in the radius. What a
-    round found is kept, as the next one asks for the rest."""
+    round found is written, and the next one asks for the rest."""
     radius = min(WHOLE_KM, start_km or _start_km(stations, k))
     w = Window.partitionBy("point_id").orderBy("dist_km", "station_id")
     found, left = None, points
@@ -97,7 +98,7 @@ def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | No
         if radius >= WHOLE_KM:
             found = top if found is None else found.unionByName(top)
             break
-        top = top.persist()
+        top = table(top, "nearest")
         enough = top.where(F.col("rank") == k + 1).select("point_id")
         done = top.join(enough, "point_id", "left_semi")
         found = done if found is None else found.unionByName(done)
