@@ -210,8 +210,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
 
     def extend(batches):
         schema = pa.schema([("part", pa.int32()), ("hash", pa.binary()), ("other", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
-        task = TaskContext.get().partitionId()
-        for nth, b in enumerate(pieces(batches, most=CHUNK)):
+        for b in pieces(batches, most=CHUNK):
             b = b.take(pa.compute.sort_indices(b.column(0)))
             data, offsets = text_bytes(b.column(1))
             starts, ends, owner = words(data, offsets)
@@ -235,7 +234,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
             rest = order[later]
             by, there, spans = _by_part(_part(h[lead], parts))
             rows = [(p, h[lead[by[a:z]]].tobytes(), other[lead[by[a:z]]].tobytes(), doc[lead[by[a:z]]].tobytes(), start[lead[by[a:z]]].tobytes()) for p, (a, z) in zip(there.tolist(), spans, strict=True)]
-            rows.append(((task + nth) % parts, None, None, doc[rest].tobytes(), start[rest].tobytes()))
+            by, there, spans = _by_part(_part(mix(doc[rest].astype(np.uint64)), parts))
+            rows += [(p, None, None, doc[rest[by[a:z]]].tobytes(), start[rest[by[a:z]]].tobytes()) for p, (a, z) in zip(there.tolist(), spans, strict=True)]
             yield _rows(schema, rows)
 
     out = pa.schema([("part", pa.int32()), ("doc", pa.binary()), ("start", pa.binary())])

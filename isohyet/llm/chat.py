@@ -39,16 +39,11 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     sets = turns.select("conv_id", struct.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     said = F.transform("x", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text")))
     sets = sets.select("conv_id", F.size("x").cast("long").alias("n_turns"), said.alias("x"))
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-    last = lambda a: F.element_at(a, -1)
-    merged = F.aggregate(
-        "x",
-        empty,
-        lambda a, x: F.when(
-            F.coalesce(F.get(a, F.size(a) - 1)["role"] == x["role"], F.lit(False)),
-            F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["role"].alias("role"), F.concat(last(a)["texts"], F.array(x["text"])).alias("texts")))),
-        ).otherwise(F.concat(a, F.array(F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))))),
-    )
+    # where a run of one role begins; each turn is looked at once, whatever came before it
+    begins = F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda i: (i == 0) | (F.get("x", i)["role"] != F.get("x", i - 1)["role"]))
+    sets = sets.withColumn("at", begins)
+    run = lambda i, j: F.slice("x", i + 1, F.coalesce(F.get("at", j + 1), F.size("x")) - i)
+    merged = F.transform("at", lambda i, j: F.struct(F.get("x", i)["role"].alias("role"), F.transform(run(i, j), lambda t: t["text"]).alias("texts")))
     sets = sets.select("conv_id", "n_turns", merged.alias("m"))
     block = lambda m: F.concat(F.lit(OPEN), m["role"], F.lit(SAYS), _joined(m["texts"], NEXT), F.lit(CLOSE))
     gap = len(NEXT)

@@ -28,13 +28,13 @@ def features(docs: DataFrame) -> DataFrame:
     Null text: no words, all counts 0. Columns of docs other than doc_id, text
     and lang are not looked at. Repeated rows are measured each. n_repeat_words:
     words in 8-word windows found twice or more, first included; windows are
-    compared by their 64-bit hashes, sorted with their places, so the work is
+    compared by 64-bit hashes of their words' hashes, sorted with their places, so the work is
     n log n in the words whatever repeats."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     base = docs.select("doc_id", lang.cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
-    base = base.withColumn("w", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    base = base.withColumn("w", F.transform(F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
     n = F.size("w")
-    window = F.when(n < 8, F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice("w", i, 8))))
+    window = F.when(n < 8, F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(-1, 7)])))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     chars = F.length(F.translate("t", SPACE, ""))
     base = base.select("doc_id", "lang", n.cast("long").alias("n_words"), chars.cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"), lines.alias("l"), window.alias("h"), (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))).cast("long").alias("n_upper"), (F.length("t") - F.length(F.translate("t", "!?;:\"()[]{}=~^_@/\\", ""))).cast("long").alias("n_marks"))

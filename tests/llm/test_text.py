@@ -44,6 +44,14 @@ def test_chat_round_trip(spark):
 # -- language -----------------------------------------------------------------
 
 
+def test_chat_of_many_turns(spark):
+    said = [(1, i, ("user", "assistant", "assistant")[i % 3] if i % 50 else None, f"t{i} <turn> \\") for i in range(3000)]
+    out = chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    got = out.select("n_turns", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert got.n_turns == 3000 and [(x.role, x.text) for x in got.back] == [(r or "", t) for _, _, r, t in said]
+    assert got.loss == "".join(t for _, _, r, t in said if r == "assistant")
+
+
 def test_language_held_out(spark):
     words = {"en": "the and of that with from have this they which".split(), "de": "der und das nicht mit auch sich werden eine über".split()}
     r = np.random.default_rng(1)
