@@ -184,44 +184,106 @@ def gwr_weights(f: np.ndarray, f0: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return (left[:, None, :] @ a)[:, 0, :], deficient
 
 
-def fit_variogram(f: np.ndarray, y: np.ndarray, lon: np.ndarray, lat: np.ndarray, width: float = 5.0) -> tuple[float, float, float]:
-    """nugget, partial sill and range of an exponential variogram of the residuals of
-    a trend. The nugget is the least bin and the sill the residuals' variance; only
-    the range is fitted, by weights N / h^2. Least squares first, then generalised
+def _solved(c: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """c^-1 @ right of many systems; of singular ones the least solution."""
+    try:
+        out = np.linalg.solve(c, right)
+    except np.linalg.LinAlgError:
+        out = np.full(right.shape, np.nan)
+    for i in np.flatnonzero(~np.isfinite(out).all((1, 2))):
+        out[i] = np.linalg.pinv(c[i]) @ right[i] if np.isfinite(c[i]).all() else np.nan
+    return out
+
+
+#: The share of the golden section.
+_GOLD = (math.sqrt(5) - 1) / 2
+
+
+def fit_ranges(h: np.ndarray, gamma: np.ndarray, weight: np.ndarray, nug: np.ndarray, psill: np.ndarray, least: float) -> np.ndarray:
+    """Of many exponential variograms the range with the least weighted squares over
+    bins (systems, bins) of weight 0 where empty: the best of a row of ranges, then by
+    golden section between the two beside it. NaN where the best is at an end."""
+    high = np.log(10 * np.where(weight > 0, h, 0).max(1).clip(least, None))
+    low = math.log(least)
+
+    def error(log_range: np.ndarray) -> np.ndarray:
+        fit = nug[:, None] + psill[:, None] * (1 - np.exp(-h / np.exp(log_range)[:, None]))
+        return (weight * (gamma - fit) ** 2).sum(1)
+
+    steps = 40
+    at = low + (high - low) * (np.arange(steps) / (steps - 1))[:, None]
+    best = np.argmin([error(x) for x in at], 0)
+    inside = (best > 0) & (best < steps - 1)
+    mid, every = np.clip(best, 1, steps - 2), np.arange(len(h))
+    a, b = at[mid - 1, every], at[mid + 1, every]
+    x, y = b - _GOLD * (b - a), a + _GOLD * (b - a)
+    ex, ey = error(x), error(y)
+    for _ in range(24):
+        left = ex < ey
+        a, b = np.where(left, a, x), np.where(left, y, b)
+        new = np.where(left, b - _GOLD * (b - a), a + _GOLD * (b - a))
+        e = error(new)
+        x, y, ex, ey = np.where(left, new, y), np.where(left, x, new), np.where(left, e, ey), np.where(left, ex, e)
+    return np.where(inside, np.exp((a + b) / 2), np.nan)
+
+
+def fit_variograms(f: np.ndarray, y: np.ndarray, lon: np.ndarray, lat: np.ndarray, far: np.ndarray, width: float = 5.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nugget, partial sill and range of exponential variograms of the residuals of a
+    trend, of many neighbourhoods (systems, neighbours): pairs up to 1.4 far apart in
+    bins of that width. The nugget is the least bin and the sill the residuals' variance;
+    only the range is fitted, by weights N / h^2. Least squares first, then generalised
     least squares with that model. No fit: (variance, 0, 0)."""
-    x, _ = _standardised(f, f[0])
-    h = distances(lon, lat)
-    iu = np.triu_indices(len(y), 1)
-    cutoff = 1.4 * h[iu].max() if len(y) > 1 else 0.0
-    c, out = np.eye(len(y)), (0.0, 0.0, 0.0)
-    for _ in range(2):
-        try:
-            ci = np.linalg.pinv(c)
-            r = y - x @ np.linalg.lstsq(x.T @ ci @ x, x.T @ ci @ y, rcond=None)[0]
-        except np.linalg.LinAlgError:
-            r = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        var = float(r.var(ddof=1))
-        d, g = h[iu], (r[iu[0]] - r[iu[1]]) ** 2
-        ok = (d > 0) & (d <= cutoff)
-        b = np.floor(d[ok] / width).astype(int)
-        n = np.bincount(b)
-        has = n > 0
-        hb, gb, n = np.bincount(b, d[ok])[has] / n[has], np.bincount(b, g[ok])[has] / (2 * n[has]), n[has]
-        nug = float(gb.min()) if len(gb) else var
+    b, n, _ = f.shape
+    if n < 2:
+        return np.zeros(b), np.zeros(b), np.zeros(b)
+    x, _ = _standardised(f, f[:, 0])
+    h = km(lon[:, :, None], lat[:, :, None], lon[:, None, :], lat[:, None, :])
+    i, j = np.triu_indices(n, 1)
+    d = h[:, i, j]
+    use = (d > 0) & (d <= 1.4 * far[:, None])
+    cell = np.floor(d[use] / width).astype(np.int64)
+    bins = int(cell.max()) + 1 if len(cell) else 1
+    flat = np.nonzero(use)[0] * bins + cell
+    total = lambda v=None: np.bincount(flat, v, b * bins).reshape(b, bins)
+    count = total()
+    there = count > 0
+    full = np.flatnonzero(there.any(0))  # bins that are empty in all systems count for none
+    count, there = count[:, full], there[:, full]
+    hb = total(d[use])[:, full] / np.maximum(count, 1)
+    weight = np.where(there, count / np.where(there, hb, 1) ** 2, 0)
+
+    def fit(r: np.ndarray):
+        gamma = total(((r[:, i] - r[:, j]) ** 2)[use])[:, full] / (2 * np.maximum(count, 1))
+        var = r.var(1, ddof=1)
+        nug = np.where(there, gamma, np.inf).min(1, initial=np.inf)
+        nug = np.where(np.isfinite(nug), nug, var)
         psill = var - nug
-        if psill <= 0 or len(hb) < 3:
-            return (var, 0.0, 0.0)
-        grid = np.geomspace(width / 10, 10 * hb.max(), 400)
-        err = ((n / hb**2) * (gb - nug - psill * (1 - np.exp(-hb / grid[:, None]))) ** 2).sum(1)
-        i = int(err.argmin())
-        if i in (0, len(grid) - 1):
-            return (var, 0.0, 0.0)
-        fine = np.linspace(grid[i - 1], grid[i + 1], 200)
-        err = ((n / hb**2) * (gb - nug - psill * (1 - np.exp(-hb / fine[:, None]))) ** 2).sum(1)
-        rng = float(fine[err.argmin()])
-        out = (nug, psill, rng)
-        c = psill * np.exp(-h / rng) + nug * np.eye(len(y))
-    return out
+        ok = (psill > 0) & (there.sum(1) >= 3)
+        rng = np.full(b, np.nan)
+        if ok.any():
+            rng[ok] = fit_ranges(hb[ok], gamma[ok], weight[ok], nug[ok], psill[ok], width / 10)
+        return var, nug, psill, rng
+
+    r = y - (x @ (np.linalg.pinv(x) @ y[:, :, None]))[:, :, 0]
+    var, nug, psill, rng = fit(r)
+    again = np.isfinite(rng)
+    if again.any():
+        c = np.where(again, psill, 0)[:, None, None] * np.exp(-h / np.where(again, rng, 1)[:, None, None]) + np.where(again, nug, 1)[:, None, None] * np.eye(n)
+        s = _solved(c, np.concatenate([x, y[:, :, None]], 2))
+        left, right = x.transpose(0, 2, 1) @ s[:, :, :-1], x.transpose(0, 2, 1) @ s[:, :, -1:]
+        bad = ~np.isfinite(left).all((1, 2))
+        beta = np.linalg.pinv(np.where(bad[:, None, None], 0, left)) @ right
+        gls = y - (x @ beta)[:, :, 0]
+        r = np.where((again & ~bad)[:, None], gls, r)
+        var, nug, psill, rng = fit(r)
+    found = again & np.isfinite(rng)
+    return np.where(found, nug, var), np.where(found, psill, 0.0), np.where(found, rng, 0.0)
+
+
+def fit_variogram(f: np.ndarray, y: np.ndarray, lon: np.ndarray, lat: np.ndarray, width: float = 5.0, far: float | None = None) -> tuple[float, float, float]:
+    """fit_variograms of one neighbourhood; far: else the farthest pair."""
+    far = distances(lon, lat).max() if far is None else far
+    return tuple(float(v[0]) for v in fit_variograms(f[None], y[None], lon[None], lat[None], np.array([far]), width))
 
 
 def fix_crossed(tmin: np.ndarray, tmax: np.ndarray, tail: int = 15) -> tuple[np.ndarray, np.ndarray, int]:

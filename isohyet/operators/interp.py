@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import kernels
 from isohyet.functions.stats import errors, weighted_mean
+from isohyet.operators import neighbourhoods
+from isohyet.operators.neighbourhoods import lots
 from isohyet.operators.spatial import nearest
 from isohyet.shipping import map_arrow, ship
 
@@ -36,13 +38,6 @@ def _neighbourhoods(points: DataFrame, near: DataFrame, stations: DataFrame, pre
     return near.join(s, "station_id").join(p, "point_id")
 
 
-def _lots(size: np.ndarray, most: int = 2 << 20):
-    """Points with equally many neighbours, in lots with a bounded number of pairs."""
-    for m in np.unique(size):
-        i, step = np.flatnonzero(size == m), max(1, most // int(m * m))
-        yield from (i[k : k + step] for k in range(0, len(i), step))
-
-
 def _solve(rows: DataFrame, ngh: list[str], point: list[str], kernel: Callable, out: str) -> DataFrame:
     """point_id, station_id and the columns out, from kernel on many points at once.
 
@@ -62,7 +57,7 @@ def _solve(rows: DataFrame, ngh: list[str], point: list[str], kernel: Callable,
             size = np.diff(start)
             values = {c: flat.field(1 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(each)}
             own = {c: b.column(2 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(once)}
-            for i in _lots(size):
+            for i in lots(size):
                 m = size[i[0]]
                 at = start[i][:, None] + np.arange(m)
                 found = kernel(*(values[c][at] for c in ngh), *(own[c][i] for c in point))
@@ -115,16 +110,15 @@ def variogram_bins(residuals: DataFrame, pairs: DataFrame, width: float = 5.0) -
 
 
 def fit_variograms(points: DataFrame, near: DataFrame, stations: DataFrame, norms: DataFrame, predictors: tuple[str, ...] = ("lon", "lat", "elev")) -> DataFrame:
-    """point_id, month, nug, psill, rng fitted over each point's neighbours."""
-    ship(points.sparkSession)
-    rows = _neighbourhoods(points, near, stations, predictors).join(norms.select("station_id", "month", "norm").where("norm is not null"), "station_id")
-    kind = points.schema["point_id"].dataType.simpleString()
+    """point_id, month, nug, psill, rng fitted over each point's neighbours; near is a
+    list of neighbours (nearest). Stations without a norm in a month count in none."""
+    near = near.join(neighbourhoods.usable(stations, norms, predictors, ("norm",)).select("station_id"), "station_id", "left_semi")
+    rows = neighbourhoods.packed(points, near, stations, norms, 1 << 20, predictors, (), ("norm",))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = kernels.fit_variogram(g[[f"s_{p}" for p in predictors]].to_numpy(float), g["norm"].to_numpy(float), g["s_lon"].to_numpy(float), g["s_lat"].to_numpy(float))
-        return pd.DataFrame([[g["point_id"].iloc[0], int(g["month"].iloc[0]), *v]], columns=["point_id", "month", "nug", "psill", "rng"])
+    def kernel(x):
+        return kernels.fit_variograms(x["f"], x["norm"], x["lon"], x["lat"], x["dist"].max(1))
 
-    return rows.groupBy("point_id", "month").applyInPandas(run, f"point_id {kind}, month int, nug double, psill double, rng double")
+    return neighbourhoods.solve(rows, predictors, (), ("norm",), kernel, "nug double, psill double, rng double").drop("k")
 
 
 def apply_weights(weights: DataFrame, values: DataFrame, weight: str, keys: list[str]) -> DataFrame:
@@ -142,17 +136,24 @@ def interpolate_daily(points: DataFrame, stations: DataFrame, daily: DataFrame,
     return out.join(point_norms, ["point_id", "month"]).select("point_id", "obs_date", (F.col("value") + F.col("norm")).alias("value"))
 
 
-def interpolate_normals(points: DataFrame, stations: DataFrame, norms: DataFrame, k: int, **how) -> DataFrame:
-    """point_id, month, norm, variance: variogram, kriging weights and sums by month."""
-    near = nearest(points, stations, k, **how)
-    v = fit_variograms(points, near, stations, norms)
-    by_month = v.select(F.concat_ws("|", "point_id", "month").alias("_pm"), "point_id", "month", "nug", "psill", "rng")
-    pts = points.join(by_month.select("point_id", "_pm"), "point_id").drop("point_id").withColumnRenamed("_pm", "point_id")
-    nr = near.join(by_month.select("point_id", "_pm"), "point_id").drop("point_id").withColumnRenamed("_pm", "point_id")
-    lam = drift_weights(pts, nr, stations, by_month.select(F.col("_pm").alias("point_id"), "nug", "psill", "rng"))
-    lam = lam.join(by_month.select(F.col("_pm").alias("point_id"), F.col("point_id").alias("_id"), "month"), "point_id")
-    out = lam.join(norms.select("station_id", "month", "norm"), ["station_id", "month"]).groupBy("_id", "month").agg(F.sum(F.col("lam") * F.col("norm")).alias("norm"), F.max("variance").alias("variance"))
-    return out.withColumnRenamed("_id", "point_id")
+def interpolate_normals(points: DataFrame, stations: DataFrame, norms: DataFrame, k: int, predictors: tuple[str, ...] = ("lon", "lat", "elev"), **how) -> DataFrame:
+    """point_id, month, norm, variance: of each point and month the variogram of its k
+    neighbours' norms, kriging weights and their sum, all in one pass over the lists.
+    Stations need a norm in every month."""
+    s = neighbourhoods.usable(stations, norms, predictors, ("norm",))
+    rows = neighbourhoods.packed(points, nearest(points, s, k, **how), s, norms, k, predictors, (), ("norm",))
+    return neighbourhoods.solve(rows, predictors, (), ("norm",), fitted_kriging, "nug double, psill double, rng double, norm double, variance double").select("point_id", "month", "norm", "variance")
+
+
+def kriging(x: dict, nug: np.ndarray, psill: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, ...]:
+    """nug, psill, rng, norm, variance of a lot of systems (neighbourhoods.solve)."""
+    h = kernels.km(x["lon"][:, :, None], x["lat"][:, :, None], x["lon"][:, None, :], x["lat"][:, None, :])
+    lam, var = kernels.drift_weights(x["f"], x["f0"], h, x["dist"], nug, psill, rng)
+    return nug, psill, rng, (lam * x["norm"]).sum(1), var
+
+
+def fitted_kriging(x: dict) -> tuple[np.ndarray, ...]:
+    return kriging(x, *kernels.fit_variograms(x["f"], x["norm"], x["lon"], x["lat"], x["dist"].max(1)))
 
 
 def fix_crossed(daily: DataFrame, tail: int = 15, literal: bool = True) -> DataFrame:

@@ -76,12 +76,13 @@ def _start_km(stations: DataFrame, k: int) -> float:
     return min(WHOLE_KM, math.sqrt(2 * (k + 1) * area / (math.pi * b["n"])))
 
 
-def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | None = None, point_id: str = "point_id", drop_zero: bool = False, strict: bool = True, others: bool = False) -> DataFrame:
+def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | None = None, point_id: str = "point_id", drop_zero: bool = False, strict: bool = True, others: bool = False, exclude: DataFrame | None = None) -> DataFrame:
     """(point_id, station_id, dist_km, rank, bandwidth, wgt): the k nearest stations,
     ties by id. The bandwidth is the distance of the next one beyond them, the weight
     bisquare. strict: with fewer than k + 1 stations in all an error is raised; else
     points keep what there is, weighted by the farthest distance. others: a point is
-    a station by itself, which is not its own neighbour.
+    a station by itself, which is not its own neighbour. exclude: pairs (point_id,
+    station_id) that are not neighbours.
 
     Stations are searched within a radius that holds some more than k + 1 of them on
     average; the points that found fewer are searched again within twice the radius,
@@ -94,6 +95,7 @@ def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | No
         pairs = radius_pairs(left, stations, radius, point_id=point_id)
         pairs = pairs.where("dist_km > 0") if drop_zero else pairs
         pairs = pairs.where("point_id <> station_id") if others else pairs
+        pairs = pairs.join(exclude.select("point_id", "station_id"), ["point_id", "station_id"], "left_anti") if exclude is not None else pairs
         top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
         if radius >= WHOLE_KM:
             found = top if found is None else found.unionByName(top)

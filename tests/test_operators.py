@@ -390,7 +390,7 @@ def test_leave_one_out(spark):
     r = np.random.default_rng(7)
     s = spark.createDataFrame([(i, float(x), float(y), float(e)) for i, (x, y, e) in enumerate(r.uniform(0, 3, (40, 3)))], "station_id int, lon double, lat double, elev double")
     v = s.select("station_id", F.lit(1).alias("month"), (F.col("lon") * 2 - F.col("elev") + 1).alias("value"))
-    loo = interp.leave_one_out(s, v, 20, search_km=3000.0)
+    loo = interp.leave_one_out(s, v, 20)
     assert loo.agg(F.max(F.abs(F.col("obs") - F.col("pred")))).first()[0] < 1e-6
 
 
@@ -455,7 +455,7 @@ def test_interpolate_range(spark):
     d = spark.createDataFrame([(START + dt.timedelta(i),) for i in range(59)], "obs_date date")
     daily = s.crossJoin(d).select("station_id", "obs_date", (10 - F.col("elev") + F.when(F.dayofyear("obs_date") == 20, 12.0).otherwise(1.0)).alias("tmin"), (20 - F.col("elev")).alias("tmax"))
     pts = spark.createDataFrame([(1, 1.5, 1.5, 1.0)], "point_id int, lon double, lat double, elev double")
-    day, normal = interp.interpolate_range(pts, s, daily, norms, 20, 20, (2001, 2001), search_km=3000.0)
+    day, normal = interp.interpolate_range(pts, s, daily, norms, 20, 20, (2001, 2001))
     got = {x.obs_date.timetuple().tm_yday: x for x in day.collect()}
     assert len(got) == 59 and got[1].tmin == pytest.approx(10, abs=0.01) and got[20].tmin < got[20].tmax
     n = {x.month: x for x in normal.collect()}

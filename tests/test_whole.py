@@ -8,7 +8,7 @@ from test_queries import SF
 from isohyet.plans import library
 
 def test_infill_all_days(spark):
-    days = duckdb.sql(f"select date_diff('day', min(l_shipdate)::date, max(l_shipdate)::date) + 1 from '{SF}/lineitem.parquet'").fetchone()[0]
+    days = duckdb.sql(f"select date_diff('day', min(l_shipdate)::date, max(l_shipdate)::date) + 1 from '{SF}/lineitem.parquet'").fetchall()[0][0]
     got = library.queries()["ppca_infill"](spark, SF).groupBy("station_id").count().collect()
     assert got and {r["count"] for r in got} == {days}
 
