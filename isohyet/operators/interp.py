@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import kernels
+from isohyet.functions.scalars import bisquare
 from isohyet.functions.stats import errors, weighted_mean
 from isohyet.operators import neighbourhoods
 from isohyet.operators.neighbourhoods import lots
 from isohyet.operators.spatial import nearest
 from isohyet.shipping import map_arrow, ship
+from isohyet.tables import table
 
 PREDICTORS_NORM = ("lon", "lat", "elev", "lst")
+PLACE = ("lon", "lat", "elev")
 PREDICTORS_ANOM = ("lon", "lat", "elev", "tdi", "lst")
 
 
@@ -194,6 +197,12 @@ def interpolate_range(points: DataFrame, stations: DataFrame, daily: DataFrame,
         pn = pn.select("point_id", "month", F.col("norm").alias(f"{e}_norm"), F.sqrt(F.greatest("variance", F.lit(0.0))).alias(f"{e}_se"))
         day = d if day is None else day.join(d, ["point_id", "obs_date"])
         normal = pn if normal is None else normal.join(pn, ["point_id", "month"])
+    return mend_range(day, normal, normal_years)
+
+
+def mend_range(day: DataFrame, normal: DataFrame, normal_years: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Crossed days mended, and the normals of the points that had any made again from
+    their days."""
     mended = fix_crossed(day)
     crossed = day.where("tmin >= tmax").select("point_id").distinct().withColumn("_c", F.lit(True))
     monthly = mended.join(crossed, "point_id").where(F.year("obs_date").between(*normal_years)).groupBy("point_id", F.year("obs_date").alias("year"), F.month("obs_date").alias("month")).agg(F.avg("tmin").alias("a"), F.avg("tmax").alias("b"))
@@ -248,15 +257,32 @@ def bandwidth_errors(stations: DataFrame, values: DataFrame, ks: list[int], meth
     """climdiv, month, n_nghs, station_id, mae, status for each number of neighbours:
     leaving stations out, by weighted regression, or with method kriging the monthly
     values as norms. values: station_id, month, value."""
+    kriged = method != "regression"
+    pts = stations.withColumn("point_id", F.col("station_id"))
+    near = table(nearest(pts, stations, max(ks), drop_zero=True, **how), "bandwidths")  # one search for all
+    norms = values.withColumnRenamed("value", "norm")
     out = None
     for k in ks:  # a fixed list of a dozen bandwidths
-        loo = leave_one_out(stations, values, k, **how) if method == "regression" else leave_one_out_normals(stations, values.withColumnRenamed("value", "norm"), k, **how)
+        some = first_neighbours(near, k)
+        if kriged:
+            rows = neighbourhoods.packed(pts, some, stations, norms, k, PLACE, (), ("norm",))
+            pred = neighbourhoods.solve(rows, PLACE, (), ("norm",), fitted_kriging, "nug double, psill double, rng double, norm double, variance double").select(F.col("point_id").alias("station_id"), "month", F.col("norm").alias("pred"))
+        else:
+            pred = apply_weights(gwr_weights(pts, some, stations), values, "z", ["month"]).select(F.col("point_id").alias("station_id"), "month", F.col("value").alias("pred"))
+        loo = values.withColumnRenamed("value", "obs").join(pred, ["station_id", "month"])
         e = loo.groupBy("station_id", "month").agg(F.avg(F.abs(F.col("pred") - F.col("obs"))).alias("mae"))
         e = e.join(stations.select("station_id", "climdiv"), "station_id").select("climdiv", "month", F.lit(k).alias("n_nghs"), "station_id", "mae", F.when(F.col("mae").isNull(), "failed").otherwise("ok").alias("status"))
         out = e if out is None else out.unionByName(e)
     return out
 
 
+def first_neighbours(near: DataFrame, k: int) -> DataFrame:
+    """The first k of longer lists (nearest), weighted up to the next one."""
+    beyond = F.coalesce(F.max(F.when(F.col("rank") == k + 1, F.col("dist_km"))).over(Window.partitionBy("point_id")), F.col("bandwidth"))
+    cut = near.withColumn("bandwidth", beyond).where(F.col("rank") <= k)
+    return cut.withColumn("wgt", F.when(F.col("bandwidth") > 0, bisquare(F.col("dist_km"), F.col("bandwidth"))).otherwise(1.0))
+
+
 def validation(loo: DataFrame) -> DataFrame:
     return loo.groupBy("station_id").agg(*errors())
 

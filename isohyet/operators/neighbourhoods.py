@@ -62,9 +62,7 @@ def packed(points: DataFrame, near: DataFrame, stations: DataFrame, station_mont
     place = tuple(dict.fromkeys(("lon", "lat", *fixed)))
     s = stations.select("station_id", *[F.col(c).cast("double").alias(c) for c in place]).join(_by_month(station_month, "station_id", tuple(dict.fromkeys((*monthly, *values))), ""), "station_id")
     each = ["rank", "dist_km", "station_id", *s.columns[1:]]
-    # solving takes longer than its rows are large: partitions are not to be put together
-    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = near.select("point_id", "station_id", "rank", "dist_km", "bandwidth").join(s, "station_id").repartition(spread, "point_id").groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct(*each))).alias("n"), F.max("bandwidth").alias("beyond"))
+    lists = near.select("point_id", "station_id", "rank", "dist_km", "bandwidth").join(s, "station_id").groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct(*each))).alias("n"), F.max("bandwidth").alias("beyond"))
     x = lists.join(points.select("point_id", *[F.col(c).cast("double").alias(f"p_{c}") for c in place]), "point_id")
     if monthly:
         x = x.join(_by_month(point_month, "point_id", monthly, "p_"), "point_id")
@@ -129,4 +127,7 @@ def solve(rows: DataFrame, fixed: tuple[str, ...], monthly: tuple[str, ...], val
                     head.append(field["station_id"].take(pa.array(at.ravel())))
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(np.ravel(x), from_pandas=True) for x in found)], ["point_id", "month", "k", *(["station_id"] if each else []), *names])
 
-    return map_arrow(rows, run, kinds + out)
+    # solving takes far longer than its rows are large: they are dealt anew, by number, so
+    # that small partitions are not put together
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(rows.repartition(spread, F.xxhash64("point_id")), run, kinds + out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohyet.functions.scalars import pack, unpack
-from isohyet.operators import grid, interp
+from isohyet.operators import grid, interp, monthly, neighbourhoods
 from isohyet.operators import stations as st
 from isohyet.operators.spatial import nearest
 from isohyet.plans.analog import STN, read, stations
@@ -147,6 +147,50 @@ def interp_normals(spark, d):
     return out.select("point_id", "month", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"))
 
 
+#: Numbers of neighbours by station and month, for normals and for days.
+_OPTIM, _OPTIM_ANOM = "8 + (station_id*7 + month*5) % 13", "10 + (station_id*3 + month) % 9"
+_MONTH_K = f"""WITH {STN}, {_PT}, {_knn(40)}, mo AS (SELECT CAST(unnest(range(1, 13)) AS INT) AS month),
+kk AS (SELECT point_id, month, CAST(round_even(sum(({_OPTIM})*power(1-power(km/bw,2),2))/sum(power(1-power(km/bw,2),2)),0) AS INT) AS n FROM knn, mo GROUP BY 1,2)
+SELECT kk.point_id, kk.month, n AS k, CAST(knn.rank AS INT) AS rank, knn.station_id, round(x.km,6) AS bandwidth, round(power(1-power(knn.km/x.km,2),2),6) AS wgt FROM kk JOIN knn ON knn.point_id=kk.point_id AND rank<=n JOIN kr x ON x.point_id=kk.point_id AND x.rank=n+1"""
+
+
+def _optim(spark, d):
+    """Stations, and their months with norms and numbers of neighbours."""
+    s, n = _norms(spark, d)
+    return s, n.withColumns({"optim_nnghs": F.expr(_OPTIM), "optim_nnghs_anom": F.expr(_OPTIM_ANOM)})
+
+
+@query("month_neighbours", _MONTH_K)
+def month_neighbours(spark, d):
+    """Each point's own number of neighbours in each month, the prefix of its list, and
+    the weights."""
+    s, m = _optim(spark, d)
+    p = _points(spark, d)
+    counts = monthly.neighbour_counts(p, s, m, initial=40)
+    out = neighbourhoods.prefixes(monthly.neighbour_lists(p, s, counts), counts)
+    return out.select("point_id", F.col("month").cast("int").alias("month"), "k", "rank", "station_id", F.round("bandwidth", 6).alias("bandwidth"), F.round("wgt", 6).alias("wgt"))
+
+
+@query("month_normals")
+def month_normals(spark, d):
+    """Variograms at all stations, then all points by their own neighbours and the
+    variograms these have; tested against a loop over points and months."""
+    s, m = _optim(spark, d)
+    v = monthly.station_variograms(s, m, initial=40).select("station_id", "month", *monthly.VARIOGRAM)
+    out = monthly.normals(_points(spark, d), s, m.join(v, ["station_id", "month"]), initial=40)
+    return out.select("point_id", "month", "k", F.round("norm", 4).alias("norm"), F.round("variance", 4).alias("variance"), "status")
+
+
+@query("loo_chain")
+def loo_chain(spark, d):
+    """Every station's norms without itself by the whole chain; tested against taking
+    the station away by hand."""
+    s, m = _optim(spark, d)
+    v = monthly.station_variograms(s, m, initial=40).select("station_id", "month", *monthly.VARIOGRAM)
+    norm, _ = monthly.leave_one_out(s, m.join(v, ["station_id", "month"]), initial=40)
+    return norm.select("station_id", "month", F.round("norm", 4).alias("norm"), F.round("pred", 4).alias("pred"))
+
+
 @query("loo_normals")
 def loo_normals(spark, d):
     s, n = _norms(spark, d)

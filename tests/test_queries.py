@@ -11,7 +11,7 @@ from isohyet.plans import library
 
 SF = "/root/testdata/sf0.001"
 #: These need more stations than the smallest tables have.
-LARGER = {"knn_bisquare", "ordinary_kriging", "param_weighted_avg", "gwr_weights", "ked_weights", "interp_normals", "loo_normals", "norm_outliers"}
+LARGER = {"knn_bisquare", "ordinary_kriging", "param_weighted_avg", "gwr_weights", "ked_weights", "interp_normals", "loo_normals", "norm_outliers", "month_neighbours", "month_normals", "loo_chain"}
 
 
 def folder(name: str) -> str:
