@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality, sql, suffix
+from isohyet.llm import anchors, bpe, chat, langid, minhash, mixing, pii, pq, quality, rank, secrets, sql, suffix, whiten
 
 #: Production parameters.
 ALPHA, DELTA = 0.01, 0.05
@@ -97,9 +97,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten.whiten(read(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[n(k) for k in secrets.BASE], F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_bpe": op5_bpe, "op6_suffix_array": op6_suffix_array, "op7_substring": op7_substring, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_bpe": op5_bpe, "op6_suffix_array": op6_suffix_array, "op7_substring": op7_substring, "op8_minhash": op8_minhash, "op9_pii": op9_pii, "op10_quality": op10_quality, "op11_whitening": op11_whitening, "op12_secrets": op12_secrets, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_mixing": sql.OP3, "op4_embeddings": sql.OP4, "op7_substring": sql.OP7, "op8_minhash": sql.OP8, "op10_quality": sql.op10(ALPHA, DELTA)}
+    return {"op1_chat_formatting": OP1_SQL, "op3_mixing": sql.OP3, "op4_embeddings": sql.OP4, "op7_substring": sql.OP7, "op8_minhash": sql.OP8, "op10_quality": sql.op10(ALPHA, DELTA), "op13_ranked_search": sql.OP13}

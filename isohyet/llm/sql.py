@@ -54,6 +54,19 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN comp ON comp.node = t.doc_id
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM t),
+p AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM t),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * s.n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), s),
+x AS (SELECT item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * s.n) // s.l)))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 10
+"""
+
+
 def op10(alpha: float, delta: float) -> str:
     rules = list(CUTOFFS)
     grid = ", ".join(f"({i}, {', '.join(f'CAST({c} AS DOUBLE)' for c in x.values())})" for i, x in enumerate(levels()))
