@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import _OTHER, _VALUE, BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, with_texts, word_hashes, words
+from isohyet.llm.common import BROADCAST_ROWS, groups, mix, pieces, shingles, table, text_bytes, with_texts, word_hashes, words
 from isohyet.shipping import map_arrow
 
 #: Words of a window, and of a block. A window holds a whole block of its document
@@ -223,7 +223,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK)
             np.add.at(step, np.maximum(at - (window - block), doc_first), 1)
             np.add.at(step, at + 1, -1)
             near = np.cumsum(step[: len(owner)]) > 0
-            g, g2 = (shingles(word_hashes(data, starts, ends, v), window) for v in (_VALUE, _OTHER))
+            g, g2 = (shingles(word_hashes(data, starts, ends, seed), window, seed) for seed in (0, 7))
             pos = np.flatnonzero(near[: len(g)] & (owner[: len(g)] == owner[window - 1 :]))
             h, other, ids = g[pos], g2[pos], b.column(0).to_numpy()
             doc, start = ids[owner[pos]], (pos - first[owner[pos]]).astype(np.uint32)

@@ -3,6 +3,7 @@ connected components and vectorised words, shingles and Arrow helpers."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +58,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 # -- Arrow and numpy ---------------------------------------------------------
 
-_rng = np.random.default_rng(20240917)
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-#: The values of a second hash beside the first, where both together decide.
-_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+#: Longer words are hashed by themselves.
+LONG = 256
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 
@@ -77,16 +74,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW
-    if len(_POW[0]) < n:
-        base, inverse = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 2**64)))
-        base[0] = inverse[0] = np.uint64(1)
-        _POW = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-    return _POW
-
-
-_POW = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """n odd 64-bit numbers, as random as the generator."""
+    return np.random.PCG64([20240917, seed]).random_raw(n) | np.uint64(1)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,30 +121,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; works through blocks of a megabyte."""
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        lo = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
-        hi = int(ends[to - 1])
-        power, inverse = _powers(max(_BLOCK, hi - lo) + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(values[data[lo:hi]] * power[: hi - lo], out=total[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-        at = to
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight at a time are mixed into it, so what
+    comes later in a word never cancels what came before; words longer than LONG are
+    hashed whole. Another seed gives another hash."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + multipliers(1, seed)[0])
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        v = eight[starts[at] + done]
+        short = left < 8
+        v[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix((out[at] ^ v) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = np.frombuffer(whole, "<u8")[0]
     return out
 
 
-def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive words, by its first word."""
+def shingles(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of each n consecutive words, by its first word: each place has a multiplier of
+    its own, so no pattern of words cancels out."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     out, m = np.zeros(len(hashes) - n + 1, np.uint64), len(hashes) - n + 1
-    for k in range(n):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += hashes[k : k + m]
+    for k, r in enumerate(multipliers(n, seed + 1)):
+        out += hashes[k : k + m] * r
     return mix(out)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.anchors import PARTITIONS, PROBES, _by_part, _part, _rows, dealt, parts_of, sent, settle_hits
-from isohyet.llm.common import _OTHER, _VALUE, _powers, groups, mix, pieces, small, table, text_bytes, with_texts
+from isohyet.llm.common import groups, mix, multipliers, pieces, small, table, text_bytes, with_texts
 from isohyet.shipping import map_arrow
 
 LENGTH, BLOCK = 400, 32
@@ -33,16 +33,59 @@ PIECE = 2 << 20
 _META = np.dtype([("a", "<u4"), ("lo", "<u4"), ("hi", "<u4"), ("key", "<u8"), ("q0", "<i2"), ("q1", "<i2"), ("zlo", "<i2"), ("len", "<u2")])
 
 
-class Hashes:
-    """64-bit hashes of any substrings of some bytes."""
+#: A prime; what is below its square fits 62 bits.
+_P = np.uint64(2**31 - 1)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime; x below 2 ** 62."""
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
+class _Powers:
+    """Powers of a base modulo the prime, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.found = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.found) < n:
+            step = np.uint64(pow(self.base, len(self.found), int(_P)))
+            self.found = np.concatenate([self.found, _mod(self.found * step)])
+        return self.found[:n]
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = _VALUE):
-        power, self.inverse = _powers(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * power[: len(data)], out=self.total[1:])
+
+class _Family:
+    """A polynomial over random values of the bytes, at a random base."""
+
+    def __init__(self, seed: int):
+        r = multipliers(257, 100 + seed) % _P
+        base = int(r[256])
+        self.values, self.power, self.inverse = r[:256], _Powers(base), _Powers(pow(base, -1, int(_P)))
+
+
+#: Two for the first hash of a string, two for the second.
+_families = [_Family(i) for i in range(4)]
+
+
+class Hashes:
+    """Hashes of any substrings of some bytes: two polynomials modulo a prime. Two strings
+    of n bytes that differ collide for at most n / 2 ** 31 of the bases in each, whatever
+    their pattern; second gives a hash that has nothing to do with the first."""
+
+    def __init__(self, data: np.ndarray, second: bool = False):
+        self.families = _families[2:] if second else _families[:2]
+        self.totals = []
+        for f in self.families:
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_mod(f.values[data] * f.power.upto(len(data))), out=total[1:])
+            self.totals.append(total)
 
     def of(self, at: np.ndarray, length) -> np.ndarray:
-        return mix((self.total[at + length] - self.total[at]) * self.inverse[at] + np.asarray(length, np.uint64))
+        a, b = (_mod(_mod(t[at + length] - t[at]) * f.inverse.upto(len(t))[at]) for t, f in zip(self.totals, self.families, strict=True))
+        return mix((a << np.uint64(31)) + b + mix(np.atleast_1d(np.asarray(length, np.uint64))))
 
 
 def anchors(h: Hashes, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +307,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
             p = np.concatenate(p) + np.repeat(offsets[:-1], [len(x) for x in p])[:, None]
             n = p[:, 1] - p[:, 0] + 1
             s = np.unique(np.repeat(p[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-            yield sent(Hashes(data).of(s, length), s, np.ones(len(s), bool), (task << 32) | nth, parts, b.column(0).to_pylist(), offsets[:-1], Hashes(data, _OTHER).of(s, length))
+            yield sent(Hashes(data).of(s, length), s, np.ones(len(s), bool), (task << 32) | nth, parts, b.column(0).to_pylist(), offsets[:-1], Hashes(data, second=True).of(s, length))
 
     open_ = table(ranges.where(F.length("open") > 0).select("doc_id", "open"), "open")
     starts = settle_hits(map_arrow(with_texts(docs, open_).select("doc_id", "text", "open"), ends, PROBES), parts, wide=True)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from isohyet.llm import anchors, common, pq, suffix
+from isohyet.llm import anchors, common, minhash, pq, suffix
 
 DOCS = "doc_id long, text string, hits string, part string"
 
@@ -204,3 +204,69 @@ def test_pipeline(spark, tmp_path):
     last = {r.doc_id: r.ids for r in out.collect()}
     assert last == {r.doc_id: r.ids for r in bpe.encode(before, vocabulary()).collect()}
     assert corpus_pipeline.run(spark, d).count() == len(last)
+
+
+def thue_morse(bits, a, b):
+    """2 ** bits letters; any polynomial with an odd base modulo a power of two takes it
+    for what it is with a and b exchanged."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(2**bits))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    x, y = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    head = " ".join(f"w{i}" for i in range(19))
+    got = {r.doc_id: r.n_removed for r in anchors.drop_repeats(docs_of(spark, [f"{head} {x}", f"{head} {y}", f"{head} {x}"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 20}
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, [x, y, x])).collect()}
+    assert near == {0: 0, 1: 1, 2: 0}
+
+
+def test_words_of_words_that_a_polynomial_confuses(spark):
+    """The same pattern made of words, in windows of 16 words and of 20."""
+    x, y = (" ".join(p) for p in ((("aa", "bb")[i.bit_count() % 2] for i in range(16)), (("bb", "aa")[i.bit_count() % 2] for i in range(16))))
+    got = {r.doc_id: r.n_removed for r in anchors.drop_repeats(docs_of(spark, [x, y, x]), window=16, block=8).collect()}
+    assert got == {0: 0, 1: 0, 2: 16}
+
+
+def test_bytes_that_a_polynomial_confuses(spark):
+    x, y = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    texts = [x[:1500], y[:1500], "q" + x[100:900], y[3:700] + "z"]
+    n = {}
+    for t in texts:
+        for k in range(len(t) - 399):
+            n[t[k : k + 400]] = n.get(t[k : k + 400], 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if n[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        want[i] = int(gone.sum())
+    assert {r.doc_id: r.n_removed for r in suffix.drop_repeated_bytes(docs_of(spark, texts)).collect()} == want
+
+
+def test_word_hashes_of_many_words():
+    """As many different hashes as words, of any length and place; seeds differ."""
+    r = np.random.default_rng(4)
+    words_ = [bytes(r.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 40), 255, 256, 257, 300] for _ in range(200)]
+    data = np.frombuffer(b" ".join(words_), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words_]) - 1
+    starts = ends - [len(w) for w in words_]
+    h, g = common.word_hashes(data, starts, ends), common.word_hashes(data, starts, ends, 7)
+    by = {}
+    for w, x in zip(words_, h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by) and not (h == g).any()
+
+
+def test_string_hashes_agree_and_differ():
+    r = np.random.default_rng(5)
+    data = r.integers(0, 3, 4000).astype(np.uint8)
+    for second in (False, True):
+        h = suffix.Hashes(data, second)
+        for n in (1, 7, 32, 400):
+            at = np.arange(len(data) - n + 1)
+            got = {}
+            for k, x in zip(at.tolist(), h.of(at, n).tolist(), strict=True):
+                assert got.setdefault(data[k : k + n].tobytes(), x) == x
+            assert len(set(got.values())) == len(got)
