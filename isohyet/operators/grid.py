@@ -134,15 +134,45 @@ def expand(cells: DataFrame, rows: int, cols: int) -> DataFrame:
 
 
 def write_tiles(daily: DataFrame, path: str, size: int = 250) -> None:
-    """Packed values partitioned by tile; a tile written again replaces the old one."""
+    """Packed values partitioned by tile; a tile written again replaces the old one. A
+    task writes a tile's year: a file each, sorted by cell and day."""
     out = daily.select(tile_of(size=size).alias("tile_id"), "row", "col", "obs_date", pack(F.col("tmin")).alias("tmin"), pack(F.col("tmax")).alias("tmax"))
-    out.repartition("tile_id").sortWithinPartitions("tile_id", "row", "col", "obs_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(path)
-
-
-def yearly_mosaics(packed: DataFrame, path: str) -> None:
-    """Tiles joined, a folder a year, sorted for access by day."""
-    out = packed.withColumn("year", F.year("obs_date"))
-    out.repartition("year").sortWithinPartitions("year", "obs_date", "row", "col").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    out.repartition("tile_id", F.year("obs_date")).sortWithinPartitions("tile_id", "row", "col", "obs_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(path)
+
+
+def yearly_mosaics(packed: DataFrame, path: str, rows: int = 20_000_000, block: int = 250) -> None:
+    """Tiles joined, a folder a year of files of about so many rows, each a range of
+    days and of blocks of rows of the grid, sorted for access by day.
+
+    A day's file is found by the least and greatest day in its footer. Ranges are cut by
+    days first, and within a day by rows and blocks of columns where a day alone is too
+    large for one."""
+    out = packed.withColumns({"year": F.year("obs_date"), "_r": F.floor(F.col("row") / block), "_c": F.floor(F.col("col") / block)})
+    parts = max(1, -(-out.count() // rows))
+    out = out.repartitionByRange(parts, "year", "obs_date", "_r", "_c").sortWithinPartitions("year", "obs_date", "row", "col").drop("_r", "_c")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def resample(cells: DataFrame, source: Grid, target: Grid, method: str = "average") -> DataFrame:
+    """row, col, value and share (of its area that has data) of the target grid's cells
+    that overlap any cell (row, col, value) with data.
+
+    average: the mean by overlapping area; sum: what lies in the overlap of each cell, so
+    that the sum over all cells stays the same where the target covers the source. A
+    source cell knows by arithmetic which target cells it overlaps, so there is no join;
+    sizes may differ in both directions. Areas are in degrees."""
+    left, top = F.lit(source.lon0) + F.col("col") * source.size, F.lit(source.lat0) - F.col("row") * source.size
+    c0, c1 = F.floor((left - target.lon0) / target.size), F.ceil((left + source.size - target.lon0) / target.size) - 1
+    r0, r1 = F.floor((F.lit(target.lat0) - top) / target.size), F.ceil((F.lit(target.lat0) - top + source.size) / target.size) - 1
+    c0, r0 = F.greatest(c0, F.lit(0)), F.greatest(r0, F.lit(0))
+    c1, r1 = F.least(c1, F.lit(target.cols - 1)), F.least(r1, F.lit(target.rows - 1))
+    x = cells.where("value is not null").select(left.alias("_x"), top.alias("_y"), "value", c0.alias("_c0"), c1.alias("_c1"), r0.alias("_r0"), r1.alias("_r1")).where("_c0 <= _c1 and _r0 <= _r1")
+    x = x.withColumn("col", F.explode(F.sequence("_c0", "_c1"))).withColumn("row", F.explode(F.sequence("_r0", "_r1")))
+    wide = F.least(F.col("_x") + source.size, F.lit(target.lon0) + (F.col("col") + 1) * target.size) - F.greatest(F.col("_x"), F.lit(target.lon0) + F.col("col") * target.size)
+    high = F.least(F.col("_y"), F.lit(target.lat0) - F.col("row") * target.size) - F.greatest(F.col("_y") - source.size, F.lit(target.lat0) - (F.col("row") + 1) * target.size)
+    x = x.withColumn("_w", F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))).where(F.col("_w") > 1e-12 * source.size * source.size)
+    value = F.sum(F.col("value") * F.col("_w")) / (F.sum("_w") if method == "average" else F.lit(source.size**2))
+    return x.groupBy(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(value.alias("value"), (F.sum("_w") / target.size**2).alias("share"))
 
 
 def normals_mosaic(normals: DataFrame) -> DataFrame:

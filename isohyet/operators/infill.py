@@ -37,15 +37,79 @@ def candidates(daily: DataFrame, pairs: DataFrame, share: float = 2 / 3, min_d1:
     return s.withColumn("_b", best).where(F.col("ok") | (F.col("_b") & (F.col("d1") >= min_d1))).select("station_id", "month", "ngh_id", "dist_km", "n", "d1", "ok")
 
 
-def matrices(daily: DataFrame, chosen: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def day_bits(days: DataFrame, key: str = "station_id") -> DataFrame:
+    """key, month, words, bits: of each calendar month a bit for each of its days in days
+    (key, obs_date), in words of 64 days; words without a day are left out."""
+    at = F.year("obs_date") * 31 + F.day("obs_date") - 1
+    word = days.groupBy(key, F.month("obs_date").alias("month"), F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("b"))
+    x = word.groupBy(key, "month").agg(F.array_sort(F.collect_list(F.struct("word", "b"))).alias("x"))
+    return x.select(key, "month", F.transform("x", lambda v: v["word"]).alias("words"), F.transform("x", lambda v: v["b"]).alias("bits"))
+
+
+def _day_matrix(words: list, bits: list) -> np.ndarray:
+    """Sets of days as rows of a boolean matrix, over the days of the first set."""
+    there = np.asarray(words[0], np.int64)
+    out = np.zeros((len(words), len(there)), np.uint64)
+    for row, (w, b) in enumerate(zip(words, bits, strict=True)):
+        w, b = np.asarray(w, np.int64), np.asarray(b, np.int64)
+        known = np.isin(w, there)
+        out[row, np.searchsorted(there, w[known])] = b[known].view(np.uint64)
+    flat = np.unpackbits(out.view(np.uint8), axis=1, bitorder="little").astype(bool)
+    return flat[:, flat[0]]
+
+
+def kept_neighbours(daily: DataFrame, chosen: DataFrame, status: DataFrame | None = None, least: int = 3, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """station_id, month, ngh_id, rank, n_kept, n_bare: the neighbours of a target's
+    matrix, in this order: of all candidates by falling d1 the shortest prefix that gives
+    every day `least` values; of it the first `least` and each later one with a value on a
+    day that has fewer so far; and only then the first max_columns - 1 of these. n_kept
+    counts them before this cut, n_bare the days without any value after it.
+
+    status (grown_candidates): where the radius had to grow, the prefix is longer than
+    all candidates of the radius before. A group is one station and month, a bit a day
+    and candidate."""
+    ship(daily.sparkSession)
+    own = day_bits(daily).withColumns({"ngh_id": F.lit(None).cast(chosen.schema["ngh_id"].dataType), "d1": F.lit(None).cast("double"), "ring": F.lit(-1)})
+    ring = F.col("ring") if "ring" in chosen.columns else F.lit(0)
+    held = day_bits(daily.where("value is not null")).withColumnRenamed("station_id", "ngh_id")
+    rows = chosen.select("station_id", "month", "ngh_id", "d1", ring.alias("ring")).join(held, ["ngh_id", "month"])
+    rows = rows.unionByName(own.join(chosen.select("station_id", "month").distinct(), ["station_id", "month"], "left_semi"))
+    if status is not None:
+        rows = rows.join(status.select("station_id", "month", F.col("ring").alias("last")), ["station_id", "month"], "left")
+    else:
+        rows = rows.withColumn("last", F.lit(0))
+    ids = daily.schema["station_id"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ring"], kind="stable")
+        target, rest = g.iloc[:1], g.iloc[1:].sort_values(["d1", "ngh_id"], ascending=[False, True])
+        g = pd.concat([target, rest])
+        seen = _day_matrix(g["words"].tolist(), g["bits"].tolist())[1:]
+        last = g["last"].iloc[0]
+        total = len(rest)
+        enough = (np.cumsum(seen, 0) >= least).all(1)
+        prefix = int(enough.argmax()) + 1 if enough.any() and pd.notna(last) else total
+        if pd.notna(last) and last > 0:
+            prefix = max(prefix, int((rest["ring"] < last).sum()) + 1)
+        prefix = min(total, max(prefix, least))
+        keep = cover(np.where(seen[:prefix].T, 1.0, np.nan), least)
+        cut = keep[: max_columns - 1]
+        bare = int((~seen[cut].any(0)).sum())
+        out = rest.iloc[cut]
+        return pd.DataFrame({"station_id": out["station_id"], "month": out["month"], "ngh_id": out["ngh_id"], "rank": np.arange(1, len(cut) + 1), "n_kept": len(keep), "n_bare": bare})
+
+    return rows.groupBy("station_id", "month").applyInPandas(run, f"station_id {ids}, month int, ngh_id {ids}, rank int, n_kept int, n_bare int")
+
+
+def matrices(daily: DataFrame, chosen: DataFrame, max_columns: int = MAX_COLUMNS, least: int = 3) -> DataFrame:
     """Rows of the targets' matrices: station_id, month, obs_date, value, nghs (array of
-    neighbour values by falling d1, null where missing) and their ids. At most
-    max_columns - 1 neighbours, so a row and a group stay small."""
-    w = Window.partitionBy("station_id", "month").orderBy(F.desc("d1"), "ngh_id")
-    top = chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") < max_columns)
+    neighbour values by falling d1, null where missing) and their ids. chosen: what
+    kept_neighbours gives, or candidates for it. At most max_columns - 1 neighbours, so a
+    row and a group stay small."""
+    top = chosen if "rank" in chosen.columns else kept_neighbours(daily, chosen, None, least, max_columns)
     d = daily.withColumn("month", F.month("obs_date"))
     ngh = daily.select(F.col("station_id").alias("ngh_id"), "obs_date", F.col("value").alias("nv"))
-    wide = d.select("station_id", "month", "obs_date").join(top, ["station_id", "month"]).join(ngh, ["ngh_id", "obs_date"], "left")
+    wide = d.select("station_id", "month", "obs_date").join(top.select("station_id", "month", "ngh_id", "rank"), ["station_id", "month"]).join(ngh, ["ngh_id", "obs_date"], "left")
     rows = wide.groupBy("station_id", "month", "obs_date").agg(F.array_sort(F.collect_list(F.struct("rank", "ngh_id", "nv"))).alias("x"))
     rows = rows.select("station_id", "month", "obs_date", F.transform("x", lambda x: x["nv"]).alias("nghs"), F.transform("x", lambda x: x["ngh_id"]).alias("ngh_ids"))
     return d.select("station_id", "month", "obs_date", "value").join(rows, ["station_id", "month", "obs_date"])
@@ -108,16 +172,17 @@ def add_components(rows: DataFrame, scores: DataFrame, max_columns: int = MAX_CO
     return x.withColumn("nghs", F.when((F.col("_bare") == 1) & F.col("pcs").isNotNull(), with_first).otherwise(padded)).drop("pcs", "_x", "_bare", "_size")
 
 
-def _matrix(g: pd.DataFrame, least: int) -> np.ndarray:
+def _matrix(g: pd.DataFrame) -> np.ndarray:
+    """The target's column and all of its neighbours (and components)."""
     m = np.array([[np.nan if v is None else v for v in r] for r in g["nghs"]], float)
-    return np.column_stack([g["value"].to_numpy(float), m[:, cover(m, least)]])
+    return np.column_stack([g["value"].to_numpy(float), m])
 
 
 def _kinds(df: DataFrame) -> str:
     return f"station_id {df.schema['station_id'].dataType.simpleString()}, month int"
 
 
-def monthly_statistics(rows: DataFrame, least: int = 3) -> DataFrame:
+def monthly_statistics(rows: DataFrame) -> DataFrame:
     """station_id, month, mean, vari, status: maximum likelihood mean and variance of
     the target, given its neighbours, with missing days. A group is one station and
     calendar month of at most MAX_COLUMNS columns."""
@@ -125,7 +190,7 @@ def monthly_statistics(rows: DataFrame, least: int = 3) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         try:
-            mu, cov = kernels.em_normal(_matrix(g, least))
+            mu, cov = kernels.em_normal(_matrix(g))
             out, status = (float(mu[0]), float(cov[0, 0])), "ok"
         except Exception as e:
             out, status = (None, None), type(e).__name__
@@ -134,7 +199,7 @@ def monthly_statistics(rows: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("station_id", "month").applyInPandas(run, f"{_kinds(rows)}, mean double, vari double, status string")
 
 
-def infill(rows: DataFrame, statistics: DataFrame, least: int = 3, explain: float = 0.99, tols: tuple[float, ...] = (1e-5, 1e-6, 1e-7), max_mae: float = 2.0, min_r2: float = 0.7) -> DataFrame:
+def infill(rows: DataFrame, statistics: DataFrame, explain: float = 0.99, tols: tuple[float, ...] = (1e-5, 1e-6, 1e-7), max_mae: float = 2.0, min_r2: float = 0.7) -> DataFrame:
     """station_id, month, obs_date, value, fitted, infilled, mae, bias, r2, reasons:
     probabilistic components of the standardised matrix, retried with finer
     tolerances while the fit is not good; of the tries the one with the least error
@@ -145,7 +210,7 @@ def infill(rows: DataFrame, statistics: DataFrame, least: int = 3, explain: floa
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("obs_date")
-        m = _matrix(g, least)
+        m = _matrix(g)
         mean, std = float(g["mean"].iloc[0]), float(np.sqrt(g["vari"].iloc[0]))
         z = m.copy()
         z[:, 0] = (z[:, 0] - mean) / std
@@ -178,8 +243,8 @@ def infill(rows: DataFrame, statistics: DataFrame, least: int = 3, explain: floa
 
 def infill_stations(daily: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
     """All of it: neighbours, statistics, infilled days."""
-    rows = matrices(daily, candidates(daily, pairs))
-    return infill(rows, monthly_statistics(rows, least), least)
+    rows = matrices(daily, candidates(daily, pairs), least=least)
+    return infill(rows, monthly_statistics(rows))
 
 
 def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, start: float = 75.0, step: float = 37.5, share: float = 2 / 3, min_d1: float = 0.7, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -228,13 +293,15 @@ def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, star
         radius *= 4
 
 
-def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, targets: DataFrame | None = None, **how) -> DataFrame:
+def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, targets: DataFrame | None = None, scores: DataFrame | None = None, **how) -> DataFrame:
     """infill_stations with neighbours from a growing radius, for every station and
-    month of daily. Those without any neighbour or fit keep their days as they are, with
-    the reason; status says whether every day had `least` neighbours."""
+    month of daily; scores (upper_air_scores) go beside the neighbours. Those without any
+    neighbour or fit keep their days as they are, with the reason; status says whether
+    every day had `least` neighbours."""
     chosen, status = grown_candidates(daily, stations, least, targets=targets, **how)
-    rows = matrices(daily, chosen)
-    done = infill(rows, monthly_statistics(rows, least), least)
+    rows = matrices(daily, table(kept_neighbours(daily, chosen, status, least), "neighbours"))
+    rows = table(rows if scores is None else add_components(rows, scores), "matrices")  # read twice
+    done = infill(rows, monthly_statistics(rows))
     d = daily.select("station_id", "obs_date", F.month("obs_date").alias("month"), "value")
     d = d if targets is None else d.join(targets.select("station_id"), "station_id", "left_semi")
     rest = d.join(done.select("station_id", "month").distinct(), ["station_id", "month"], "left_anti")

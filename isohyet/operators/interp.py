@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.functions import kernels
+from isohyet.functions import kernels, variograms
 from isohyet.functions.scalars import bisquare
 from isohyet.functions.stats import errors, weighted_mean
 from isohyet.operators import neighbourhoods
@@ -112,6 +112,31 @@ def variogram_bins(residuals: DataFrame, pairs: DataFrame, width: float = 5.0) -
     return x.groupBy(F.floor(F.col("dist_km") / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("dist_km").alias("h"), (F.sum(F.pow(F.col("_a") - F.col("_b"), 2)) / (2 * F.count(F.lit(1)))).alias("gamma"))
 
 
+def autofit_variograms(bins: DataFrame, key: str, models: tuple[str, ...] = variograms.MODELS, kappas: tuple[float, ...] = variograms.KAPPAS) -> DataFrame:
+    """key, model, kappa, nug, psill, rng, sserr, status of each empirical variogram (key,
+    n, h, gamma): the model with the least weighted squares. A variogram's bins are one
+    row; many are fitted together. Bins without pairs or at distance 0 count for nothing."""
+    rows = bins.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("n", "h", "gamma")])).alias("b"))
+    kind = bins.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                flat, start = part.column(1).flatten(), part.column(1).offsets.to_numpy()
+                size = np.diff(start)
+                place = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                n, h, gamma = (np.zeros((len(size), max(1, int(size.max(initial=0))))) for _ in range(3))
+                for to, i in ((n, 0), (h, 1), (gamma, 2)):
+                    to[place] = flat.field(i).to_numpy(zero_copy_only=False)
+                bad = ~np.isfinite(n + h + gamma)
+                n[bad] = h[bad] = gamma[bad] = 0.0
+                out = variograms.autofit(h, gamma, n, models, kappas)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out["model"], pa.string()), *(pa.array(out[c], pa.float64(), from_pandas=True) for c in ("kappa", "nug", "psill", "rng", "sserr")), pa.array(out["status"], pa.string())], [key, "model", "kappa", "nug", "psill", "rng", "sserr", "status"])
+
+    return map_arrow(rows, run, f"{key} {kind}, model string, kappa double, nug double, psill double, rng double, sserr double, status string")
+
+
 def fit_variograms(points: DataFrame, near: DataFrame, stations: DataFrame, norms: DataFrame, predictors: tuple[str, ...] = ("lon", "lat", "elev")) -> DataFrame:
     """point_id, month, nug, psill, rng fitted over each point's neighbours; near is a
     list of neighbours (nearest). Stations without a norm in a month count in none."""

@@ -56,6 +56,20 @@ def raster_forced(spark, d):
     return grid.add_raster(stations(spark, d).withColumnRenamed("station_id", "point_id"), _cells(spark, d), G, force=True).withColumn("value", F.round("value", 6))
 
 
+#: Of each pair of a fine and a coarse cell how far they overlap.
+_RESAMPLE = f"""WITH {_CELL}, t AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 49.7-r*1.3 AS top, -124.6+c*1.3 AS lft FROM range(24) a(r), range(55) b(c)),
+o AS (SELECT t.row, t.col, value, greatest(0, least(-125+(cell.col+1)*0.5, lft+1.3)-greatest(-125+cell.col*0.5, lft))*greatest(0, least(50-cell.row*0.5, top)-greatest(50-(cell.row+1)*0.5, top-1.3)) AS w FROM t JOIN cell ON -125+(cell.col+1)*0.5>lft AND -125+cell.col*0.5<lft+1.3 AND 50-cell.row*0.5>top-1.3 AND 50-(cell.row+1)*0.5<top)
+SELECT row, col, round(CAST(sum(value*w)/sum(w) AS DOUBLE),4) AS value, round(CAST(sum(w)/(1.3*1.3) AS DOUBLE),6) AS share, round(CAST(sum(value*w)/0.25 AS DOUBLE),4) AS total FROM o WHERE w>1e-9 GROUP BY 1,2"""
+
+
+@query("resample_grid", _RESAMPLE)
+def resample_grid(spark, d):
+    """The raster on a coarser grid that fits no border: means and sums by area."""
+    cells, t = _cells(spark, d), grid.Grid(-124.6, 49.7, 1.3, 24, 55)
+    total = grid.resample(cells, G, t, "sum").select("row", "col", F.round("value", 4).alias("total"))
+    return grid.resample(cells, G, t).select("row", "col", F.round("value", 4).alias("value"), F.round("share", 6).alias("share")).join(total, ["row", "col"])
+
+
 @query("monthly_mosaic", "SELECT CAST(l_suppkey%50 AS INT) AS row, CAST(l_linenumber AS INT) AS col, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, round(avg(l_quantity-25),2) AS tmin, round(avg(l_quantity),2) AS tmax FROM lineitem GROUP BY 1,2,3,4")
 def monthly_mosaic(spark, d):
     x = read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_quantity") - 25).alias("tmin"), F.col("l_quantity").alias("tmax"))
@@ -132,6 +146,19 @@ def variogram_bins(spark, d):
     return interp.variogram_bins(s.select("station_id", F.col("elev").alias("r")), station_pairs(s, 500.0), 25.0).select("bin", "n", F.round("h", 4).alias("h"), F.round("gamma", 2).alias("gamma"))
 
 
+@query("variogram_models")
+def variogram_models(spark, d):
+    """Of each nation's suppliers the model that fits the variogram of their balances by
+    distance; tested by variograms of known models."""
+    from isohyet.operators.spatial import station_pairs
+
+    s = stations(spark, d)
+    r = s.select("station_id", "climdiv", F.col("elev").alias("_a"))
+    x = station_pairs(s, 1500.0).where("station_id < ngh_id and dist_km > 0").join(r, "station_id").join(r.select(F.col("station_id").alias("ngh_id"), F.col("_a").alias("_b")), "ngh_id")
+    bins = x.groupBy("climdiv", F.floor(F.col("dist_km") / 100).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("dist_km").alias("h"), (F.sum(F.pow(F.col("_a") - F.col("_b"), 2)) / (2 * F.count(F.lit(1)))).alias("gamma"))
+    return interp.autofit_variograms(bins, "climdiv").select("climdiv", "model", "kappa", *[F.round(c, 3).alias(c) for c in ("nug", "psill", "rng")], "status")
+
+
 def _norms(spark, d):
     """A smooth field of monthly norms at the stations."""
     s = stations(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isohyet.functions import scalars, stats
-from isohyet.operators import homog, infill, qa_temp, spatial
+from isohyet.operators import homog, infill, qa_temp, spatial, zones
 from isohyet.operators import stations as st
 from isohyet.operators.calendar import densify
 from isohyet.plans.analog import DENSE, NAT, OBS, STN, national, observations, read, stations
@@ -240,6 +240,29 @@ def utc_offset(spark, d):
     return st.utc_offset(stations(spark, d), zones).select("station_id", "utc_offset")
 
 
+_STARS = "SELECT n_nationkey, CAST(-120 AS DOUBLE)+CAST(n_nationkey%5 AS DOUBLE)*11 AS x, CAST(26 AS DOUBLE)+CAST(n_nationkey//5 AS DOUBLE)*5 AS y FROM nation"
+#: Stars of twelve corners with a triangle cut out of each; neighbours overlap.
+_ZONE = f"""WITH {STN}, st AS ({_STARS}),
+ed AS (SELECT n_nationkey AS zone_id, x+ra*cos(pi()*i/6) AS x0, y+ra*sin(pi()*i/6) AS y0, x+rb*cos(pi()*((i+1)%12)/6) AS x1, y+rb*sin(pi()*((i+1)%12)/6) AS y1 FROM (SELECT *, CASE WHEN i%2=0 THEN 6.5 ELSE 3.0 END AS ra, CASE WHEN i%2=0 THEN 3.0 ELSE 6.5 END AS rb FROM st, range(12) t(i))
+  UNION ALL SELECT n_nationkey, x+1.5*cos(2*pi()*i/3), y+1.5*sin(2*pi()*i/3), x+1.5*cos(2*pi()*((i+1)%3)/3), y+1.5*sin(2*pi()*((i+1)%3)/3) FROM st, range(3) t(i)),
+z AS (SELECT station_id, min(zone_id) AS zone_id FROM (SELECT station_id, zone_id FROM stn, ed WHERE (x0<=lon)<>(x1<=lon) AND y0+(lon-x0)*(y1-y0)/(x1-x0)>lat GROUP BY 1, 2 HAVING count(*)%2=1) GROUP BY 1)
+SELECT station_id, CAST(coalesce(zone_id, -1) AS INT) AS zone_id, CAST(coalesce(-zone_id, round_even(lon/15,0)) AS SMALLINT) AS utc_offset FROM stn LEFT JOIN z USING (station_id)"""
+
+
+@query("zone_polygons", _ZONE)
+def zone_polygons(spark, d):
+    """Stations in zones with holes that overlap, and the zone's hours."""
+    k = F.col("n_nationkey")
+    x, y = F.lit(-120.0) + (k % 5).cast("double") * 11, F.lit(26.0) + F.floor(k / 5).cast("double") * 5
+    corner = lambda r, a: F.struct((x + r * F.cos(a)).alias("lon"), (y + r * F.sin(a)).alias("lat"))
+    star = F.array(*[corner(6.5 if i % 2 == 0 else 3.0, F.pi() * i / 6) for i in range(12)])
+    hole = F.array(*[corner(1.5, F.pi() * 2 * i / 3) for i in range(3)])
+    n = read(spark, d, "nation").select(k.alias("zone_id"), F.array(star, hole).alias("rings"), (-k).alias("hours"))
+    s = stations(spark, d).select("station_id", "lon", "lat")
+    out = zones.utc_offset(zones.zone_of(s, n).withColumnRenamed("zone_id", "zone"), n.select("zone_id", "rings"), n)
+    return out.select("station_id", F.coalesce("zone", F.lit(-1)).cast("int").alias("zone_id"), "utc_offset")
+
+
 def _infill_rows(spark, d):
     x = _smooth(spark, d).select("station_id", "obs_date", F.col("tmin").alias("value"))
     pairs = spatial.station_pairs(_nat_stations(spark, d), 300.0)
@@ -272,6 +295,34 @@ def infill_growth(spark, d):
     return status.join(n, ["station_id", "month"]).select("station_id", "month", "ring", "status", "n_nghs")
 
 
+#: Of each group the shortest prefix by d1 that covers its days, then one neighbour after
+#: the other with the counts of the days so far.
+_KEPT = f"""WITH RECURSIVE {_SMOOTH.replace("dense AS", "dense AS MATERIALIZED", 1)}, dv AS (SELECT station_id, obs_date, month(obs_date) AS month, v AS value FROM lv WHERE elem='tmin' AND NOT (station_id%3=1 AND day(obs_date)<4)),
+dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
+cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
+pr AS (SELECT a.station_id, a.month, p.ngh_id, a.value, b.value AS nv, avg(a.value) OVER (PARTITION BY a.station_id, a.month, p.ngh_id) AS mv FROM dv a JOIN npairs p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date),
+sc AS (SELECT station_id, month, ngh_id, count(*) AS n, 1-sum(abs(nv-value))/nullif(sum(abs(nv-mv)+abs(value-mv)),0) AS d1 FROM pr GROUP BY 1,2,3),
+ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AND n>=round(2.0/3*t.n_own) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month),
+ca AS MATERIALIZED (SELECT station_id, month, ngh_id, row_number() OVER (PARTITION BY station_id, month ORDER BY d1 DESC, ngh_id) AS r FROM ok WHERE ok OR (r=1 AND d1>=0.7)),
+dd AS MATERIALIZED (SELECT station_id, obs_date, month(obs_date) AS month, row_number() OVER (PARTITION BY station_id, month(obs_date) ORDER BY obs_date) AS i FROM sm),
+se AS MATERIALIZED (SELECT ca.station_id, ca.month, ca.r, ca.ngh_id, list(CASE WHEN dv.value IS NULL THEN 0 ELSE 1 END ORDER BY i) AS s FROM ca JOIN dd ON dd.station_id=ca.station_id AND dd.month=ca.month LEFT JOIN dv ON dv.station_id=ca.ngh_id AND dv.obs_date=dd.obs_date GROUP BY ALL),
+st AS (
+  SELECT station_id, month, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS ngh_id, false AS keep, list_transform(s, lambda x: 0) AS have, list_transform(s, lambda x: 0) AS run, false AS done FROM se WHERE r=1
+  UNION ALL
+  SELECT n.station_id, n.month, n.r, n.ngh_id, n.keep, CASE WHEN n.keep THEN list_transform(range(1, len(s)+1), lambda j: have[j]+s[j]) ELSE have END, new, list_min(new)>=3 AND n.r>=3
+  FROM (SELECT st.station_id, st.month, se.r, se.ngh_id, have, s, se.r<=3 OR len(list_filter(range(1, len(s)+1), lambda j: s[j]=1 AND have[j]<3))>0 AS keep, list_transform(range(1, len(s)+1), lambda j: run[j]+s[j]) AS new FROM st JOIN se ON se.station_id=st.station_id AND se.month=st.month AND se.r=st.r+1 WHERE NOT done) n)
+SELECT station_id, CAST(month AS INT) AS month, ngh_id, CAST(row_number() OVER (PARTITION BY station_id, month ORDER BY r) AS INT) AS rank, CAST(count(*) OVER (PARTITION BY station_id, month) AS INT) AS n_kept FROM st WHERE keep"""
+
+
+@query("kept_neighbours", _KEPT)
+def kept_neighbours(spark, d):
+    """The neighbours that cover all days of each station and month; a third of the
+    stations has nothing on the first days of a month."""
+    x, pairs = _infill_rows(spark, d)
+    x = x.withColumn("value", F.when(~((F.col("station_id") % 3 == 1) & (F.day("obs_date") < 4)), F.col("value")))
+    return infill.kept_neighbours(x, infill.candidates(x, pairs), max_columns=1 << 20).drop("n_bare")
+
+
 @query("em_mvn")
 def em_mvn(spark, d):
     x, pairs = _infill_rows(spark, d)

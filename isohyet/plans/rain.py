@@ -38,10 +38,10 @@ def _tens(spark, d):
 
 
 def _pairs(spark, d):
-    """All pairs of the nations with observations: their keys are 0 to 24 at every scale."""
+    """All pairs of the nations with observations: a list of them all beside each."""
     ids = national(spark, d).select("station_id").distinct()
-    other = ids.select("station_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("ngh_id")).where("station_id <> ngh_id")
-    pairs = other.join(ids.select(F.col("station_id").alias("ngh_id")), "ngh_id", "left_semi")
+    every = ids.agg(F.collect_set("station_id").alias("all"))  # one row, of as many as there are nations
+    pairs = ids.crossJoin(F.broadcast(every)).select("station_id", F.explode("all").alias("ngh_id")).where("station_id <> ngh_id")
     return pairs.withColumn("dist_km", F.abs(F.col("station_id") - F.col("ngh_id")).cast("double"))
 
 
