@@ -65,6 +65,11 @@ def adjustment_report(segments: DataFrame, stations: DataFrame, elem: str) -> Da
     return s.select("station_id", F.lit(elem).alias("elem"), F.date_format(month, "yyyyMM").alias("yearmonth"), (-F.col("adj")).alias("adj"), *[c for c in stations.columns if c != "station_id"])
 
 
+def adjustment_table(tmin: DataFrame, tmax: DataFrame, stations: DataFrame) -> DataFrame:
+    """The reports of both elements, one after the other."""
+    return adjustment_report(tmin, stations, "tmin").unionByName(adjustment_report(tmax, stations, "tmax"))
+
+
 def usable(stations: DataFrame, not_listed: DataFrame) -> DataFrame:
     """Stations that the homogenisation could process."""
     return stations.join(not_listed.select("station_id"), "station_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,10 +19,10 @@ MAX_COLUMNS = 31
 
 
 def candidates(daily: DataFrame, pairs: DataFrame, share: float = 2 / 3, min_d1: float = 0.7) -> DataFrame:
-    """(station_id, month, ngh_id, dist_km, n, d1, ok): neighbours whose days of a
-    calendar month suffice for a target: observed on that share of the target's days
-    and of all days of the calendar month. Of those that do not, only the one with the
-    best d1 is kept, where it is the best of all and good enough.
+    """(station_id, month, ngh_id, dist_km, n, d1, ok): neighbours that are observed on
+    that share of the target's days of a calendar month. ok are those observed on that
+    share of all days of the month, too; of the others only the one with the best d1 is
+    kept, where it is the best of all and good enough.
 
     daily: station_id, obs_date, value (observed days)."""
     d = daily.where("value is not null").withColumn("month", F.month("obs_date"))
@@ -32,7 +34,7 @@ def candidates(daily: DataFrame, pairs: DataFrame, share: float = 2 / 3, min_d1:
     both = both.withColumn("_m", F.avg("value").over(w))
     s = both.groupBy("station_id", "month", "ngh_id", "dist_km").agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(F.abs(F.col("nv") - F.col("value"))), F.sum(F.abs(F.col("nv") - F.col("_m")) + F.abs(F.col("value") - F.col("_m"))))).alias("d1"))
     s = s.join(n, ["station_id", "month"]).join(n.select(F.col("station_id").alias("ngh_id"), "month", F.col("n_own").alias("n_ngh")), ["ngh_id", "month"]).join(F.broadcast(days), "month")  # 12 rows
-    s = s.withColumn("ok", (F.col("n_ngh") >= F.round(share * F.col("n_days"))) & (F.col("n") >= F.round(share * F.col("n_own"))))
+    s = s.where(F.col("n") >= F.round(share * F.col("n_own"))).withColumn("ok", F.col("n_ngh") >= F.round(share * F.col("n_days")))
     best = F.row_number().over(Window.partitionBy("station_id", "month").orderBy(F.desc("d1"), "ngh_id")) == 1
     return s.withColumn("_b", best).where(F.col("ok") | (F.col("_b") & (F.col("d1") >= min_d1))).select("station_id", "month", "ngh_id", "dist_km", "n", "d1", "ok")
 
@@ -169,7 +171,10 @@ def add_components(rows: DataFrame, scores: DataFrame, max_columns: int = MAX_CO
     x = x.withColumns({"_bare": bare, "_size": size})
     padded = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.get("_x", i))
     with_first = F.concat(F.slice(padded, F.lit(1), F.col("_size") - 1), F.array(F.get("pcs", F.lit(0))))
-    return x.withColumn("nghs", F.when((F.col("_bare") == 1) & F.col("pcs").isNotNull(), with_first).otherwise(padded)).drop("pcs", "_x", "_bare", "_size")
+    replaced = (F.col("_bare") == 1) & F.col("pcs").isNotNull()
+    if "ngh_ids" in x.columns:
+        x = x.withColumn("ngh_ids", F.when(F.col("_bare") == 1, F.slice("ngh_ids", F.lit(1), F.col("_size") - 1)).otherwise(F.col("ngh_ids")))
+    return x.withColumn("nghs", F.when(replaced, with_first).otherwise(padded)).drop("pcs", "_x", "_bare", "_size")
 
 
 def _matrix(g: pd.DataFrame) -> np.ndarray:
@@ -202,11 +207,19 @@ def monthly_statistics(rows: DataFrame) -> DataFrame:
 def infill(rows: DataFrame, statistics: DataFrame, explain: float = 0.99, tols: tuple[float, ...] = (1e-5, 1e-6, 1e-7), max_mae: float = 2.0, min_r2: float = 0.7) -> DataFrame:
     """station_id, month, obs_date, value, fitted, infilled, mae, bias, r2, reasons:
     probabilistic components of the standardised matrix, retried with finer
-    tolerances while the fit is not good; of the tries the one with the least error
+    tolerances while the fit is not good (where rows have ngh_ids, neighbours are
+    standardised by their own mean and variance in statistics, and those for which it has
+    none to give are left out; columns it does not know by what they hold); of the tries the one with the least error
     among those that are only inexact, else of all. infilled is the observation where
     there is one, else the fit."""
     ship(rows.sparkSession)
     x = rows.join(statistics.where("mean is not null and vari > 0").select("station_id", "month", "mean", "vari"), ["station_id", "month"])
+    if "ngh_ids" in rows.columns:
+        good = F.col("mean").isNotNull() & (F.col("vari") > 0)
+        own = statistics.select(F.col("station_id").alias("ngh_id"), "month", F.struct(F.when(good, F.col("mean")).otherwise(float("inf")).alias("mean"), F.when(good, F.sqrt("vari")).otherwise(float("inf")).alias("std")).alias("s"))
+        ids = rows.groupBy("station_id", "month").agg(F.first("ngh_ids").alias("ids")).select("station_id", "month", F.posexplode("ids").alias("at", "ngh_id")).join(own, ["ngh_id", "month"], "left")
+        ids = ids.groupBy("station_id", "month").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("s.mean", F.lit(float("nan"))).alias("mean"), F.coalesce("s.std", F.lit(float("nan"))).alias("std")))).alias("s"))
+        x = x.join(ids.select("station_id", "month", F.transform("s", lambda v: v["mean"]).alias("means"), F.transform("s", lambda v: v["std"]).alias("stds")), ["station_id", "month"], "left")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("obs_date")
@@ -214,12 +227,22 @@ def infill(rows: DataFrame, statistics: DataFrame, explain: float = 0.99, tols:
         mean, std = float(g["mean"].iloc[0]), float(np.sqrt(g["vari"].iloc[0]))
         z = m.copy()
         z[:, 0] = (z[:, 0] - mean) / std
-        c, s = np.nanmean(z[:, 1:], 0), np.nanstd(z[:, 1:], 0, ddof=1)
-        z[:, 1:] = (z[:, 1:] - c) / np.where(s > 0, s, 1)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # a column without values
+            c, s = np.nanmean(z[:, 1:], 0), np.nanstd(z[:, 1:], 0, ddof=1)
+        keep = np.isfinite(c)
+        if "means" in g and g["means"].iloc[0] is not None:
+            n = min(len(g["means"].iloc[0]), len(c))
+            means, stds = (np.asarray(g[k].iloc[0][:n], float) for k in ("means", "stds"))
+            c[:n], s[:n] = np.where(np.isnan(means), c[:n], means), np.where(np.isnan(means), s[:n], stds)
+            keep &= np.isfinite(c)
+        with np.errstate(invalid="ignore"):
+            z[:, 1:] = (z[:, 1:] - c) / np.where(s > 0, s, 1)
+        z = z[:, np.concatenate([[True], keep])]
         obs = m[:, 0]
         seen = ~np.isnan(obs)
         tries = []
-        for tol in tols:
+        for tol in tols if keep.any() else ():
             try:
                 fit = kernels.ppca_series(z, mean, std, explain, tol)
             except np.linalg.LinAlgError:
@@ -325,7 +348,8 @@ def suspects(infilled: DataFrame) -> DataFrame:
 def cross_validate(daily: DataFrame, split: DataFrame, pairs: DataFrame) -> DataFrame:
     """mae, bias and r2 per station on the days that split (station_id, obs_date,
     value, train) holds back."""
-    masked = daily.select("station_id", "obs_date").join(split.where("train").select("station_id", "obs_date", "value"), ["station_id", "obs_date"], "left")
+    held = split.where("not train").select("station_id", "obs_date", F.lit(True).alias("_held"))
+    masked = daily.join(held, ["station_id", "obs_date"], "left").select("station_id", "obs_date", F.when(F.col("_held").isNull(), F.col("value")).alias("value"))
     filled = infill_stations(masked, pairs).select("station_id", "obs_date", F.col("fitted").alias("pred"))
     from isohyet.functions.stats import errors
 
@@ -340,6 +364,6 @@ def bad_infill(infilled: DataFrame, bounds: tuple[float, float] = (-89.4, 57.7))
     def run(g: pd.DataFrame) -> pd.DataFrame:
         v = g.sort_values("obs_date")["infilled"].dropna().to_numpy()
         why = [n for n, bad in (("variance change", kernels.variance_change(v) is not None), ("impossible value", bool(len(v)) and (v.min() < bounds[0] or v.max() > bounds[1]))) if bad]
-        return pd.DataFrame({"station_id": [g["station_id"].iloc[0]] * len(why), "reason": why})
+        return pd.DataFrame({"station_id": g["station_id"].iloc[:1].repeat(len(why)), "reason": pd.Series(why, g.index[:1].repeat(len(why)), dtype=object)})
 
     return infilled.groupBy("station_id").applyInPandas(run, f"station_id {kind}, reason string")

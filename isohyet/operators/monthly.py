@@ -16,6 +16,7 @@ from isohyet.functions import kernels
 from isohyet.functions.stats import errors
 from isohyet.operators import interp, neighbourhoods
 from isohyet.operators.spatial import nearest
+from isohyet.tables import table
 
 #: Neighbours over which the numbers of neighbours are averaged.
 INITIAL = 100
@@ -27,9 +28,16 @@ def neighbour_counts(points: DataFrame, stations: DataFrame, station_month: Data
     """point_id, month, k: the weighted mean of the numbers of neighbours at the initial
     nearest stations, rounded half to even; null where none of them has one."""
     near = nearest(points, stations, initial, strict=False, **how)
-    months = F.broadcast(station_month.select("month").distinct())  # twelve rows
-    k = interp.point_parameter(near, station_month, column).withColumnRenamed(column, "k")
-    return points.select("point_id").crossJoin(months).join(k, ["point_id", "month"], "left")
+    months = sorted(r[0] for r in station_month.select("month").distinct().collect())  # twelve at most
+    if not months:
+        return points.select("point_id", F.lit(None).cast("int").alias("month"), F.lit(None).cast("int").alias("k")).where("false")
+    of = lambda m: F.get(column, F.lit(m - 1))
+    mean = lambda m: F.try_divide(F.sum(F.col("wgt") * of(m)), F.sum(F.when(of(m).isNotNull(), F.col("wgt"))))
+    # all months of a neighbour in one row
+    k = near.join(neighbourhoods.by_month(station_month, "station_id", (column,), ""), "station_id").groupBy("point_id").agg(*[mean(m).alias(f"m{m}") for m in months])
+    x = points.select("point_id").join(k, "point_id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(m).cast("int").alias("month"), F.bround(f"m{m}", 0).cast("int").alias("k")) for m in months]))
+    return table(x.select("point_id", each.alias("x")).select("point_id", "x.month", "x.k"), "counts")
 
 
 def neighbour_lists(points: DataFrame, stations: DataFrame, counts: DataFrame, **how) -> DataFrame:

@@ -39,7 +39,7 @@ def prefixes(near: DataFrame, counts: DataFrame) -> DataFrame:
     return x.withColumn("wgt", F.when(F.col("bandwidth") > 0, bisquare(F.col("dist_km"), F.col("bandwidth"))).otherwise(1.0))
 
 
-def _by_month(table: DataFrame, key: str, columns: tuple[str, ...], prefix: str) -> DataFrame:
+def by_month(table: DataFrame, key: str, columns: tuple[str, ...], prefix: str) -> DataFrame:
     """key and of each column an array of its twelve values."""
     value = lambda c: F.array(*[F.max(F.when(F.col("month") == m, F.col(c).cast("double"))) for m in range(1, 13)])
     return table.groupBy(key).agg(*[value(c).alias(f"{prefix}{c}") for c in columns])
@@ -60,12 +60,12 @@ def packed(points: DataFrame, near: DataFrame, stations: DataFrame, station_mont
     (monthly ones from point_month) and its months, each with its k: counts (point_id,
     month, k), or one number for every month of station_month."""
     place = tuple(dict.fromkeys(("lon", "lat", *fixed)))
-    s = stations.select("station_id", *[F.col(c).cast("double").alias(c) for c in place]).join(_by_month(station_month, "station_id", tuple(dict.fromkeys((*monthly, *values))), ""), "station_id")
+    s = stations.select("station_id", *[F.col(c).cast("double").alias(c) for c in place]).join(by_month(station_month, "station_id", tuple(dict.fromkeys((*monthly, *values))), ""), "station_id")
     each = ["rank", "dist_km", "station_id", *s.columns[1:]]
     lists = near.select("point_id", "station_id", "rank", "dist_km", "bandwidth").join(s, "station_id").groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct(*each))).alias("n"), F.max("bandwidth").alias("beyond"))
     x = lists.join(points.select("point_id", *[F.col(c).cast("double").alias(f"p_{c}") for c in place]), "point_id")
     if monthly:
-        x = x.join(_by_month(point_month, "point_id", monthly, "p_"), "point_id")
+        x = x.join(by_month(point_month, "point_id", monthly, "p_"), "point_id")
     if isinstance(counts, int):
         months = sorted(r[0] for r in station_month.select("month").distinct().collect())  # twelve at most
         return x.withColumn("months", F.array(*[F.struct(F.lit(m).cast("int").alias("month"), F.lit(counts).alias("k")) for m in months]))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions.kernels import km
 from isohyet.functions.scalars import bisquare, haversine
 from isohyet.operators.qa_temp import ELEMS, _with_norms, seasonal_norms, update
+from isohyet.shipping import map_arrow
 from isohyet.tables import table
 
 KM_PER_DEGREE = 111.195
@@ -76,6 +81,107 @@ def _start_km(stations: DataFrame, k: int) -> float:
     return min(WHOLE_KM, math.sqrt(2 * (k + 1) * area / (math.pi * b["n"])))
 
 
+#: Stations (about 24 bytes each) that may be sent whole to every task.
+SENT = 200_000
+#: Distances worked out at once.
+AT_ONCE = 2 << 20
+
+
+def _nearest_of_cell(i: np.ndarray, lon: np.ndarray, lat: np.ndarray, s_lon: np.ndarray, s_lat: np.ndarray, k: int, masked) -> tuple[np.ndarray, np.ndarray]:
+    """Of points i, which lie close together, the k nearest stations: their places and
+    distances, by distance and then place, inf where there is none. masked(i, places,
+    distances) says which pairs do not count.
+
+    Stations within the radius that holds k around the middle and twice the points' own
+    spread beyond are the only ones that can matter; where masks take too many of them,
+    the radius is made wider until each point's k are sure."""
+    x, y = lon[i], lat[i]
+    mid = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
+    away, whole = km(x, y, *mid), km(s_lon, s_lat, *mid)
+    n, want = len(s_lon), k
+    while True:
+        want = min(n, want)
+        radius = np.inf if want == n else np.partition(whole, want - 1)[want - 1] + 2 * away.max() + 1e-6
+        some = np.flatnonzero(whole <= radius)
+        if len(i) > 1 and len(i) * len(some) > AT_ONCE:
+            halves = [_nearest_of_cell(h, lon, lat, s_lon, s_lat, k, masked) for h in np.array_split(i, 2)]
+            return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
+        d = km(x[:, None], y[:, None], s_lon[some], s_lat[some])
+        d[masked(i, some, d)] = np.inf
+        if len(some) < k:
+            d = np.concatenate([d, np.full((len(i), k - len(some)), np.inf)], 1)
+            some = np.concatenate([some, np.zeros(k - len(some), some.dtype)])
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(d, order, 1)
+        if want == n or (best[:, -1] <= radius - away - 1e-6).all():
+            return some[order], best
+        want *= 2
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _nearest_sent(points: DataFrame, sent: tuple, kind: str, k: int, point_id: str, drop_zero: bool, strict: bool, others: bool, exclude: DataFrame | None) -> DataFrame:
+    """nearest with all stations in every task: one pass over the points, without a
+    shuffle but for the pairs to exclude."""
+    rows = points.select(F.col(point_id).alias("point_id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    pairs = exclude is not None
+    if pairs:
+        rows = rows.join(exclude.groupBy("point_id").agg(F.collect_set("station_id").alias("x")), "point_id", "left")
+    shared = points.sparkSession.sparkContext.broadcast(sent)  # at most SENT stations
+
+    def run(batches):
+        ids, s_lon, s_lat = shared.value
+        n = len(ids)
+        if not n:
+            return
+        span = max(np.ptp(s_lon), 1e-3) * max(np.ptp(s_lat), 1e-3)
+        size = float(np.clip(math.sqrt(span * (k + 1) / n) / 2, 0.02, 5.0))  # degrees that hold some of k
+        for b in batches:
+            lon, lat = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+            own = pa.compute.index_in(b.column(0).cast(ids.type), ids).to_numpy(zero_copy_only=False).astype(float) if others else None
+            gone = None
+            if pairs:
+                lists = b.column(3)
+                flat = pa.compute.index_in(lists.flatten(), ids)
+                at = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                known = flat.is_valid().to_numpy(zero_copy_only=False)
+                gone = np.stack([at[known], flat.drop_null().to_numpy()])
+            there = np.flatnonzero(np.isfinite(lon) & np.isfinite(lat))
+            cell = np.stack([np.floor(lon[there] / size), np.floor(lat[there] / size)])
+            order = np.lexsort(cell)
+            edge = np.flatnonzero((np.diff(cell[:, order]) != 0).any(0)) + 1
+
+            def masked(i, some, d, own=own, gone=gone):
+                out = ~(d > 0) if drop_zero else np.zeros(d.shape, bool)
+                if others:
+                    out |= own[i][:, None] == some
+                if gone is not None:
+                    mine = np.isin(gone[0], i) & np.isin(gone[1], some)
+                    out[np.searchsorted(i, gone[0][mine]), np.searchsorted(some, gone[1][mine])] = True
+                return out
+
+            found = [(i, *_nearest_of_cell(i, lon, lat, s_lon, s_lat, k + 1, masked)) for group in (np.split(there[order], edge) if len(there) else []) for i in [np.sort(group)]]
+            if not found:
+                continue
+            i, place, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            beyond = d[:, k]
+            if strict and not np.isfinite(beyond).all():
+                raise ValueError(f"fewer than {k + 1} stations in reach")
+            near = np.where(np.isfinite(d[:, :k]), d[:, :k], -np.inf).max(1)
+            bandwidth = np.where(np.isfinite(beyond), beyond, near)[:, None] + np.zeros((1, k))
+            ok = np.isfinite(d[:, :k])
+            dist, bandwidth = d[:, :k][ok], bandwidth[ok]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                wgt = np.where(bandwidth > 0, np.where(dist < bandwidth, (1 - (dist / bandwidth) ** 2) ** 2, 0.0), 1.0)
+            point = np.repeat(i, ok.sum(1))
+            rank = np.tile(np.arange(1, k + 1), (len(i), 1))[ok]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(point)), ids.take(pa.array(place[:, :k][ok])), pa.array(dist), pa.array(rank, pa.int32()), pa.array(bandwidth), pa.array(wgt)], ["point_id", "station_id", "dist_km", "rank", "bandwidth", "wgt"])
+
+    return map_arrow(rows, run, f"point_id {rows.schema['point_id'].dataType.simpleString()}, station_id {kind}, dist_km double, rank int, bandwidth double, wgt double")
+
+
 def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | None = None, point_id: str = "point_id", drop_zero: bool = False, strict: bool = True, others: bool = False, exclude: DataFrame | None = None) -> DataFrame:
     """(point_id, station_id, dist_km, rank, bandwidth, wgt): the k nearest stations,
     ties by id. The bandwidth is the distance of the next one beyond them, the weight
@@ -84,10 +190,18 @@ def nearest(points: DataFrame, stations: DataFrame, k: int, start_km: float | No
     a station by itself, which is not its own neighbour. exclude: pairs (point_id,
     station_id) that are not neighbours.
 
-    Stations are searched within a radius that holds some more than k + 1 of them on
-    average; the points that found fewer are searched again within twice the radius,
-    until none is left: the k + 1 nearest are exact once they are in the radius. What a
-    round found is written, and the next one asks for the rest."""
+    While there are at most SENT stations they go whole to every task, which finds the
+    neighbours of points that lie in one cell together by numpy. Beyond that, or with
+    start_km, stations are searched within a radius that holds some more than k + 1 of
+    them on average; the points that found fewer are searched again within twice the
+    radius, until none is left: the k + 1 nearest are exact once they are in the radius.
+    What a round found is written, and the next one asks for the rest."""
+    if start_km is None and k:
+        s = stations.select("station_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).where("lon is not null and lat is not null")
+        if s.count() <= SENT:
+            t = s.orderBy("station_id").toArrow().combine_chunks()
+            sent = (_whole(t.column(0)), t.column(1).to_numpy(), t.column(2).to_numpy())
+            return _nearest_sent(points, sent, s.schema["station_id"].dataType.simpleString(), k, point_id, drop_zero, strict, others, exclude)
     radius = min(WHOLE_KM, start_km or _start_km(stations, k))
     w = Window.partitionBy("point_id").orderBy("dist_km", "station_id")
     found, left = None, points

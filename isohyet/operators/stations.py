@@ -67,6 +67,21 @@ def bad_stations(stations: DataFrame, *others: DataFrame) -> DataFrame:
     return union_distinct([own, *others])
 
 
+def good_stations(stations: DataFrame) -> DataFrame:
+    """Stations that are not bad; not marked is good."""
+    return stations.where(~F.coalesce(F.col("bad"), F.lit(False)))
+
+
+def in_domain(stations: DataFrame) -> DataFrame:
+    """Stations inside the mask; without a mask they are outside."""
+    return stations.where(F.coalesce(F.col("mask"), F.lit(False)))
+
+
+def validation_ids(stations: DataFrame, *lists: DataFrame) -> DataFrame:
+    """The stations (station_id) of the lists that there are, each once."""
+    return within(union_distinct([*lists]), stations)
+
+
 def complete(serial: DataFrame, good: DataFrame) -> bool:
     """Whether no value of a good station is missing."""
     return serial.join(good.select("station_id"), "station_id", "left_semi").where("value is null").isEmpty()
@@ -140,11 +155,14 @@ def utc_offset_by_longitude(stations: DataFrame) -> DataFrame:
 
 
 def utc_offset(stations: DataFrame, zones: DataFrame) -> DataFrame:
-    """From a table of boxes (lon0, lon1, lat0, lat1, hours), else by longitude."""
-    x = utc_offset_by_longitude(stations)
+    """From a table of boxes (lon0, lon1, lat0, lat1, hours; lower ends included), of
+    several the one with the least corner, else by longitude. Boxes meet the stations in
+    whole degrees of latitude; polygons are zones.utc_offset."""
+    x = utc_offset_by_longitude(stations).withColumn("_lat", F.floor("lat"))
+    z = zones.where("lat0 < lat1 and lon0 < lon1").withColumn("_lat", F.explode(F.sequence(F.floor("lat0"), F.ceil("lat1") - 1)))
     inside = (F.col("lon") >= F.col("lon0")) & (F.col("lon") < F.col("lon1")) & (F.col("lat") >= F.col("lat0")) & (F.col("lat") < F.col("lat1"))
-    z = x.join(F.broadcast(zones), inside, "left")  # a few hundred zones, whatever the stations
-    return z.withColumn("utc_offset", F.coalesce(F.col("hours").cast("short"), "utc_offset")).select(x.columns)
+    found = x.select("lon", "lat", "_lat").distinct().join(z, "_lat").where(inside).groupBy("lon", "lat").agg(F.min(F.struct("lon0", "lat0", "lon1", "lat1", F.col("hours").cast("short").alias("hours"))).alias("_z"))
+    return x.join(found, ["lon", "lat"], "left").withColumn("utc_offset", F.coalesce("_z.hours", "utc_offset")).select(*stations.columns, "utc_offset")
 
 
 def bad_from_log(lines: DataFrame) -> DataFrame:

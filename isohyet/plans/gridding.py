@@ -218,14 +218,42 @@ def loo_chain(spark, d):
     return norm.select("station_id", "month", F.round("norm", 4).alias("norm"), F.round("pred", 4).alias("pred"))
 
 
-@query("loo_normals")
+#: Weighted moments of the 30 neighbours of a station, and the plane through them.
+_LOO = f"""WITH {STN}, v AS (SELECT *, CAST(30 AS DOUBLE)-lat/2-elev/1500+sin(lon/3) AS v FROM stn),
+k AS (SELECT a.station_id AS p, b.station_id, {_KM} AS km FROM stn a, stn b WHERE a.station_id<>b.station_id QUALIFY row_number() OVER (PARTITION BY p ORDER BY km, b.station_id) <= 31),
+kr AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY km, station_id) AS rank, max(km) OVER (PARTITION BY p) AS bw FROM k),
+n AS (SELECT p, s.lon-o.lon AS x, s.lat-o.lat AS y, (s.elev-o.elev)/1000 AS z, s.v, power(1-power(km/bw,2),2) AS w FROM kr JOIN v s USING (station_id) JOIN v o ON o.station_id=p WHERE rank<=30),
+m AS (SELECT p, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, sum(w*z)/sum(w) AS mz, sum(w*v)/sum(w) AS mv FROM n GROUP BY 1),
+c AS (SELECT p, mx, my, mz, mv, sum(w*(x-mx)*(x-mx)) AS xx, sum(w*(y-my)*(y-my)) AS yy, sum(w*(z-mz)*(z-mz)) AS zz, sum(w*(x-mx)*(y-my)) AS xy, sum(w*(x-mx)*(z-mz)) AS xz, sum(w*(y-my)*(z-mz)) AS yz, sum(w*(x-mx)*(v-mv)) AS xv, sum(w*(y-my)*(v-mv)) AS yv, sum(w*(z-mz)*(v-mv)) AS zv FROM n JOIN m USING (p) GROUP BY 1,2,3,4,5),
+e AS (SELECT c.p, (mv - (mx*(xv*(yy*zz-yz*yz)-xy*(yv*zz-yz*zv)+xz*(yv*yz-yy*zv)) + my*(xx*(yv*zz-yz*zv)-xv*(xy*zz-yz*xz)+xz*(xy*zv-yv*xz)) + mz*(xx*(yy*zv-yv*yz)-xy*(xy*zv-yv*xz)+xv*(xy*yz-yy*xz))) / (xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz))) - v.v AS err FROM c JOIN v ON v.station_id=c.p)
+SELECT p AS station_id, round(abs(err),5) AS mae, round(err,5) AS bias FROM e"""
+
+
+@query("loo_normals", _LOO)
 def loo_normals(spark, d):
+    """All months of a station differ by the same from its neighbours'."""
     s, n = _norms(spark, d)
     loo = interp.leave_one_out(s, n.withColumnRenamed("norm", "value"), 30, strict=False)
     return interp.validation(loo).select("station_id", F.round("mae", 5).alias("mae"), F.round("bias", 5).alias("bias"))
 
 
-@query("norm_outliers")
+_COLUMNS = ("1", "x1", "x2", "x3", "x4", "v")
+#: Normal equations of a station and month, relative to the station, solved one column
+#: after the other; the constant is what the neighbours say of the station.
+_OUTLIERS = f"""WITH RECURSIVE {STN}, mo AS (SELECT CAST(unnest(range(1, 13)) AS INT) AS month),
+ym AS (SELECT station_id, lon, lat, elev, month, CAST(30 AS DOUBLE)-lat/2-elev/1500+sin(lon/3)+CAST(month AS DOUBLE)/2+CASE WHEN station_id%97=5 THEN 40.0 ELSE 0.0 END AS norm, CAST(20 AS DOUBLE)-lat/3+month*cos(elev) AS lst FROM stn, mo),
+m AS (SELECT * FROM ym UNION ALL SELECT station_id, lon, lat, elev, 13, avg(norm), avg(lst) FROM ym GROUP BY ALL),
+k AS (SELECT a.station_id AS p, b.station_id, {_KM} AS km FROM stn a, stn b WHERE a.station_id<>b.station_id QUALIFY row_number() OVER (PARTITION BY p ORDER BY km, b.station_id) <= 41),
+kr AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY km, station_id) AS rank, max(km) OVER (PARTITION BY p) AS bw FROM k),
+n AS (SELECT p, o.month, o.norm AS obs, s.norm AS v, s.lst-o.lst AS x1, (s.elev-o.elev)/1000 AS x2, s.lon-o.lon AS x3, s.lat-o.lat AS x4, power(1-power(km/bw,2),2) AS w FROM kr JOIN m s ON s.station_id=kr.station_id JOIN m o ON o.station_id=p AND o.month=s.month WHERE rank<=40),
+e AS (SELECT p, month, obs, 0 AS s, [{', '.join('[' + ', '.join(f'sum(w*{a}*{b})' for b in _COLUMNS) + ']' for a in _COLUMNS[:5])}] AS q FROM n GROUP BY 1,2,3
+  UNION ALL SELECT p, month, obs, s+1, list_transform(range(1,6), lambda i: list_transform(range(1,7), lambda j: CASE WHEN i=s+1 THEN q[i][j]/q[i][i] ELSE q[i][j]-q[i][s+1]*q[s+1][j]/q[s+1][s+1] END)) FROM e WHERE s<5),
+r AS (SELECT p AS station_id, month, q[1][6]-obs AS err FROM e WHERE s=5),
+z AS (SELECT month, avg(err) AS a, stddev_samp(err) AS d FROM r GROUP BY 1)
+SELECT DISTINCT station_id FROM r JOIN z USING (month) WHERE abs((err-a)/nullif(d,0)) > 3"""
+
+
+@query("norm_outliers", _OUTLIERS)
 def norm_outliers(spark, d):
     """Stations whose norms the regression on their neighbours misses by far."""
     s, n = _norms(spark, d)
@@ -241,10 +269,20 @@ def crossed_fix_window(spark, d):
     return interp.fix_crossed(x, literal=False).select("point_id", "obs_date", F.round("tmin", 6).alias("tmin"), F.round("tmax", 6).alias("tmax"))
 
 
-@query("crossed_fix_literal")
+#: One crossed day after the other: spans holds a point's ranges, mended ones in their place.
+_CROSSED = """WITH RECURSIVE x AS (SELECT l_suppkey AS point_id, CAST(l_shipdate AS DATE) AS obs_date, min(l_quantity) AS tmin, max(l_quantity)+5-60*max(CASE WHEN day(CAST(l_shipdate AS DATE))=1 THEN 1 ELSE 0 END) AS tmax FROM lineitem GROUP BY 1,2),
+n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY obs_date) AS i FROM x),
+b AS (SELECT point_id, i, row_number() OVER (PARTITION BY point_id ORDER BY i) AS r FROM n WHERE tmin>=tmax),
+s AS (SELECT point_id, CAST(0 AS BIGINT) AS r, list(tmax-tmin ORDER BY i) AS spans FROM n GROUP BY 1
+  UNION ALL SELECT s.point_id, b.r, list_concat(list_concat(spans[:b.i-1], [list_avg(list_filter(spans[greatest(1,b.i-15):b.i+15], lambda v: v>0))]), spans[b.i+1:]) FROM s JOIN b ON b.point_id=s.point_id AND b.r=s.r+1),
+e AS (SELECT point_id, arg_max(spans, r) AS spans FROM s GROUP BY 1)
+SELECT n.point_id, obs_date, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2-spans[i]/2 ELSE tmin END,6) AS tmin, round(CASE WHEN tmin>=tmax THEN (tmin+tmax)/2+spans[i]/2 ELSE tmax END,6) AS tmax FROM n JOIN e USING (point_id)"""
+
+
+@query("crossed_fix_literal", _CROSSED)
 def crossed_fix_literal(spark, d):
     x = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("point_id"), F.col("l_shipdate").cast("date").alias("obs_date")).agg(F.min("l_quantity").alias("tmin"), (F.max("l_quantity") + 5 - 60 * F.max((F.day("l_shipdate") == 1).cast("int"))).alias("tmax"))
-    return interp.fix_crossed(x)
+    return interp.fix_crossed(x).select("point_id", "obs_date", F.round("tmin", 6).alias("tmin"), F.round("tmax", 6).alias("tmax"))
 
 
 @query("pca_variance", "WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT a.i, b.i AS j, corr(CAST(a.x AS DOUBLE), CAST(b.x AS DOUBLE)) AS r FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2) SELECT CAST(count(*) FILTER (i = j) AS INT) AS components, round(sum(r) FILTER (i = j), 6) AS total, round(sum(r * r), 4) AS squares FROM c")

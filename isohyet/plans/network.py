@@ -81,10 +81,11 @@ def _nat_stations(spark, d):
 
 
 def _smooth(spark, d):
-    """Series of neighbours that agree: a common curve, an offset, a few outliers."""
+    """Series of neighbours that agree: a common curve, an offset, a part of what the
+    table has, a few outliers."""
     day = F.datediff("obs_date", F.lit("1995-01-01").cast("date"))
     base = F.lit(15.0) * F.sin(day.cast("double") / 58.0) + (day * 7919 % 13).cast("double") / 4 + (F.col("station_id") % 5).cast("double")
-    noise = ((day * 31 + F.col("station_id") * 17) % 7).cast("double") / 5
+    noise = ((day * 31 + F.col("station_id") * 17) % 7).cast("double") / 5 + F.coalesce("tmin", F.lit(0.0)) / 40
     odd = F.when((day * 13 + F.col("station_id") * 101) % 997 == 0, 25.0).otherwise(0.0)
     x = densify(national(spark, d))
     gone = (day * 5 + F.col("station_id") * 3) % 11 == 0
@@ -94,8 +95,8 @@ def _smooth(spark, d):
 _NPAIRS = f"npairs AS (SELECT * FROM (SELECT a.station_id, b.station_id AS ngh_id, {_KM} AS dist_km FROM ns a, ns b WHERE a.station_id<>b.station_id) WHERE dist_km <= 300)"
 #: the stations and series of _nat_stations and _smooth
 _SMOOTH = f"""{NAT}, {DENSE}, ns AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, CAST(-100+n_nationkey%5 AS DOUBLE) AS lon, CAST(40+n_nationkey//5 AS DOUBLE) AS lat FROM nation), {_NPAIRS},
-dk AS (SELECT station_id, obs_date, date_diff('day', DATE '1995-01-01', obs_date) AS k FROM dense),
-dc AS (SELECT *, CAST(15 AS DOUBLE)*sin(CAST(k AS DOUBLE)/58)+CAST((k*7919)%13 AS DOUBLE)/4+CAST(station_id%5 AS DOUBLE) AS base, CAST((k*31+station_id*17)%7 AS DOUBLE)/5 AS noise FROM dk),
+dk AS (SELECT station_id, obs_date, date_diff('day', DATE '1995-01-01', obs_date) AS k, tmin AS own FROM dense),
+dc AS (SELECT *, CAST(15 AS DOUBLE)*sin(CAST(k AS DOUBLE)/58)+CAST((k*7919)%13 AS DOUBLE)/4+CAST(station_id%5 AS DOUBLE) AS base, CAST((k*31+station_id*17)%7 AS DOUBLE)/5+coalesce(own,0)/40 AS noise FROM dk),
 sm AS (SELECT station_id, obs_date, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+noise+CASE WHEN (k*13+station_id*101)%997=0 THEN 25.0 ELSE 0.0 END END AS tmin, CASE WHEN (k*5+station_id*3)%11<>0 THEN base+8+noise END AS tmax FROM dc),
 lv AS (SELECT station_id, obs_date, 'tmin' AS elem, tmin AS v FROM sm WHERE tmin IS NOT NULL UNION ALL SELECT station_id, obs_date, 'tmax', tmax FROM sm WHERE tmax IS NOT NULL),
 np3 AS (SELECT station_id, ngh_id, dist_km FROM (SELECT *, count(*) OVER (PARTITION BY station_id) AS c FROM npairs) WHERE c>=3)"""
@@ -124,7 +125,7 @@ dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate
 cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
 pr AS (SELECT a.station_id, a.month, p.ngh_id, p.dist_km, a.value, b.value AS nv, avg(a.value) OVER (PARTITION BY a.station_id, a.month, p.ngh_id) AS mv FROM dv a JOIN npairs p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date),
 sc AS (SELECT station_id, month, ngh_id, dist_km, count(*) AS n, 1-sum(abs(nv-value))/nullif(sum(abs(nv-mv)+abs(value-mv)),0) AS d1 FROM pr GROUP BY 1,2,3,4),
-ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AND n>=round(2.0/3*t.n_own) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month)
+ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month WHERE n>=round(2.0/3*t.n_own))
 SELECT station_id, CAST(month AS INT) AS month, ngh_id, round(dist_km,6) AS dist_km, n, round(d1,6) AS d1, ok FROM ok WHERE ok OR (r=1 AND d1>=0.7)"""
 
 
@@ -302,7 +303,7 @@ dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate
 cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
 pr AS (SELECT a.station_id, a.month, p.ngh_id, a.value, b.value AS nv, avg(a.value) OVER (PARTITION BY a.station_id, a.month, p.ngh_id) AS mv FROM dv a JOIN npairs p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date),
 sc AS (SELECT station_id, month, ngh_id, count(*) AS n, 1-sum(abs(nv-value))/nullif(sum(abs(nv-mv)+abs(value-mv)),0) AS d1 FROM pr GROUP BY 1,2,3),
-ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AND n>=round(2.0/3*t.n_own) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month),
+ok AS (SELECT sc.*, g.n_own>=round(2.0/3*n_days) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN cn g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month WHERE n>=round(2.0/3*t.n_own)),
 ca AS MATERIALIZED (SELECT station_id, month, ngh_id, row_number() OVER (PARTITION BY station_id, month ORDER BY d1 DESC, ngh_id) AS r FROM ok WHERE ok OR (r=1 AND d1>=0.7)),
 dd AS MATERIALIZED (SELECT station_id, obs_date, month(obs_date) AS month, row_number() OVER (PARTITION BY station_id, month(obs_date) ORDER BY obs_date) AS i FROM sm),
 se AS MATERIALIZED (SELECT ca.station_id, ca.month, ca.r, ca.ngh_id, list(CASE WHEN dv.value IS NULL THEN 0 ELSE 1 END ORDER BY i) AS s FROM ca JOIN dd ON dd.station_id=ca.station_id AND dd.month=ca.month LEFT JOIN dv ON dv.station_id=ca.ngh_id AND dv.obs_date=dd.obs_date GROUP BY ALL),

@@ -208,5 +208,27 @@ def read_observations(spark: SparkSession, path: str, first: str | None = None,
     return x.select("station_id", "obs_date", *[value(e) for e in elems])
 
 
+def write_monthly_means(monthly: DataFrame, path: str) -> None:
+    """Monthly values (station_id, elem, year, month, value) dealt by station and sorted,
+    so that filters on stations and years skip row groups."""
+    monthly.repartition("station_id").sortWithinPartitions("station_id", "elem", "year", "month").write.mode("overwrite").parquet(path)
+
+
+def read_monthly(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: DataFrame | None = None, elem: str | None = None) -> DataFrame:
+    """Monthly values of a range of years, of some stations, of one element. Bounds and
+    the element reach the scan."""
+    x = spark.read.parquet(path)
+    x = x if first is None else x.where(F.col("year") >= first)
+    x = x if last is None else x.where(F.col("year") <= last)
+    x = x if elem is None else x.where(F.col("elem") == elem)
+    return x if ids is None else x.join(ids.select("station_id"), "station_id", "left_semi")
+
+
+def monthly_series(monthly: DataFrame) -> DataFrame:
+    """station_id, elem, year, values: twelve a year, null where there is none."""
+    v = F.array(*[F.max(F.when(F.col("month") == m, F.col("value"))) for m in range(1, 13)])
+    return monthly.groupBy("station_id", "elem", "year").agg(v.alias("values"))
+
+
 def add_column(df: DataFrame, name: str, kind: str, fill=None) -> DataFrame:
     return df.withColumn(name, F.lit(fill).cast(kind))

@@ -253,13 +253,40 @@ def test_nearest_is_exact_whatever_the_start(spark):
     st = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(r.uniform(-180, 180, 60), r.uniform(-88, 88, 60)))] + [(60 + i, 10.0 + i / 100, 50.0) for i in range(60)]
     pts = [(0, 10.0, 50.0), (1, 179.9, -60.0), (2, -179.9, 10.0), (3, 0.0, 89.0), (4, -100.0, 0.0)]
     stations_, points = spark.createDataFrame(st, "station_id long, lon double, lat double"), spark.createDataFrame(pts, "point_id long, lon double, lat double")
-    for start in (None, 30_000.0):
+    for start in (None, 50.0, 30_000.0):
         got = {(x.point_id, x["rank"]): x.station_id for x in spatial.nearest(points, stations_, 7, start).collect()}
         for p, lon, lat in pts:
             want = sorted(st, key=lambda s: (round(float(kernels.km(lon, lat, s[1], s[2])), 9), s[0]))[:7]
             assert [got[p, k] for k in range(1, 8)] == [s[0] for s in want]
 
 
+@pytest.mark.parametrize("k,drop,others", [(3, False, False), (12, True, False), (5, False, True), (40, True, True)])
+def test_nearest_in_one_pass(spark, k, drop, others):
+    """Masked pairs, stations at one place, points without one, few stations, text ids."""
+    r = np.random.default_rng(k)
+    st = [(f"S{i:02d}", float(x), float(y)) for i, (x, y) in enumerate(zip(r.uniform(-120, -70, 38), r.uniform(25, 50, 38)))]
+    st += [("S38", *st[3][1:]), ("S39", *st[3][1:]), ("S40", None, 30.0)]
+    pts = [(s[0], s[1], s[2]) for s in st] + [("P1", 179.99, 60.0), ("P2", -179.99, -60.0), ("P3", -100.0, None)]
+    gone = [(p[0], s[0]) for p in pts for s in st if r.random() < 0.3]
+    s, p = spark.createDataFrame(st, "station_id string, lon double, lat double"), spark.createDataFrame(pts, "point_id string, lon double, lat double")
+    ex = spark.createDataFrame(gone + gone[:5] + [("P1", "none such")], "point_id string, station_id string")
+    got = {}
+    for x in spatial.nearest(p, s, k, drop_zero=drop, others=others, strict=False, exclude=ex).collect():
+        got.setdefault(x.point_id, []).append((x["rank"], x.station_id, x.dist_km, x.bandwidth, x.wgt))
+    for i, lon, lat in pts:
+        if lon is None or lat is None:
+            assert i not in got
+            continue
+        rows = [(float(kernels.km(lon, lat, x, y)), c) for c, x, y in st if x is not None and (i, c) not in set(gone)]
+        rows = sorted((round(d, 9), c) for d, c in rows if not (drop and d == 0) and not (others and c == i))
+        mine = sorted(got.get(i, []))
+        assert [m[1] for m in mine] == [c for _, c in rows[:k]] and [m[2] for m in mine] == pytest.approx([d for d, _ in rows[:k]], abs=1e-8)
+        if mine:
+            bw = rows[k][0] if len(rows) > k else rows[min(k, len(rows)) - 1][0]
+            assert all(m[3] == pytest.approx(bw, abs=1e-8) for m in mine)
+            assert [m[4] for m in mine] == pytest.approx([max(0.0, 1 - (d / bw) ** 2) ** 2 if bw else 1.0 for d, _ in rows[:k]], abs=1e-7)
+
+
 def test_growth_takes_what_every_day_needs(spark):
     """Three neighbours a day: the third nearest one misses some days, and nobody else
     is near, so the radius grows to the fourth; a far station is left uncovered."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from isohyet.operators import zones
+from isohyet.operators import stations, zones
 
 SCHEMA = "zone_id int, rings array<array<struct<lon:double,lat:double>>>"
 
@@ -67,3 +67,9 @@ def test_closed_rings_repeated_points_no_zones(spark):
     h = spark.createDataFrame([(1, -7)], "zone_id int, hours int")
     got = {x.r: x.utc_offset for x in zones.utc_offset(p, z, h).collect()}
     assert got == {"x": -7, "y": -7, "z": 0}
+
+
+def test_boxes_that_overlap_give_a_station_once(spark):
+    boxes = spark.createDataFrame([(-110.0, -100.0, 30.2, 40.7, -7), (-105.0, -90.0, 35.0, 45.0, -6), (0.0, 0.0, 1.0, 2.0, 9)], "lon0 double, lon1 double, lat0 double, lat1 double, hours int")
+    s = spark.createDataFrame([(1, -102.0, 38.0), (2, -95.0, 38.0), (3, -95.0, 45.0), (4, -110.0, 30.2), (5, -100.0, 31.0), (6, None, 38.0)], "station_id int, lon double, lat double")
+    assert {r.station_id: r.utc_offset for r in stations.utc_offset(s, boxes).collect()} == {1: -7, 2: -6, 3: -6, 4: -7, 5: -7, 6: None}
