@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The template: <turn>role<says>text<next>text</turn>. Turns of one role that
 #: follow each other share one mark, their texts parted by <next>.
 OPEN, SAYS, NEXT, CLOSE = "<turn>", "<says>", "<next>", "</turn>"
+#: Items that are summed or cut out together.
+GROUP = 128
 _CONTROL = r"<(?=(?:/?turn|says|next)>)"
 
 
@@ -26,6 +28,17 @@ def _joined(parts: Column, by: str) -> Column:
     return F.array_join(parts, by)
 
 
+def _groups(items: Column) -> Column:
+    """An array in arrays of GROUP items, the last one shorter; none if it is empty."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(GROUP)), lambda i: i < F.size(items))
+    return F.transform(starts, lambda i: F.slice(items, i + 1, GROUP))
+
+
+def _growing(kind: str, at: Column | int) -> Column:
+    """The start of a fold that moves a place on and collects items of a kind."""
+    return F.struct((F.lit(at) if isinstance(at, int) else at).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conv_id: formatted string, n_turns long, and loss_spans, an
     array of (start, length) in code points of formatted, from 1: the escaped
@@ -50,12 +63,20 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     # (role, length of each text, what precedes it beyond the texts before it)
     sizes = F.flatten(F.transform("m", lambda m: F.transform(m["texts"], lambda t, i: F.struct((m["role"] == loss_role).alias("loss"), F.length(t).alias("len"), F.when(i == 0, F.length(m["role"]) + len(OPEN) + len(SAYS)).otherwise(gap).alias("pre"), F.when(i == F.size(m["texts"]) - 1, len(CLOSE)).otherwise(0).alias("post")))))
     sets = sets.select("conv_id", "n_turns", _joined(F.transform("m", block), "").alias("formatted"), sizes.alias("z"))
-    spans = F.aggregate(
-        "z",
-        F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("out")),
-        lambda a, z: F.struct((a["at"] + z["pre"] + z["len"] + z["post"]).alias("at"), F.when(z["loss"], F.concat(a["out"], F.array(F.struct((a["at"] + z["pre"]).alias("start"), z["len"].alias("length"))))).otherwise(a["out"]).alias("out")),
-    )
-    return sets.select("conv_id", "n_turns", "formatted", spans["out"].alias("loss_spans"))
+    # running sums in two levels, so that no array is copied once a turn: where each group
+    # of sizes begins, then the spans of each group
+    sets = sets.withColumn("groups", _groups(F.col("z")))
+    size = lambda z: z["pre"] + z["len"] + z["post"]
+    sets = sets.withColumn("sums", F.transform("groups", lambda g: F.aggregate(g, F.lit(0), lambda a, z: a + size(z))))
+    begin = F.aggregate("sums", _growing("int", 1), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+    sets = sets.withColumn("begin", begin["out"])
+
+    def spans_of(group: Column, at: Column) -> Column:
+        span = lambda a, z: F.array(F.struct((a["at"] + z["pre"]).alias("start"), z["len"].alias("length")))
+        grow = lambda a, z: F.struct((a["at"] + size(z)).alias("at"), F.when(z["loss"], F.concat(a["out"], span(a, z))).otherwise(a["out"]).alias("out"))
+        return F.aggregate(group, _growing("struct<start:int,length:int>", at), grow)["out"]
+
+    return sets.select("conv_id", "n_turns", "formatted", F.flatten(F.zip_with("groups", "begin", spans_of)).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -66,5 +87,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return _joined(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+    """All text under the loss mask, unescaped, nothing between. The part of formatted
+    that holds a group of spans is cut out first, as a place is found by counting from
+    the start of a string."""
+
+    def texts(group: Column) -> Column:
+        base, last = F.get(group, F.lit(0))["start"], F.element_at(group, -1)
+        part = F.array(F.substring(formatted, base, last["start"] + last["length"] - base))
+        return F.flatten(F.transform(part, lambda p: F.transform(group, lambda s: unescape(F.substring(p, s["start"] - base + 1, s["length"])))))
+
+    return _joined(F.flatten(F.transform(_groups(spans), texts)), "")
