@@ -60,21 +60,19 @@ def _log_factorial(n: Column) -> Column:
     return series - F.log(back)
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 2000) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p): the terms from k downward, and the
-    geometric bound on what is left after so many, so never below the true value
-    where k < n p; 1 from there on."""
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) for X ~ Binomial(n, p) where k < n p; 1 from there on. The sum of the
+    terms from k downward: the m-th is at most exp(-m * m / 2k) of the first, so those
+    after 9 * sqrt(k) are below what a double holds of the sum, whatever k and n."""
     k, n = k.cast("double"), n.cast("double")
     log_top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     odds = (1 - p) / p
     down = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(float(terms))).cast("int")),
+        F.sequence(F.lit(0), F.least(k, F.ceil(9 * F.sqrt(k)) + 9).cast("int")),
         F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")),
         lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * (k - i) / (n - k + i + 1) * odds).alias("term")),
     )
-    rest = k / (n - k + 1) * odds
-    whole = F.exp(log_top) * (down["sum"] + down["term"] / F.greatest(1 - rest, F.lit(1e-9)))
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), whole))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top) * down["sum"]))
 
 
 def levels(cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> list[dict[str, float]]:
