@@ -285,6 +285,19 @@ def test_binomial_is_exact(spark):
         assert got == pytest.approx(want, rel=1e-7, abs=1e-12), (k, n, p)
 
 
+@pytest.mark.parametrize("n,k,p", [(400_000, 3_800, 0.01), (30_000_000, 298_500, 0.01), (2_000_000, 99_000, 0.05)])
+def test_binomial_of_many_labels(spark, n, k, p):
+    from math import exp, lgamma, log
+
+    first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)
+    total, term = 0.0, 1.0
+    for i in range(k + 1):  # every term
+        total += term
+        term *= (k - i) / (n - k + i + 1) * (1 - p) / p
+    got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p).alias("x")).first().x
+    assert 0 < got < 1 and got == pytest.approx(exp(first) * total, rel=1e-5)
+
+
 def test_quality_counts(spark):
     lines = "good line of words here\n\n good\ngood line of words here\ngood line of words here\n ## $$"
     texts = [*ODD, lines, "alpha beta gamma delta epsilon zeta eta theta " * 4, " ".join(str(i) for i in range(40))]
