@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 from isohyet.llm.common import table
 
-#: Digits of a hash by which a source's rows are numbered in ranges, each by itself.
-HEX_DIGITS = 3
-#: Slots of a window, the unit in which the schedule is worked out.
-SLOTS = 256
+#: Digits of a hash by which a source's rows are numbered in ranges, each by itself; more
+#: where a range would have more rows than RANGE.
+HEX_DIGITS, RANGE = 3, 1 << 22
+#: The least slots of a window, the unit in which the schedule is worked out, and what a
+#: source costs at the start of a window, counted in looks at a free slot.
+SLOTS, COST = 256, 40
+#: Windows whose sums run side by side.
+STRETCH = 4096
 #: Blocks of one source that are listed from one row.
 LISTED = 4096
 #: Bits of a weight that is given as a fraction.
@@ -70,24 +75,41 @@ def _run(windows: DataFrame, slots: int) -> DataFrame:
     return done.select("k", ran.alias("ran"), F.array_sort(F.concat("rest", F.transform(F.filter("b", lambda b: b["at"] < 0), lambda b: b["jobs"]))).alias("left"))
 
 
-def _waiting(fresh: DataFrame, slots: int) -> DataFrame:
+def _listed(last: Column) -> Column:
+    """The numbers of the lists that hold 0 to last, LISTED in each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / LISTED)))
+
+
+def _waiting(fresh: DataFrame, last: int, slots: int) -> DataFrame:
     """k, waiting: how many released jobs have not run when window k starts, whatever
-    their order, as a slot is idle only when none waits. The most jobs less slots since
-    any slot before; one row a window goes through the running sums."""
+    their order, as a slot is idle only when none waits: the most jobs less slots since
+    any slot before. The sums run within stretches of windows first, then over the
+    stretches; last: a window that none of fresh is after."""
     at = fresh.select("k", F.explode("new").alias("x")).groupBy("k", (F.col("x.release") - F.col("k") * slots).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("k").orderBy("at")) - F.col("n")
     per = at.withColumn("low", F.when(F.col("at") > 0, before - F.col("at"))).groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
-    last = fresh.agg(F.max("k")).first()[0]
-    every = fresh.sparkSession.range(last + 2).withColumnRenamed("id", "k").join(per, "k", "left")
+    every = fresh.sparkSession.range(last + 2).withColumnRenamed("id", "k").join(per, "k", "left").withColumn("c", F.floor(F.col("k") / STRETCH))
     gain = F.coalesce("n", F.lit(0)) - slots
     every = every.withColumn("gain", gain).withColumn("high", F.col("gain") - F.least(F.col("gain"), F.col("low")))
-    past = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    every = every.withColumn("sum", F.coalesce(F.sum("gain").over(past), F.lit(0)))
-    peak = F.max(F.col("high") - F.col("sum") - F.col("gain")).over(past)
-    return every.select("k", (F.col("sum") + F.greatest(F.lit(0), F.coalesce(peak, F.lit(0)))).alias("waiting"))
 
+    def past(frame, value, reduce, empty):
+        return F.coalesce(reduce(value).over(frame.rowsBetween(Window.unboundedPreceding, -1)), empty)
+
+    inside, over = Window.partitionBy("c").orderBy("k"), Window.orderBy("c")
+    none = F.lit(-(1 << 62)).cast("long")
+    every = every.withColumn("sum", past(inside, "gain", F.sum, F.lit(0)))
+    every = every.withColumn("peak", past(inside, F.col("high") - F.col("sum") - F.col("gain"), F.max, none))
+    if last + 2 <= STRETCH:  # there is one stretch only
+        return every.select("k", (F.col("sum") + F.greatest(F.lit(0), "peak")).alias("waiting"))
+    # one row a stretch
+    ends = every.groupBy("c").agg(F.sum("gain").alias("gain"), F.max(F.col("high") - F.col("sum") - F.col("gain")).alias("high"))
+    ends = ends.withColumn("sums", past(over, "gain", F.sum, F.lit(0)))
+    ends = ends.withColumn("peaks", past(over, F.col("high") - F.col("sums"), F.max, none)).select("c", "sums", "peaks")
+    most = F.greatest(F.lit(0), F.col("peaks"), F.col("peak") - F.col("sums"))
+    return every.join(ends, "c").select("k", (F.col("sums") + F.col("sum") + most).alias("waiting"))
 
-def schedule(sizes: DataFrame, block: int = 16, slots: int = SLOTS) -> DataFrame:
+
+def schedule(sizes: DataFrame, block: int = 16, slots: int | None = None) -> DataFrame:
     """(src, job, release, deadline, slot): when each block of each source runs.
 
     sizes: (src, n, w), n rows in blocks of `block`. With the weights' sum W, job j has
@@ -102,25 +124,32 @@ def schedule(sizes: DataFrame, block: int = 16, slots: int = SLOTS) -> DataFrame
     which, is guessed first: of the jobs whose time spans the start, those with the
     latest deadlines. Then windows whose guess is not what the window before leaves are
     worked out again from that, until none differs. This is exactly the schedule from
-    the first slot on, and needs a round or two."""
+    the first slot on, and needs a round or two.
+
+    A window starts with at most a job of every source and looks for each of its jobs
+    through its free slots, so windows are as long as the root of the number of
+    sources (slots: so long), and the work grows with the blocks times that root."""
     sizes = table(sizes.where("n > 0").withColumn("last", F.ceil(F.col("n") / block)), "weights")
-    total = sizes.agg(F.sum(F.col("w").cast("decimal(38,0)"))).first()[0]
+    total, turns, sources = sizes.agg(F.sum(F.col("w").cast("decimal(38,0)")), F.max((F.col("last") - 1) / F.col("w")), F.count(F.lit(1))).first()
     spark = sizes.sparkSession
     if total is None:
         return spark.createDataFrame([], "src string, job long, release long, deadline long, slot long")
+    slots = slots or max(SLOTS, math.isqrt(COST * sources))
+    latest = int(turns * float(total) * (1 + 1e-9) / slots) + 1
     release, deadline = _times(int(total))
     one = F.struct("deadline", (-F.col("w")).alias("less"), "src", "job", "release").alias("x")
-    lists = sizes.select("src", "w", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / LISTED))).alias("c"))
+    lists = sizes.select("src", "w", "last", _listed(F.col("last") - 1).alias("c"))
     jobs = lists.repartition("src", "c").select("src", "w", F.explode(F.sequence(F.col("c") * LISTED + 1, F.least("last", (F.col("c") + 1) * LISTED))).alias("job")).withColumns({"release": release, "deadline": deadline})
     fresh = table(jobs.select(F.floor(F.col("release") / slots).alias("k"), one).groupBy("k").agg(F.collect_list("x").alias("new")), "jobs")
     # the jobs whose time spans the start of window k
     ends = sizes.withColumn("job", F.col("last")).withColumn("k1", F.floor((deadline - 1) / slots))
-    over = ends.select("src", "w", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k1"))).alias("k")).where("k > 0")
+    lists = ends.select("src", "w", "last", "k1", _listed(F.col("k1")).alias("c")).repartition("src", "c")
+    over = lists.select("src", "w", "last", F.explode(F.sequence(F.col("c") * LISTED, F.least("k1", (F.col("c") + 1) * LISTED - 1))).alias("k")).where("k > 0")
     whole = F.lit(total).cast("decimal(38,0)")
     share = (F.col("w").cast("decimal(38,0)") * (F.col("k") * slots).cast("decimal(19,0)")).cast("decimal(38,0)")
     over = over.withColumn("job", F.call_function("div", share, whole) + 1).where((share % whole != 0) & (F.col("job") <= F.col("last"))).withColumns({"release": release, "deadline": deadline})
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("deadline"), "w", F.desc("src")))
-    over = over.withColumn("nth", nth).join(_waiting(fresh, slots), "k").where("nth <= waiting")
+    over = over.withColumn("nth", nth).join(_waiting(fresh, latest, slots), "k").where("nth <= waiting")
     held = table(over.groupBy("k").agg(F.array_sort(F.collect_list(one)).alias("held")), "held")
     none = F.expr(f"cast(array() as array<{_JOB}>)")
     merge = lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))
@@ -153,17 +182,19 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     kept = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank")]
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _source(docs).alias("src"), h.alias("h"), F.col("doc_id").alias("id"))
-    rows = rows.withColumn("range", F.substring("h", 1, HEX_DIGITS))
-    counts = table(rows.groupBy("src", "range").agg(F.count(F.lit(1)).alias("n")), "counts")
+    digits, most = HEX_DIGITS, None
+    while most is None or (most > RANGE and digits < 8):
+        digits += math.ceil(math.log(most / RANGE, 16)) if most else 0
+        rows = rows.withColumn("range", F.substring("h", 1, digits))
+        counts = table(rows.groupBy("src", "range").agg(F.count(F.lit(1)).alias("n")), "counts")
+        most = counts.agg(F.max("n")).first()[0] or 0
     sizes = weighted(counts.groupBy("src").agg(F.sum("n").alias("n")), weights, temperature)
-    plan = table(schedule(sizes, block).withColumn("slots", F.struct("slot", "release", "deadline")), "schedule")
-    # of each range the first row's number and the slots of its blocks; a source has at most 16 ** HEX_DIGITS ranges
-    before = F.sum("n").over(Window.partitionBy("src").orderBy("range")) - F.col("n")
-    starts = table(counts.withColumn("below", before), "starts")
+    plan = schedule(sizes, block).withColumn("slots", F.struct("slot", "release", "deadline"))
+    # of each range the first row's number and the slots of its blocks; a source has at most 16 ** digits ranges
+    below = F.sum("n").over(Window.partitionBy("src").orderBy("range")) - F.col("n")
     block_of = lambda c: F.floor(c / block)
-    wanted = starts.select("src", "range", F.explode(F.sequence(block_of(F.col("below")), block_of(F.col("below") + F.col("n") - 1))).alias("b")).withColumn("job", F.col("b") + 1)
-    slots = wanted.join(plan, ["src", "job"]).groupBy("src", "range").agg(F.array_sort(F.collect_list(F.struct("b", "slots"))).alias("blocks"))
-    starts = table(starts.drop("n").join(slots, ["src", "range"]), "ranges")
+    wanted = counts.withColumn("below", below).select("src", "range", "below", F.explode(F.sequence(block_of(F.col("below")), block_of(F.col("below") + F.col("n") - 1))).alias("b")).withColumn("job", F.col("b") + 1)
+    starts = table(wanted.join(plan, ["src", "job"]).groupBy("src", "range", "below").agg(F.array_sort(F.collect_list(F.struct("b", "slots"))).alias("blocks")), "ranges")
     nth = F.row_number().over(Window.partitionBy("src", "range").orderBy("h", "id")) - 1
     rows = rows.withColumn("nth", nth).join(starts, ["src", "range"]).withColumn("nth", F.col("nth") + F.col("below")).withColumn("b", block_of(F.col("nth")))
     rows = rows.withColumn("s", F.get("blocks", (F.col("b") - block_of(F.col("below"))).cast("int"))["slots"])

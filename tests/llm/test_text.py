@@ -162,6 +162,24 @@ def test_schedule_is_earliest_deadline_first(spark, sizes, weights):
             assert abs(seen[x] * total - t * exact[x]) < total  # less than one block
 
 
+def test_schedule_over_many_stretches(spark, monkeypatch):
+    """Sums in stretches of three windows, lists of five: nothing changes."""
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    monkeypatch.setattr(mixing, "LISTED", 5)
+    sizes = {"a": 900, "b": 500, "c": 333} | {f"s{i}": 9 + i % 5 for i in range(40)}
+    w = mixing.weighted(spark.createDataFrame(list(sizes.items()), "src string, n long"))
+    got = {(r.src, r.job): (r.release, r.deadline, r.slot) for r in mixing.schedule(w, 4, 16).collect()}
+    assert got == earliest_deadlines(sizes, {r.src: r.w for r in w.collect()}, 4)
+
+
+def test_mix_is_the_same_with_finer_ranges(spark, monkeypatch):
+    docs = docs_of(spark, ["t"] * 300, sources={i: "ab"[i % 3 == 0] for i in range(300)})
+    want = sorted(mixing.mix(docs, block=4).collect())
+    monkeypatch.setattr(mixing, "HEX_DIGITS", 1)
+    monkeypatch.setattr(mixing, "RANGE", 4)
+    assert sorted(mixing.mix(docs, block=4).collect()) == want
+
+
 def test_mix_deals_blocks(spark):
     sources = {i: "a" if i < 400 else "b" if i < 700 else "c" for i in range(800)}
     docs = docs_of(spark, ["t"] * 800, sources=sources)
