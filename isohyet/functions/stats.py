@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ioa_d1(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
+def ioa_d1(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred", identical: float | None = None) -> DataFrame:
     """Index of agreement d1 per group over rows where both are there: 1 less the
-    absolute errors over the absolute distances from the mean observation; null if
-    all are equal to it."""
+    absolute errors over the absolute distances from the mean observation; identical
+    (null, or 1 for a perfect index) if all are equal to it."""
     both = df.where(F.col(obs).isNotNull() & F.col(pred).isNotNull()).withColumn("_m", F.avg(obs).over(Window.partitionBy(*keys)))
-    return both.groupBy(*keys).agg((1 - F.try_divide(F.sum(F.abs(F.col(pred) - F.col(obs))), F.sum(F.abs(F.col(pred) - F.col("_m")) + F.abs(F.col(obs) - F.col("_m"))))).alias("d1"), F.count(F.lit(1)).alias("n"))
+    d1 = 1 - F.try_divide(F.sum(F.abs(F.col(pred) - F.col(obs))), F.sum(F.abs(F.col(pred) - F.col("_m")) + F.abs(F.col(obs) - F.col("_m"))))
+    return both.groupBy(*keys).agg(F.coalesce(d1, F.lit(identical).cast("double")).alias("d1"), F.count(F.lit(1)).alias("n"))
 
 
 def errors(obs: str = "obs", pred: str = "pred") -> list[Column]:

@@ -18,17 +18,26 @@ from isohyet.tables import table
 MAX_COLUMNS = 31
 
 
-def candidates(daily: DataFrame, pairs: DataFrame, share: float = 2 / 3, min_d1: float = 0.7) -> DataFrame:
+def with_statistics(statistics: DataFrame) -> DataFrame:
+    """station_id, month of those with a finite mean and a finite variance above 0."""
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731  (NaN is above all)
+    return statistics.where(finite("mean") & finite("vari") & (F.col("vari") > 0)).select("station_id", "month")
+
+
+def candidates(daily: DataFrame, pairs: DataFrame, share: float = 2 / 3, min_d1: float = 0.7, usable: DataFrame | None = None) -> DataFrame:
     """(station_id, month, ngh_id, dist_km, n, d1, ok): neighbours that are observed on
     that share of the target's days of a calendar month. ok are those observed on that
     share of all days of the month, too; of the others only the one with the best d1 is
     kept, where it is the best of all and good enough.
 
-    daily: station_id, obs_date, value (observed days)."""
+    daily: station_id, obs_date, value (observed days). usable: the stations and months
+    (station_id, month) that may be neighbours, else all; the others are no candidates
+    at all, so they don't stand in the way of a best one either."""
     d = daily.where("value is not null").withColumn("month", F.month("obs_date"))
     days = d.agg(F.min("obs_date").alias("lo"), F.max("obs_date").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("x")).groupBy(F.month("x").alias("month")).agg(F.count(F.lit(1)).alias("n_days"))
     n = d.groupBy("station_id", "month").agg(F.count(F.lit(1)).alias("n_own"))
-    ngh = d.select(F.col("station_id").alias("ngh_id"), "obs_date", F.col("value").alias("nv"))
+    ngh = d if usable is None else d.join(usable.select("station_id", "month"), ["station_id", "month"], "left_semi")
+    ngh = ngh.select(F.col("station_id").alias("ngh_id"), "obs_date", F.col("value").alias("nv"))
     both = d.join(pairs, "station_id").join(ngh, ["ngh_id", "obs_date"])
     w = Window.partitionBy("station_id", "month", "ngh_id")
     both = both.withColumn("_m", F.avg("value").over(w))
@@ -270,7 +279,7 @@ def infill_stations(daily: DataFrame, pairs: DataFrame, least: int = 3) -> DataF
     return infill(rows, monthly_statistics(rows))
 
 
-def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, start: float = 75.0, step: float = 37.5, share: float = 2 / 3, min_d1: float = 0.7, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, start: float = 75.0, step: float = 37.5, share: float = 2 / 3, min_d1: float = 0.7, targets: DataFrame | None = None, usable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Neighbours from a radius that grows until every day has enough of them.
 
     First what candidates() gives with ring, the number of steps by which the radius
@@ -279,7 +288,8 @@ def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, star
     with `least` neighbours observed on every day of the period in that calendar month;
     status covered, or uncovered where all stations do not suffice (ring is then null
     and all count). daily: station_id, obs_date, value, of all days, value null where
-    missing. targets: the stations (station_id) this is asked for, else all.
+    missing. targets: the stations (station_id) this is asked for, else all; usable: as
+    for candidates().
 
     Of each day the ring of the least-th nearest value is what it needs, so one join
     finds the ring of a group at once; groups that need more than the radius searched
@@ -294,7 +304,7 @@ def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, star
     while True:
         last = radius >= WHOLE_KM
         pairs = station_pairs(stations, min(radius, WHOLE_KM)).join(open_.select("station_id").distinct(), "station_id", "left_semi")
-        found = candidates(daily, pairs, share, min_d1).withColumn("ring", ring).join(open_, key, "left_semi")
+        found = candidates(daily, pairs, share, min_d1, usable).withColumn("ring", ring).join(open_, key, "left_semi")
         # a best one that is not ok counts if it is the best of the first radius
         if first is None:
             found = first = table(found, "candidates")
@@ -316,15 +326,51 @@ def grown_candidates(daily: DataFrame, stations: DataFrame, least: int = 3, star
         radius *= 4
 
 
-def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, targets: DataFrame | None = None, scores: DataFrame | None = None, **how) -> DataFrame:
+def grown_with_statistics(daily: DataFrame, stations: DataFrame, found: tuple[DataFrame, DataFrame], statistics: DataFrame, least: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What grown_candidates gives where only stations with statistics are neighbours, and
+    the groups (station_id, month) for which this differs from found, its result for all.
+
+    A group none of whose candidates lacks them stays as it is: neither its ring nor its
+    best one depends on what was no candidate. Only the others are searched again, and
+    their radius grows on where taking a neighbour away left a day without enough."""
+    chosen, status = found
+    usable, key = table(with_statistics(statistics), "usable"), ["station_id", "month"]
+    lacking = chosen.join(usable.withColumnRenamed("station_id", "ngh_id"), ["ngh_id", "month"], "left_anti")
+    lacking = table(lacking.select(*key).distinct(), "lacking")
+    if lacking.isEmpty():
+        return chosen, status, lacking
+    again = grown_candidates(daily, stations, least, targets=lacking.select("station_id").distinct(), usable=usable, **how)
+    chosen, status = (a.join(lacking, key, "left_anti").unionByName(b.join(lacking, key, "left_semi")) for a, b in zip(found, again, strict=True))
+    return chosen, status, lacking
+
+
+def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, targets: DataFrame | None = None, scores: DataFrame | None = None, statistics: DataFrame | None = None, **how) -> DataFrame:
     """infill_stations with neighbours from a growing radius, for every station and
     month of daily; scores (upper_air_scores) go beside the neighbours. Those without any
     neighbour or fit keep their days as they are, with the reason; status says whether
-    every day had `least` neighbours."""
-    chosen, status = grown_candidates(daily, stations, least, targets=targets, **how)
-    rows = matrices(daily, table(kept_neighbours(daily, chosen, status, least), "neighbours"))
-    rows = table(rows if scores is None else add_components(rows, scores), "matrices")  # read twice
-    done = infill(rows, monthly_statistics(rows))
+    every day had `least` neighbours.
+
+    statistics: station_id, month, mean, vari of all stations, as monthly_statistics gives
+    them; else those of the matrices. With statistics of all stations (given, or
+    worked out as there are no targets) only stations with a mean and a variance are
+    neighbours in the days' matrices, and where one is not, its targets' neighbours are
+    chosen anew without it."""
+    found = grown_candidates(daily, stations, least, targets=targets, **how)
+    key = ["station_id", "month"]
+    widen = (lambda r: r) if scores is None else (lambda r: add_components(r, scores))
+    rows = table(widen(matrices(daily, table(kept_neighbours(daily, *found, least), "neighbours"))), "matrices")  # read twice
+    if statistics is None:
+        own = table(monthly_statistics(rows), "statistics")
+    else:
+        own = statistics
+    status = found[1]
+    if statistics is not None or targets is None:
+        chosen, status, lacking = grown_with_statistics(daily, stations, found, own, least, **how)
+        if not lacking.isEmpty():
+            chosen, of = (x.join(lacking, key, "left_semi") for x in (chosen, status))
+            new = widen(matrices(daily, table(kept_neighbours(daily, chosen, of, least), "neighbours")))
+            rows = table(rows.join(lacking, key, "left_anti").unionByName(new), "matrices")
+    done = infill(rows, own)
     d = daily.select("station_id", "obs_date", F.month("obs_date").alias("month"), "value")
     d = d if targets is None else d.join(targets.select("station_id"), "station_id", "left_semi")
     rest = d.join(done.select("station_id", "month").distinct(), ["station_id", "month"], "left_anti")
@@ -334,7 +380,8 @@ def infill_network(daily: DataFrame, stations: DataFrame, least: int = 3, target
 
 def second_pass(infilled: DataFrame, daily: DataFrame, stations: DataFrame, suspect: DataFrame, least: int = 7, **how) -> DataFrame:
     """infilled with the series of the suspect stations (station_id) done again from
-    more neighbours a day. The others' observations stay neighbours."""
+    more neighbours a day. The others' observations stay neighbours; with statistics
+    (infill_network) only of stations that have them."""
     again = suspect.select("station_id").distinct()
     new = infill_network(daily, stations, least, targets=again, **how)
     return infilled.join(again, "station_id", "left_anti").unionByName(new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import scalars, stats
@@ -64,6 +65,13 @@ def ioa_d1_pairs(spark, d):
     return stats.ioa_d1(_both(spark, d), ["station_id", "ngh_id"]).withColumn("d1", F.round("d1", 6))
 
 
+@query("ioa_d1_identical", f"WITH {OBS}, o2 AS (SELECT a.station_id, year(a.obs_date) AS year, a.tmin AS o, b.tmax AS p FROM obs a JOIN obs b ON a.station_id=b.station_id AND a.obs_date=b.obs_date), m AS (SELECT *, avg(o) OVER (PARTITION BY station_id, year) AS m FROM o2) SELECT station_id, CAST(year AS INT) AS year, round(coalesce(1-sum(abs(p-o))/nullif(sum(abs(p-m)+abs(o-m)),0),1),6) AS d1, count(*) AS n FROM m GROUP BY 1,2")
+def ioa_d1_identical(spark, d):
+    """Of the two elements of a station and year; series that are one constant agree."""
+    x = observations(spark, d).withColumn("year", F.year("obs_date"))
+    return stats.ioa_d1(x, ["station_id", "year"], "tmin", "tmax", 1.0).withColumn("d1", F.round("d1", 6))
+
+
 @query("linreg_neighbors", f"WITH {NAT}, {_NPAIR} SELECT station_id, ngh_id, round(regr_slope(o,p),6) AS slope, round(regr_intercept(o,p),6) AS intercept, round(corr(o,p),6) AS r FROM both2 GROUP BY 1,2")
 def linreg_neighbors(spark, d):
     out = _both(spark, d).groupBy("station_id", "ngh_id").agg(*stats.linear_model("pred", "obs"))
@@ -276,6 +284,30 @@ def infill_candidates(spark, d):
     return infill.candidates(x, pairs).withColumns({"dist_km": F.round("dist_km", 6), "d1": F.round("d1", 6)})
 
 
+#: Station months with a mean and a variance: those with as many days as the mean of all.
+_USABLE = f"""WITH {NAT}, ns AS (SELECT CAST(n_nationkey AS BIGINT) AS station_id, CAST(-100+n_nationkey%5 AS DOUBLE) AS lon, CAST(40+n_nationkey//5 AS DOUBLE) AS lat FROM nation), {_NPAIRS},
+dv AS (SELECT station_id, obs_date, month(obs_date) AS month, tmin AS value FROM nat),
+dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
+cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),
+us AS (SELECT * FROM (SELECT cn.*, avg(n_own) OVER (PARTITION BY month) AS mean_n FROM cn) WHERE n_own>=mean_n),
+pr AS (SELECT a.station_id, a.month, p.ngh_id, p.dist_km, a.value, b.value AS nv, avg(a.value) OVER (PARTITION BY a.station_id, a.month, p.ngh_id) AS mv FROM dv a JOIN npairs p ON p.station_id=a.station_id JOIN dv b ON b.station_id=p.ngh_id AND b.obs_date=a.obs_date),
+sc AS (SELECT station_id, month, ngh_id, dist_km, count(*) AS n, 1-sum(abs(nv-value))/nullif(sum(abs(nv-mv)+abs(value-mv)),0) AS d1 FROM pr GROUP BY 1,2,3,4),
+ok AS (SELECT sc.*, g.n_own>=round(0.5*n_days) AS ok, row_number() OVER (PARTITION BY sc.station_id, sc.month ORDER BY d1 DESC, ngh_id) AS r FROM sc JOIN cn t ON t.station_id=sc.station_id AND t.month=sc.month JOIN us g ON g.station_id=sc.ngh_id AND g.month=sc.month JOIN dy ON dy.month=sc.month WHERE n>=round(0.5*t.n_own))
+SELECT station_id, CAST(month AS INT) AS month, ngh_id, round(dist_km,6) AS dist_km, n, round(d1,6) AS d1, ok FROM ok WHERE ok OR (r=1 AND d1>=0.7)"""
+
+
+@query("infill_with_statistics", _USABLE)
+def infill_with_statistics(spark, d):
+    """Candidates among the stations that have a mean and a variance in the month; half
+    of the days are enough here."""
+    x = national(spark, d).select("station_id", "obs_date", F.col("tmin").alias("value"))
+    s = x.groupBy("station_id", F.month("obs_date").alias("month")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("vari"))
+    enough = F.col("n") >= F.avg("n").over(Window.partitionBy("month"))
+    s = s.select("station_id", "month", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "vari")])
+    pairs = spatial.station_pairs(_nat_stations(spark, d), 300.0)
+    return infill.candidates(x, pairs, 0.5, usable=infill.with_statistics(s)).withColumns({"dist_km": F.round("dist_km", 6), "d1": F.round("d1", 6)})
+
+
 _GROWN = f"""WITH {_SMOOTH}, dv AS (SELECT station_id, obs_date, month(obs_date) AS month, v AS value FROM lv WHERE elem='tmin'),
 dy AS (SELECT month(d) AS month, count(*) AS n_days FROM (SELECT unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), CAST(max(obs_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dv) GROUP BY 1),
 cn AS (SELECT station_id, month, count(*) AS n_own FROM dv GROUP BY 1,2),

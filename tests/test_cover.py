@@ -102,3 +102,74 @@ def test_components_stay_in_the_matrix(spark):
     assert {(r.station_id, r.obs_date): len(r.nghs) - 2 for r in infill.add_components(rows, scores).collect()} == n
     got = infill.infill_network(daily, places, scores=scores, targets=places.where("station_id < 2"), step=50.0).toPandas()
     assert got.infilled.notna().all() and len(got) == 2 * 59
+
+
+KEY = ["station_id", "month", "ngh_id"]
+
+
+def statistics_of(spark, n, without, odd=None):
+    rows = [(j, m, *((None, None) if (j, m) in without else (1.0, 2.0))) for j in range(n) for m in (1, 2)]
+    return spark.createDataFrame(rows + (odd or []), "station_id int, month int, mean double, vari double")
+
+
+def test_only_finite_statistics_count(spark):
+    odd = [(9, 1, float("nan"), 1.0), (9, 2, 1.0, float("inf")), (8, 1, 1.0, 0.0), (8, 2, 1.0, float("nan")), (7, 1, float("-inf"), 1.0)]
+    got = infill.with_statistics(statistics_of(spark, 3, {(1, 2)}, odd)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1), (0, 2), (1, 1), (2, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("without", [set(), {(1, 1), (2, 1), (3, 1), (4, 2)}])
+def test_neighbours_without_statistics_are_as_if_not_there(spark, without):
+    """What is searched again and what is left alone together are what one search among
+    the stations with statistics gives, and what taking the others away gives."""
+    daily, places, _, _ = network(spark, 9)
+    s = statistics_of(spark, 9, without)
+    found = infill.grown_candidates(daily, places, step=50.0)
+    chosen, status, lacking = infill.grown_with_statistics(daily, places, found, s, step=50.0)
+    whole, of = infill.grown_candidates(daily, places, step=50.0, usable=infill.with_statistics(s))
+    of_each = lambda df: sorted((tuple(r) for r in df.select(*KEY, "ring", "ok").collect()))
+    got = of_each(chosen)
+    assert got == of_each(whole) and not {(n, m) for _, m, n, *_ in got} & without
+    assert sorted(map(str, status.collect())) == sorted(map(str, of.collect()))
+    assert bool(without) == (lacking.count() > 0)
+    some, left = (x.where("station_id not in (1, 2, 3)") for x in (daily, places))
+    alone = infill.grown_candidates(some, left, step=50.0)[0].where("station_id = 0 and month = 1") if without else None
+    assert alone is None or of_each(alone) == [r for r in got if r[:2] == (0, 1)]
+
+
+def test_a_best_one_without_statistics_hides_no_other(spark):
+    """Neighbours 1 and 2 lack half of the month, so only the best of them may count."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal(28) * 5
+    daily = [(0, START + dt.timedelta(d), float(base[d]) if d < 14 else None) for d in range(28)]
+    daily += [(3, START + dt.timedelta(d), float(base[27 - d])) for d in range(28)]
+    for j, noise in ((1, 0.1), (2, 0.5)):
+        daily += [(j, START + dt.timedelta(d), float(base[d] + noise * r.standard_normal())) for d in range(14)]
+    daily = spark.createDataFrame(daily, "station_id int, obs_date date, value double")
+    pairs = spark.createDataFrame([(0, j, 10.0 * j) for j in (1, 2, 3)], "station_id int, ngh_id int, dist_km double")
+    of = lambda usable: sorted((x.ngh_id, x.ok) for x in infill.candidates(daily, pairs, usable=usable).collect())
+    assert of(None) == [(1, False), (3, True)]
+    assert of(infill.with_statistics(statistics_of(spark, 4, {(1, 1)}))) == [(2, False), (3, True)]
+
+
+def test_network_with_given_statistics(spark):
+    daily, places, values, gone = network(spark)
+    own = infill.infill_network(daily, places, step=50.0)
+    s = statistics_of(spark, 6, {(3, 1), (3, 2)}).drop("mean", "vari").join(daily.groupBy("station_id", infill.F.month("obs_date").alias("month")).agg(infill.F.avg("value").alias("mean"), infill.F.var_pop("value").alias("vari")), ["station_id", "month"])
+    s = s.where("station_id <> 3")
+    got = infill.infill_network(daily, places, statistics=s, step=50.0).toPandas()
+    assert len(got) == own.count() == values.size
+    bare = got[got.station_id == 3]  # no statistics of its own: its days stay as they are
+    assert all(set(x) == {"no neighbours"} for x in bare.reasons) and bare.infilled.isna().sum() == gone[:, 3].sum()
+    rest = got[got.station_id != 3]
+    assert rest.infilled.notna().all()
+    err = [abs(x.infilled - values[(x.obs_date - START).days, x.station_id]) for x in rest.itertuples() if gone[(x.obs_date - START).days, x.station_id]]
+    assert np.mean(err) < 0.3
+
+
+def test_index_of_agreement_of_identical_series(spark):
+    from isohyet.functions import stats
+
+    x = spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 2.0), ("b", 1.0, 2.0), ("b", 3.0, 2.0), ("c", 1.0, None)], "k string, obs double, pred double")
+    assert {r.k: r.d1 for r in stats.ioa_d1(x, ["k"], identical=1.0).collect()} == {"a": 1.0, "b": 0.0}
+    assert {r.k: r.d1 for r in stats.ioa_d1(x, ["k"]).collect()} == {"a": None, "b": 0.0}
