@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,20 @@ def ioa_d1(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred",
     return both.groupBy(*keys).agg(F.coalesce(d1, F.lit(identical).cast("double")).alias("d1"), F.count(F.lit(1)).alias("n"))
 
 
+def correlation(a: str, b: str, over: WindowSpec | None = None) -> Column:
+    """Pearson's r over rows with both, as an aggregate or over a window; null where a
+    side is constant (corr divides by zero there)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    parts = F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)
+    c, sx, sy = parts if over is None else (p.over(over) for p in parts)
+    return F.try_divide(c, sx * sy)
+
+
 def errors(obs: str = "obs", pred: str = "pred") -> list[Column]:
-    """mae, bias (prediction less observation) and r2 as aggregates."""
+    """mae, bias (prediction less observation) and r2 as aggregates; r2 is null where a
+    side is constant."""
     o, p = F.col(obs), F.col(pred)
-    return [F.avg(F.abs(p - o)).alias("mae"), F.avg(p - o).alias("bias"), F.pow(F.corr(p, o), 2).alias("r2")]
+    return [F.avg(F.abs(p - o)).alias("mae"), F.avg(p - o).alias("bias"), F.pow(correlation(pred, obs), 2).alias("r2")]
 
 
 def mean_and_deviation(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -50,5 +60,5 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def linear_model(x: str, y: str) -> list[Column]:
-    """slope, intercept and r of y on x as aggregates."""
-    return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r")]
+    """slope, intercept and r of y on x as aggregates; null where they are not defined."""
+    return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(y, x).alias("r")]
