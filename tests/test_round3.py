@@ -88,3 +88,7 @@ def _as_in_sql(spark, d, name):
 @pytest.mark.parametrize("name", ["error_metrics", "linreg_neighbors"])
 def test_constant_series_as_in_sql(spark, flat, name):
     _as_in_sql(spark, flat, name)
+
+
+def test_constant_months_as_in_sql(spark, flat):
+    _as_in_sql(spark, flat, "infill_with_statistics")
