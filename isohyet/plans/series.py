@@ -9,6 +9,7 @@ from isohyet.operators import aggregate, qa_prcp, qa_temp
 from isohyet.operators.calendar import densify, window_table
 from isohyet.plans.analog import DENSE, NAT, OBS, national, observations, read
 from isohyet.plans.registry import query
+from isohyet.tables import table
 
 
 def dense(spark, d):
@@ -244,8 +245,9 @@ def qa_chain_flags(spark, d):
 
 @query("qa_non_spatial_all")
 def qa_non_spatial_all(spark, d):
-    """The whole chain with the production thresholds."""
-    return _flags(qa_temp.run_non_spatial(dense(spark, d)))
+    """The whole chain with the production thresholds, each rule's result written, so that
+    no plan is longer than a rule."""
+    return _flags(qa_temp.run_non_spatial(dense(spark, d), cut=lambda x: table(x, "rule")))
 
 
 @query("qa_flag_merge", f"WITH {NAT}, {DENSE}, p AS (SELECT station_id, obs_date, CASE WHEN tmin>15 THEN 'X' ELSE '' END AS p0, CASE WHEN tmax>20 THEN 'G' ELSE '' END AS p1 FROM dense), n AS (SELECT station_id, obs_date, CASE WHEN tmin>22 THEN 'S' ELSE '' END AS n0, CASE WHEN tmax<-10 THEN 'S' ELSE '' END AS n1 FROM dense) SELECT station_id, obs_date, coalesce(nullif(n0,''),p0) AS flag_tmin, coalesce(nullif(n1,''),p1) AS flag_tmax FROM p JOIN n USING (station_id, obs_date)")

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import kernels, scalars, stats
-from isohyet.operators import interp
+from isohyet.operators import interp, spatial
 from isohyet.plans import library
 from tests.test_queries import rows
 
@@ -92,3 +92,10 @@ def test_constant_series_as_in_sql(spark, flat, name):
 
 def test_constant_months_as_in_sql(spark, flat):
     _as_in_sql(spark, flat, "infill_with_statistics")
+
+
+
+def test_rules_are_written_one_by_one(spark):
+    """The chain's plan reads what the rule before wrote, not all rules again."""
+    plan = library.queries()["qa_non_spatial_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1
