@@ -16,7 +16,7 @@ from isohyet.functions import kernels
 from isohyet.functions.stats import errors
 from isohyet.operators import interp, neighbourhoods
 from isohyet.operators.spatial import nearest
-from isohyet.tables import table
+from isohyet.tables import dealt, table
 
 #: Neighbours over which the numbers of neighbours are averaged.
 INITIAL = 100
@@ -34,8 +34,8 @@ def neighbour_counts(points: DataFrame, stations: DataFrame, station_month: Data
     of = lambda m: F.get(column, F.lit(m - 1))
     mean = lambda m: F.try_divide(F.sum(F.col("wgt") * of(m)), F.sum(F.when(of(m).isNotNull(), F.col("wgt"))))
     # all months of a neighbour in one row
-    k = near.join(neighbourhoods.by_month(station_month, "station_id", (column,), ""), "station_id").groupBy("point_id").agg(*[mean(m).alias(f"m{m}") for m in months])
-    x = points.select("point_id").join(k, "point_id", "left")
+    k = dealt(near).join(neighbourhoods.by_month(station_month, "station_id", (column,), ""), "station_id").groupBy("point_id").agg(*[mean(m).alias(f"m{m}") for m in months])
+    x = points.select("point_id").join(dealt(k), "point_id", "left")
     each = F.explode(F.array(*[F.struct(F.lit(m).cast("int").alias("month"), F.bround(f"m{m}", 0).cast("int").alias("k")) for m in months]))
     return table(x.select("point_id", each.alias("x")).select("point_id", "x.month", "x.k"), "counts")
 
@@ -48,7 +48,7 @@ def neighbour_lists(points: DataFrame, stations: DataFrame, counts: DataFrame, *
 
 def _status(found: DataFrame, counts: DataFrame, value: str, points: DataFrame) -> DataFrame:
     """The rows of all points and months, those without a result with a status why."""
-    x = counts.select("point_id", "month", "k").join(found.drop("k"), ["point_id", "month"], "left")
+    x = counts.select("point_id", "month", "k").join(dealt(found.drop("k")), ["point_id", "month"], "left")
     return x.withColumn("status", F.when(F.coalesce("k", F.lit(0)) < 1, "no number of neighbours").when(F.col(value).isNull(), "no result").otherwise("ok"))
 
 
@@ -115,7 +115,7 @@ def daily(points: DataFrame, stations: DataFrame, station_month: DataFrame, valu
     z = z.withColumn("_n", F.count(F.lit(1)).over(whole))
     a = values.where("value is not null").withColumn("month", F.month("obs_date")).join(station_month.select("station_id", "month", "norm"), ["station_id", "month"])
     a = a.select("station_id", "month", "obs_date", (F.col("value") - F.col("norm")).alias("a"))
-    sums = z.join(a, ["station_id", "month"]).groupBy("point_id", "month", "obs_date").agg(F.sum(F.col("z") * F.col("a")).alias("a"), F.count("a").alias("n"), F.max("_n").alias("_n"))
+    sums = dealt(z).join(a, ["station_id", "month"]).groupBy("point_id", "month", "obs_date").agg(F.sum(F.col("z") * F.col("a")).alias("a"), F.count("a").alias("n"), F.max("_n").alias("_n"))
     out = sums.join(point_norms.select("point_id", "month", F.col("norm").alias("_p")), ["point_id", "month"])
     return out.select("point_id", "obs_date", F.when(F.col("n") == F.col("_n"), F.col("a") + F.col("_p")).alias("value"))
 
@@ -140,7 +140,7 @@ def interpolate(points: DataFrame, stations: DataFrame, station_month: dict[str,
 
 def without_own(stations: DataFrame) -> dict:
     """Arguments that keep every station out of its own neighbours."""
-    return {"exclude": stations.select(F.col("station_id").alias("point_id"), "station_id")}
+    return {"others": True}
 
 
 def leave_one_out(stations: DataFrame, station_month: DataFrame, values: DataFrame | None = None, monthly: tuple[str, ...] = (), **how) -> tuple[DataFrame, DataFrame | None]:
@@ -151,7 +151,7 @@ def leave_one_out(stations: DataFrame, station_month: DataFrame, values: DataFra
     of_point = {"monthly": monthly, "point_month": station_month.withColumn("point_id", F.col("station_id"))}
     how = of_point | without_own(stations) | how
     pn = normals(pts, stations, station_month, **how)
-    norm = station_month.select("station_id", "month", "norm").join(pn.select(F.col("point_id").alias("station_id"), "month", F.col("norm").alias("pred")), ["station_id", "month"])
+    norm = station_month.select("station_id", "month", "norm").join(dealt(pn).select(F.col("point_id").alias("station_id"), "month", F.col("norm").alias("pred")), ["station_id", "month"])
     if values is None:
         return norm, None
     d = daily(pts, stations, station_month, values, pn, **how).select(F.col("point_id").alias("station_id"), "obs_date", F.col("value").alias("pred"))

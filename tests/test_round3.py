@@ -95,6 +95,14 @@ def test_constant_months_as_in_sql(spark, flat):
 
 
 
+def test_large_sides_are_not_sent(spark):
+    """What a function returns and points are joined by shuffles, however small Spark
+    takes them to be."""
+    for name in ("interp_normals", "ked_weights", "month_neighbours"):
+        plan = library.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan, name
+
+
 def test_rules_are_written_one_by_one(spark):
     """The chain's plan reads what the rule before wrote, not all rules again."""
     plan = library.queries()["qa_non_spatial_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
