@@ -94,6 +94,16 @@ def test_constant_months_as_in_sql(spark, flat):
     _as_in_sql(spark, flat, "infill_with_statistics")
 
 
+def test_variogram_of_places(spark):
+    """Stations at one place counted together give what all pairs give."""
+    r = np.random.default_rng(3)
+    place = r.uniform(0, 3, (15, 2)).tolist()
+    s = spark.createDataFrame([(i, *place[i % 15], float(v)) for i, v in enumerate(r.normal(1e4, 1, 60))], "station_id int, lon double, lat double, r double")
+    want = {x.bin: x[1:] for x in interp.variogram_bins(s, spatial.station_pairs(s, 300.0), 25.0).collect()}
+    got = {x.bin: x[1:] for x in interp.variogram_bins_of_places(s, 300.0, 25.0).collect()}
+    assert want.keys() == got.keys() and all(got[b] == pytest.approx(want[b], rel=1e-9) for b in want)
+
+
 
 def test_large_sides_are_not_sent(spark):
     """What a function returns and points are joined by shuffles, however small Spark
