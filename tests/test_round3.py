@@ -104,6 +104,24 @@ def test_variogram_of_places(spark):
     assert want.keys() == got.keys() and all(got[b] == pytest.approx(want[b], rel=1e-9) for b in want)
 
 
+@pytest.mark.parametrize("how", [{}, {"others": True}, {"drop_zero": True}, {"start_km": 40.0}])
+def test_nearest_of_many_at_one_place(spark, how):
+    """More stations at a place than are asked for, places at equal distances, a pole and
+    the date line: the nearest by distance and id, as by brute force."""
+    r = np.random.default_rng(5)
+    place = [(0.0, 10.0), (1.0, 10.0), (-1.0, 10.0), (179.9, 5.0), (-179.9, 5.0), (30.0, 89.5), (-150.0, 89.5), *r.uniform(-20, 20, (20, 2)).tolist()]
+    rows = [(i, *place[i % 27]) for i in range(270)]
+    s = spark.createDataFrame(rows, "station_id int, lon double, lat double")
+    lon, lat = np.array([x[1:] for x in rows]).T
+    got = {}
+    for x in spatial.nearest(s.withColumn("point_id", F.col("station_id")), s, 12, **how).orderBy("rank").collect():
+        got.setdefault(x.point_id, []).append(x.station_id)
+    for i in range(270):
+        d = np.round(kernels.km(lon[i], lat[i], lon, lat), 6)
+        there = [j for j in np.lexsort((np.arange(270), d)) if not ("others" in how and j == i or "drop_zero" in how and d[j] == 0)]
+        assert np.round(d[got[i]], 6).tolist() == d[there[:12]].tolist() and len(set(got[i])) == 12
+        assert "others" not in how or i not in got[i]
+
 
 def test_large_sides_are_not_sent(spark):
     """What a function returns and points are joined by shuffles, however small Spark
