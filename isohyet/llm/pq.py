@@ -11,17 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import components, groups, table
+from isohyet.llm.common import components, groups, small, table
 from isohyet.shipping import map_arrow
 
 #: The index is fitted on at most so many vectors, and so many numbers in all.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 200_000, 16_000_000
 SUBSPACES, CODES = 8, 256
-#: A query probes the lists whose border is within so many standard deviations of
-#: a displacement by the whole radius in a random direction.
+#: A pair is found if its displacement across the border of its two lists is within so
+#: many standard deviations of one by the whole radius in a random direction. One of the
+#: two then is within half of that of the border, so that is how far a query probes.
 REACH = 5.0
-#: Vectors of one side of a tile.
-TILE = 1024
+#: Members and queries of a tile: its rows are sent once, so both are large.
+MEMBERS, QUERIES = 16_384, 131_072
+#: Distances worked out at once.
+AT_ONCE = 1 << 19
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -92,6 +95,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in steps of 16 bits, and how far each is from what they stand for."""
+    steps = np.rint(x / np.abs(x).max(1, keepdims=True) * 32767).astype(np.int16)
+    return steps, np.sqrt(((x - _unit(steps.astype(float))) ** 2).sum(1))
+
+
+def _above(x: np.ndarray) -> pa.Array:
+    """Numbers in single precision, none of them below what it was."""
+    return pa.array((x * (1 + 1e-6)).astype(np.float32))
+
+
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of the same components as a-b, at most one a node."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -116,14 +130,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH)
 
     Vectors whose cosine, in double precision, is at least that are linked. Equal
     embeddings are one class (smallest vec_id) with a multiplicity. The index: about
-    sqrt(n) lists around k-means centres, and codes of the residuals, fitted on a
+    sqrt(n) / 8 lists around k-means centres, and codes of the residuals, fitted on a
     sample of at most SAMPLE_ROWS vectors by a hash of vec_id; every vector is in the
     list of its nearest centre. A query, which is every class, probes all lists whose
     border is near enough (REACH), however many. In a list the distances come from
     tables of the query's subspaces; no vector is passed over unless its approximate
     distance less its own coding error is beyond the radius; the rest is checked by
-    the exact cosine. A pair counts for both if either finds the other. Lists are cut
-    in tiles of about TILE x TILE. All this is done for each length of vectors by
+    the cosine. Lists get vectors in steps of 16 bits with a bound of the error; pairs
+    for which that is too coarse are checked once more with the vectors themselves.
+    A pair counts for both if either finds the other. Lists are cut
+    in tiles of about MEMBERS x QUERIES. All this is done for each length of vectors by
     itself (lengths are few): vectors of different lengths do not link.
 
     Vectors without a direction (null, empty, zero, null or non-finite components) or
@@ -146,19 +162,20 @@ def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFr
     vectors of one length."""
     spark = usable.sparkSession
     keyed = usable.select("vec_id", F.xxhash64("embedding").alias("k1"), F.hash("embedding", F.lit(7)).alias("k2"), "embedding")
-    classes = table(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the only shuffle of whole vectors
+    least = keyed.repartition(parts, "k1", "k2").groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "embedding")).alias("v"), F.count(F.lit(1)).alias("copies"))
+    classes = table(least.select("k1", "k2", F.col("v.vec_id").alias("rep"), "copies", "v.embedding"), "classes")
     n = classes.count()
     step = max(1, -(-n // min(SAMPLE_ROWS, SAMPLE_NUMBERS // size)))
-    some = pa.Table.from_batches([], pa.schema([("embedding", pa.list_(pa.float64()))])) if n == 0 else keyed.where(F.pmod("k1", F.lit(step)) == 0).dropDuplicates(["k1", "k2"]).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("vec_id").select("embedding").toArrow()
-    x, ok = units(some.column(0).combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())), size)
+    some = classes.where(F.pmod("k1", F.lit(step)) == 0).select("rep", "embedding").toArrow().sort_by("rep")
+    x, ok = units(some.column(1).combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.float64())), size)
     if not ok.any():
         x, ok = np.eye(1, size), np.ones(1, bool)
-    index = spark.sparkContext.broadcast(Index.fit(x[ok], int(np.clip(np.sqrt(n), 1, 16_384))))
+    index = spark.sparkContext.broadcast(Index.fit(x[ok], int(np.clip(np.sqrt(n) / 8, 1, 16_384))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    within = reach * radius / np.sqrt(size)
+    within = min(reach / np.sqrt(size), 1.0) * radius / 2
     ids = usable.schema["vec_id"].dataType.simpleString()
-    # vectors are sent as they come, and made units again where they arrive
-    stored = np.float32 if usable.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def code(batches):
         ix: Index = index.value
@@ -167,65 +184,98 @@ def _linked(usable: DataFrame, size: int, cosine: float, reach: float) -> DataFr
                 b = whole.slice(at, 2048)
                 x, ok = units(b.column(2), size)
                 take, x = np.flatnonzero(ok), x[ok]
-                raw = b.column(2).take(pa.array(take)).flatten().to_numpy(zero_copy_only=False).astype(stored).reshape(-1, size)
+                if not len(x):
+                    continue
                 home, near = ix.probes(x, within)
                 codes, error = ix.encode(x - ix.centres[home])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "copies", "vec", "home", "codes", "error", "probes"])
+                steps, blur = _short(x)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array([v.tobytes() for v in steps], pa.binary()), _above(blur), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), _above(error), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], ["id", "copies", "vec", "blur", "home", "codes", "error", "probes"])
 
-    first = keyed.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"])
-    coded = table(map_arrow(first.select("vec_id", "copies", "embedding").repartition(64, "vec_id"), code, f"id {ids}, copies long, vec binary, home int, codes binary, error double, probes array<int>"), "coded")
+    coded = table(map_arrow(classes.select(F.col("rep").alias("id"), "copies", "embedding"), code, f"id {ids}, copies long, vec binary, blur float, home int, codes binary, error float, probes array<int>"), "coded")
     # one row a list, as many as centres
     here = coded.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("m"))
     asked = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("q"))
-    plan = F.broadcast(table(here.join(asked, "list").select("list", F.ceil(F.col("m") / TILE).cast("int").alias("nm"), F.ceil(F.col("q") / TILE).cast("int").alias("nq")), "plan"))
+    plan = F.broadcast(table(here.join(asked, "list").select("list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("nm"), F.ceil(F.col("q") / QUERIES).cast("int").alias("nq")), "plan"))
     lot = lambda by: F.pmod(F.xxhash64("id"), F.col(by)).cast("int")
     spread = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    members = coded.withColumn("list", F.col("home")).join(plan, "list").select("list", lot("nm").alias("i"), spread("nq").alias("j"), F.lit(0).alias("side"), "id", "copies", "vec", "home", "codes", "error", "probes")
-    asking = coded.withColumn("list", F.explode("probes")).join(plan, "list").select("list", spread("nm").alias("i"), lot("nq").alias("j"), F.lit(1).alias("side"), "id", "copies", "vec", "home", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(None).cast("array<int>").alias("probes"))
+    # side 0 are members that ask, too, 1 other members, 2 other queries
+    members = coded.withColumn("list", F.col("home")).join(plan, "list").withColumn("i", lot("nm")).withColumn("j", spread("nq")).select("list", "i", "j", (F.col("j") != lot("nq")).cast("int").alias("side"), "id", "copies", "vec", "blur", "home", "codes", "error", "probes")
+    asking = coded.withColumn("list", F.explode("probes")).join(plan, "list").withColumn("i", spread("nm")).where("list <> home or i <> pmod(xxhash64(id), nm)").select("list", "i", lot("nq").alias("j"), F.lit(2).alias("side"), "id", "copies", "vec", "blur", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("error"), F.lit(None).cast("array<int>").alias("probes"))
 
     def search(batches):
         ix: Index = index.value
         for g in groups(batches, 3):
             t = g.combine_chunks()
             side = t.column("side").to_numpy()
-            if not (side == 0).any() or not (side == 1).any():
+            own, cut = int((side == 0).sum()), int((side < 2).sum())
+            asks = np.concatenate([np.arange(own), np.arange(cut, len(side))])
+            if not cut or not len(asks):
                 continue
-            cut = int((side == 0).sum())
-            id_ = t.column("id").to_numpy()
-            copies, home = t.column("copies").to_numpy(), t.column("home").to_numpy()
-            vec = _unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), stored).reshape(-1, size).astype(np.float64))
+            id_, copies, home, blur = (t.column(c).to_numpy() for c in ("id", "copies", "home", "blur"))
+            blur = blur.astype(np.float64)
+            vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.int16).reshape(-1, size)
             here = int(t.column("list")[0].as_py())
             codes = np.frombuffer(b"".join(t.column("codes").slice(0, cut).to_pylist()), np.uint8).reshape(cut, -1)
-            limit = ((radius + t.column("error").to_numpy()[:cut]) ** 2 + 1e-4).astype(np.float32)
-            m, q = vec[:cut], vec[cut:]
-            # a table's row holds one code's distances to all queries: a member takes whole rows
-            tables = [((b * b).sum(1)[:, None] - 2 * b @ p.T + (p * p).sum(1)).astype(np.float32) for p, b in zip(ix.parts(q - ix.centres[here]), ix.books, strict=True)]
-            distance = np.zeros((cut, len(q)), np.float32)
-            for j, lookup in enumerate(tables):
-                distance += lookup[codes[:, j]]
-            b, a = np.nonzero(distance <= limit[:, None])
-            apart = id_[cut:][a] != id_[b]
-            a, b = a[apart], b[apart]
-            good = np.concatenate([(q[a[k : k + 65536]] * m[b[k : k + 65536]]).sum(1) >= cosine for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-            a, b = a[good], b[good]
-            if not len(a):
-                continue
+            limit = ((radius + t.column("error").to_numpy()[:cut].astype(np.float64) + blur.max()) ** 2 + 1e-4).astype(np.float32)
+            m = _unit(vec[:cut].astype(np.float64))
             # the member finds the query by itself if it probes the query's list
             probed = np.zeros((cut, len(ix.centres)), bool)
             lists = t.column("probes").slice(0, cut).to_pylist()
             probed[np.repeat(np.arange(cut), [len(p) for p in lists]), np.concatenate([np.array(p, np.int64) for p in lists])] = True
-            missed = ~probed[b, home[cut:][a]]
-            who = np.concatenate([id_[cut:][a], id_[b[missed]]])
-            count = np.concatenate([copies[b], copies[cut:][a[missed]]])
-            node, at = np.unique(who, return_inverse=True)
-            x, y = _spanning(id_[cut:][a], id_[b])
-            links = np.concatenate([np.bincount(at, count).astype(np.int64), np.zeros(len(x), np.int64)])
+            links, x, y = np.zeros(len(id_)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            unsure = []
+            step = max(1, AT_ONCE // cut)
+            for at in range(0, len(asks), step):
+                who = asks[at : at + step]
+                q = _unit(vec[who].astype(np.float64))
+                # a table's row holds one code's distances to all queries: a member takes whole rows
+                tables = [((b * b).sum(1)[:, None] - 2 * b @ p.T + (p * p).sum(1)).astype(np.float32) for p, b in zip(ix.parts(q - ix.centres[here]), ix.books, strict=True)]
+                distance = np.zeros((cut, len(q)), np.float32)
+                for j, lookup in enumerate(tables):
+                    distance += lookup[codes[:, j]]
+                b, a = np.divmod(np.flatnonzero(distance <= limit[:, None]), len(q))
+                apart = id_[who[a]] != id_[b]
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    continue
+                over = np.concatenate([(q[a[k : k + 65536]] * m[b[k : k + 65536]]).sum(1) for k in range(0, len(a), 65536)]) - cosine
+                a, room = who[a], 1e-12 + blur[who[a]] + blur[b] + blur[who[a]] * blur[b]
+                close = np.abs(over) <= room
+                if close.any():
+                    unsure.append((id_[a[close]], id_[b[close]], copies[b[close]], np.where(probed[b[close], home[a[close]]], 0, copies[a[close]])))
+                good = over > room
+                a, b = a[good], b[good]
+                missed = ~probed[b, home[a]]
+                links += np.bincount(a, copies[b], len(id_)) + np.bincount(b[missed], copies[a[missed]], len(id_))
+                x, y = np.concatenate([x, a]), np.concatenate([y, b])
+                if len(x) > AT_ONCE:
+                    x, y = _spanning(x, y)
+            x, y = _spanning(x, y)
+            node = np.flatnonzero(links)
+            none = np.zeros(len(x), np.int64)
+            unsure.append((id_[node], id_[node], links[node].astype(np.int64), np.zeros(len(node), np.int64)))
+            unsure.append((id_[x], id_[y], none, none))
             kind = g.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, x]), kind), pa.array(np.concatenate([node, y]), kind), pa.array(links, pa.int64())], ["a", "b", "n"])
-
-    found = map_arrow(members.unionByName(asking).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "side"), search, f"a {ids}, b {ids}, n long")
-    found = table(found, "found")
-    linked = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("a <> b").select("a", "b"))
-    info = coded.select(F.col("id").alias("rep")).join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
-    return table(classes.join(info, "rep").select("k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n"), "component"), "info")
+            for k, (a, b, to_a, to_b) in enumerate(unsure):
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(to_a, pa.int64()), pa.array(to_b, pa.int64()), pa.array(np.full(len(a), k >= len(unsure) - 2))], ["a", "b", "n", "m", "sure"])
+
+    found = table(map_arrow(members.unionByName(asking).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "side"), search, f"a {ids}, b {ids}, n long, m long, sure boolean"), "found")
+
+    def check(batches):
+        for b in batches:
+            (p, _), (q, _) = units(b.column(0), size), units(b.column(1), size)
+            good = pa.array((p * q).sum(1) >= cosine)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(good) for c in range(2, 6)], ["a", "b", "n", "m"])
+
+    # of the vectors only those of such pairs are sent, unless these are very many
+    pairs = found.where("not sure").drop("sure")
+    need = table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "need")
+    some = table(classes.join(small(need), "rep", "left_semi").select("rep", "embedding"), "some").hint("merge")
+    whole = lambda c: some.select(F.col("rep").alias(c), F.col("embedding").alias(f"v{c}"))
+    pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").select("va", "vb", "a", "b", "n", "m")
+    checked = table(map_arrow(pairs, check, f"a {ids}, b {ids}, n long, m long"), "checked")
+    each = found.where("sure and a = b").select("a", "n").unionByName(checked.select("a", "n")).unionByName(checked.select(F.col("b").alias("a"), F.col("m").alias("n")))
+    linked = each.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("sure and a <> b").select("a", "b").unionByName(checked.select("a", "b")))
+    info = coded.select(F.col("id").alias("rep")).distinct().join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
+    return table(classes.select("k1", "k2", "rep", "copies").join(info, "rep").select("k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n"), "component"), "info")
