@@ -39,3 +39,13 @@ def test_variograms_of_keys_count_pairs_by_place(spark, monkeypatch, sent):
         known = [x for _, x in v if x is not None]
         assert got[k].n == len(v) and got[k].h == pytest.approx(np.mean([x for x, _ in v]), rel=1e-12)
         assert got[k].gamma == (pytest.approx(sum(known) / (2 * len(v)), rel=1e-9) if known else None)
+
+
+def test_pairs_of_stations_are_found_in_many_tasks(spark):
+    r = np.random.default_rng(6)
+    s = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(r.uniform(0, 3, (80, 2)))], "station_id int, lon double, lat double").coalesce(1)
+    pairs = spatial.station_pairs(s, 150.0)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("t")).count().collect()
+    xy = np.array([x[1:] for x in s.collect()])
+    d = interp.kernels.km(xy[:, :1], xy[:, 1:], xy[:, 0], xy[:, 1])
+    assert len(tasks) >= 4 and sum(x["count"] for x in tasks) == (d <= 150).sum() - 80
