@@ -111,6 +111,46 @@ def test_long_texts_and_many_parts(spark, monkeypatch):
     assert words_[102] >= len(texts[102].split()) - 2
 
 
+def test_rows_of_chunks_are_dealt_over_all_parts(spark, monkeypatch):
+    """No part gets the own rows of all chunks, in the search for hits and in the merge."""
+    r = np.random.default_rng(14)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    hot = word(80)
+    docs = spark.createDataFrame([(i, f"{word(30)} {hot} {word(30)}", "x", "y") for i in range(400)], DOCS).repartition(16)
+    real, seen = anchors.dealt, []
+
+    def dealt(rows, parts):
+        own = "symbols is null" if "symbols" in rows.columns else "key is null" if "key" in rows.columns else "false"
+        seen.append([x.part for x in rows.where(own).select("part").collect()])
+        return real(rows, parts)
+
+    monkeypatch.setattr(anchors, "dealt", dealt)
+    monkeypatch.setattr(suffix, "dealt", dealt)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        suffix.repeated_starts(docs)
+        anchors.anchor_hits(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = [parts for parts in seen if len(parts) > 8]
+    assert len(found) >= 3 and all(max(parts.count(p) for p in parts) <= 4 and len(set(parts)) > 8 for parts in found)
+
+
+def test_passages_of_over_50_words_under_the_length(spark):
+    """What counts is bytes: of 52 words that two documents share, with fewer bytes than
+    the length nothing goes, with as many all; a smaller length takes both."""
+    words = lambda n, k: " ".join(f"{k}{i:0{n - 1}d}" for i in range(52))
+    short, full = words(6, "s"), words(7, "f")
+    assert len(short) == 363 and len(full) == 415
+    texts = [f"{a} {p} {b}" for p, sides in ((short, "ABCD"), (full, "EFGH")) for a, b in (sides[:2], sides[2:])]
+    removed = lambda length: [x.n_removed for x in suffix.drop_repeated_bytes(docs_of(spark, texts), length=length).orderBy("doc_id").collect()]
+    assert removed(400) == [0, 0, 417, 417]
+    assert removed(300) == [365, 365, 417, 417]
+
+
 def test_merge_is_the_order_of_all_suffixes():
     """The merged intervals are those of sorting all suffixes at once."""
     r = np.random.default_rng(6)
