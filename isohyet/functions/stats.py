@@ -15,13 +15,25 @@ def ioa_d1(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred",
     return both.groupBy(*keys).agg(F.coalesce(d1, F.lit(identical).cast("double")).alias("d1"), F.count(F.lit(1)).alias("n"))
 
 
+def _varies(v: Column, over: WindowSpec | None = None) -> Column:
+    """Whether there is more than one value. A variance can't tell: merged sums of a
+    constant are off by rounding, so its variance needn't be 0."""
+    low, high = (p if over is None else p.over(over) for p in (F.min(v), F.max(v)))
+    return low < high
+
+
+def _both(a: str, b: str) -> tuple[Column, Column]:
+    """Each side where the other is there."""
+    return F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+
+
 def correlation(a: str, b: str, over: WindowSpec | None = None) -> Column:
     """Pearson's r over rows with both, as an aggregate or over a window; null where a
     side is constant (corr divides by zero there)."""
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    x, y = _both(a, b)
     parts = F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)
     c, sx, sy = parts if over is None else (p.over(over) for p in parts)
-    return F.try_divide(c, sx * sy)
+    return F.when(_varies(x, over) & _varies(y, over), F.try_divide(c, sx * sy))
 
 
 def errors(obs: str = "obs", pred: str = "pred") -> list[Column]:
@@ -61,4 +73,8 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 def linear_model(x: str, y: str) -> list[Column]:
     """slope, intercept and r of y on x as aggregates; null where they are not defined."""
-    return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(y, x).alias("r")]
+    a, b = _both(x, y)
+    constant = ~_varies(b)  # exactly: slope 0, and the value itself
+    slope = F.when(_varies(a), F.when(constant, 0.0).otherwise(F.regr_slope(y, x)))
+    intercept = F.when(_varies(a), F.when(constant, F.min(b)).otherwise(F.regr_intercept(y, x)))
+    return [slope.alias("slope"), intercept.alias("intercept"), correlation(y, x).alias("r")]
